@@ -213,10 +213,18 @@ def members(spark, d) -> DataFrame:
     )
 
 
+def stored(spark, d, rank: str):
+    """Census and catalogue of a rank as stored tables, the form the mergers read."""
+    from cladetally.session import materialize
+
+    return materialize(census(spark, d, rank)), materialize(catalogue_full(spark, d, rank))
+
+
 def merged(spark, d, rank: str = "genus") -> DataFrame:
     from cladetally.operators import matching as mt
+    from cladetally.session import materialize
 
-    return mt.merge_with_catalogue(census(spark, d, rank), catalogue_full(spark, d, rank), "ncbi")
+    return materialize(mt.merge_with_catalogue(*stored(spark, d, rank), "ncbi"))
 
 
 def rank_map(spark, d, rank: str) -> DataFrame:

@@ -12,6 +12,7 @@ from cladetally.functions.predicates import (
 )
 from cladetally.functions import lineages as ln
 from cladetally.operators.keyed import first_accessions, first_per_key, union_all
+from cladetally.session import materialize
 
 
 def name_index(counts: DataFrame, drop_viruses: bool = False) -> DataFrame:
@@ -125,9 +126,10 @@ def unmatched(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFrame:
 
 def apply_anchors(counts_a: DataFrame, counts_b: DataFrame, acc_a: DataFrame, acc_b: DataFrame) -> DataFrame:
     """Direct names, accession-mapped names, then the rest, consolidated by NCBI name."""
-    a, b = name_index(counts_a), name_index(counts_b, drop_viruses=True)
+    a, b = materialize(name_index(counts_a)), materialize(name_index(counts_b, drop_viruses=True))
     direct = direct_matches(a, b)
-    matches = direct.unionByName(mapped_matches(a, b, accession_name_pairs(acc_a, acc_b), direct))
+    pairs = materialize(accession_name_pairs(acc_a, acc_b))
+    matches = direct.unionByName(mapped_matches(a, b, pairs, direct))
     return union_all(consolidate(matches), unmatched(a, b, matches))
 
 

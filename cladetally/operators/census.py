@@ -28,6 +28,23 @@ def census_by_rank(clusters: DataFrame, rank: str, gene: str) -> DataFrame:
     return kept.groupBy(col.alias("taxon")).agg(otus.alias("otu_count"), sizes.alias("size_count"))
 
 
+def census_all_ranks(clusters: DataFrame, gene: str) -> DataFrame:
+    """`(rank, taxon, otu_count, size_count)` of all ranks in one scan of the clusters."""
+    ranks = RANKS_16S if gene == "16s" else RANKS_18S
+    if gene == "16s":
+        fits = {r: is_named(r) & nm.appropriate_rank_name(r, r).isNotNull() for r in ranks}
+        otu, size = F.lit(1), F.coalesce("size", F.lit(1))
+    else:
+        fits = {r: F.col(r).isNotNull() for r in ranks}
+        otu, size = F.col("centroid").isNotNull().cast("int"), F.coalesce("size", F.lit(0))
+    long = clusters.select(otu.alias("_otu"), size.alias("_size"), F.inline(F.array(*[
+        F.struct(F.lit(r).alias("rank"), F.when(fits[r], F.col(r)).alias("taxon")) for r in ranks
+    ])))
+    return long.where("taxon is not null").groupBy("rank", "taxon").agg(
+        F.sum("_otu").alias("otu_count"), F.sum("_size").alias("size_count")
+    )
+
+
 def with_database_shares(census: DataFrame, totals_from: DataFrame) -> DataFrame:
     """OTU and size percentages against the totals of `totals_from`.
 

@@ -14,7 +14,7 @@ from cladetally.operators.keyed import union_all
 
 # A catalogue has: taxon, domain, genomes, species, isolates, isolate_genomes, taxid, parts
 # (array of the names in its lineage). A census has: taxon, taxid, otu_count, size_count,
-# otu_percentage, size_percentage.
+# otu_percentage, size_percentage. Both are read several times: pass stored tables.
 
 
 def catalogue_with_parts(df: DataFrame, lineage: str = "lineage") -> DataFrame:

@@ -1,5 +1,8 @@
-"""The ten pipelines. Each takes DataFrames, returns lazy DataFrames and starts no job by itself,
-except lineage building, which checkpoints its rounds."""
+"""The ten pipelines: DataFrames in, DataFrames out.
+
+Taxon-level tables that a pipeline reads several times are written once to the session's shared
+folder, so the large inputs are scanned once. Everything else stays lazy.
+"""
 
 from dataclasses import dataclass
 
@@ -12,6 +15,7 @@ from cladetally.functions import names as nm
 from cladetally.functions import predicates as pr
 from cladetally.operators import anchor, census as ce, figures as fg, genomes as ge
 from cladetally.operators import keyed as ky, matching as mt, quality as qu, taxonomy as tx
+from cladetally.session import materialize
 
 
 # --- census by rank ----------------------------------------------------------------------------
@@ -22,10 +26,13 @@ def census(clusters: DataFrame, names: DataFrame, lineages: DataFrame, gene: str
     Names of all ranks are resolved together, once.
     """
     ranks = ce.RANKS_16S if gene == "16s" else ce.RANKS_18S
-    by_rank = {r: ce.census_by_rank(clusters, r, gene) for r in ranks}
+    counted = materialize(ce.census_all_ranks(clusters, gene))
+    by_rank = {r: counted.where(F.col("rank") == r).drop("rank") for r in ranks}
     every = ky.distinct_names(by_rank.values(), "taxon")
     ladder = tx.ladder_16s("taxon") if gene == "16s" else tx.ladder_18s("taxon")
-    resolved = tx.resolve_names(every, names, "taxon", tx.variants_of(ladder)).select("taxon", "taxid")
+    resolved = materialize(
+        tx.resolve_names(every, names, "taxon", tx.variants_of(ladder)).select("taxon", "taxid")
+    )
     out, stacked = {}, []
     for rank, table in by_rank.items():
         totals = by_rank["phylum"] if gene == "16s" else table
@@ -64,7 +71,7 @@ def ncbi_counts(assemblies: DataFrame, rank_map: DataFrame, names: DataFrame, li
         "genome_source", cl.genome_source("organism_name", "excluded_from_refseq")
     )
     full = tx.with_species_taxid(classified, lineages)
-    counts = ge.with_shares(ge.genome_and_species_counts(full, rank), rank)
+    counts = ge.with_shares(materialize(ge.genome_and_species_counts(full, rank)), rank)
     named = tx.with_lineage(tx.name_to_taxid(counts, names, rank), lineages)
     accessions = classified.select(
         F.col("assembly_accession").alias("accession_clean"), rank, "domain", "organism_name",
@@ -144,7 +151,8 @@ def merge_census(census_rows: DataFrame, catalogue: DataFrame, gene: str, db: st
         cat = catalogue.where(pr.is_eukaryote("domain") & pr.is_clean_name("taxon"))
         rows = census_rows.where(pr.is_clean_name("taxon"))
         isolate_rule, with_data_only = "all_matched", False
-    merged = mt.merge_with_catalogue(rows, cat, db, by_taxid, isolate_rule, with_data_only)
+    rows, cat = materialize(rows), materialize(cat)
+    merged = materialize(mt.merge_with_catalogue(rows, cat, db, by_taxid, isolate_rule, with_data_only))
     return Merged(
         table=ky.sort_matched_first(merged, f"{db}_genome_count", "taxon"),
         summary=mt.merge_summary(merged, level, db),
@@ -156,8 +164,8 @@ def merge_census_with_members(census_rows: DataFrame, members: DataFrame, level:
                               db: str = "eukprot") -> Merged:
     """EukProt variant: distinct organism names instead of counts."""
     rows = census_rows.where(pr.is_clean_name("taxon"))
-    kept = members.where(pr.is_clean_name("name"))
-    merged = mt.merge_with_members(rows, kept, db)
+    rows, kept = materialize(rows), members.where(pr.is_clean_name("name"))
+    merged = materialize(mt.merge_with_members(rows, kept, db))
     pairs = kept.select("name", F.explode("parts").alias("taxon")).join(
         rows.select("taxon"), "taxon", "left_semi").distinct()
     return Merged(
@@ -191,7 +199,7 @@ def triple_anchor(counts_a: DataFrame, counts_b: DataFrame, acc_a: DataFrame, ac
                   assemblies: DataFrame, lineages: DataFrame, rank: str = "phylum",
                   compat: bool = False) -> Anchored:
     """Reconciled taxa of two catalogues and the names that could not be verified."""
-    summary = anchor.apply_anchors(counts_a, counts_b, acc_a, acc_b)
+    summary = materialize(anchor.apply_anchors(counts_a, counts_b, acc_a, acc_b))
     suspicious = anchor.suspicious_taxa(summary)
     checked = anchor.verified_taxa(suspicious, acc_a, assemblies, lineages, rank, compat=compat)
     kept, moved = anchor.split_verified(summary, checked)
@@ -202,8 +210,8 @@ def triple_anchor(counts_a: DataFrame, counts_b: DataFrame, acc_a: DataFrame, ac
 
 # --- census quality ----------------------------------------------------------------------------------------
 def census_quality(clusters: DataFrame) -> dict[str, DataFrame]:
-    combos = ce.taxonomic_combinations(clusters)
-    plain = ce.taxonomic_combinations(clusters, examples=False)
+    combos = materialize(ce.taxonomic_combinations(clusters))
+    plain = combos.drop("example_centroids")
     return {
         "combinations": ky.order_by_group_block(combos, "division", "row_count", ["taxonomic_combination"]),
         "patterns": ce.unclassified_patterns(plain),
@@ -221,8 +229,8 @@ def census_quality(clusters: DataFrame) -> dict[str, DataFrame]:
 # --- species report ---------------------------------------------------------------------------------------------
 def species_report(assemblies: DataFrame, rank_maps: dict[str, DataFrame]) -> dict[str, DataFrame]:
     ranks = ["domain", *rank_maps]
-    profile = ge.species_profile(assemblies)
-    stats = ge.attach_rank_maps(profile, rank_maps)
+    profile = materialize(ge.species_profile(assemblies))
+    stats = materialize(ge.attach_rank_maps(profile, rank_maps))
     return {
         "species": stats,
         "bins": qu.genomes_per_species_bins(profile),
@@ -273,7 +281,8 @@ def alluvial_table(merged: DataFrame, n: int = 12) -> DataFrame:
 
 
 def figure_tables(merged: DataFrame, phyla: DataFrame | None = None) -> dict[str, DataFrame]:
-    axes = alluvial_table(merged)
+    merged = materialize(merged)
+    axes = materialize(alluvial_table(merged))
     return {
         "scatter": scatter_table(merged, phyla),
         "alluvial": axes,

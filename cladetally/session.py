@@ -1,6 +1,7 @@
 """Session and checkpoint helpers."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise into the shared folder, so a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table that is read several times to the shared folder and read it back.
+
+    The file sizes give the optimizer a true size, so it broadcasts only what is small.
+    """
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
