@@ -118,7 +118,8 @@ def gtdb_taxonomy(spark, d) -> DataFrame:
 def acc_a(spark, d) -> DataFrame:
     return t(spark, d, "orders").where("o_totalprice > 50000").selectExpr(
         "cast(o_orderkey as string) accession_clean",
-        "case when o_orderstatus = 'F' then concat(o_orderpriority, '_A') else o_orderpriority end taxon",
+        "case when o_totalprice > 420000 then concat('Lonely', o_orderkey % 3) "
+        "when o_orderstatus = 'F' then concat(o_orderpriority, '_A') else o_orderpriority end taxon",
         "case when o_orderstatus = 'P' then 'Eukaryota' when o_orderkey % 2 = 0 then 'Bacteria' else 'Archaea' end domain",
     )
 
@@ -293,7 +294,7 @@ CTE = {
   nullif(split_part(split_part(taxonomy, 'f__', 2), ';', 1), '') AS family, split_part(split_part(taxonomy, 'g__', 2), ';', 1) AS genus,
   split_part(split_part(taxonomy, 's__', 2), ';', 1) AS species FROM gtdb""",
     "acc_a": """SELECT o_orderkey::VARCHAR AS accession_clean,
-  CASE WHEN o_orderstatus = 'F' THEN o_orderpriority || '_A' ELSE o_orderpriority END AS taxon,
+  CASE WHEN o_totalprice > 420000 THEN 'Lonely' || (o_orderkey % 3) WHEN o_orderstatus = 'F' THEN o_orderpriority || '_A' ELSE o_orderpriority END AS taxon,
   CASE WHEN o_orderstatus = 'P' THEN 'Eukaryota' WHEN o_orderkey % 2 = 0 THEN 'Bacteria' ELSE 'Archaea' END AS domain
   FROM orders WHERE o_totalprice > 50000""",
     "acc_b": """SELECT o_orderkey::VARCHAR AS accession_clean,

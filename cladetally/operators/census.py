@@ -164,7 +164,7 @@ def distribution_stats(df: DataFrame, measures: list[str], by: list[str] | None
     counted = long.where("value is not null").groupBy(*by, "measure", "value").agg(F.count("*").alias("_n"))
     v, n = F.col("value"), F.col("_n")
     mean = F.sum(v * n) / F.sum(n)
-    q = F.percentile("value", [0.25, 0.5, 0.75], "_n")
+    q = F.percentile("value", [0.25, 0.5, 0.75], F.col("_n"))
     stats = counted.groupBy(*by, "measure").agg(
         F.sum(n).alias("n"), mean.alias("mean"), q.alias("_q"),
         F.min(v).alias("min"), F.max(v).alias("max"),
@@ -182,7 +182,7 @@ def distribution_stats(df: DataFrame, measures: list[str], by: list[str] | None
 def iqr_outliers(df: DataFrame, measure: str) -> DataFrame:
     """Rows outside q1 - 1.5 IQR .. q3 + 1.5 IQR, with the bounds."""
     counted = df.groupBy(F.col(measure).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    q = counted.agg(F.percentile("v", [0.25, 0.75], "n")).scalar()
+    q = counted.agg(F.percentile("v", [0.25, 0.75], F.col("n"))).scalar()
     iqr = q[1] - q[0]
     return df.withColumns({
         "lower_bound": q[0] - iqr * 1.5, "upper_bound": q[1] + iqr * 1.5

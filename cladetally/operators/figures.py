@@ -94,7 +94,7 @@ def scaled_sizes(df: DataFrame, genomes: str, isolates: str, scale: str = "sqrt"
 
 def ratio_quartiles(df: DataFrame, ratio: str = "ratio") -> DataFrame:
     counted = df.groupBy(ratio).agg(F.count("*").alias("_n"))
-    q = F.percentile(ratio, [0.25, 0.5, 0.75], "_n")
+    q = F.percentile(ratio, [0.25, 0.5, 0.75], F.col("_n"))
     return counted.agg(q.alias("q")).select(
         F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75")
     )
@@ -169,8 +169,8 @@ def genus_parents(top_genera: DataFrame, combinations: DataFrame, k: int) -> Dat
     order = [F.desc("row_count"), "taxonomic_combination"]
     combos = combinations.select("genus", "family", "division", "row_count", "taxonomic_combination")
     listed = top_genera.select("genus").distinct().limit(k).agg(F.collect_list("genus")).scalar()
-    hits = combos.withColumnRenamed("genus", "_g").withColumn(
-        "genus", F.explode(F.filter(listed, lambda g: F.col("_g").contains(g)))
+    hits = combos.withColumnRenamed("genus", "_g").withColumn("_listed", listed).withColumn(
+        "genus", F.explode(F.filter("_listed", lambda g: F.col("_g").contains(g)))
     )
     best = first_per_key(hits, ["genus"], [(F.col("_g") != F.col("genus")).cast("int"), *order])
     return top_genera.join(best.select("genus", "family", "division", "row_count"), "genus", "left").withColumns({
@@ -197,11 +197,11 @@ def family_genera(clusters: DataFrame, families: DataFrame, k: int) -> DataFrame
     def holds(text, w):
         return F.coalesce(F.lower(text).contains(F.lower(w["f"])), F.lit(False))
 
-    by_family = F.transform(F.filter(listed, lambda w: holds(F.col("family"), w)),
+    by_family = F.transform(F.filter("_listed", lambda w: holds(F.col("family"), w)),
                             lambda w: F.struct(F.lit(0).alias("how"), w.alias("w")))
-    other = F.transform(F.filter(listed, lambda w: holds(F.col("phylum"), w) | holds(F.col("genus"), w)),
+    other = F.transform(F.filter("_listed", lambda w: holds(F.col("phylum"), w) | holds(F.col("genus"), w)),
                         lambda w: F.struct(F.lit(1).alias("how"), w.alias("w")))
-    hits = combos.withColumn("h", F.explode(F.concat(by_family, other))).select(
+    hits = combos.withColumn("_listed", listed).withColumn("h", F.explode(F.concat(by_family, other))).select(
         F.col("h.w.f").alias("listed_family"), F.col("h.w.novelty_factor").alias("novelty_factor"),
         F.col("h.how").alias("how"), "phylum", "family", "genus", "size",
     )
@@ -215,10 +215,10 @@ def family_genera(clusters: DataFrame, families: DataFrame, k: int) -> DataFrame
 def lineage_members(genera: DataFrame, families: DataFrame, k: int, lineage: str = "lineage") -> DataFrame:
     """Genera with a lineage part that contains a listed name, ignoring case."""
     listed = families.select("family").orderBy("family").limit(k).agg(F.collect_list("family")).scalar()
-    hit = F.filter(listed, lambda f: F.exists(
+    hit = F.filter("_listed", lambda f: F.exists(
         F.split(F.col(lineage), ";"), lambda p: F.lower(p).contains(F.lower(f))
     ))
-    return genera.withColumn("listed_family", F.explode(hit))
+    return genera.withColumn("_listed", listed).withColumn("listed_family", F.explode(hit)).drop("_listed")
 
 
 def genus_contribution(members: DataFrame) -> DataFrame:

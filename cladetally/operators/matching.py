@@ -7,9 +7,11 @@ shuffle as one row per map task and meets one census row. Only the match log emi
 
 from pyspark.sql import DataFrame, functions as F
 
+from cladetally.functions import fixed_values as fv
 from cladetally.functions import lineages as ln
 from cladetally.functions.common import percent, round_even
 from cladetally.functions.measures import match_status, novelty_factor, overrepresentation_factor
+from cladetally.functions.names import clean_merge_name
 from cladetally.operators.keyed import union_all
 
 # A catalogue has: taxon, domain, genomes, species, isolates, isolate_genomes, taxid, parts
@@ -136,16 +138,15 @@ def match_pairs(census: DataFrame, catalogue: DataFrame, by_taxid: bool = True)
     return pairs.withColumn("match_type", kind).drop("_same_id")
 
 
-def catalogue_only(census: DataFrame, catalogue: DataFrame, matched_names: DataFrame,
-                   by_taxid: bool = True, with_data_only: bool = True) -> DataFrame:
-    """Catalogue taxa no matched census name reaches. Rows are keyed by taxon name."""
-    names = census.join(matched_names.select("taxon"), "taxon", "left_semi")
+def catalogue_only(census: DataFrame, catalogue: DataFrame, by_taxid: bool = True,
+                   with_data_only: bool = True) -> DataFrame:
+    """Catalogue taxa that no census name reaches through a lineage part or a taxid."""
     reached = (
         catalogue.select("taxon", F.explode("parts").alias("part"))
-        .join(names.select(F.col("taxon").alias("part")), "part", "left_semi").select("taxon")
+        .join(census.select(F.col("taxon").alias("part")), "part", "left_semi").select("taxon")
     )
     if by_taxid:
-        ids = names.where("taxid is not null").select("taxid").distinct()
+        ids = census.where("taxid is not null").select("taxid")
         reached = reached.union(catalogue.join(ids, "taxid", "left_semi").select("taxon"))
     rest = catalogue.join(reached, "taxon", "left_anti")
     return rest.where("genomes > 0 or species > 0") if with_data_only else rest
@@ -205,8 +206,7 @@ def merge_with_catalogue(census: DataFrame, catalogue: DataFrame, db: str, by_ta
         match_status("species").alias("match_status"),
         F.coalesce("domain", F.lit("Unknown")).alias("domain"),
     )
-    reached = merged.where("total_matches > 0").select("taxon")
-    rest = catalogue_only(census, catalogue, reached, by_taxid, with_data_only)
+    rest = catalogue_only(census, catalogue, by_taxid, with_data_only)
     zero_long = F.lit(0).cast("bigint")
     only = rest.select(
         "taxon",
@@ -260,7 +260,7 @@ def evidence_pairs(census: DataFrame, members: DataFrame, level: str) -> DataFra
     `census`: taxon, lineage array. `members`: name, lineage array. Each kind of evidence is one
     equality join; a pair is high with a name or taxid at the rank, else medium.
     """
-    ids = F.coalesce(*[ln.node_at_rank("lineage", r, "last")["taxid"] for r in _evidence_ranks()])
+    ids = F.coalesce(*[ln.node_at_rank("lineage", r, "last")["taxid"] for r in fv.EVIDENCE_RANKS])
     names = census.select("taxon", ids.alias("taxid"))
     m = members.select(
         "name", "lineage",
@@ -286,16 +286,8 @@ def evidence_pairs(census: DataFrame, members: DataFrame, level: str) -> DataFra
     )
 
 
-def _evidence_ranks():
-    from cladetally.functions.fixed_values import EVIDENCE_RANKS
-
-    return EVIDENCE_RANKS
-
-
 def outer_name_merge(catalogue: DataFrame, census: DataFrame, db: str) -> DataFrame:
     """Full outer join on the cleaned name; the catalogue's spelling is shown when both have one."""
-    from cladetally.functions.names import clean_merge_name
-
     a = catalogue.select(
         clean_merge_name("taxon").alias("taxon_name_clean"), F.col("taxon").alias("_a"),
         F.col("genomes").alias(f"{db}_genome_count"), F.col("species").alias(f"{db}_species_count"),
@@ -309,14 +301,3 @@ def outer_name_merge(catalogue: DataFrame, census: DataFrame, db: str) -> DataFr
         .withColumn("taxon_name", F.coalesce("_a", "_b")).drop("_a", "_b")
         .fillna(0, [f"{db}_genome_count", f"{db}_species_count", "census_otu_count", "census_size_count"])
     )
-
-
-def find_in_list(rows: DataFrame, col: str, wanted: DataFrame, key: str, extra: list[str], k: int) -> DataFrame:
-    """Pairs where the row's text contains a wanted name, ignoring case.
-
-    `wanted` is a top list of at most k rows; it travels as one scalar array and each row filters
-    it, so no rows are compared across tasks.
-    """
-    small = wanted.orderBy(key).limit(k).agg(F.collect_list(F.struct(key, *extra))).scalar()
-    hits = F.filter(small, lambda w: F.lower(F.col(col)).contains(F.lower(w[key])))
-    return rows.withColumn("_hit", F.explode(hits)).select("*", F.col("_hit.*")).drop("_hit")

@@ -184,7 +184,7 @@ def coverage_summary(merged: DataFrame, level: str, species: str) -> DataFrame:
         F.lit(level).alias("level"), F.sum("n").alias("total_taxa"),
         F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("taxa_with_species"),
         (F.sum(F.col("coverage_percentage") * F.col("n")) / F.sum("n")).alias("mean_coverage"),
-        F.percentile("coverage_percentage", 0.5, "n").alias("median_coverage"),
+        F.percentile("coverage_percentage", 0.5, F.col("n")).alias("median_coverage"),
     ).withColumn("coverage_pct", F.col("taxa_with_species") / F.col("total_taxa") * 100)
 
 
