@@ -248,6 +248,27 @@ def _(s, d):
     return mt.evidence_pairs(census, members, "family")
 
 
+ANCESTORS = """(SELECT c.taxon, k.taxon AS cat_taxon, k.genomes, k.species, k.domain, contains(';' || k.lineage || ';', ';' || c.taxon || ';') AS by_lineage, coalesce(c.taxid = k.taxid, false) AS by_taxid
+ FROM (SELECT domain AS taxon, 1000 + max(taxid) % 500 AS taxid FROM assemblies GROUP BY 1 UNION ALL SELECT taxon, taxid FROM census_phylum) c JOIN cat_genus k ON contains(';' || k.lineage || ';', ';' || c.taxon || ';') OR c.taxid = k.taxid)"""
+
+
+def _ancestor_inputs(s, d):
+    """Census names that are ancestors (domains, phyla) of the genus catalogue's rows."""
+    domains = sh.assemblies(s, d).groupBy(F.col("domain").alias("taxon")).agg((1000 + F.max("taxid") % 500).alias("taxid"))
+    census = domains.union(sh.census(s, d, "phylum").select("taxon", "taxid"))
+    return materialize(census), materialize(sh.catalogue_full(s, d, "genus"))
+
+
+@query("j3_ancestor_match_log", f"SELECT taxon AS census_taxon, cat_taxon AS catalogue_taxon, genomes, CASE WHEN by_taxid THEN 'taxid_match' ELSE 'lineage_match' END AS match_type FROM {ANCESTORS}")
+def _(s, d):
+    return mt.match_pairs(*_ancestor_inputs(s, d)).select("census_taxon", "catalogue_taxon", "genomes", "match_type")
+
+
+@query("a8_ancestor_totals", f"SELECT taxon, sum(genomes)::BIGINT AS genomes, sum(species)::BIGINT AS species, count(*) AS matched_rows, sum(by_taxid::INT)::BIGINT AS taxid_matches FROM {ANCESTORS} GROUP BY taxon")
+def _(s, d):
+    return mt.match_totals(*_ancestor_inputs(s, d)).select("taxon", "genomes", "species", "matched_rows", "taxid_matches")
+
+
 # --- merges -----------------------------------------------------------------------------------------------------
 for _rank in ("phylum", "family", "genus"):
     @query(f"merge_ncbi_{_rank}", f"SELECT * FROM merged_{_rank}")

@@ -233,3 +233,30 @@ def _(s, d):
                                 F.coalesce(ln.rank_or_fallback("lineage", "family"), F.lit("-")).alias("family"))
 
 
+
+
+def _words(s, d, table, col):
+    """Distinct lower-case words of whole texts."""
+    words = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
+    return sh.t(s, d, table).select(words.alias(col)).where(F.length(col) >= 3).distinct()
+
+
+@query("l19_near_names")
+def _(s, d):
+    from cladetally.operators.fuzzy import near_names
+    entries = _words(s, d, "benchmark", "b")
+    probes = _words(s, d, "conversations", "a").join(entries, F.col("a") == F.col("b"), "left_anti")
+    return near_names(probes, entries)
+
+
+@query("l19_fuzzy_match", """SELECT name AS taxon, match_type, CASE match_type WHEN 'exact' THEN taxid::VARCHAR ELSE 'NA' END AS taxid FROM (
+ SELECT w.name, x.taxid, CASE WHEN x.taxid IS NOT NULL THEN 'exact' ELSE 'unmapped' END AS match_type FROM (SELECT DISTINCT upper('Fam' || c_nationkey || 'x' || (c_custkey % 7)) AS name FROM customer UNION SELECT DISTINCT p_type FROM part) w
+ LEFT JOIN (SELECT upper(name) AS name, min(taxid) AS taxid FROM names_all WHERE taxid BETWEEN 200 AND 399 GROUP BY 1) x USING (name))""")
+def _(s, d):
+    from cladetally.operators.fuzzy import fuzzy_match
+    src = sh.t(s, d, "customer").selectExpr("upper(concat('Fam', c_nationkey, 'x', c_custkey % 7)) taxon").union(
+        sh.t(s, d, "part").select("p_type")).distinct()
+    node = "named_struct('taxid', 2759L, 'rank', 'superkingdom', 'name', 'Eukaryota')"
+    euk = sh.tree(s, d).withColumn("lineage", F.expr(f"concat(array({node}), lineage)"))
+    out = fuzzy_match(src, sh.names(s, d), sh.nodes(s, d), euk, "taxon", "family")
+    return out.select("taxon", "match_type", F.coalesce(F.col("taxid").cast("string"), F.lit("NA")).alias("taxid"))

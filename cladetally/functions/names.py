@@ -4,13 +4,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cladetally.functions import fixed_values as fv
 from cladetally.functions.common import as_col, before, contains_any, literal_map, strip
+from cladetally.functions.lineages import name_at_rank
 
 
 def strip_trailing_numbers(c) -> Column:
     """`Theileria1` -> `Theileria`. The first character always stays."""
-    c = as_col(c)
-    stem = F.regexp_extract(strip(c), r"^(.+?)(\d+)$", 1)
-    return F.when(stem != "", F.rtrim(stem)).otherwise(c)
+    return F.regexp_replace(as_col(c), r"^\s*+(.+?)\s*\d+\s*$", "$1")
 
 
 def clean_taxon_name(c) -> Column:
@@ -24,12 +23,14 @@ def organelle_type(c) -> Column:
 
 
 def organelle_base(c) -> Column:
-    """Name with its organelle part removed; unchanged when there is none."""
+    """Name with its organelle part removed; unchanged when there is none.
+
+    Text before the first dot, else before the first colon, without organelle tags.
+    """
     c = as_col(c)
-    base = F.when(c.contains("."), before(c, ".")).otherwise(before(c, ":"))
-    for tag in fv.ORGANELLE_TAGS:
-        base = F.replace(base, F.lit(tag), F.lit(""))
-    return F.when(organelle_type(c).isNotNull(), base).otherwise(c)
+    base = F.regexp_replace(c, r"^(?:([^.]*)\..*|([^.:]*):[^.]*)$", "$1$2")
+    base = F.regexp_replace(base, "|".join(fv.ORGANELLE_TAGS), "")
+    return F.when(c.rlike("(?i)" + "|".join(fv.ORGANELLES)), base).otherwise(c)
 
 
 def detect_organelle(c) -> Column:
@@ -78,15 +79,16 @@ def first_word(c) -> Column:
     return F.split(strip(c), r"\s+").getItem(0)
 
 
+def _two_words(c) -> Column:
+    return c.rlike(r"\S\s+\S")
+
+
 def appropriate_rank_name(c, rank: str, lineage=None) -> Column:
     """Name to look up at a rank; null when the entry is too fine for that rank."""
-    from cladetally.functions.lineages import name_at_rank
-
     cleaned = clean_organelle_name(c)
-    two_words = cleaned.contains(" ") & (F.size(F.split(strip(cleaned), r"\s+")) >= 2)
     by_name = {
-        "genus": F.when(two_words, first_word(cleaned)).otherwise(cleaned),
-        "family": F.when(~two_words, cleaned),
+        "genus": F.when(_two_words(cleaned), first_word(cleaned)).otherwise(cleaned),
+        "family": F.when(~_two_words(cleaned), cleaned),
         "phylum": F.when(~cleaned.contains(" "), cleaned),
     }.get(rank, cleaned)
     if lineage is None:
@@ -94,6 +96,16 @@ def appropriate_rank_name(c, rank: str, lineage=None) -> Column:
     return F.coalesce(name_at_rank(lineage, rank), by_name)
 
 
+def is_appropriate_for(rank_col, c) -> Column:
+    """Whether a name fits the rank named in another column (the 16S rule)."""
+    cleaned, rank = clean_organelle_name(c), as_col(rank_col)
+    return (
+        F.when(rank == "family", ~_two_words(cleaned))
+        .when(rank == "phylum", ~cleaned.contains(" "))
+        .otherwise(F.lit(True))
+    )
+
+
 def genus_of_census_name(c) -> Column:
     """Text before the first dot and underscore, without trailing numbers."""
     return strip_trailing_numbers(before(before(c, "."), "_"))

@@ -18,33 +18,41 @@ def census_by_rank(clusters: DataFrame, rank: str, gene: str) -> DataFrame:
     16S: a missing size counts 1, names too fine for the rank are left out. 18S: null names are
     left out, clusters without a centroid do not count as OTUs.
     """
-    col = F.col(rank)
     if gene == "16s":
-        kept = clusters.where(is_named(rank) & nm.appropriate_rank_name(rank, rank).isNotNull())
+        kept = clusters.where(is_named(rank))
         otus, sizes = F.count("*"), F.sum(F.coalesce("size", F.lit(1)))
     else:
-        kept = clusters.where(col.isNotNull())
+        kept = clusters.where(F.col(rank).isNotNull())
         otus, sizes = F.count("centroid"), F.coalesce(F.sum("size"), F.lit(0))
-    return kept.groupBy(col.alias("taxon")).agg(otus.alias("otu_count"), sizes.alias("size_count"))
+    out = kept.groupBy(F.col(rank).alias("taxon")).agg(otus.alias("otu_count"), sizes.alias("size_count"))
+    return out.where(nm.is_appropriate_for(F.lit(rank), "taxon")) if gene == "16s" else out
 
 
 def census_all_ranks(clusters: DataFrame, gene: str) -> DataFrame:
-    """`(rank, taxon, otu_count, size_count)` of all ranks in one scan of the clusters."""
+    """`(rank, taxon, otu_count, size_count)` of all ranks in one scan of the clusters.
+
+    16S names are not yet filtered: store this table, then apply `fitting_names`, so that the name
+    rules run once per distinct name and not once per cluster.
+    """
     ranks = RANKS_16S if gene == "16s" else RANKS_18S
     if gene == "16s":
-        fits = {r: is_named(r) & nm.appropriate_rank_name(r, r).isNotNull() for r in ranks}
-        otu, size = F.lit(1), F.coalesce("size", F.lit(1))
+        otu, size, kept = F.lit(1), F.coalesce("size", F.lit(1)), is_named("taxon")
     else:
-        fits = {r: F.col(r).isNotNull() for r in ranks}
-        otu, size = F.col("centroid").isNotNull().cast("int"), F.coalesce("size", F.lit(0))
+        otu = F.col("centroid").isNotNull().cast("int")
+        size, kept = F.coalesce("size", F.lit(0)), F.col("taxon").isNotNull()
     long = clusters.select(otu.alias("_otu"), size.alias("_size"), F.inline(F.array(*[
-        F.struct(F.lit(r).alias("rank"), F.when(fits[r], F.col(r)).alias("taxon")) for r in ranks
+        F.struct(F.lit(r).alias("rank"), F.col(r).alias("taxon")) for r in ranks
     ])))
-    return long.where("taxon is not null").groupBy("rank", "taxon").agg(
+    return long.where(kept).groupBy("rank", "taxon").agg(
         F.sum("_otu").alias("otu_count"), F.sum("_size").alias("size_count")
     )
 
 
+def fitting_names(census: DataFrame) -> DataFrame:
+    """16S census rows whose name is not finer than its rank."""
+    return census.where(nm.is_appropriate_for("rank", "taxon"))
+
+
 def with_database_shares(census: DataFrame, totals_from: DataFrame) -> DataFrame:
     """OTU and size percentages against the totals of `totals_from`.
 

@@ -27,6 +27,8 @@ def census(clusters: DataFrame, names: DataFrame, lineages: DataFrame, gene: str
     """
     ranks = ce.RANKS_16S if gene == "16s" else ce.RANKS_18S
     counted = materialize(ce.census_all_ranks(clusters, gene))
+    if gene == "16s":
+        counted = ce.fitting_names(counted)
     by_rank = {r: counted.where(F.col("rank") == r).drop("rank") for r in ranks}
     every = ky.distinct_names(by_rank.values(), "taxon")
     ladder = tx.ladder_16s("taxon") if gene == "16s" else tx.ladder_18s("taxon")
