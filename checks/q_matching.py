@@ -31,9 +31,16 @@ def _(s, d):
     return mt.match_pairs(c, k).select("census_taxon", "catalogue_taxon", "genomes", "species", "match_type")
 
 
-@query("j4_catalogue_only", "SELECT taxon, domain, genomes FROM cat_genus WHERE taxon NOT IN (SELECT cat_taxon FROM pairs_genus)")
+@query("j4_catalogue_only", """SELECT k.taxon, k.domain, k.genomes FROM (SELECT CASE WHEN domain = 'ECONOMY' THEN 'New ' || taxon ELSE taxon END AS taxon, CASE WHEN domain = 'ECONOMY' THEN NULL ELSE taxid END AS taxid,
+ CASE WHEN domain = 'ECONOMY' THEN 'New ' || taxon ELSE lineage END AS lineage, domain, genomes FROM cat_genus) k
+ WHERE NOT EXISTS (SELECT 1 FROM census_genus c WHERE contains(';' || k.lineage || ';', ';' || c.taxon || ';') OR c.taxid = k.taxid)""")
 def _(s, d):
-    return mt.catalogue_only(*sh.stored(s, d, "genus")).select("taxon", "domain", "genomes")
+    # one domain's genera are renamed, so that the census cannot reach them
+    new = F.col("domain") == "ECONOMY"
+    cat = sh.catalogue(s, d, "genus").withColumns({
+        "taxid": F.when(~new, F.col("taxid")), "taxon": F.when(new, F.concat(F.lit("New "), "taxon")).otherwise(F.col("taxon")),
+        "lineage": F.when(new, F.concat(F.lit("New "), "taxon")).otherwise(F.col("lineage"))})
+    return mt.catalogue_only(sh.census(s, d, "genus"), mt.catalogue_with_parts(cat)).select("taxon", "domain", "genomes")
 
 
 J5 = """SELECT coalesce(k.taxon, c.taxon) AS taxon_name, coalesce(k.genomes, 0) AS ncbi_genome_count, coalesce(k.species, 0) AS ncbi_species_count,
@@ -241,7 +248,7 @@ def _(s, d):
  FROM (SELECT taxid, family FROM lin WHERE species IS NOT NULL) m JOIN tree t USING (taxid) JOIN tree mf ON mf.taxid = m.taxid AND mf.a_rank = 'family'
  JOIN (SELECT l.taxid AS id, coalesce(l.name, '') AS name, l.a_taxid AS taxid FROM tree l WHERE l.rank IN ('phylum', 'family') AND l.a_rank = 'phylum') c ON t.a_taxid = c.taxid OR t.a_name = c.name) GROUP BY 1, 2""")
 def _(s, d):
-    tree = sh.tree(s, d)
+    tree = materialize(sh.tree(s, d))
     node = F.try_element_at("lineage", F.lit(-1))
     census = tree.where(node["rank"].isin("phylum", "family")).select(node["name"].alias("taxon"), "lineage")
     members = tree.where(node["rank"] == "species").select(F.col("taxid").alias("name"), "lineage")

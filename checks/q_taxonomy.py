@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cladetally.functions import lineages as ln
 from cladetally.operators import taxonomy as tx
+from cladetally.session import materialize
 from cladetally.sources.tables import shape_eukprot
 from checks import shapes as sh
 from checks.q_names import CLEANED, strip_sql
@@ -218,7 +219,7 @@ def _(s, d):
  UNION ALL SELECT 'family', name, coalesce(max(a_name) FILTER (a_rank = 'phylum'), '-') FROM tree WHERE rank = 'family' GROUP BY name
  UNION ALL SELECT 'genus', name, coalesce(max(a_name) FILTER (a_rank = 'phylum'), '-') FROM tree WHERE rank = 'species' GROUP BY taxid, name)""")
 def _(s, d):
-    tree = sh.tree(s, d)
+    tree = materialize(sh.tree(s, d))
     node = F.try_element_at("lineage", F.lit(-1))
 
     def level(rank):
@@ -257,6 +258,6 @@ def _(s, d):
     src = sh.t(s, d, "customer").selectExpr("upper(concat('Fam', c_nationkey, 'x', c_custkey % 7)) taxon").union(
         sh.t(s, d, "part").select("p_type")).distinct()
     node = "named_struct('taxid', 2759L, 'rank', 'superkingdom', 'name', 'Eukaryota')"
-    euk = sh.tree(s, d).withColumn("lineage", F.expr(f"concat(array({node}), lineage)"))
+    euk = materialize(sh.tree(s, d)).withColumn("lineage", F.expr(f"concat(array({node}), lineage)"))
     out = fuzzy_match(src, sh.names(s, d), sh.nodes(s, d), euk, "taxon", "family")
     return out.select("taxon", "match_type", F.coalesce(F.col("taxid").cast("string"), F.lit("NA")).alias("taxid"))

@@ -103,6 +103,13 @@ def tree(spark, d) -> DataFrame:
     return out.select("taxid", F.col("lineage").cast(ln.LINEAGE_TYPE).alias("lineage"))
 
 
+def tree_stored(spark, d) -> DataFrame:
+    """The lineage table as pipelines get it: written once, read often."""
+    from cladetally.session import materialize
+
+    return materialize(tree(spark, d))
+
+
 def gtdb_taxonomy(spark, d) -> DataFrame:
     return t(spark, d, "orders").join(t(spark, d, "customer"), F.expr("o_custkey = c_custkey")).selectExpr(
         "concat(case when o_orderkey % 2 = 0 then 'RS_GCF_' else 'GB_GCA_' end, lpad(cast(o_orderkey as string), 9, '0'), '.1') accession",

@@ -13,7 +13,7 @@ from cladetally.functions import names as nm
 from cladetally.functions.classify import lineage_text_domain
 from cladetally.functions.common import as_col, strip
 from cladetally.operators.keyed import first_per_key, union_all
-from cladetally.session import cut_lineage
+from cladetally.session import cut_lineage, materialize
 
 
 def build_lineages(nodes: DataFrame, names: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def resolve_eukprot(df: DataFrame, names: DataFrame, nodes: DataFrame) -> DataFr
     Full name, genus, each previous name and its genus, genus again, then ancestor rescue.
     """
     one = first_per_key(df, ["name_to_use"], ["eukprot_id"])
-    direct = resolve_names(one, names, "name_to_use", ladder_eukprot())
+    direct = materialize(resolve_names(one, names, "name_to_use", ladder_eukprot()))
     lost = one.join(direct.where("taxid is null").select("name_to_use"), "name_to_use", "left_semi")
     rescued = rescue_by_ancestor(lost, names, nodes, "name_to_use", "taxonomy").select(
         "name_to_use", F.col("taxid").alias("_taxid"), "match_type", "tail"
