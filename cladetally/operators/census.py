@@ -1,6 +1,6 @@
 """Census tables and their quality tables."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cladetally.functions import names as nm
 from cladetally.functions.classify import unclassified_pattern
@@ -92,10 +92,10 @@ def taxonomic_combinations(clusters: DataFrame, ranks=RANKS_18S, examples: bool
 
 
 def unclassified_patterns(combinations: DataFrame) -> DataFrame:
-    """Combinations, clusters and sequences per `.U.` pattern with their shares."""
-    total = combinations.agg(F.struct(
-        F.count("*").alias("n"), F.sum("row_count").alias("c"), F.sum("total_size").alias("s")
-    )).scalar()
+    """Combinations, clusters and sequences per `.U.` pattern with their shares.
+
+    There are five patterns, so the totals are a window over five rows.
+    """
     grouped = combinations.groupBy(
         unclassified_pattern("division", "family", "genus").alias("pattern")
     ).agg(
@@ -103,10 +103,10 @@ def unclassified_patterns(combinations: DataFrame) -> DataFrame:
         F.sum("row_count").alias("clusters"),
         F.sum("total_size").alias("sequences"),
     )
+    every = W.partitionBy(F.lit(1))
     return grouped.withColumns({
-        "combinations_pct": round_even(percent("combinations", total.getField("n")), 1),
-        "clusters_pct": round_even(percent("clusters", total.getField("c")), 1),
-        "sequences_pct": round_even(percent("sequences", total.getField("s")), 1),
+        f"{c}_pct": round_even(percent(c, F.sum(c).over(every)), 1)
+        for c in ("combinations", "clusters", "sequences")
     })
 
 
@@ -138,12 +138,10 @@ def unclassified_by_rank(clusters: DataFrame, ranks=RANKS_18S) -> DataFrame:
         "taxonomic_level",
         F.when(unclassified, "unclassified (.U.)").otherwise("classified").alias("classification_status"),
     ).agg(F.count("*").alias("entry_count"), F.sum("size").alias("sequence_count"))
-    total = clusters.agg(F.struct(
-        F.count("*").cast("double").alias("n"), F.sum("size").cast("double").alias("s")
-    )).scalar()
+    level = W.partitionBy("taxonomic_level")  # two rows each
     return grouped.withColumns({
-        "entry_percentage": round_even(percent("entry_count", total.getField("n")), 1),
-        "sequence_percentage": round_even(percent("sequence_count", total.getField("s")), 1),
+        "entry_percentage": round_even(percent("entry_count", F.sum("entry_count").over(level)), 1),
+        "sequence_percentage": round_even(percent("sequence_count", F.sum("sequence_count").over(level)), 1),
     })
 
 

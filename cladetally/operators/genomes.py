@@ -51,10 +51,21 @@ def join_species_counts(genomes: DataFrame, species: DataFrame, rank: str) -> Da
     )
 
 
-def genome_and_species_counts(df: DataFrame, rank: str) -> DataFrame:
-    """Both counts in two shuffles: per (rank, domain, species) rows first, then their totals."""
+def genomes_per_taxid(assemblies: DataFrame) -> DataFrame:
+    """Assemblies as `(taxid, species_taxid, genomes)`: what the counting joins need. A species
+    with a large share of all assemblies reaches the joins as one row."""
+    keys = [c for c in ("taxid", "species_taxid") if c in assemblies.columns]
+    return assemblies.groupBy(*keys).agg(F.count("assembly_accession").alias("genomes"))
+
+
+def genome_and_species_counts(df: DataFrame, rank: str, genomes: str | None = None) -> DataFrame:
+    """Both counts in two shuffles: per (rank, domain, species) rows first, then their totals.
+
+    `genomes` names a column of counts when the rows are already grouped.
+    """
+    number = F.count("assembly_accession") if genomes is None else F.sum(genomes)
     per_species = df.where(F.col(rank).isNotNull()).groupBy(rank, "domain", "species_taxid").agg(
-        F.count("assembly_accession").alias("_n")
+        number.alias("_n")
     )
     return per_species.groupBy(rank, "domain").agg(
         F.sum("_n").alias(f"{rank}_genome_count"),

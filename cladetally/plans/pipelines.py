@@ -68,12 +68,13 @@ def taxid_rank_map(assemblies: DataFrame, nodes: DataFrame, names: DataFrame, ra
 def ncbi_counts(assemblies: DataFrame, rank_map: DataFrame, names: DataFrame, lineages: DataFrame,
                 rank: str) -> tuple[DataFrame, DataFrame]:
     """`(counts, accessions)` of a rank."""
-    ranked = ge.attach_rank(assemblies.drop(rank, "domain"), rank_map)
-    classified = ranked.withColumn(
+    per_taxid = ge.attach_rank(ge.genomes_per_taxid(assemblies), rank_map)
+    full = tx.with_species_taxid(per_taxid, lineages)
+    counted = materialize(ge.genome_and_species_counts(full, rank, "genomes"))
+    counts = ge.with_shares(counted, rank)
+    classified = ge.attach_rank(assemblies.drop(rank, "domain"), rank_map).withColumn(
         "genome_source", cl.genome_source("organism_name", "excluded_from_refseq")
     )
-    full = tx.with_species_taxid(classified, lineages)
-    counts = ge.with_shares(materialize(ge.genome_and_species_counts(full, rank)), rank)
     named = tx.with_lineage(tx.name_to_taxid(counts, names, rank), lineages)
     accessions = classified.select(
         F.col("assembly_accession").alias("accession_clean"), rank, "domain", "organism_name",

@@ -1,0 +1 @@
+"""Empty on purpose: all work in this domain is batch work on whole tables, so no streaming operator exists."""
