@@ -178,6 +178,15 @@ def _(s, d):
     return ce.unmapped_pattern_counts(rows)
 
 
+@query("a29_pattern_examples", """SELECT pattern, taxon, position FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY p_partkey DESC, taxon) AS position FROM (SELECT p_partkey, name AS taxon, unnest(list_filter([
+ CASE WHEN contains(name, 'Mitochondria') OR contains(name, 'Chloroplast') OR contains(name, ':plas') THEN 'Organelles' END, CASE WHEN contains(lower(name), 'uncultured') THEN 'Uncultured' END,
+ CASE WHEN contains(lower(name), 'metagenome') OR contains(lower(name), 'marine') THEN 'Environmental' END, CASE WHEN contains(name, '_') AND NOT contains(name, '.') THEN 'Species_level' END,
+ CASE WHEN contains(name, 'Group') OR contains(name, 'group') THEN 'Group_taxa' END], lambda x: x IS NOT NULL)) AS pattern FROM hard_names)) WHERE position <= 5""")
+def _(s, d):
+    rows = sh.hard_names(s, d).select(F.col("name").alias("taxon"), F.col("p_partkey").alias("otu_count"))
+    return ce.unmapped_pattern_examples(rows).select("pattern", "taxon", "position")
+
+
 @query("a35_occurrence", """SELECT taxon, bool_or(r = 0) AS in_division, bool_or(r = 1) AS in_family, bool_or(r = 2) AS in_genus, arg_min(n, r)::BIGINT AS otu_count FROM (
  SELECT split_part(division, '.U.', 1) AS taxon, 0 AS r, count(*) AS n FROM clusters GROUP BY 1 UNION ALL SELECT family, 1, count(*) FROM clusters GROUP BY 1
  UNION ALL SELECT split_part(genus, ' ', 1), 2, count(*) FROM clusters WHERE genus IS NOT NULL GROUP BY 1) GROUP BY taxon""")

@@ -33,6 +33,14 @@ def _(s, d):
     return fg.reclassification_matrix(_pairs(s, d)).withColumn("share", round_even("share", 6))
 
 
+@query("a38_matrix_pivot", f"""SELECT family_gtdb, round_even(coalesce(max(share) FILTER (family_ncbi = 'BUILDING'), 0) * 1000000, 0) / 1000000 AS "BUILDING", round_even(coalesce(max(share) FILTER (family_ncbi = 'MACHINERY'), 0) * 1000000, 0) / 1000000 AS "MACHINERY" FROM (
+ SELECT family_gtdb, family_ncbi, n::DOUBLE / sum(n) OVER (PARTITION BY family_gtdb) AS share FROM (SELECT family_gtdb, family_ncbi, sum(g) AS n FROM {FAMILY_PAIRS} p WHERE family_gtdb IN (SELECT family_gtdb FROM {FAMILY_PAIRS} GROUP BY 1 ORDER BY sum(g) DESC, family_gtdb LIMIT 10)
+ AND family_ncbi IN (SELECT family_ncbi FROM {FAMILY_PAIRS} GROUP BY 1 ORDER BY sum(n) DESC, family_ncbi LIMIT 10) GROUP BY 1, 2)) GROUP BY 1""")
+def _(s, d):
+    wide = fg.matrix_pivot(fg.reclassification_matrix(_pairs(s, d)), ["BUILDING", "MACHINERY"])
+    return wide.select("family_gtdb", *[round_even(c, 6).alias(c) for c in ("BUILDING", "MACHINERY")])
+
+
 @query("a38_mismatch_percent", f"""SELECT sum(g)::BIGINT AS total_genomes, (sum(g) FILTER (family_gtdb <> family_ncbi))::BIGINT AS mismatched_genomes, round_even((sum(g) FILTER (family_gtdb <> family_ncbi))::DOUBLE / sum(g) * 100 * 1000, 0) / 1000 AS mismatch_pct FROM {FAMILY_PAIRS}""")
 def _(s, d):
     return fg.mismatch_percent(_pairs(s, d)).withColumn("mismatch_pct", round_even("mismatch_pct", 3))
@@ -64,6 +72,17 @@ def _(s, d):
     return out.select("genus", "associated_families", "number_of_families", "average_family_novelty_factor", "genus_census_size_count")
 
 
+@query("a42_overrepresented_genera", """SELECT x.genus, x.associated_families, x.number_of_families, x.average_factor, x.census_otu_count, coalesce(m.ncbi_species_count, 0) AS db_species_count FROM (SELECT c.taxon AS genus, string_agg(f.family, '; ' ORDER BY f.family) AS associated_families, count(*) AS number_of_families,
+ round_even(avg(f.factor) * 1000, 0) / 1000 AS average_factor, max(c.otu_count) AS census_otu_count FROM census_genus c JOIN (SELECT taxon AS family, overrepresentation_factor AS factor FROM merged_family WHERE match_status = 'matched' ORDER BY overrepresentation_factor DESC, taxon LIMIT 6) f
+ ON contains(lower('root;' || c.taxon), lower(f.family)) GROUP BY 1) x LEFT JOIN (SELECT taxon, max(ncbi_species_count) AS ncbi_species_count FROM merged_genus GROUP BY 1) m ON m.taxon = x.genus""")
+def _(s, d):
+    census = sh.census(s, d, "genus").select(F.col("taxon").alias("genus"), "otu_count", F.concat(F.lit("root;"), "taxon").alias("lineage"))
+    top = ky.top_k(sh.merged(s, d, "family").where("match_status = 'matched'"), "overrepresentation_factor", 6, ["taxon"]).select(
+        F.col("taxon").alias("family"), F.col("overrepresentation_factor").alias("factor"))
+    out = fg.overrepresented_genera(census, sh.merged(s, d), top, 6)
+    return out.select("genus", "associated_families", "number_of_families", "average_factor", "census_otu_count", "db_species_count")
+
+
 @query("a43_novelty_by_genus", """SELECT c.genus, t.novelty_factor, count(*) AS num_combinations, sum(row_count)::BIGINT AS total_clusters, round_even(avg(avg_size_per_cluster) * 100, 0) / 100 AS avg_cluster_size
  FROM combos c JOIN (SELECT taxon AS genus, novelty_factor FROM merged_genus WHERE match_status = 'matched' ORDER BY novelty_factor DESC, taxon LIMIT 15) t USING (genus) GROUP BY ALL""")
 def _(s, d):

@@ -109,16 +109,16 @@ def _(s, d):
     return out.table.select("taxon", "census_otu_count", "ncbi_genome_count", "ncbi_species_count", "isolate_percentage", "match_status")
 
 
-@query("p6_merge_18s_ncbi", _merge_sql("p.domain NOT IN ('ECONOMY', 'SMALL')", "NOT contains({x}, '.U.')", "p.genomes", False))
+@query("p6_merge_18s_ncbi", _merge_sql("p.domain NOT IN ('ECONOMY', 'SMALL')", "true", "p.genomes", False))
 def _(s, d):
     out = pl.merge_census(sh.census(s, d, "genus"), _catalogue(s, d, "genus"), "18s", "ncbi", "genus")
     return out.table.select("taxon", "census_otu_count", "ncbi_genome_count", "ncbi_species_count", "isolate_percentage", "match_status")
 
 
-@query("p6_merge_16s_gtdb", """SELECT c.taxon, coalesce(m.g, 0) AS gtdb_genome_count, coalesce(m.g, 0) AS gtdb_species_count, CASE WHEN m.g > 0 THEN 'matched' ELSE 'census_only' END AS match_status FROM census_genus c LEFT JOIN (SELECT taxon, sum(genomes)::BIGINT AS g FROM pairs_genus WHERE by_lineage GROUP BY 1) m USING (taxon)
- UNION ALL SELECT taxon, genomes, genomes, 'gtdb_only' FROM cat_genus WHERE taxon NOT IN (SELECT cat_taxon FROM pairs_genus WHERE by_lineage)""")
+@query("p6_merge_16s_gtdb", """SELECT c.taxon, coalesce(m.g, 0) AS gtdb_genome_count, coalesce(m.g, 0) AS gtdb_species_count, CASE WHEN m.g > 0 THEN 'matched' ELSE 'census_only' END AS match_status FROM census_genus c LEFT JOIN (SELECT taxon, sum(genomes)::BIGINT AS g FROM pairs_genus WHERE by_lineage AND domain IN ('ECONOMY', 'SMALL') GROUP BY 1) m USING (taxon)
+ UNION ALL SELECT taxon, genomes, genomes, 'gtdb_only' FROM cat_genus WHERE domain IN ('ECONOMY', 'SMALL') AND taxon NOT IN (SELECT cat_taxon FROM pairs_genus WHERE by_lineage AND domain IN ('ECONOMY', 'SMALL'))""")
 def _(s, d):
-    out = pl.merge_census(sh.census(s, d, "genus"), sh.catalogue_full(s, d, "genus"), "16s", "gtdb", "genus")
+    out = pl.merge_census(sh.census(s, d, "genus"), _catalogue(s, d, "genus"), "16s", "gtdb", "genus")
     return out.table.select("taxon", "gtdb_genome_count", "gtdb_species_count", "match_status")
 
 
@@ -176,6 +176,12 @@ def _(s, d):
     return pl.species_report(sh.assemblies(s, d), {r: sh.rank_map(s, d, r) for r in ("phylum", "family")})["bins"].select("genomes", "species")
 
 
+@query("p9_source_mix", """SELECT CASE WHEN u = 0 THEN 'isolate_only' WHEN i = 0 THEN 'uncultured_only' ELSE 'mixed' END AS mix, count(*) AS species, sum(i + u)::BIGINT AS genomes, round_even(count(*)::DOUBLE / sum(count(*)) OVER () * 100 * 10, 0) / 10 AS species_pct
+ FROM (SELECT species_taxid, count(*) FILTER (coalesce(isolate, '') <> '') AS i, count(*) FILTER (coalesce(isolate, '') = '') AS u FROM assemblies WHERE species_taxid IS NOT NULL GROUP BY 1) GROUP BY 1""")
+def _(s, d):
+    return pl.species_report(sh.assemblies(s, d), {r: sh.rank_map(s, d, r) for r in ("phylum", "family")})["source_mix"]
+
+
 @query("p10_scatter_table", """SELECT taxon, novelty_factor, CASE WHEN p = 0 THEN 25 WHEN p < 10 THEN 20 WHEN p < 50 THEN 15 ELSE 10 END AS circle_size, novelty_factor > 1 AND row_number() OVER (ORDER BY novelty_factor DESC, taxon) <= 10 AS is_top_novelty,
  overrepresentation_factor > 1 AND row_number() OVER (ORDER BY overrepresentation_factor DESC, taxon) <= 10 AS is_top_coverage
  FROM (SELECT *, CASE WHEN ncbi_genome_count > 0 THEN isolate_count::DOUBLE / ncbi_genome_count * 100 ELSE 0 END AS p FROM merged_phylum WHERE match_status = 'matched' AND census_otu_count > 0)""")

@@ -108,6 +108,19 @@ def _(s, d):
     return out.select(F.coalesce("domain", F.lit("all")).alias("domain"), F.coalesce("phylum", F.lit("all")).alias("phylum"), "entries", "isolates", "uncultured", "level")
 
 
+@query("a26_accession_summary", """SELECT (SELECT count(*) FROM assemblies) AS total_entries, count(*) AS unique_taxa, max(n) AS largest, min(n) AS smallest, round_even(avg(n) * 1000, 0) / 1000 AS mean_entries, (SELECT count(DISTINCT organism_name) FROM assemblies) AS unique_organisms FROM (SELECT genus, count(*) AS n FROM assemblies GROUP BY 1)""")
+def _(s, d):
+    out = qu.accession_summary(sh.assemblies(s, d), "genus")
+    return out.select("total_entries", "unique_taxa", "largest", "smallest", round_even("mean_entries", 3).alias("mean_entries"), "unique_organisms")
+
+
+@query("a26_taxa_of_domain", "SELECT p_brand AS taxon_name, min(p_partkey) AS taxid FROM part WHERE p_type = 'SMALL' GROUP BY 1")
+def _(s, d):
+    rows = sh.t(s, d, "part").selectExpr("p_brand phylum", "case when p_type = 'SMALL' then ' Viruses' else 'Bacteria' end domain",
+                                         "case when p_size % 2 = 0 then concat('[', p_partkey, ', 5]') else cast(p_partkey as string) end taxid")
+    return qu.taxa_of_domain(rows, "phylum")
+
+
 STATE = "CASE WHEN isolate IS NULL THEN 'null' WHEN isolate = '' THEN 'empty' WHEN lower(trim(isolate)) = 'missing' THEN 'placeholder' ELSE 'filled' END"
 
 

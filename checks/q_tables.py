@@ -258,6 +258,21 @@ def _(s, d):
     return rows.select(F.row_number().over(w).alias("line"), "taxon")
 
 
+@query("t4_species_order", """SELECT row_number() OVER (ORDER BY ncbi_species_count DESC, census_otu_count DESC, taxon) AS line, taxon FROM merged_genus WHERE match_status = 'matched' QUALIFY line <= 40""")
+def _(s, d):
+    from pyspark.sql import Window as W
+    rows = ky.sort_by_species(sh.merged(s, d).where("match_status = 'matched'"), "ncbi_species_count", "census_otu_count", "taxon").limit(40)
+    w = W.orderBy(F.desc("ncbi_species_count"), F.desc("census_otu_count"), "taxon")
+    return rows.select(F.row_number().over(w).alias("line"), "taxon")
+
+
+@query("w3_genus_family", """SELECT genus, family FROM (SELECT genus, family, row_number() OVER (PARTITION BY genus ORDER BY row_count DESC, family) AS rn FROM combos) WHERE rn = 1""")
+def _(s, d):
+    from cladetally.operators.census import taxonomic_combinations
+    from cladetally.operators.figures import genus_family_map
+    return genus_family_map(taxonomic_combinations(sh.clusters(s, d), examples=False))
+
+
 # --- set operations --------------------------------------------------------------------------------------------------
 @query("u1_union_blocks", """SELECT src, count(*) AS n, count(species) AS with_species FROM (SELECT 'a' AS src, taxon, species FROM counts_a UNION ALL SELECT 'b', taxon, NULL FROM counts_b) GROUP BY src""")
 def _(s, d):

@@ -53,6 +53,15 @@ def fitting_names(census: DataFrame) -> DataFrame:
     return census.where(nm.is_appropriate_for("rank", "taxon"))
 
 
+def appropriate_names(rank: str, taxon: str):
+    """Lookup name of each row at the rank its row names."""
+    ranks = F.col(rank)
+    out = F.when(ranks == RANKS_16S[0], nm.appropriate_rank_name(taxon, RANKS_16S[0]))
+    for r in RANKS_16S[1:]:
+        out = out.when(ranks == r, nm.appropriate_rank_name(taxon, r))
+    return out
+
+
 def with_database_shares(census: DataFrame, totals_from: DataFrame) -> DataFrame:
     """OTU and size percentages against the totals of `totals_from`.
 
@@ -247,16 +256,25 @@ def mapping_rates(census: DataFrame) -> DataFrame:
     )
 
 
-def unmapped_pattern_counts(unmapped: DataFrame) -> DataFrame:
-    """Names, OTUs and sequences per overlapping name pattern; one pass, one small shuffle."""
+def _with_patterns(unmapped: DataFrame) -> DataFrame:
     hits = F.array_compact(F.array(*[
         F.when(rule(F.col("taxon")), F.lit(label)) for label, rule in NAME_PATTERNS.items()
     ]))
-    return unmapped.select("otu_count", "size_count", F.explode(hits).alias("pattern")).groupBy("pattern").agg(
+    return unmapped.withColumn("pattern", F.explode(hits))
+
+
+def unmapped_pattern_counts(unmapped: DataFrame) -> DataFrame:
+    """Names, OTUs and sequences per overlapping name pattern; one pass, one small shuffle."""
+    return _with_patterns(unmapped).groupBy("pattern").agg(
         F.count("*").alias("names"), F.sum("otu_count").alias("otus"), F.sum("size_count").alias("sequences")
     )
 
 
+def unmapped_pattern_examples(unmapped: DataFrame, k: int = 5) -> DataFrame:
+    """Most frequent names of each pattern."""
+    return top_per_key(_with_patterns(unmapped), ["pattern"], [F.desc("otu_count"), "taxon"], k, "position")
+
+
 def occurrence_across_ranks(by_rank: dict[str, DataFrame]) -> DataFrame:
     """Ranks each name occurs at; its counts come from the highest of them."""
     tagged = union_all(*[

@@ -232,6 +232,33 @@ def genus_contribution(members: DataFrame) -> DataFrame:
     return grouped.withColumn("average_family_novelty_factor", round_even("_avg", 3)).drop("_avg")
 
 
+def overrepresented_genera(census: DataFrame, merged: DataFrame, families: DataFrame, k: int,
+                           species: str = "ncbi_species_count", genomes: str = "ncbi_genome_count") -> DataFrame:
+    """Census genera under listed families with their database counts and the families' mean factor.
+
+    `census`: genus, otu_count, lineage text. `families`: family, factor (at most k rows).
+    """
+    members = lineage_members(census.select("genus", "otu_count", "lineage"), families, k)
+    factor = families.select(F.col("family").alias("listed_family"), "factor")
+    grouped = members.join(factor, "listed_family").groupBy("genus").agg(
+        F.array_join(F.array_sort(F.collect_set("listed_family")), "; ").alias("associated_families"),
+        F.count("*").alias("number_of_families"), F.avg("factor").alias("_avg"),
+        F.max("otu_count").alias("census_otu_count"),
+    )
+    db = merged.select(F.col("taxon").alias("genus"), F.col(species).alias("db_species_count"),
+                       F.col(genomes).alias("db_genome_count"))
+    db = first_per_key(db, ["genus"], [F.desc("db_species_count"), F.desc("db_genome_count")])
+    return grouped.join(db, "genus", "left").fillna(0, ["db_species_count", "db_genome_count"]).withColumn(
+        "average_factor", round_even("_avg", 3)
+    ).drop("_avg")
+
+
+def genus_family_map(combinations: DataFrame) -> DataFrame:
+    """One family per genus: the combination with most clusters, then the smaller family."""
+    named = combinations.where("genus is not null and family is not null").select("genus", "family", "row_count")
+    return first_per_key(named, ["genus"], [F.desc("row_count"), "family"]).select("genus", "family")
+
+
 def novel_genus_combinations(novel: DataFrame, combinations: DataFrame) -> DataFrame:
     """Combinations of listed genera with the factor and counts of the genus."""
     return combinations.join(novel.select("genus", "novelty_factor", "census_otu_count"), "genus")

@@ -148,6 +148,11 @@ def sort_by_novelty(df: DataFrame, novelty: str, otus: str, name_col: str) -> Da
     return df.orderBy(F.desc(inf), F.desc(novelty), F.desc(otus), F.col(name_col))
 
 
+def sort_by_species(df: DataFrame, species: str, otus: str, name_col: str) -> DataFrame:
+    """Most species first, then most OTUs."""
+    return df.orderBy(F.desc(species), F.desc(otus), F.col(name_col))
+
+
 def systematic_sample(df: DataFrame, n: int, key: str) -> DataFrame:
     """About n records: every step-th by a hash of the key, the same ones on every run."""
     step = df.agg(F.greatest(F.lit(1), F.floor(F.count("*") / n)).cast("bigint")).scalar()

@@ -106,6 +106,43 @@ def accession_profile(accessions: DataFrame, taxon: str) -> DataFrame:
     return total.withColumn("level", level).drop("level_id")
 
 
+def accession_summary(accessions: DataFrame, taxon: str) -> DataFrame:
+    """Entries, distinct taxa, largest, smallest and mean taxon, missing values, distinct organisms."""
+    per_taxon = accessions.groupBy(taxon).agg(
+        F.count("*").alias("n"), F.count_if(F.col("genome_source").isNull()).alias("no_source")
+    )
+    named = F.col(taxon).isNotNull()
+    organisms = accessions.select("organism_name").where("organism_name is not null").distinct()
+    return per_taxon.agg(
+        F.sum("n").alias("total_entries"), F.count(taxon).alias("unique_taxa"),
+        F.max(F.when(named, F.col("n"))).alias("largest"), F.min(F.when(named, F.col("n"))).alias("smallest"),
+        F.avg(F.when(named, F.col("n"))).alias("mean_entries"),
+        F.coalesce(F.sum(F.when(~named, F.col("n"))), F.lit(0)).alias("missing_taxon"),
+        F.sum("no_source").alias("missing_source"),
+    ).withColumn("unique_organisms", organisms.agg(F.count("*")).scalar())
+
+
+def taxa_of_domain(counts: DataFrame, taxon: str, domains=("viruses", "virus")) -> DataFrame:
+    """Distinct taxa of a domain with their taxid; of a `[1, 2]` list text the first one."""
+    text = F.col("taxid").cast("string")
+    listed = F.get(F.from_json(text, "array<bigint>"), F.lit(0))
+    taxid = F.when(text.startswith("["), listed).otherwise(text.try_cast("bigint"))
+    rows = counts.where(F.lower(F.trim("domain")).isin(*domains))
+    return rows.groupBy(F.col(taxon).alias("taxon_name")).agg(F.min(taxid).alias("taxid"))
+
+
+def species_source_mix(profile: DataFrame) -> DataFrame:
+    """Species and genomes by isolate-only, uncultured-only and mixed."""
+    mix = (
+        F.when(F.col("uncultured_count") == 0, "isolate_only")
+        .when(F.col("isolate_count") == 0, "uncultured_only").otherwise("mixed")
+    )
+    every = W.partitionBy(F.lit(1))  # three rows
+    return profile.groupBy(mix.alias("mix")).agg(
+        F.count("*").alias("species"), F.sum("total_genomes").alias("genomes")
+    ).withColumn("species_pct", round_even(percent("species", F.sum("species").over(every)), 1))
+
+
 def isolate_field_quality(df: DataFrame) -> DataFrame:
     """Rows, genome sizes and distinct values by state of the isolate field and assembly level."""
     return df.groupBy(cl.isolate_field_state("isolate").alias("isolate_state"), "assembly_level").agg(

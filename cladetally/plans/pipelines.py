@@ -42,7 +42,12 @@ def census(clusters: DataFrame, names: DataFrame, lineages: DataFrame, gene: str
         stacked.append(mapped.withColumn("rank", F.lit(rank)))
         full = tx.with_lineage(mapped, lineages)
         out[rank] = full.withColumn("lineage", ln.append_original("lineage", "taxon", "taxid"))
-    out["unmapped"] = ce.unmapped_names(ky.union_all(*stacked), lineages)
+    clean = nm.clean_organelle_name if gene == "16s" else nm.clean_taxon_name
+    lost = ce.unmapped_names(ky.union_all(*stacked), lineages)
+    out["unmapped"] = lost.withColumns({
+        "cleaned_name": clean("taxon"),
+        "appropriate_name": ce.appropriate_names("rank", "taxon") if gene == "16s" else F.col("taxon"),
+    })
     return out
 
 
@@ -130,29 +135,25 @@ class Merged:
     match_log: DataFrame
 
 
-def _prokaryote_rows(table: DataFrame) -> DataFrame:
-    return table.where(
-        pr.is_prokaryote("domain") & ~pr.is_candidate_name("taxon") & ~pr.is_unclassified_name("taxon")
-    )
-
-
 def merge_census(census_rows: DataFrame, catalogue: DataFrame, gene: str, db: str, level: str) -> Merged:
     """Merge of one rank. `catalogue` has the columns `operators.matching` names.
 
-    16S NCBI: prokaryote rows, eukaryote groups left out of the census, matches by lineage or
-    taxid. 16S GTDB: lineage only, genome counts serve as species counts. 18S NCBI: eukaryote
-    rows, lineage only, isolate share over all matched genomes.
+    16S NCBI: prokaryote rows without candidate and `.U.` names, eukaryote groups left out of the
+    census, matches by lineage or taxid. 16S GTDB: prokaryote rows without candidate names, lineage
+    only, genome counts serve as species counts. 18S NCBI: eukaryote rows, lineage only, isolate
+    share over all matched genomes, catalogue rows without counts kept.
     """
     by_taxid, isolate_rule, with_data_only = False, "isolate_taxa", True
     if gene == "16s":
-        cat = _prokaryote_rows(catalogue) if db == "ncbi" else catalogue
+        cat = catalogue.where(pr.is_prokaryote("domain") & ~pr.is_candidate_name("taxon"))
         rows = census_rows.where(~pr.is_eukaryote_group("taxon"))
         by_taxid = db == "ncbi"
         if db == "gtdb":
             cat = cat.withColumn("species", F.col("genomes"))
+        else:
+            cat = cat.where(~pr.is_unclassified_name("taxon"))
     else:
-        cat = catalogue.where(pr.is_eukaryote("domain") & pr.is_clean_name("taxon"))
-        rows = census_rows.where(pr.is_clean_name("taxon"))
+        cat, rows = catalogue.where(pr.is_eukaryote("domain")), census_rows
         isolate_rule, with_data_only = "all_matched", False
     rows, cat = materialize(rows), materialize(cat)
     merged = materialize(mt.merge_with_catalogue(rows, cat, db, by_taxid, isolate_rule, with_data_only))
@@ -240,6 +241,8 @@ def species_report(assemblies: DataFrame, rank_maps: dict[str, DataFrame]) -> di
         "coverage": qu.rank_coverage(stats, ranks),
         "top_taxa": qu.rank_top_taxa(stats, ranks),
         "anomalies": qu.species_anomalies(stats, ranks),
+        "source_mix": qu.species_source_mix(profile),
+        "distribution": ce.distribution_stats(profile, ["total_genomes", "mean_genome_size", "mean_gc_percent"]),
     }
 
 
