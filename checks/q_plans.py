@@ -30,13 +30,13 @@ RESOLVED = LADDER_18S.replace("FROM src", "FROM (SELECT DISTINCT genus AS name F
 @query("p1_census_18s", f"""SELECT r.name AS "Name_to_use", coalesce(r.taxid::VARCHAR, 'NA') AS taxid, c.otu_count, c.size_count, coalesce(l.lineage, '') || CASE WHEN regexp_matches(r.name, '[0-9_]|\\.U\\.') THEN CASE WHEN l.lineage IS NULL THEN '' ELSE ';' END || r.name ELSE '' END AS lineage
  FROM ({RESOLVED}) r JOIN census_genus c ON c.taxon = r.name LEFT JOIN lin l ON l.taxid = r.taxid""")
 def _(s, d):
-    out = pl.census(sh.clusters(s, d), sh.names(s, d), sh.tree_stored(s, d), "18s")
+    out = pl.census(sh.clusters(s, d), sh.names_stored(s, d), sh.tree_stored(s, d), "18s")
     return pl.export_census(out["genus"], False).select("Name_to_use", "taxid", "otu_count", "size_count", "lineage")
 
 
 @query("p1_census_16s_phylum", f"""SELECT taxon, otu_count, round_even(otu_count::DOUBLE / sum(otu_count) OVER () * 100 * 100, 0) / 100 AS otu_percentage, size_count FROM (SELECT division AS taxon, count(*) AS otu_count, sum(coalesce(size, 1))::BIGINT AS size_count FROM clusters GROUP BY 1)""")
 def _(s, d):
-    out = pl.census(sh.clusters_16s(s, d), sh.names(s, d), sh.tree_stored(s, d), "16s")
+    out = pl.census(sh.clusters_16s(s, d), sh.names_stored(s, d), sh.tree_stored(s, d), "16s")
     return out["phylum"].select("taxon", "otu_count", "otu_percentage", "size_count")
 
 
@@ -44,7 +44,7 @@ def _(s, d):
  UNION ALL SELECT 'genus', genus, count(centroid) FROM clusters WHERE genus IS NOT NULL GROUP BY 2) c LEFT JOIN ({LADDER_18S.replace("FROM src", "FROM (SELECT division AS name FROM clusters UNION SELECT family FROM clusters UNION SELECT genus FROM clusters)")}) r ON r.name = c.taxon
  LEFT JOIN lin l ON l.taxid = r.taxid WHERE l.taxid IS NULL""")
 def _(s, d):
-    out = pl.census(sh.clusters(s, d), sh.names(s, d), sh.tree_stored(s, d), "18s")
+    out = pl.census(sh.clusters(s, d), sh.names_stored(s, d), sh.tree_stored(s, d), "18s")
     return out["unmapped"].select("rank", "taxon", "otu_count")
 
 
@@ -59,7 +59,7 @@ P3 = """SELECT m.phylum, m.domain, count(*) AS phylum_genome_count, count(DISTIN
 @query("p3_ncbi_counts", f"""SELECT c.phylum AS phylum, domain, phylum_genome_count, round_even(phylum_genome_count::DOUBLE / sum(phylum_genome_count) OVER () * 100 * 100, 0) / 100 AS phylum_genome_percentage, phylum_species_count, coalesce(x.taxid::VARCHAR, 'NA') AS taxid, coalesce(l.lineage, '') AS lineage
  FROM ({P3}) c LEFT JOIN lookup x ON x.name = c.phylum LEFT JOIN lin l ON l.taxid = x.taxid""")
 def _(s, d):
-    counts, _ = pl.ncbi_counts(sh.assemblies(s, d), sh.rank_map(s, d, "phylum"), sh.names(s, d), sh.tree_stored(s, d), "phylum")
+    counts, _ = pl.ncbi_counts(sh.assemblies(s, d), sh.rank_map(s, d, "phylum"), sh.names_stored(s, d), sh.tree_stored(s, d), "phylum")
     return counts.select("phylum", "domain", "phylum_genome_count", "phylum_genome_percentage", "phylum_species_count",
                          F.coalesce(F.col("taxid").cast("string"), F.lit("NA")).alias("taxid"), ln.lineage_text("lineage").alias("lineage"))
 
@@ -68,7 +68,7 @@ def _(s, d):
 def _(s, d):
     tree = sh.tree_stored(s, d)
     other = sh.t(s, d, "nation").selectExpr("cast(100 + n_nationkey as bigint) taxid", "concat('F', n_nationkey) name").where("taxid % 2 = 0")
-    out = pl.gtdb_counts(sh.gtdb_taxonomy(s, d), "family", [("gtdb", other), ("ncbi", sh.names(s, d))], {"gtdb": tree, "ncbi": tree})
+    out = pl.gtdb_counts(sh.gtdb_taxonomy(s, d), "family", [("gtdb", other), ("ncbi", sh.names_stored(s, d))], {"gtdb": tree, "ncbi": tree})
     return out.select("family", "domain", "family_counts")
 
 
@@ -81,7 +81,7 @@ def _(s, d):
  coalesce(l.lineage, '') || CASE WHEN kind IN (1, 3) THEN ';' || name_to_use WHEN kind = 4 THEN ';Nothing;Deeper;' || name_to_use ELSE '' END AS lineage
  FROM eukprot e LEFT JOIN lin l ON l.taxid = CASE kind WHEN 0 THEN own_taxid WHEN 1 THEN nation_taxid WHEN 2 THEN own_taxid WHEN 3 THEN nation_taxid WHEN 4 THEN nation_taxid END) GROUP BY 1""")
 def _(s, d):
-    out = pl.eukprot_lineages(shape_eukprot(sh.eukprot_raw(s, d)), sh.names(s, d), sh.nodes(s, d), sh.tree_stored(s, d))
+    out = pl.eukprot_lineages(shape_eukprot(sh.eukprot_raw(s, d)), sh.names_stored(s, d), sh.nodes(s, d), sh.tree_stored(s, d))
     return out.groupBy("match_type").agg(F.count("*").alias("n"), F.sum(F.size(F.split(ln.lineage_text("lineage"), ";"))).alias("parts"))
 
 

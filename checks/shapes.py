@@ -9,8 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cladetally.functions import lineages as ln
 
 
+_SCHEMAS: dict = {}
+
+
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A sample table; its schema is read from the file once."""
+    path = f"{d}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _lineitem_part(spark, d):
@@ -110,6 +117,12 @@ def tree_stored(spark, d) -> DataFrame:
     return materialize(tree(spark, d))
 
 
+def names_stored(spark, d) -> DataFrame:
+    from cladetally.session import materialize
+
+    return materialize(names(spark, d))
+
+
 def gtdb_taxonomy(spark, d) -> DataFrame:
     return t(spark, d, "orders").join(t(spark, d, "customer"), F.expr("o_custkey = c_custkey")).selectExpr(
         "concat(case when o_orderkey % 2 = 0 then 'RS_GCF_' else 'GB_GCA_' end, lpad(cast(o_orderkey as string), 9, '0'), '.1') accession",

@@ -13,9 +13,9 @@ LINEAGE_TYPE = "array<struct<taxid:bigint,rank:string,name:string>>"
 def parse_lineage(names, ranks, taxids=None) -> Column:
     """Three parallel `;` strings -> lineage array. Cut to the shortest of the given parts."""
     n = F.transform(F.split(as_col(names), ";"), strip)
-    r = F.transform(F.split(as_col(ranks), ";"), lambda x: F.lower(strip(x)))
+    r = F.transform(F.split(F.coalesce(as_col(ranks), F.lit("")), ";"), lambda x: F.lower(strip(x)))
     length = F.least(F.size(n), F.size(r))
-    ids = F.split(as_col(taxids), ";") if taxids is not None else None
+    ids = F.split(F.coalesce(as_col(taxids), F.lit("")), ";") if taxids is not None else None
     if ids is not None:
         has_ids = as_col(taxids).isNotNull() & (as_col(taxids) != "")
         length = F.when(has_ids, F.least(length, F.size(ids))).otherwise(length)

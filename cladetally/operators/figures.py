@@ -37,7 +37,7 @@ def reclassification_matrix(pairs: DataFrame, k: int = 10) -> DataFrame:
     sums = cells.groupBy("family_gtdb").agg(F.sum("g").alias("row_sum"))
     return cells.join(sums, "family_gtdb").select(
         "family_gtdb", "family_ncbi", F.col("g").alias("genomes"),
-        (F.col("g") / F.col("row_sum")).alias("share"),
+        (percent("g", "row_sum") / 100).alias("share"),
     )
 
 
@@ -112,17 +112,17 @@ def supergroup_rollup(df: DataFrame, lineage: str, count_col: str, min_pct: floa
     )
     sums = df.groupBy(group.alias("supergroup")).agg(F.sum(count_col).alias("n"))
     total = sums.agg(F.sum("n").cast("double")).scalar()
-    big = F.col("n") / total * 100 >= min_pct
+    big = percent("n", total) >= min_pct
     out = sums.groupBy(F.when(big, F.col("supergroup")).otherwise("Others").alias("supergroup")).agg(
         F.sum("n").alias(count_col)
     )
-    return out.withColumn("percentage", F.col(count_col) / total * 100)
+    return out.withColumn("percentage", percent(count_col, total))
 
 
 def total_representation(df: DataFrame, measures: list[str], k: int) -> DataFrame:
     """Taxa ranked by the sum of their shares of the given measures."""
     total = df.agg(F.struct(*[F.sum(m).cast("double").alias(m) for m in measures])).scalar()
-    shares = [F.col(m) / total.getField(m) * 100 for m in measures]
+    shares = [percent(m, total.getField(m)) for m in measures]
     out = df.withColumn("total_representation", sum(shares[1:], shares[0]))
     return top_list(out, "total_representation", k, ["taxon"])
 

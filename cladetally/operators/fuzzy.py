@@ -63,8 +63,8 @@ def candidate_pairs(probes: DataFrame, entries: DataFrame) -> DataFrame:
     last = F.least(F.col("start") + added, F.col("la") - F.col("size"))
     spots = placed.where(last >= first).withColumn("p", F.explode(F.sequence(first, last)))
     looked = spots.select("a", "u", "la", "lb", "i", F.substr("a", F.col("p") + 1, F.col("size")).alias("piece"))
-    near = looked.join(kept, keys).select("a", "b", "u").distinct()
-    return near.where(F.levenshtein("a", "b") <= F.col("u")).select("a", "b")
+    near = looked.join(kept, keys).where(F.levenshtein("a", "b") <= F.col("u"))
+    return near.select("a", "b").distinct()
 
 
 @F.pandas_udf(T.DoubleType())

@@ -180,8 +180,8 @@ def hierarchy_conflicts(ranks: DataFrame, pairs=fv.ADJACENT_RANKS) -> DataFrame:
         for low, high in pairs
     ])).alias("l")).select("l.*").where("lower_value is not null and higher_value is not null").distinct()
     per_name = links.groupBy("lower_rank", "lower_value").agg(
-        F.count("*").alias("parents"), F.max("higher_value").alias("_max")
-    ).where("parents > 1").drop("_max")
+        F.count("*").alias("parents")
+    ).where("parents > 1")
     named = links.groupBy("lower_rank").agg(
         F.bool_or(F.col("lower_value") != "Unclassified").alias("_l"),
         F.bool_or(F.col("higher_value") != "Unclassified").alias("_h"),

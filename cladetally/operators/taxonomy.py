@@ -249,7 +249,7 @@ def resolve_eukprot(df: DataFrame, names: DataFrame, nodes: DataFrame) -> DataFr
 
     Full name, genus, each previous name and its genus, genus again, then ancestor rescue.
     """
-    one = first_per_key(df, ["name_to_use"], ["eukprot_id"])
+    one = materialize(first_per_key(df, ["name_to_use"], ["eukprot_id"]))
     direct = materialize(resolve_names(one, names, "name_to_use", ladder_eukprot()))
     lost = one.join(direct.where("taxid is null").select("name_to_use"), "name_to_use", "left_semi")
     rescued = rescue_by_ancestor(lost, names, nodes, "name_to_use", "taxonomy").select(

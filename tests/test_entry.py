@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.001"
 QUICK = [
     "a1_census_by_rank_18s", "a4_species_counts", "a14_unclassified_patterns", "a18_distribution", "a30_hierarchy_conflicts",
     "g1_pattern_source", "j3_ancestor_match_log", "j7_accession_mapping", "l1_build_lineages", "l3_resolve_18s",
-    "merge_ncbi_genus", "n4_clean_organelle_name", "s2_read_assembly_summary", "top_novel_families", "w1_best_genome_per_species",
+    "merge_ncbi_genus", "n4_clean_organelle_name", "p3_ncbi_counts",
+    "p5_eukprot_lineages", "p6_merge_18s_ncbi", "p7_triple_anchor", "p10_scatter_table", "s2_read_assembly_summary", "top_novel_families", "w1_best_genome_per_species",
 ]
 needs_data = pytest.mark.skipif(not Path(SF).exists(), reason="sample tables absent")
 

@@ -118,6 +118,9 @@ def test_triple_anchor(anchors):
     assert rows["Good"].database_presence == "GTDB_Only"
     assert not {"Placeholder", "Euk", "Xviricota", "Candidatus Y"} & set(rows)
     assert [r.taxon for r in out.unverified.collect()] == ["Placeholder"]
+    assert pl.export_anchored(out.table, "phylum").columns == [
+        "Phylum", "GTDB_Domain", "NCBI_Domain", "Database_Presence", "Match_Status", "Anchor_Type",
+        "GTDB_Genome_Count", "GTDB_Species_Count", "NCBI_Genome_Count", "NCBI_Species_Count"]
 
 
 def test_triple_anchor_compat_has_no_gtdb_only(anchors):
