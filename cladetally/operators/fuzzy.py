@@ -49,7 +49,7 @@ def candidate_pairs(probes: DataFrame, entries: DataFrame) -> DataFrame:
     b = _with_lengths(entries.select("b", F.length("b").alias("lb")).where("lb >= 3"), "lb", "la")
     indexed = b.withColumn("i", pieces).withColumn("piece", F.substr("b", start + 1, size))
     keys = ["la", "lb", "i", "piece"]
-    common = indexed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    common = materialize(indexed.groupBy(*keys).agg(F.count("*").alias("_n")))
     rarest = W.partitionBy("b", "la").orderBy("_n", "i")
     kept = (
         indexed.join(common, keys).withColumn("_r", F.row_number().over(rarest))

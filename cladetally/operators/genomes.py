@@ -6,13 +6,15 @@ from cladetally.functions import fixed_values as fv
 from cladetally.functions import names as nm
 from cladetally.functions.common import round_even
 from cladetally.operators.keyed import best_genome_per_species, first_per_key, share_of
+from cladetally.session import materialize
 
 
 def attach_rank(assemblies: DataFrame, rank_map: DataFrame) -> DataFrame:
     """Assemblies with a known rank. The map is first made unique on taxid, so genome counts
-    cannot multiply. A taxid with many assemblies is split by AQE's skew join."""
+    cannot multiply. It is stored, so both sides of the join are plain shuffles and AQE can split
+    a taxid that holds a large share of the assemblies."""
     others = [c for c in rank_map.columns if c != "taxid"]
-    return assemblies.join(first_per_key(rank_map, ["taxid"], others), "taxid")
+    return assemblies.join(materialize(first_per_key(rank_map, ["taxid"], others)), "taxid")
 
 
 def attach_source(assemblies: DataFrame, classified: DataFrame) -> DataFrame:

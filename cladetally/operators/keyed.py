@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cladetally.functions.classify import assembly_level_rank
 from cladetally.functions.common import as_col, round_even
+from cladetally.session import materialize
 
 
 def _keys(*columns):
@@ -129,9 +130,10 @@ def label_positions(axes: DataFrame, min_share: float = 2.0) -> DataFrame:
 def order_by_group_block(df: DataFrame, group: str, measure: str, tie_break) -> DataFrame:
     """Rows sorted by their group's largest measure, then group, then their own measure.
 
-    The group maximum is a pre-aggregated join, not a window, so a dominant group stays spread.
+    The group maximum is a join with a stored, pre-aggregated table, not a window, so a dominant
+    group stays spread.
     """
-    peak = df.groupBy(group).agg(F.max(measure).alias("group_max"))
+    peak = materialize(df.groupBy(group).agg(F.max(measure).alias("group_max")))
     return df.join(peak, group).orderBy(
         F.desc("group_max"), F.col(group), F.desc(measure), *_keys(*tie_break)
     )

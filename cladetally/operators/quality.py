@@ -191,11 +191,12 @@ def hierarchy_conflicts(ranks: DataFrame, pairs=fv.ADJACENT_RANKS) -> DataFrame:
 
 def map_integrity(taxid_map: DataFrame, nodes: DataFrame, names: DataFrame, metadata: DataFrame) -> DataFrame:
     """Problem rows of a taxid map: accession format, taxid not in nodes or names, accession not
-    in the metadata."""
+    in the metadata. Anti joins need no distinct right side; leaving it out keeps both sides plain
+    shuffles that AQE can split."""
     m = taxid_map.select("accession_clean", F.col("taxid").cast("string").alias("taxid"))
-    node_ids = nodes.select(F.col("taxid").cast("string").alias("taxid")).distinct()
-    name_ids = names.select(F.col("taxid").cast("string").alias("taxid")).distinct()
-    known = metadata.select("accession_clean").distinct()
+    node_ids = nodes.select(F.col("taxid").cast("string").alias("taxid"))
+    name_ids = names.select(F.col("taxid").cast("string").alias("taxid"))
+    known = metadata.select("accession_clean")
 
     def tag(df, label):
         return df.select("accession_clean", "taxid").withColumn("problem", F.lit(label))

@@ -1,10 +1,12 @@
 """Taxonomy-tree operators: lineages, name resolution, rank maps.
 
 Everything is a join against the taxdump tables. No side is broadcast by hint: Catalyst and AQE
-choose from measured sizes, and AQE splits a skewed key because the dictionary side of each join
-holds one row per key.
+choose from measured sizes. Dictionaries are made unique and stored before they are joined, so
+both sides of the join are plain shuffles and AQE can split a key that many names share.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cladetally.functions import fixed_values as fv
@@ -57,9 +59,23 @@ def build_lineages(nodes: DataFrame, names: DataFrame) -> DataFrame:
     return done.select("taxid", F.reverse(named).alias("lineage"))
 
 
-def name_to_taxid(df: DataFrame, names: DataFrame, col: str, out: str = "taxid") -> DataFrame:
-    """Exact name lookup. A name on several taxids takes the smallest."""
-    lookup = names.groupBy(F.col("name").alias(col)).agg(F.min("taxid").alias(out))
+@dataclass(frozen=True)
+class NameIndex:
+    """Stored `(name, taxid)` with unique names. Build it once with `index_names`."""
+
+    table: DataFrame
+
+
+def index_names(names: "DataFrame | NameIndex") -> NameIndex:
+    """A name on several taxids keeps the smallest."""
+    if isinstance(names, NameIndex):
+        return names
+    return NameIndex(materialize(names.groupBy("name").agg(F.min("taxid").alias("taxid"))))
+
+
+def name_to_taxid(df: DataFrame, names: "DataFrame | NameIndex", col: str, out: str = "taxid") -> DataFrame:
+    """Exact name lookup; names without a taxid keep a null."""
+    lookup = index_names(names).table.select(F.col("name").alias(col), F.col("taxid").alias(out))
     return df.join(lookup, col, "left")
 
 
@@ -249,6 +265,7 @@ def resolve_eukprot(df: DataFrame, names: DataFrame, nodes: DataFrame) -> DataFr
 
     Full name, genus, each previous name and its genus, genus again, then ancestor rescue.
     """
+    names = index_names(names)
     one = materialize(first_per_key(df, ["name_to_use"], ["eukprot_id"]))
     direct = materialize(resolve_names(one, names, "name_to_use", ladder_eukprot()))
     lost = one.join(direct.where("taxid is null").select("name_to_use"), "name_to_use", "left_semi")

@@ -186,3 +186,37 @@ def test_skewed_keys_give_whole_results(spark):
     assert best["hot"] == 29997 and len(best) == 501
     few = ky.top_per_key(df, ["k"], ["v"], 3)
     assert "WindowGroupLimit" in few._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def small_skew_limits(spark):
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+              "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dictionary_joins_are_split_by_aqe(spark, small_skew_limits):
+    """A taxid or a name with a third of all rows: the join is split and the result is whole."""
+    from cladetally.operators import taxonomy as tx
+
+    key = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 2000)
+    rows = spark.range(200000).select(F.sha1(F.col("id").cast("string")).alias("assembly_accession"), key.alias("taxid"))
+    ranks = spark.range(2000).select(F.col("id").alias("taxid"), F.concat(F.lit("P"), F.col("id") % 9).alias("phylum"), F.lit("B").alias("domain"))
+    ranked = ge.attach_rank(rows, ranks).groupBy("phylum").agg(F.count("*").alias("n"), F.max("assembly_accession"))
+    assert "skew=true" in final_plan(ranked)
+    assert sum(r.n for r in ranked.collect()) == 200000
+    names = spark.range(2000).select(F.col("id").alias("taxid"), F.concat(F.lit("N"), "id").alias("name"))
+    named = rows.select("assembly_accession", F.concat(F.lit("N"), "taxid").alias("v"))
+    found = tx.name_to_taxid(named, names, "v").groupBy("taxid").agg(F.count("*").alias("n"), F.max("assembly_accession"))
+    assert "skew=true" in final_plan(found)
+    assert sum(r.n for r in found.collect()) == 200000
