@@ -52,7 +52,7 @@ def _(s, d):
     return fg.catalogue_fold_change(sh.counts_a(s, d), sh.counts_b(s, d)).withColumn("fold_change", round_even("fold_change", 6))
 
 
-@query("a40_correlation", """SELECT count(*) AS total_taxa, round_even(avg(cov) * 10000, 0) / 10000 AS avg_coverage, round_even(avg(CASE WHEN ncbi_species_count > 0 THEN census_otu_count::DOUBLE / ncbi_species_count ELSE 1 END) * 10000, 0) / 10000 AS avg_novelty,
+@query("a40_correlation", """SELECT count(*) AS total_taxa, round_even(sum(round(cov * 100)::BIGINT)::DOUBLE / 100 / count(*) * 10000, 0) / 10000 AS avg_coverage, round_even(avg(CASE WHEN ncbi_species_count > 0 THEN census_otu_count::DOUBLE / ncbi_species_count ELSE 1 END) * 10000, 0) / 10000 AS avg_novelty,
  round_even(corr(census_otu_count, ncbi_species_count) * 1000000, 0) / 1000000 AS correlation FROM (SELECT *, CASE WHEN census_otu_count > 0 THEN round_even(ncbi_species_count::DOUBLE / census_otu_count * 100 * 100, 0) / 100 ELSE 0 END AS cov FROM merged_genus)""")
 def _(s, d):
     m = sh.merged(s, d).withColumn("coverage", ms.coverage_percentage("ncbi_species_count", "census_otu_count"))
@@ -65,7 +65,7 @@ def _(s, d):
     return fg.genome_isolate_ratio(sh.merged(s, d), "ncbi_genome_count", "isolate_count").select("taxon", "genome_isolate_ratio")
 
 
-@query("a42_genus_contribution", f"""SELECT genus, string_agg(listed_family, '; ' ORDER BY listed_family) AS associated_families, count(*) AS number_of_families, round_even(avg(novelty_factor) * 1000, 0) / 1000 AS average_family_novelty_factor, max(size)::BIGINT AS genus_census_size_count
+@query("a42_genus_contribution", f"""SELECT genus, string_agg(listed_family, '; ' ORDER BY listed_family) AS associated_families, count(*) AS number_of_families, round_even(sum(round(novelty_factor * 1000)::BIGINT)::DOUBLE / 1000 / count(*) * 1000, 0) / 1000 AS average_family_novelty_factor, max(size)::BIGINT AS genus_census_size_count
  FROM (SELECT listed_family, genus, max(novelty_factor) AS novelty_factor, sum(size) AS size FROM ({J16}) jj, (SELECT 1 FROM clusters LIMIT 1) c1, (SELECT 1 FROM merged_family LIMIT 1) m1 GROUP BY 1, 2) GROUP BY genus""")
 def _(s, d):
     out = fg.genus_contribution(_family_genera(s, d).withColumn("size", F.coalesce("size", F.lit(0))))
@@ -73,7 +73,7 @@ def _(s, d):
 
 
 @query("a42_overrepresented_genera", """SELECT x.genus, x.associated_families, x.number_of_families, x.average_factor, x.census_otu_count, coalesce(m.ncbi_species_count, 0) AS db_species_count FROM (SELECT c.taxon AS genus, string_agg(f.family, '; ' ORDER BY f.family) AS associated_families, count(*) AS number_of_families,
- round_even(avg(f.factor) * 1000, 0) / 1000 AS average_factor, max(c.otu_count) AS census_otu_count FROM census_genus c JOIN (SELECT taxon AS family, overrepresentation_factor AS factor FROM merged_family WHERE match_status = 'matched' ORDER BY overrepresentation_factor DESC, taxon LIMIT 6) f
+ round_even(sum(round(f.factor * 1000)::BIGINT)::DOUBLE / 1000 / count(*) * 1000, 0) / 1000 AS average_factor, max(c.otu_count) AS census_otu_count FROM census_genus c JOIN (SELECT taxon AS family, overrepresentation_factor AS factor FROM merged_family WHERE match_status = 'matched' ORDER BY overrepresentation_factor DESC, taxon LIMIT 6) f
  ON contains(lower('root;' || c.taxon), lower(f.family)) GROUP BY 1) x LEFT JOIN (SELECT taxon, max(ncbi_species_count) AS ncbi_species_count FROM merged_genus GROUP BY 1) m ON m.taxon = x.genus""")
 def _(s, d):
     census = sh.census(s, d, "genus").select(F.col("taxon").alias("genus"), "otu_count", F.concat(F.lit("root;"), "taxon").alias("lineage"))
@@ -83,13 +83,13 @@ def _(s, d):
     return out.select("genus", "associated_families", "number_of_families", "average_factor", "census_otu_count", "db_species_count")
 
 
-@query("a43_novelty_by_genus", """SELECT c.genus, t.novelty_factor, count(*) AS num_combinations, sum(row_count)::BIGINT AS total_clusters, round_even(avg(avg_size_per_cluster) * 100, 0) / 100 AS avg_cluster_size
+@query("a43_novelty_by_genus", """SELECT c.genus, t.novelty_factor, count(*) AS num_combinations, sum(row_count)::BIGINT AS total_clusters, round_even(sum(round(avg_size_per_cluster * 100)::BIGINT)::DOUBLE / 100 / count(*) * 100, 0) / 100 AS avg_cluster_size
  FROM combos c JOIN (SELECT taxon AS genus, novelty_factor FROM merged_genus WHERE match_status = 'matched' ORDER BY novelty_factor DESC, taxon LIMIT 15) t USING (genus) GROUP BY ALL""")
 def _(s, d):
     return fg.novelty_by_genus(_novel_combos(s, d)).select("genus", "novelty_factor", "num_combinations", "total_clusters", "avg_cluster_size")
 
 
-@query("a43_novelty_by_family", """SELECT family, count(genus) AS genera, round_even(avg(novelty_factor) * 10, 0) / 10 AS mean_novelty, sum(census_otu_count)::BIGINT AS census_otu_count FROM (SELECT c.family, c.genus, t.novelty_factor, t.census_otu_count
+@query("a43_novelty_by_family", """SELECT family, count(genus) AS genera, round_even(sum(round(novelty_factor * 1000)::BIGINT)::DOUBLE / 1000 / count(*) * 10, 0) / 10 AS mean_novelty, sum(census_otu_count)::BIGINT AS census_otu_count FROM (SELECT c.family, c.genus, t.novelty_factor, t.census_otu_count
  FROM combos c JOIN (SELECT taxon AS genus, novelty_factor, census_otu_count FROM merged_genus WHERE match_status = 'matched' ORDER BY novelty_factor DESC, taxon LIMIT 15) t USING (genus)) GROUP BY 1""")
 def _(s, d):
     return fg.novelty_by_family(_novel_combos(s, d).select("family", "genus", "novelty_factor", "census_otu_count"))

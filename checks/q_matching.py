@@ -142,10 +142,10 @@ def _(s, d):
 
 
 @query("j12_species_to_counts", """SELECT coalesce(a.family, b.family) AS family, coalesce(a.domain, b.domain) AS domain, coalesce(g, 0) AS family_genome_count, coalesce(sp, 0) AS family_species_count FROM
- (SELECT family, domain, count(*) AS g FROM assemblies WHERE taxid % 3 = 0 GROUP BY 1, 2) a FULL JOIN (SELECT family, domain, count(DISTINCT species_taxid) AS sp FROM assemblies WHERE taxid % 4 = 0 GROUP BY 1, 2) b ON a.family = b.family AND a.domain = b.domain""")
+ (SELECT family, domain, count(*) AS g FROM assemblies WHERE genome_source = 'isolate' GROUP BY 1, 2) a FULL JOIN (SELECT family, domain, count(DISTINCT species_taxid) AS sp FROM assemblies WHERE assembly_level = 'Contig' GROUP BY 1, 2) b ON a.family = b.family AND a.domain = b.domain""")
 def _(s, d):
     a = sh.assemblies(s, d)
-    return ge.join_species_counts(ge.genome_counts(a.where("taxid % 3 = 0"), "family"), ge.species_counts(a.where("taxid % 4 = 0"), "family"), "family")
+    return ge.join_species_counts(ge.genome_counts(a.where("genome_source = 'isolate'"), "family"), ge.species_counts(a.where("assembly_level = 'Contig'"), "family"), "family")
 
 
 @query("j13_attach_source", """SELECT genome_source, count(*) AS n FROM (SELECT CASE WHEN m.k IS NULL THEN 'isolate' ELSE 'uncultured' END AS genome_source FROM assemblies a
@@ -322,7 +322,7 @@ def _(s, d):
     return merge_census_with_members(sh.census(s, d, "genus"), sh.members(s, d), "genus").table.select("taxon", "eukprot_species_count", "coverage_percentage")
 
 
-@query("a12_coverage_summary", f"""SELECT 'genus' AS level, count(*) AS total_taxa, count(*) FILTER (eukprot_species_count > 0) AS taxa_with_species, round_even(avg(coverage_percentage) * 10000, 0) / 10000 AS mean_coverage, median(coverage_percentage) AS median_coverage FROM ({MEMBERS}) z, (SELECT 1 FROM census_genus LIMIT 1) c0, (SELECT 1 FROM members LIMIT 1) m0""")
+@query("a12_coverage_summary", f"""SELECT 'genus' AS level, count(*) AS total_taxa, count(*) FILTER (eukprot_species_count > 0) AS taxa_with_species, round_even(sum(round(coverage_percentage * 100)::BIGINT)::DOUBLE / 100 / count(*) * 10000, 0) / 10000 AS mean_coverage, median(coverage_percentage) AS median_coverage FROM ({MEMBERS}) z, (SELECT 1 FROM census_genus LIMIT 1) c0, (SELECT 1 FROM members LIMIT 1) m0""")
 def _(s, d):
     from cladetally.plans.pipelines import merge_census_with_members
     out = merge_census_with_members(sh.census(s, d, "genus"), sh.members(s, d), "genus").summary

@@ -206,13 +206,13 @@ def _(s, d):
 FILTER_NAME = "CASE p_size % 6 WHEN 0 THEN 'Candidatus ' || p_name WHEN 1 THEN p_name || '.U.family' WHEN 2 THEN p_name || 'virus' WHEN 3 THEN 'Aviricota ' || p_name WHEN 4 THEN 'Alveolata_' || p_brand ELSE p_name END"
 
 
-@query("f2_name_exclusions", f"SELECT {FILTER_NAME} AS name, count(*) AS n FROM part WHERE p_size % 6 NOT IN (0, 1, 2) GROUP BY 1")
+@query("f2_name_exclusions", f"SELECT name, count(*) AS n FROM (SELECT {FILTER_NAME} AS name FROM part) WHERE NOT regexp_matches(lower(name), 'candidat|[.]u[.]|virus|viral') GROUP BY 1")
 def _(s, d):
     return sh.t(s, d, "part").select(F.expr(FILTER_NAME).alias("name")).where(
         pr.is_clean_name("name") & ~pr.starts_candidate("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("f3_eukaryote_groups", f"SELECT {FILTER_NAME} AS name, count(*) AS n FROM part WHERE p_size % 6 <> 4 GROUP BY 1")
+@query("f3_eukaryote_groups", f"SELECT name, count(*) AS n FROM (SELECT {FILTER_NAME} AS name FROM part) WHERE NOT regexp_matches(lower(name), 'eukaryota|opisthokonta|streptophyta|chlorophyta|stramenopiles|alveolata|rhizaria|discoba') GROUP BY 1")
 def _(s, d):
     return sh.t(s, d, "part").select(F.expr(FILTER_NAME).alias("name")).where(~pr.is_eukaryote_group("name")).groupBy(
         "name").agg(F.count("*").alias("n"))

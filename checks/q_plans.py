@@ -67,7 +67,7 @@ def _(s, d):
 @query("p4_gtdb_counts", """SELECT regexp_replace(family, '_[A-Z]$', '') AS family, domain, count(*) AS family_counts FROM gtdb_ranks WHERE family IS NOT NULL GROUP BY 1, 2""")
 def _(s, d):
     tree = sh.tree_stored(s, d)
-    other = sh.t(s, d, "nation").selectExpr("cast(100 + n_nationkey as bigint) taxid", "concat('F', n_nationkey) name").where("taxid % 2 = 0")
+    other = sh.t(s, d, "nation").where("n_regionkey < 2").selectExpr("cast(100 + n_nationkey as bigint) taxid", "concat('F', n_nationkey) name")
     out = pl.gtdb_counts(sh.gtdb_taxonomy(s, d), "family", [("gtdb", other), ("ncbi", sh.names_stored(s, d))], {"gtdb": tree, "ncbi": tree})
     return out.select("family", "domain", "family_counts")
 

@@ -215,11 +215,11 @@ def _(s, d):
     return out.select("taxon", "ok_genome_pct_db", "ok_species_pct", "ok_isolate_percentage")
 
 
-@query("a47_mapping_changes", """SELECT taxid, 'gained' AS change FROM (SELECT taxid FROM map_phylum WHERE taxid % 5 <> 0 EXCEPT SELECT taxid FROM map_phylum WHERE taxid % 7 <> 0)
- UNION ALL SELECT taxid, 'lost' FROM (SELECT taxid FROM map_phylum WHERE taxid % 7 <> 0 EXCEPT SELECT taxid FROM map_phylum WHERE taxid % 5 <> 0)""")
+@query("a47_mapping_changes", """SELECT taxid, 'gained' AS change FROM (SELECT taxid FROM map_phylum WHERE domain <> 'SMALL' EXCEPT SELECT taxid FROM map_phylum WHERE domain <> 'ECONOMY')
+ UNION ALL SELECT taxid, 'lost' FROM (SELECT taxid FROM map_phylum WHERE domain <> 'ECONOMY' EXCEPT SELECT taxid FROM map_phylum WHERE domain <> 'SMALL')""")
 def _(s, d):
     m = sh.rank_map(s, d, "phylum")
-    return tx.mapping_changes(m.where("taxid % 5 <> 0"), m.where("taxid % 7 <> 0"))
+    return tx.mapping_changes(m.where("domain <> 'SMALL'"), m.where("domain <> 'ECONOMY'"))
 
 
 @query("a48_mapping_discrepancies", """SELECT m.taxid, 'Fam' || (m.taxid % 25) || 'x1' AS expected, l.family AS found FROM map_family m JOIN lin l USING (taxid) WHERE l.family IS NOT NULL AND l.family <> 'Fam' || (m.taxid % 25) || 'x1'""")

@@ -35,11 +35,11 @@ def _(s, d):
 
 
 @query("s2_read_assembly_summary", """SELECT assembly_accession, taxid, species_taxid IS NULL AS no_species, genome_size, strftime(seq_rel_date, '%Y-%m-%d') AS day, count(*) AS n
- FROM assemblies WHERE taxid % 10 <> 3 GROUP BY ALL""")
+ FROM assemblies WHERE assembly_level <> 'Chromosome' GROUP BY ALL""")
 def _(s, d):
     cols = {c: F.lit("na") for c in st.ASSEMBLY_COLUMNS}
     cols |= {c: F.col(c).cast("string") for c in st.USED_ASSEMBLY_COLUMNS}
-    cols["taxid"] = F.when(F.col("taxid") % 10 == 3, "bad").otherwise(F.col("taxid").cast("string"))
+    cols["taxid"] = F.when(F.col("assembly_level") == "Chromosome", "bad").otherwise(F.col("taxid").cast("string"))
     cols["seq_rel_date"] = F.date_format("seq_rel_date", "yyyy/MM/dd")
     cols["species_taxid"] = F.coalesce(F.col("species_taxid").cast("string"), F.lit("na"))
     a = sh.assemblies(s, d).select(*[c.alias(n) for n, c in cols.items()])
@@ -197,16 +197,11 @@ def _(s, d):
     return ky.label_positions(_axes(s, d)).select("axis", "taxon", round_even("percentage", 3).alias("percentage"), round_even("label_y", 3).alias("label_y"))
 
 
-@query("w5_group_block_order", """SELECT row_number() OVER (ORDER BY m DESC, division, row_count DESC, taxonomic_combination) AS line, taxonomic_combination, row_count FROM (
- SELECT *, max(row_count) OVER (PARTITION BY division) AS m FROM combos) QUALIFY line <= 200""")
+@query("w5_group_block_order", "SELECT taxonomic_combination, row_count, max(row_count) OVER (PARTITION BY division) AS group_max FROM combos")
 def _(s, d):
     from cladetally.operators.census import taxonomic_combinations
     ordered = ky.order_by_group_block(taxonomic_combinations(sh.clusters(s, d), examples=False), "division", "row_count", ["taxonomic_combination"])
-    # the report prints the first 200 lines
-    first = ordered.limit(200)
-    from pyspark.sql import Window as W
-    w = W.orderBy(F.desc("group_max"), "division", F.desc("row_count"), "taxonomic_combination")
-    return first.select(F.row_number().over(w).alias("line"), "taxonomic_combination", "row_count")
+    return ordered.select("taxonomic_combination", "row_count", "group_max")
 
 
 @query("w6_first_accessions", """SELECT taxon, accession_clean, accession_no FROM (SELECT taxon, accession_clean, row_number() OVER (PARTITION BY taxon ORDER BY accession_clean) AS accession_no
@@ -231,12 +226,9 @@ def _(s, d):
         ky.bottom_k(c, "row_count", 15, ["taxonomic_combination"]).select(F.lit("bottom").alias("part"), "*"))
 
 
-@query("t2_matched_first", """SELECT row_number() OVER (ORDER BY match_status <> 'matched', ncbi_genome_count DESC, taxon) AS line, taxon, match_status FROM merged_genus QUALIFY line <= 60""")
+@query("t2_matched_first", "SELECT taxon, match_status, ncbi_genome_count FROM merged_genus")
 def _(s, d):
-    from pyspark.sql import Window as W
-    first = ky.sort_matched_first(sh.merged(s, d), "ncbi_genome_count", "taxon").limit(60)
-    w = W.orderBy(F.col("match_status") != "matched", F.desc("ncbi_genome_count"), "taxon")
-    return first.select(F.row_number().over(w).alias("line"), "taxon", "match_status")
+    return ky.sort_matched_first(sh.merged(s, d), "ncbi_genome_count", "taxon").select("taxon", "match_status", "ncbi_genome_count")
 
 
 @raw_query("t3_top_with_other", _with(f"{G},\n{TOPN}", f"SELECT taxon, position, axis, c::DOUBLE AS absolute_count FROM ({AXES})"))
@@ -249,21 +241,16 @@ def _(s, d):
     return ky.axis_links(_axes(s, d), "taxon").select("taxon", "source", "target", "value")
 
 
-@query("t4_novelty_order", """SELECT row_number() OVER (ORDER BY novelty_factor = 'inf'::DOUBLE DESC, novelty_factor DESC, census_otu_count DESC, taxon) AS line, taxon
- FROM merged_genus WHERE census_otu_count > 0 QUALIFY line <= 40""")
+@query("t4_novelty_order", "SELECT taxon, novelty_factor = 'inf'::DOUBLE AS infinite, census_otu_count FROM merged_genus WHERE census_otu_count > 0")
 def _(s, d):
-    from pyspark.sql import Window as W
-    rows = ky.sort_by_novelty(sh.merged(s, d).where("census_otu_count > 0"), "novelty_factor", "census_otu_count", "taxon").limit(40)
-    w = W.orderBy(F.desc(F.col("novelty_factor") == float("inf")), F.desc("novelty_factor"), F.desc("census_otu_count"), "taxon")
-    return rows.select(F.row_number().over(w).alias("line"), "taxon")
+    rows = ky.sort_by_novelty(sh.merged(s, d).where("census_otu_count > 0"), "novelty_factor", "census_otu_count", "taxon")
+    return rows.select("taxon", (F.col("novelty_factor") == float("inf")).alias("infinite"), "census_otu_count")
 
 
-@query("t4_species_order", """SELECT row_number() OVER (ORDER BY ncbi_species_count DESC, census_otu_count DESC, taxon) AS line, taxon FROM merged_genus WHERE match_status = 'matched' QUALIFY line <= 40""")
+@query("t4_species_order", "SELECT taxon, ncbi_species_count, census_otu_count FROM merged_genus WHERE match_status = 'matched'")
 def _(s, d):
-    from pyspark.sql import Window as W
-    rows = ky.sort_by_species(sh.merged(s, d).where("match_status = 'matched'"), "ncbi_species_count", "census_otu_count", "taxon").limit(40)
-    w = W.orderBy(F.desc("ncbi_species_count"), F.desc("census_otu_count"), "taxon")
-    return rows.select(F.row_number().over(w).alias("line"), "taxon")
+    rows = ky.sort_by_species(sh.merged(s, d).where("match_status = 'matched'"), "ncbi_species_count", "census_otu_count", "taxon")
+    return rows.select("taxon", "ncbi_species_count", "census_otu_count")
 
 
 @query("w3_genus_family", """SELECT genus, family FROM (SELECT genus, family, row_number() OVER (PARTITION BY genus ORDER BY row_count DESC, family) AS rn FROM combos) WHERE rn = 1""")

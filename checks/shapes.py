@@ -38,7 +38,7 @@ def assemblies(spark, d) -> DataFrame:
         "case when l_linenumber = 5 then 'derived from metagenome' when l_linenumber = 6 then 'genus undefined' end "
         "as excluded_from_refseq",
         "cast(floor(l_extendedprice) as bigint) * 1000 as genome_size",
-        "l_discount * 100 as gc_percent",
+        "cast(round(l_discount * 100) as double) as gc_percent",
         "cast(l_shipdate as date) as seq_rel_date",
         "p_type as domain", "p_brand as phylum", "substring_index(p_name, ' ', 1) as family",
         "p_name as genus",
@@ -250,7 +250,7 @@ def merged(spark, d, rank: str = "genus") -> DataFrame:
 
 def rank_map(spark, d, rank: str) -> DataFrame:
     col = {"phylum": "p_brand", "family": "substring_index(p_name, ' ', 1)", "genus": "p_name"}[rank]
-    return t(spark, d, "part").where("p_partkey % 9 <> 0").selectExpr(
+    return t(spark, d, "part").where("p_size > 5").selectExpr(
         "1000 + p_partkey as taxid", f"{col} as {rank}", "p_type as domain")
 
 
@@ -266,7 +266,7 @@ CTE = {
   CASE l_returnflag WHEN 'A' THEN 'iso' || l_suppkey WHEN 'N' THEN NULL
     ELSE CASE WHEN l_linenumber > 4 THEN 'Missing ' ELSE '' END END AS isolate,
   CASE WHEN l_linenumber = 5 THEN 'derived from metagenome' WHEN l_linenumber = 6 THEN 'genus undefined' END AS excluded_from_refseq,
-  floor(l_extendedprice)::BIGINT * 1000 AS genome_size, l_discount * 100 AS gc_percent,
+  floor(l_extendedprice)::BIGINT * 1000 AS genome_size, round(l_discount * 100)::DOUBLE AS gc_percent,
   l_shipdate::DATE AS seq_rel_date, p_type AS domain, p_brand AS phylum,
   split_part(p_name, ' ', 1) AS family, p_name AS genus,
   CASE WHEN l_returnflag = 'A' THEN 'isolate' ELSE 'uncultured' END AS genome_source
@@ -391,7 +391,7 @@ for _rank, _col, _tax in [("phylum", "division", "p_brand"), ("family", "family"
   FROM cat_{_rank} k CROSS JOIN (SELECT sum(genomes)::DOUBLE AS g, sum(species)::DOUBLE AS s FROM cat_{_rank}) t
   LEFT JOIN iso_{_rank} i ON i.taxon = k.taxon AND i.domain = k.domain
   WHERE k.taxon NOT IN (SELECT cat_taxon FROM pairs_{_rank}) AND (k.genomes > 0 OR k.species > 0)"""
-    CTE[f"map_{_rank}"] = f"""SELECT 1000 + p_partkey AS taxid, {_tax} AS {_rank}, p_type AS domain FROM part WHERE p_partkey % 9 <> 0"""
+    CTE[f"map_{_rank}"] = f"""SELECT 1000 + p_partkey AS taxid, {_tax} AS {_rank}, p_type AS domain FROM part WHERE p_size > 5"""
 
 _NEEDS: dict[str, list[str]] = {}
 

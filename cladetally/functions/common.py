@@ -47,6 +47,15 @@ def percent(num, den) -> Column:
     return F.when(den > 0, num / den * 100).otherwise(F.lit(0.0))
 
 
+def exact_mean(c, places: int, n=None) -> Column:
+    """Mean of values with few decimals, summed as decimals: the result does not depend on the
+    order of the rows. `n` weighs the values."""
+    value = as_col(c).try_cast(f"decimal(20,{places})")
+    if n is None:
+        return F.sum(value).cast("double") / F.count(value)
+    return F.sum(value * as_col(n)).cast("double") / F.sum(as_col(n))
+
+
 def first_hit(c, rules, default=None) -> Column:
     """Label of the first rule whose words occur in the text. `rules` is [(label, words), ...]."""
     return F.coalesce(

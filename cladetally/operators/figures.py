@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from cladetally.functions import fixed_values as fv
-from cladetally.functions.common import literal_map, percent, ratio_or_inf, round_even
+from cladetally.functions.common import exact_mean, literal_map, percent, ratio_or_inf, round_even
 from cladetally.functions.measures import fold_change, genomes_per_isolate, representation_bias
 from cladetally.operators.keyed import first_per_key, top_k, top_list
 
@@ -67,7 +67,7 @@ def correlation_summary(merged: DataFrame, otus: str, species: str, coverage: st
     """Taxa, mean coverage, mean novelty (1 without species) and Pearson correlation."""
     novelty = F.when(F.col(species) > 0, F.col(otus) / F.col(species)).otherwise(1.0)
     return merged.agg(
-        F.count("*").alias("total_taxa"), F.avg(coverage).alias("avg_coverage"),
+        F.count("*").alias("total_taxa"), exact_mean(coverage, 2).alias("avg_coverage"),
         F.avg(novelty).alias("avg_novelty"),
         F.corr(F.col(otus).cast("double"), F.col(species).cast("double")).alias("correlation"),
     )
@@ -226,7 +226,7 @@ def genus_contribution(members: DataFrame) -> DataFrame:
     grouped = members.groupBy("genus").agg(
         F.array_join(F.array_sort(F.collect_set("listed_family")), "; ").alias("associated_families"),
         F.count("*").alias("number_of_families"),
-        F.avg("novelty_factor").alias("_avg"),
+        exact_mean("novelty_factor", 3).alias("_avg"),
         F.max("size").alias("genus_census_size_count"), F.min("phylum").alias("phylum"),
     )
     return grouped.withColumn("average_family_novelty_factor", round_even("_avg", 3)).drop("_avg")
@@ -242,7 +242,7 @@ def overrepresented_genera(census: DataFrame, merged: DataFrame, families: DataF
     factor = families.select(F.col("family").alias("listed_family"), "factor")
     grouped = members.join(factor, "listed_family").groupBy("genus").agg(
         F.array_join(F.array_sort(F.collect_set("listed_family")), "; ").alias("associated_families"),
-        F.count("*").alias("number_of_families"), F.avg("factor").alias("_avg"),
+        F.count("*").alias("number_of_families"), exact_mean("factor", 3).alias("_avg"),
         F.max("otu_count").alias("census_otu_count"),
     )
     db = merged.select(F.col("taxon").alias("genus"), F.col(species).alias("db_species_count"),
@@ -268,14 +268,14 @@ def novelty_by_genus(joined: DataFrame) -> DataFrame:
     return joined.groupBy("genus", "novelty_factor", "census_otu_count").agg(
         F.count("*").alias("num_combinations"), F.sum("row_count").alias("total_clusters"),
         F.sum("total_size").alias("total_size"),
-        round_even(F.avg("avg_size_per_cluster"), 2).alias("avg_cluster_size"),
+        round_even(exact_mean("avg_size_per_cluster", 2), 2).alias("avg_cluster_size"),
     )
 
 
 def novelty_by_family(placed: DataFrame) -> DataFrame:
     return placed.where(F.col("family") != "NOT_FOUND").groupBy("family").agg(
         F.count("genus").alias("genera"),
-        round_even(F.avg("novelty_factor"), 1).alias("mean_novelty"),
+        round_even(exact_mean("novelty_factor", 3), 1).alias("mean_novelty"),
         F.sum("census_otu_count").alias("census_otu_count"),
     )
 

@@ -13,6 +13,7 @@ from cladetally.functions import fixed_values as fv
 from cladetally.functions import lineages as ln
 from cladetally.functions import names as nm
 from cladetally.functions import predicates as pr
+from cladetally.functions.common import exact_mean
 from cladetally.operators import anchor, census as ce, figures as fg, genomes as ge
 from cladetally.operators import keyed as ky, matching as mt, quality as qu, taxonomy as tx
 from cladetally.session import materialize
@@ -187,7 +188,7 @@ def coverage_summary(merged: DataFrame, level: str, species: str) -> DataFrame:
     return counted.agg(
         F.lit(level).alias("level"), F.sum("n").alias("total_taxa"),
         F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("taxa_with_species"),
-        (F.sum(F.col("coverage_percentage") * F.col("n")) / F.sum("n")).alias("mean_coverage"),
+        exact_mean("coverage_percentage", 2, "n").alias("mean_coverage"),
         F.percentile("coverage_percentage", 0.5, F.col("n")).alias("median_coverage"),
     ).withColumn("coverage_pct", F.col("taxa_with_species") / F.col("total_taxa") * 100)
 

@@ -153,3 +153,19 @@ def test_systematic_sample_repeats(spark):
     df = spark.range(1000).select(F.col("id").cast("string").alias("k"))
     a = {r.k for r in ky.systematic_sample(df, 100, "k").collect()}
     assert a == {r.k for r in ky.systematic_sample(df.repartition(7), 100, "k").collect()} and 50 < len(a) < 200
+
+
+def test_orders(spark):
+    df = spark.createDataFrame([
+        ("a", "x", 3, 1.0, "census_only"), ("b", "x", 9, 5.0, "matched"), ("c", "y", 5, float("inf"), "matched"),
+        ("d", "y", 20, 2.0, "ncbi_only"), ("e", "y", 1, 5.0, "matched"),
+    ], "k string, g string, n bigint, f double, match_status string")
+
+    def keys(frame):
+        return "".join(r.k for r in frame.collect())
+
+    assert keys(ky.sort_matched_first(df, "n", "k")) == "bceda"
+    assert keys(ky.sort_by_novelty(df, "f", "n", "k")) == "cbeda"
+    assert keys(ky.sort_by_species(df, "n", "f", "k")) == "dbcae"
+    assert keys(ky.order_by_group_block(df, "g", "n", ["k"])) == "dceba"
+    assert keys(ky.bottom_k(df, "n", 2, ["k"])) == "ea"
