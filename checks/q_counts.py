@@ -186,7 +186,7 @@ def _(s, d):
  CASE WHEN contains(name, 'Group') OR contains(name, 'group') THEN 'Group_taxa' END], lambda x: x IS NOT NULL)) AS pattern FROM hard_names)) WHERE position <= 5""")
 def _(s, d):
     rows = sh.hard_names(s, d).select(F.col("name").alias("taxon"), F.col("p_partkey").alias("otu_count"))
-    return ce.unmapped_pattern_examples(rows).select("pattern", "taxon", "position")
+    return ce.unmapped_pattern_examples(rows).select("pattern", "taxon", F.col("position").cast("bigint").alias("position"))
 
 
 @query("a35_occurrence", """SELECT taxon, bool_or(r = 0) AS in_division, bool_or(r = 1) AS in_family, bool_or(r = 2) AS in_genus, arg_min(n, r)::BIGINT AS otu_count FROM (

@@ -137,7 +137,7 @@ def _(s, d):
  FROM (SELECT taxon, ncbi_genome_count::DOUBLE AS a, census_size_count::DOUBLE AS b, census_otu_count::DOUBLE AS c, ncbi_species_count::DOUBLE AS e FROM merged_genus)) QUALIFY rank <= 10""")
 def _(s, d):
     out = fg.total_representation(sh.merged(s, d), ["ncbi_genome_count", "census_size_count", "census_otu_count", "ncbi_species_count"], 10)
-    return out.select("taxon", round_even("total_representation", 6).alias("total_representation"), "rank")
+    return out.select("taxon", round_even("total_representation", 6).alias("total_representation"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("a53_scaled_sizes", """SELECT taxon, round_even((3 + (r - min(r) OVER ()) * 9 / (max(r) OVER () - min(r) OVER ())) * 1000000, 0) / 1000000 AS circle_size FROM (SELECT taxon, sqrt(greatest(ncbi_genome_count::DOUBLE / greatest(isolate_count, 1), 1)) AS r FROM merged_genus)""")

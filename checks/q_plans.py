@@ -14,14 +14,14 @@ from checks.registry import query
  FROM merged_family WHERE match_status = 'matched' QUALIFY rank <= 10""")
 def _(s, d):
     out = pl.top_novel_taxa(sh.merged(s, d, "family"), 10)
-    return out.select("rank", "taxon", "census_otu_count", "ncbi_species_count", "novelty_factor", "overrepresentation_factor")
+    return out.select(F.col("rank").cast("bigint").alias("rank"), "taxon", "census_otu_count", "ncbi_species_count", "novelty_factor", "overrepresentation_factor")
 
 
 @query("top_novel_genera", """SELECT row_number() OVER (ORDER BY novelty_factor DESC, taxon) AS rank, taxon, census_otu_count, ncbi_species_count, novelty_factor, overrepresentation_factor
  FROM merged_genus WHERE match_status = 'matched' QUALIFY rank <= 25""")
 def _(s, d):
     out = pl.top_novel_taxa(sh.merged(s, d, "genus"), 25)
-    return out.select("rank", "taxon", "census_otu_count", "ncbi_species_count", "novelty_factor", "overrepresentation_factor")
+    return out.select(F.col("rank").cast("bigint").alias("rank"), "taxon", "census_otu_count", "ncbi_species_count", "novelty_factor", "overrepresentation_factor")
 
 
 RESOLVED = LADDER_18S.replace("FROM src", "FROM (SELECT DISTINCT genus AS name FROM clusters WHERE genus IS NOT NULL)")

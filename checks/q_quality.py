@@ -92,7 +92,7 @@ def _(s, d):
 
 @query("a24_rank_top_taxa", f"""SELECT 'phylum' AS rank, phylum AS taxon, n AS total_genomes, position FROM (SELECT phylum, sum(total_genomes)::BIGINT AS n, row_number() OVER (ORDER BY sum(total_genomes) DESC, phylum) AS position FROM {STATS} WHERE phylum IS NOT NULL GROUP BY phylum) WHERE position <= 10""")
 def _(s, d):
-    return qu.rank_top_taxa(_stats(s, d), ["phylum"])
+    return qu.rank_top_taxa(_stats(s, d), ["phylum"]).withColumn("position", F.col("position").cast("bigint"))
 
 
 @query("a25_anomalies", f"""SELECT rule, count(*) AS species FROM (SELECT unnest(list_filter([CASE WHEN total_genomes > 1000 THEN 'many_genomes' END, CASE WHEN isolate_count = 0 AND total_genomes > 100 THEN 'uncultured_only' END,

@@ -123,7 +123,7 @@ def _(s, d):
     path = _place(s, "documents.tsv")
     st.write_table(sh.t(s, d, "documents").select("doc_id", "text"), path, "tsv")
     back = s.read.schema("doc_id bigint, text string").option("sep", "\t").option("header", True).csv(path)
-    return back.select("doc_id", F.length("text").alias("n_chars"))
+    return back.select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
 
 
 @query("s11_systematic_sample", """SELECT assembly_accession, taxid, count(*) AS n FROM assemblies
@@ -207,13 +207,13 @@ def _(s, d):
 @query("w6_first_accessions", """SELECT taxon, accession_clean, accession_no FROM (SELECT taxon, accession_clean, row_number() OVER (PARTITION BY taxon ORDER BY accession_clean) AS accession_no
  FROM (SELECT DISTINCT taxon, accession_clean FROM acc_a)) WHERE accession_no <= 10""")
 def _(s, d):
-    return ky.first_accessions(sh.acc_a(s, d), "taxon").select("taxon", "accession_clean", "accession_no")
+    return ky.first_accessions(sh.acc_a(s, d), "taxon").select("taxon", "accession_clean", F.col("accession_no").cast("bigint").alias("accession_no"))
 
 
 @query("w7_rank_in_top_list", """SELECT row_number() OVER (ORDER BY n DESC, genus) AS rank, genus, n FROM (SELECT genus, count(*) AS n FROM assemblies GROUP BY genus) QUALIFY rank <= 20""")
 def _(s, d):
     n = sh.assemblies(s, d).groupBy("genus").agg(F.count("*").alias("n"))
-    return ky.top_list(n, "n", 20, ["genus"]).select("rank", "genus", "n")
+    return ky.top_list(n, "n", 20, ["genus"]).select(F.col("rank").cast("bigint").alias("rank"), "genus", "n")
 
 
 # --- top lists ---------------------------------------------------------------------------------------------------
@@ -233,7 +233,7 @@ def _(s, d):
 
 @raw_query("t3_top_with_other", _with(f"{G},\n{TOPN}", f"SELECT taxon, position, axis, c::DOUBLE AS absolute_count FROM ({AXES})"))
 def _(s, d):
-    return _axes(s, d).select("taxon", "position", "axis", "absolute_count")
+    return _axes(s, d).select("taxon", F.col("position").cast("bigint").alias("position"), "axis", "absolute_count")
 
 
 @raw_query("t3_axis_links", _with(f"{G},\n{TOPN}", "SELECT taxon, 'genomes' AS source, 'species' AS target, species::DOUBLE AS value FROM topn"))
