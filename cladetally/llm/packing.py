@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cladetally.session import materialize
+
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SLICE_CHARS = 1_000_000
 # A slice ends between a non-space character and white space: no token of the vocabulary spans that.
@@ -147,6 +149,7 @@ def pack(pieces: DataFrame, max_tokens: int = 1024, max_segments: int = 512, max
     if taken:
         raise ValueError(f"the frame already has {sorted(taken)}")
     limits = (max_tokens, max_segments, max_tokens if max_loss is None else max_loss)
+    pieces = materialize(pieces)  # counted first, then dealt out
     groups = max(1, math.ceil(pieces.count() / group_rows))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     integers = [f.name for f in pieces.schema.fields if isinstance(f.dataType, (T.LongType, T.IntegerType))]
