@@ -134,7 +134,8 @@ def join_blocks(placed: DataFrame, slots: DataFrame, block_words: int = BLOCK_WO
     spans = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {block_words}"), last)))
     begin = F.greatest(F.col("start"), F.col("block") * block_words)
     end = F.least(F.col("start") + F.col("size"), F.col("block") * block_words + F.col("words"))
-    return (spans.join(slots, ["source_key", "block"])
+    # The slots come from a handful of rows, so their size is estimated far too low for a broadcast.
+    return (spans.join(slots.hint("merge"), ["source_key", "block"])
             .withColumn("from_word", begin - F.col("start"))
             .withColumn("n_words", end - begin)
             .where("n_words > 0"))
