@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladetally.llm import language, mixing, order_minhash, packing, preferences, secret_scan, sentence_spans, site_quality, vectors
+from cladetally.llm import language, mixing, order_minhash, packing, preferences, secret_scan, sentence_spans, set_join, site_quality, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -67,6 +67,25 @@ def op3(spark, folder):
     return sentence_spans.remove_repeated(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query("op4_set_join", r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () id, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') words FROM documents),
+s AS (SELECT id, doc_id, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+             WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END h FROM w),
+e AS (SELECT id, len(h) n, unnest(h) t FROM s),
+p AS (SELECT a.id a, b.id b FROM e a JOIN e b ON a.t = b.t AND a.id < b.id
+      GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(a, b) AS (SELECT id, id FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT s.doc_id, CAST(len(s.h) AS BIGINT) AS n_shingles, c.component_id
+FROM s JOIN (SELECT r.a, min(d.doc_id) component_id FROM r JOIN s d ON r.b = d.id GROUP BY r.a) c ON s.id = c.a
+""")
+def op4(spark, folder):
+    """Component of every document under a Jaccard similarity of 0.8 of five-word shingles."""
+    found = set_join.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 @query("op5_vector_packing")
 def op5(spark, folder):
     """All documents as pieces of at most 1,024 ids, packed."""
