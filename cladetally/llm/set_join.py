@@ -5,10 +5,11 @@ result names each document's connected component.
 
 1. Sets and classes. Documents with equal sets are one class; only one set per class is joined.
 2. Index. A set's tokens are put in one order for all sets: by how often a sample of the documents holds them, rare
-   ones first, then by hash. Linked sets share one of their first n - ceil(0.8 n) + 1 tokens, so only those are
-   indexed, with their position. The order only decides the cost, never the result.
-3. Answers of pivots. In every index list one set is the pivot. All sets of the list are compared with it, which
-   takes as many comparisons as the list has entries. Their exact overlaps with the pivot are kept.
+   ones first, then by hash. The first l tokens that linked sets share stand among the first n - ceil(0.8 n) + l of
+   either, so only those are indexed, with their position, and only sets that share l indexed tokens are compared;
+   l = 1 + n / 32 keeps documents apart that share a passage. The order only decides the cost, never the result.
+3. Answers of pivots. In every index list one set is the pivot. The sets that share l tokens of its lists with it are
+   compared with it, which takes no more comparisons than the lists have entries. Their exact overlaps are kept.
 4. Answers derived from them. Lists whose sets are all connected by now are skipped whole. In the others, sets of
    different components meet block by block: a list is cut into blocks by size, blocks that cannot hold partners
    are never joined, and entries whose positions leave too few tokens are skipped. For two sets compared with the same
@@ -17,7 +18,7 @@ result names each document's connected component.
 5. Components by alternating large-star and small-star steps over the links.
 
 Copies never meet in pairs; near copies meet their pivots, not each other. Sets are recomputed from the text where a
-comparison needs them, so that no table of all sets is stored.
+comparison needs them, so that no table of all sets is stored or moved.
 
 Sets hold 64-bit hashes of shingles; a class is named by a 64-bit hash of its set, which two different sets of a
 corpus share with a probability of about (number of sets)^2 / 2^65.
@@ -40,7 +41,7 @@ SHINGLE = 5
 SAMPLE_SHARE = 16
 SAMPLE_LEAST = 4
 RANKED_TOKENS = 1 << 19
-BROADCAST_KEYS = 4_000_000
+BROADCAST_KEYS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,6 +65,11 @@ def _near_size(n: Column, m: Column) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m))
 
 
+def shared_least(n: Column) -> Column:
+    """Tokens of the index that two linked sets share at least; the smaller of the two sets' numbers counts."""
+    return F.least(F.floor((4 * n + 4) / 5), 1 + F.floor(n / 32)).cast("int")
+
+
 def token_ranks(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that several documents of a sixteenth of the texts hold, sorted, and their rank, rare ones first.
 
@@ -95,7 +101,8 @@ def indexed(docs: DataFrame) -> DataFrame:
                 rank = np.where(tokens[at] == flat, ranks[at], 0)
                 if rank.any():
                     flat = flat[np.lexsort((flat, rank, row))]
-            kept = np.where(sizes > 0, sizes - (4 * sizes + 4) // 5 + 1, 0)
+            least = (4 * sizes + 4) // 5
+            kept = np.where(sizes > 0, sizes - least + np.minimum(least, 1 + sizes // 32), 0)
             inside = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             offsets = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[inside < np.repeat(kept, sizes)], pa.int64()))
@@ -106,20 +113,29 @@ def indexed(docs: DataFrame) -> DataFrame:
 
 
 def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Exact overlap of pairs (a, n_a, b, n_b) of classes: the sets are built from one text of each class."""
-    wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-                         .join(classes.select("node", "text_key"), "node"))
-    keys = wanted.select("text_key")
+    """Exact overlap of pairs (a, b) of classes as a, b, n_a, n_b, overlap.
+
+    The texts of both sides are found in place by their keys and turned into sets there; only the sets travel, once
+    for each pair of b and once for a."""
+    names = classes.select("node", F.col("rep.doc_id").alias("__id"), F.col("rep.text_key").alias("__text"))
+    partners = materialize(pairs.groupBy("b").agg(F.collect_list("a").alias("partners"))
+                           .join(names, F.col("b") == F.col("node")).drop("node"))
+    pivots = materialize(pairs.select("a").distinct().join(names, F.col("a") == F.col("node")).drop("node"))
     # Broadcast up to a counted bound; beyond it a shuffled join finds the texts.
-    if wanted.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    sets = (docs.select("text").withColumn("text_key", F.xxhash64("text")).join(keys, "text_key", "left_semi")
-            .dropDuplicates(["text_key"]).select("text_key", shingles(F.col("text")).alias("h")))
-    sets = materialize(sets.select(F.xxhash64("h").alias("node"), "h").dropDuplicates(["node"]))
-    left = sets.select(F.col("node").alias("a"), F.col("h").alias("h_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("h").alias("h_b"))
-    return materialize(pairs.join(left, "a").join(right, "b").select(
-        "a", "b", "n_a", "n_b", F.size(F.array_intersect("h_a", "h_b")).alias("overlap")))
+    few = pairs.count() <= BROADCAST_KEYS
+    texts = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+
+    def sets(keys, *columns):
+        found = texts.join(F.broadcast(keys) if few else keys,
+                           F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__text")))
+        return found.select(*columns, shingles(F.col("text")).alias("h"))
+
+    members = sets(partners, "b", "partners").select("b", F.col("h").alias("h_b"), F.explode("partners").alias("a"))
+    heads = sets(pivots, "a").withColumnRenamed("h", "h_a")
+    return materialize(members.join(heads, "a").select(
+        "a", "b", F.size("h_a").alias("n_a"), F.size("h_b").alias("n_b"), F.size(F.array_intersect("h_a", "h_b")).alias("overlap"))
+        # Equal rows give a pair twice.
+        .groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("n_a", "n_b", "overlap")]))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -149,9 +165,11 @@ def links(docs: DataFrame, index: DataFrame, classes: DataFrame) -> DataFrame:
     ends = postings.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last")
     lists = materialize(postings.join(ends.select("token", "pivot"), "token").select("token", "pos", "node", "n", "pivot"))
 
+    stars = (lists.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b"))
+             .agg(F.max("n").alias("n_b"), F.countDistinct("token").alias("shared")))
     sizes = classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
-    stars = lists.where("node <> pivot").select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pivot").alias("a")).distinct()
-    answers = compare(stars.join(sizes, "a").where(_near_size(F.col("n_a"), F.col("n_b"))).select("a", "n_a", "b", "n_b"), docs, classes)
+    stars = stars.join(sizes, "a").where(_near_size(F.col("n_a"), F.col("n_b")) & (F.col("shared") >= shared_least(F.least("n_a", "n_b"))))
+    answers = compare(materialize(stars.select("a", "b")), docs, classes)
     first = answers.where(linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
     # Lists that still hold several components.
@@ -170,8 +188,9 @@ def links(docs: DataFrame, index: DataFrame, classes: DataFrame) -> DataFrame:
     y = entries.select(F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(c).alias(c if c == "token" else f"y_{c}") for c in fields], F.col("block").alias("own"))
     n, m = F.col("x_n"), F.col("y_n")
     most = F.least("x_overlap", "y_overlap") + F.least(n - F.col("x_overlap"), m - F.col("y_overlap"))
-    # A pair is met by its first common token too; that one leaves room for the whole overlap behind it.
-    room = F.least(n - F.col("x_pos"), m - F.col("y_pos"))
+    # Each of the first l common tokens leaves room for the rest of the overlap behind it.
+    least_shared = shared_least(F.least(n, m))
+    room = F.least(n - F.col("x_pos"), m - F.col("y_pos")) + least_shared - 1
     met = x.join(y, ["token", "block"]).where(
         (F.col("x_root") != F.col("y_root"))
         # Within a block each pair once; across blocks the smaller block is y's.
@@ -180,13 +199,14 @@ def links(docs: DataFrame, index: DataFrame, classes: DataFrame) -> DataFrame:
         & (F.col("x_overlap").isNull() | F.col("y_overlap").isNull() | linked(most, n, m)))
     least = F.col("x_overlap") + F.col("y_overlap") - F.col("n_pivot")
     swap = F.col("x_node") < F.col("y_node")
-    pick = lambda c: (F.when(swap, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")), F.when(swap, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")))
-    (a, b), (n_a, n_b) = pick("node"), pick("n")
-    pairs = (met.select(a.alias("a"), b.alias("b"), n_a.alias("n_a"), n_b.alias("n_b"), F.coalesce(linked(least, n, m), F.lit(False)).alias("sure"))
-             .groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.max("sure").alias("sure"))
+    a = F.when(swap, F.col("x_node")).otherwise(F.col("y_node"))
+    b = F.when(swap, F.col("y_node")).otherwise(F.col("x_node"))
+    pairs = (met.select(a.alias("a"), b.alias("b"), least_shared.alias("l"), F.coalesce(linked(least, n, m), F.lit(False)).alias("sure"))
+             .groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("l").alias("l"), F.max("sure").alias("sure"))
+             .where("shared >= l").select("a", "b", "sure")
              .join(answers.select("a", "b"), ["a", "b"], "left_anti"))
     pairs = materialize(pairs)
-    rest = compare(pairs.where(~F.col("sure")).select("a", "n_a", "b", "n_b"), docs, classes)
+    rest = compare(pairs.where(~F.col("sure")).select("a", "b"), docs, classes)
     return (first.union(pairs.where("sure").select("a", "b"))
             .union(rest.where(linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")))
 
@@ -198,7 +218,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     index = indexed(docs)
     filled = index.where("n > 0")
     classes = materialize(filled.groupBy("node").agg(
-        F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.min("text_key").alias("text_key")))
+        F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.min(F.struct("doc_id", "text_key")).alias("rep")))
     roots = components(links(docs, filled, classes))
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
