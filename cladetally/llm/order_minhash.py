@@ -143,18 +143,17 @@ def with_next(docs: DataFrame, width: int = RANGE, **sizes) -> DataFrame:
     wanted = follow.select(F.col("next_id").alias("doc_id")).distinct()
     # Several rows may share that id: the first of them in descending order of text.
     heads = plain.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("head"))
-    heads = follow.join(heads, follow["next_id"] == heads["doc_id"]).select("range", "head")
-    # The join's keys are those the documents are dealt by, so they stay where they are.
-    heads = with_fingerprints(heads, {"head_print": "head"}, **sizes).withColumn("spread", F.lit(-1).cast("long"))
-    # Rows without an id get a range by hash, which no other row has, so that they spread.
-    ranged = plain.withColumn("range", F.when(F.col("doc_id").isNotNull(), bucket)).withColumn(
-        "spread", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(65_536))).otherwise(F.lit(-1)).cast("long"))
-    # Dealt out before they are hashed, so that no fingerprint is shuffled.
-    printed = with_fingerprints(ranged.repartition("range", "spread"), {"fingerprint": "text"}, **sizes)
-    order = Window.partitionBy("range", "spread").orderBy(F.desc("doc_id"), F.desc("text"))
+    heads = follow.join(heads, follow["next_id"] == heads["doc_id"]).select(F.col("range").cast("string").alias("deal"), "head")
+    heads = with_fingerprints(heads, {"head_print": "head"}, **sizes)
+    # Rows without an id are dealt by hash, apart from the ranges, so that they spread.
+    ranged = plain.withColumn("deal", F.when(F.col("doc_id").isNotNull(), bucket.cast("string")).otherwise(
+        F.concat(F.lit("none "), F.pmod(F.xxhash64("text"), F.lit(65_536)).cast("string"))))
+    # Dealt out before they are hashed, so that no fingerprint is shuffled; the join below has the same key.
+    printed = with_fingerprints(ranged.repartition("deal"), {"fingerprint": "text"}, **sizes)
+    order = Window.partitionBy("deal").orderBy(F.desc("doc_id"), F.desc("text"))
     follows = lambda c: F.when(F.col("doc_id").isNotNull(), F.lead(c).over(order))
     return (printed.withColumn("next_text", follows("text")).withColumn("next_print", follows("fingerprint"))
-            .join(heads, ["range", "spread"], "left")
+            .join(heads, "deal", "left")
             .select("doc_id", "text", "fingerprint", F.coalesce("next_text", "head").alias("next_text"),
                     F.coalesce("next_print", "head_print").alias("next_print")))
 
