@@ -8,13 +8,16 @@ result names each document's connected component.
    ones first, then by hash. The first l tokens that linked sets share stand among the first n - ceil(0.8 n) + l of
    either, so only those are indexed, with their position, and only sets that share l indexed tokens are compared;
    l = 1 + n / 32 keeps documents apart that share a passage. The order only decides the cost, never the result.
-3. Answers of pivots. In every index list one set is the pivot. The sets that share l tokens of its lists with it are
-   compared with it, which takes no more comparisons than the lists have entries. Their exact overlaps are kept.
+3. Answers of pivots. In every index list the set in which the list's token stands first is the pivot: it has
+   the fewest rare tokens, so in a group of near copies it is the text the others were made from, or close to it. The
+   sets that share l tokens of its lists with it are compared with it, which takes no more comparisons than the lists have entries.
+   Their exact overlaps are kept, and of those that hold half of it the tokens that the pivot lacks, their extras.
 4. Answers derived from them. Lists whose sets are all connected by now are skipped whole. In the others, sets of
    different components meet block by block: a list is cut into blocks by size, blocks that cannot hold partners
-   are never joined, and entries whose positions leave too few tokens are skipped. For two sets compared with the same
-   pivot c the overlap is at most min(o_x, o_y) + min(n_x - o_x, n_y - o_y) and at least o_x + o_y - n_c, so most pairs are
-   refused or accepted from the pivot's answers alone; the rest are compared.
+   are never joined, and entries whose positions leave too few tokens are skipped. Two sets x and y with the same pivot c
+   and no common extra overlap in at most min(o_x, o_y) tokens and in at least o_x + o_y - n_c, so they are refused or
+   accepted from the pivot's answers alone. Sets with a common extra meet by an equality join on pivot and extra. What is
+   left is compared.
 5. Components by alternating large-star and small-star steps over the links.
 
 Copies never meet in pairs; near copies meet their pivots, not each other. Sets are recomputed from the text where a
@@ -112,8 +115,9 @@ def indexed(docs: DataFrame) -> DataFrame:
     return materialize(sets.mapInArrow(prefixes, "doc_id long, text_key long, node long, n int, prefix array<long>"))
 
 
-def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Exact overlap of pairs (a, b) of classes as a, b, n_a, n_b, overlap.
+def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, extras: bool = False) -> DataFrame:
+    """Exact overlap of pairs (a, b) of classes as a, b, n_a, n_b, overlap; with `extras` also what b holds beside
+    a where they share half of either.
 
     The texts of both sides are found in place by their keys and turned into sets there; only the sets travel, once
     for each pair of b and once for a."""
@@ -132,10 +136,13 @@ def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     members = sets(partners, "b", "partners").select("b", F.col("h").alias("h_b"), F.explode("partners").alias("a"))
     heads = sets(pivots, "a").withColumnRenamed("h", "h_a")
-    return materialize(members.join(heads, "a").select(
-        "a", "b", F.size("h_a").alias("n_a"), F.size("h_b").alias("n_b"), F.size(F.array_intersect("h_a", "h_b")).alias("overlap"))
-        # Equal rows give a pair twice.
-        .groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("n_a", "n_b", "overlap")]))
+    found = members.join(heads, "a").select(
+        "a", "b", F.size("h_a").alias("n_a"), F.size("h_b").alias("n_b"), F.size(F.array_intersect("h_a", "h_b")).alias("overlap"),
+        *([F.array_except("h_b", "h_a").alias("extra")] if extras else []))
+    if extras:
+        found = found.withColumn("extra", F.when(2 * F.col("overlap") >= F.greatest("n_a", "n_b"), F.col("extra")))
+    # Equal rows give a pair twice.
+    return materialize(found.dropDuplicates(["a", "b"]))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -159,24 +166,40 @@ def components(links: DataFrame) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _extra_pairs(close: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of different components that have a pivot and one of their extras in common."""
+    extras = (close.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("n_b").alias("n"), F.explode("extra").alias("token"))
+              .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    open_ = extras.groupBy("pivot", "token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("pivot", "token")
+    entries = materialize(extras.join(open_, ["pivot", "token"]))
+    x, y = (entries.select("pivot", "token", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "root")]) for side in "xy")
+    return (x.join(y, ["pivot", "token"])
+            .where((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & _near_size(F.col("x_n"), F.col("y_n")))
+            .select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), F.lit(False).alias("sure")).distinct())
+
+
 def links(docs: DataFrame, index: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes: enough to connect every two classes that qualifying pairs connect."""
     postings = index.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    ends = postings.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last")
+    first = F.shiftleft(F.col("pos").cast("long"), 32) + F.pmod("node", F.lit(1 << 32))
+    ends = (postings.groupBy("token").agg(F.min_by("node", first).alias("pivot"), F.min("node").alias("low"), F.max("node").alias("high"))
+            .where("low <> high"))
     lists = materialize(postings.join(ends.select("token", "pivot"), "token").select("token", "pos", "node", "n", "pivot"))
 
     stars = (lists.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b"))
              .agg(F.max("n").alias("n_b"), F.countDistinct("token").alias("shared")))
     sizes = classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
     stars = stars.join(sizes, "a").where(_near_size(F.col("n_a"), F.col("n_b")) & (F.col("shared") >= shared_least(F.least("n_a", "n_b"))))
-    answers = compare(materialize(stars.select("a", "b")), docs, classes)
+    answers = compare(materialize(stars.select("a", "b")), docs, classes, extras=True)
     first = answers.where(linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
     # Lists that still hold several components.
-    rooted = materialize(lists.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    roots = components(first)
+    rooted = materialize(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     open_ = rooted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
     entries = rooted.join(open_, "token").dropDuplicates(["token", "node"])
-    known = answers.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "overlap", F.col("n_a").alias("n_pivot"))
+    close = answers.where(F.col("extra").isNotNull())
+    known = close.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "overlap", F.col("n_a").alias("n_pivot"))
     entries = (entries.join(known, ["pivot", "node"], "left")
                .withColumn("overlap", F.when(F.col("node") == F.col("pivot"), F.col("n")).otherwise(F.col("overlap")))
                .withColumn("n_pivot", F.when(F.col("node") == F.col("pivot"), F.col("n")).otherwise(F.col("n_pivot")))
@@ -187,7 +210,7 @@ def links(docs: DataFrame, index: DataFrame, classes: DataFrame) -> DataFrame:
     x = entries.select("block", "n_pivot", *[F.col(c).alias(c if c == "token" else f"x_{c}") for c in fields])
     y = entries.select(F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(c).alias(c if c == "token" else f"y_{c}") for c in fields], F.col("block").alias("own"))
     n, m = F.col("x_n"), F.col("y_n")
-    most = F.least("x_overlap", "y_overlap") + F.least(n - F.col("x_overlap"), m - F.col("y_overlap"))
+    most = F.least("x_overlap", "y_overlap")
     # Each of the first l common tokens leaves room for the rest of the overlap behind it.
     least_shared = shared_least(F.least(n, m))
     room = F.least(n - F.col("x_pos"), m - F.col("y_pos")) + least_shared - 1
@@ -203,8 +226,10 @@ def links(docs: DataFrame, index: DataFrame, classes: DataFrame) -> DataFrame:
     b = F.when(swap, F.col("y_node")).otherwise(F.col("x_node"))
     pairs = (met.select(a.alias("a"), b.alias("b"), least_shared.alias("l"), F.coalesce(linked(least, n, m), F.lit(False)).alias("sure"))
              .groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("l").alias("l"), F.max("sure").alias("sure"))
-             .where("shared >= l").select("a", "b", "sure")
-             .join(answers.select("a", "b"), ["a", "b"], "left_anti"))
+             .where("shared >= l").select("a", "b", "sure"))
+    pairs = (pairs.union(_extra_pairs(close, roots)).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+             # Pivots may be on either side of a pair.
+             .join(answers.select("a", "b").union(answers.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), ["a", "b"], "left_anti"))
     pairs = materialize(pairs)
     rest = compare(pairs.where(~F.col("sure")).select("a", "b"), docs, classes)
     return (first.union(pairs.where("sure").select("a", "b"))
