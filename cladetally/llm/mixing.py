@@ -172,7 +172,7 @@ def render(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     single spaces. Columns of `docs` are kept; n_chars, if there, is counted anew."""
     # Times a word range is taken are numbered per document by epoch, so a copy holds each word once at most.
     ranges = (pieces.groupBy("row_key", "source_key", "start", "size", "epoch")
-              .agg(F.array_sort(F.collect_list(F.struct(F.col("from_word").cast("int"), F.col("n_words").cast("int")))).alias("ranges"),
+              .agg(F.array_sort(F.collect_list(F.struct(F.col("from_word").cast("int").alias("from_word"), F.col("n_words").cast("int").alias("n_words")))).alias("ranges"),
                    F.sum("n_words").alias("copy_words"))
               # Equal rows share one row of text below.
               .groupBy("row_key").agg(F.collect_list(F.struct("start", "size", "epoch", "ranges", "copy_words")).alias("copies")))
