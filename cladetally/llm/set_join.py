@@ -45,6 +45,7 @@ SAMPLE_SHARE = 16
 SAMPLE_LEAST = 4
 RANKED_TOKENS = 1 << 19
 BROADCAST_KEYS = 1_000_000
+SLICE_ROWS = 512
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -95,10 +96,11 @@ def indexed(docs: DataFrame) -> DataFrame:
 
     def prefixes(batches):
         tokens, ranks = shared.value
-        for batch in batches:
+        # Slices of a batch bound what the sort holds.
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             sizes = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
             flat = batch.column("h").flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(sizes)), sizes)
+            row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
             if len(tokens) and len(flat):
                 at = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
                 rank = np.where(tokens[at] == flat, ranks[at], 0)
