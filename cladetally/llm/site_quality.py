@@ -154,12 +154,13 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: Column
     seen = materialize(with_evidence(docs.select("doc_id", F.col(host).alias("host"), place.alias("path"), "text"), model).drop("text"))
     sites, prior = site_rates(seen.join(known, "doc_id", "left").withColumn("value", F.coalesce("__label", "evidence")))
     own = F.col("evidence")
-    renamed = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "n", "s", "host_n", "host_s")
+    renamed = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"),
+                           *[F.col(c).alias(f"__{c}") for c in ("n", "s", "host_n", "host_s")])
     rows = with_evidence(docs, model).join(
         renamed, F.col(host).eqNullSafe(F.col("__host")) & place.eqNullSafe(F.col("__path")), "left")
     left = lambda total, n: (F.greatest(F.col(total) - own, F.lit(0.0)), F.greatest(F.col(n) - 1, F.lit(0)))
-    host_s, host_n = left("host_s", "host_n")
-    path_s, path_n = left("s", "n")
+    host_s, host_n = left("__host_s", "__host_n")
+    path_s, path_n = left("__s", "__n")
     host_rate = (host_s + prior["a"] * prior["rate"]) / (host_n + prior["a"])
     quality = 1 / (1 + F.exp(-(log_odds(own) + log_odds(F.col("path_rate")) - log_odds(F.lit(prior["rate"])))))
     return (rows.withColumn("host_rate", F.least(host_rate, F.lit(1.0)))

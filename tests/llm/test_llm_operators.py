@@ -1,0 +1,350 @@
+"""Small fixtures and brute force for the training-data operators."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cladetally.llm import (language, mixing, order_minhash, packing, preferences, secret_scan, sentence_spans, set_join, site_quality,
+                            vectors)
+from cladetally.llm.queries import ranks_path
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+EDGE = [(1, None), (2, ""), (3, " \n\t"), (4, "a"), (5, "Same text here."), (6, "Same text here."), (6, "Same text here."),
+        (None, "no id"), (None, None), (7, "é ß 漢字 🙂"), (8, "x" * 5000), (9, "w " * 4000)]
+
+
+def words(seed, n, size=400):
+    rng = np.random.default_rng(seed)
+    return [f"w{i}" for i in rng.integers(0, size, n)]
+
+
+# 1 order MinHash
+
+def test_edited_text_and_next(documents):
+    rows = [(i, " ".join(words(i, 30 + 7 * i))) for i in range(1, 40)]
+    got = {r["doc_id"]: r for r in order_minhash.with_edited(documents(rows), width=4).collect()}
+    ids = sorted((i for i, _ in rows), reverse=True)
+    texts = dict(rows)
+    for at, i in enumerate(ids):
+        text, after = texts[i], texts[ids[(at + 1) % len(ids)]]
+        third = len(text) // 3
+        want = text[:len(text) - third] + after[:third]
+        assert got[i]["edited_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert got[i]["n_chars"] == len(text) and 0 <= got[i]["near_next"] <= got[i]["near_edited"] <= 1
+        assert got[i]["near_next"] == pytest.approx(np.mean([
+            got[i]["fingerprint"][k:k + 16] == got[ids[(at + 1) % len(ids)]]["fingerprint"][k:k + 16] for k in range(0, 1024, 16)]))
+
+
+def test_fingerprint_selection_by_brute_force(spark):
+    """The l values after each point, put in text order."""
+    text = " ".join(words(3, 200, 60))
+    row = spark.createDataFrame([(text,)], "text string")
+    s = F.sort_array(order_minhash._numbered(F.col("s")))
+    numbered = (row.select(F.sort_array(order_minhash._kmers(F.col("text"), 3)).alias("s")).select(s.alias("s")).first()["s"])
+    assert numbered == sorted(numbered) and len(numbered) == 200 and len({x >> 24 for x in numbered}) == 200
+    got = order_minhash.with_fingerprints(row, {"f": "text"}).first()["f"]
+    pairs = []
+    for j in range(64):
+        at = -(1 << 63) + (j << 58)
+        after = sorted(numbered, key=lambda x: (x < at, x))[:2]
+        pairs.append([x >> 24 for x in sorted(after, key=lambda x: x & 0xFFFFFF)])
+    want = [spark.range(1).select(F.xxhash64(F.lit(a), F.lit(b))).first()[0] for a, b in pairs[:8]]
+    assert got[:8] == want
+
+
+def test_fingerprint_edge_cases(documents):
+    got = order_minhash.with_edited(documents(EDGE)).collect()
+    assert len(got) == len(EDGE) and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    assert len({r["fingerprint"] for r in got if r["doc_id"] in (5, 6)}) == 1
+    assert order_minhash.with_edited(documents([])).count() == 0
+    single = order_minhash.with_edited(documents([(1, "a b c d e f")])).first()
+    assert single["near_next"] == 1.0
+
+
+def test_fingerprints_see_order(spark):
+    a, b = words(1, 300, 5000), words(2, 300, 5000)
+    rows = spark.createDataFrame([(" ".join(a + b), " ".join(b + a))], "x string, y string")
+    moved = order_minhash.with_fingerprints(rows, {"f": "x", "g": "y"}).select(order_minhash.likeness(F.col("f"), F.col("g")).alias("l")).first()["l"]
+    assert 0.2 < moved < 0.8  # the shingle sets are almost equal
+
+
+# 2 secret scans
+
+def secret_docs():
+    rows = []
+    for i in range(120):
+        body = " ".join(words(i, 40))
+        rows.append((i, f"{body} token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" {body}", "app"))
+        rows.append((1000 + i, f"{body} card {4000000000000000 + i * 7919} thanks {body}", "shop"))
+    return rows
+
+
+def test_forest_separates_and_redacts(documents):
+    docs = documents(secret_docs())
+    plain = docs.select("doc_id", F.col("source").alias("path"), "text")
+    model = secret_scan.train(secret_scan.label_by_rule(plain), plain)
+    assert model.trees
+    found = secret_scan.scan(plain, model).collect()
+    assert all(r["is_secret"] == (r["doc_id"] < 1000) for r in found) and len(found) == 240
+    clean = secret_scan.redact(docs, model)
+    assert clean.columns == docs.columns and clean.where("text like '%[SECRET]%'").count() == 120
+
+
+def test_secret_edge_cases(documents):
+    docs = documents(EDGE).select("doc_id", F.col("source").alias("path"), "text")
+    model = secret_scan.train(secret_scan.label_by_rule(docs), docs)
+    assert model.trees == [] and model.base == 0.5
+    assert secret_scan.scan(docs, model).count() == 0
+    assert secret_scan.scan(documents([]).select("doc_id", F.col("source").alias("path"), "text"), model).count() == 0
+
+
+# 3 sentence spans
+
+def test_repeated_runs_go(documents):
+    run = "One two three four five six seven. Eight nine ten eleven twelve thirteen. "
+    rows = [(1, "Start here. " + run + "End."), (2, "Other start. " + run + "Fin."), (3, run + run), (4, "Eight. Nine. "), (5, "Eight. Nine. ")]
+    got = {r["doc_id"]: r for r in sentence_spans.remove_repeated(documents(rows).select("doc_id", "text", "token")).collect()}
+    assert got[1]["text"] == rows[0][1] and got[2]["text"] == "Other start. Fin." and got[3]["text"] == ""
+    assert got[5]["text"] == "Eight. Nine. " and got[2]["n_removed"] == 2 and got[3]["n_removed"] == 4
+
+
+def test_sentence_edge_cases(documents):
+    got = sentence_spans.remove_repeated(documents(EDGE)).collect()
+    assert sorted(map(str, (r["text"] for r in got))) == sorted(str(t) for _, t in EDGE)
+    assert sentence_spans.remove_repeated(documents([])).count() == 0
+
+
+# 4 n-gram Jaccard join
+
+def brute_components(rows):
+    sets = []
+    for _, text in rows:
+        w = WORDS.findall((text or "").translate(str.maketrans(set_join.UPPER, set_join.LOWER)))
+        sets.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    out = []
+    for i, (doc_id, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if root(j) == root(i) and rows[j][0] is not None]
+        out.append((doc_id, len(sets[i]), min(ids, default=None) if sets[i] else doc_id))
+    return sorted(out, key=str)
+
+
+def near_copies():
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(6):
+        base = words(100 + g, 60 + 40 * g, 3000)
+        for c in range(14):
+            w = list(base)
+            for k in rng.integers(0, len(w), rng.integers(0, 2 + g)):
+                w[k] = f"z{rng.integers(0, 40)}"
+            rows.append((int(1000 * rng.random() * 1000), " ".join(w[:len(w) - int(rng.integers(0, 8))])))
+    passage = words(9, 45, 3000)
+    rows += [(5000000 + i, " ".join(words(500 + i, 30 + i) + passage + words(700 + i, 20))) for i in range(30)]
+    return rows
+
+
+def test_join_equals_brute_force(documents):
+    rows = near_copies() + [(9, "a b"), (10, "A B"), (11, "b a"), (12, "a"), (13, None), (14, "")]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in set_join.near_duplicates(documents(rows)).collect()), key=str)
+    assert got == brute_components(rows)
+
+
+def test_join_edge_cases_and_keep(documents):
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in set_join.near_duplicates(documents(EDGE)).collect()), key=str)
+    assert got == brute_components(EDGE)
+    kept = set_join.keep_first(documents(EDGE)).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["1", "2", "3", "4", "5", "None", "None", "7", "8", "9"])
+    assert set_join.near_duplicates(documents([])).count() == 0 and set_join.keep_first(documents([])).count() == 0
+
+
+# 5 packing
+
+def test_ids_equal_the_named_tokenizer(documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [t for _, t in EDGE] + ["don't  stop\n\n  now\t\tok   x\x1c!\x1c end ", "ab " * 3000, "12.5% — „Zitat“ l'été\r\n"]
+    got = packing.tokenize_pieces(documents(list(enumerate(texts))), ranks_path(), 64).collect()
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        pieces = sorted((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got if r["doc_id"] == i)
+        assert pieces == [(a, len(ids[a:a + 64]), zlib.crc32(ids[a:a + 64].tobytes()), len(ids)) for a in range(0, len(ids), 64)]
+
+
+def test_slices_keep_ids():
+    text = " ".join(words(1, 4000)) + "\n\n  x"
+    encode = packing.encoding(ranks_path()).encode_ordinary
+    assert [i for part in packing.slices(text, 500) for i in encode(part)] == encode(text)
+
+
+def test_limits_hold_together(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, int(t), int(s), int(min(t, q))) for i, (t, s, q) in enumerate(zip(rng.integers(1, 900, 3000), rng.integers(1, 6, 3000), rng.integers(0, 700, 3000)))]
+    df = spark.createDataFrame(rows, "id long, length long, segs int, loss long")
+    got = packing.pack(df, 1024, 8, 800, segments="segs", loss="loss", group_rows=1000).toPandas()
+    sums = got.groupby("sequence_id").agg({"length": "sum", "segs": "sum", "loss": "sum"})
+    assert len(got) == 3000 and (sums.max() <= [1024, 8, 800]).all()
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]]
+    assert packing.pack(df.limit(0)).count() == 0
+
+
+# 6 block matrix join
+
+def test_nearest_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 24)).astype(np.float32)
+    x[100:140] = x[100]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(600)]
+    odd = [(700, None), (701, [0.0] * 24), (702, [float("nan")] * 24), (703, [None] * 24), (704, [1.0, 2.0]), (720, [1.0, 3.0]), (None, [1.0] * 24), (705, [])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
+    use = vectors.usable(df)
+    got = vectors.nearest(use, use.where("vec_id % 20 = 0"), 20, candidate_rows=128, query_rows=8).collect()
+    m = x.astype(np.float64)
+    for q in range(0, 600, 20):
+        scores = (m * m[q]).sum(axis=1)
+        scores[q] = -np.inf
+        want = [(int(i), scores[i]) for i in np.lexsort((np.arange(600), -scores))[:20]]
+        assert [(r["vec_id"], r["score"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+    assert [(r["vec_id"], r["score"], r["rank"]) for r in got if r["query_id"] == 720] == [(704, 7.0, 1)]
+    assert vectors.nearest(use.limit(0), use.limit(0)).count() == 0
+
+
+# 7 mixing
+
+def test_mix_meets_targets(documents):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 300))), f"s{int(rng.integers(0, 5))}" if i % 9 else None) for i in range(400)] + [(900, None, "s0"), (901, "a b c", "tiny"), (901, "a b c", "tiny")]
+    got = mixing.taken_words(documents(rows), block_words=64).toPandas()
+    again = mixing.taken_words(documents(rows), block_words=64).toPandas()
+    by = ["doc_id", "size", "taken"]
+    assert got.sort_values(by).reset_index(drop=True).equals(again.sort_values(by).reset_index(drop=True))
+    assert len(got) == len(rows) and (got["taken"] <= 3 * got["size"]).all()
+    sources = sorted({r[2] for r in rows if r[2]}) + [None]
+    sizes = {s: sum(len((t or "").split()) for _, t, q in rows if q == s) for s in sources}
+    total, weights = sum(sizes.values()), {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    want, free = {}, set(sources)
+    while free:
+        level = (total - sum(want.values())) / sum(weights[s] for s in free)
+        over = {s for s in free if level * weights[s] > 3 * sizes[s]}
+        want |= {s: 3.0 * sizes[s] for s in over} if over else {s: level * weights[s] for s in free}
+        free = free - over if over else set()
+    ids = {(i, len((t or "").split())): s for i, t, s in rows}
+    got["source"] = [ids[k] for k in zip(got["doc_id"], got["size"])]
+    for s in sources:
+        part = got[got["source"].isna()] if s is None else got[got["source"] == s]
+        assert part["target"].iloc[0] == pytest.approx(want[s]) and abs(part["taken"].sum() - want[s]) <= 1
+    assert mixing.taken_words(documents([])).count() == 0
+    assert {r["taken"] for r in mixing.taken_words(documents([(1, None), (2, "")])).collect()} == {0}
+
+
+def test_rendered_words_are_the_taken_ones(documents):
+    rows = [(i, " ".join(words(i, 20 + i)), f"s{i % 4}") for i in range(60)] + [(70, "x y", "s1"), (70, "x y", "s1")]
+    docs = documents(rows)
+    _, _, pieces = mixing.mix(docs, block_words=32)
+    out = mixing.render(docs, pieces)
+    assert out.columns == docs.columns
+    got = out.groupBy("doc_id").agg(F.sum(mixing.word_count("text")).alias("n")).toPandas().set_index("doc_id")["n"].to_dict()
+    want = mixing.taken_words(docs, block_words=32).groupBy("doc_id").agg(F.sum("taken").alias("n")).toPandas().set_index("doc_id")["n"].to_dict()
+    assert got == {k: v for k, v in want.items() if v}
+
+
+# 8 site quality
+
+def test_sites_shrink_and_documents_decide(documents, spark):
+    good = [(i, " ".join(words(i, 80, 5000)).capitalize() + ".", f"h{i % 7}", "en") for i in range(300)]
+    bad = [(1000 + i, "SPAM!! " * (20 + i % 5), f"h{i % 7}", "de") for i in range(100)]
+    labels = spark.createDataFrame([(r[0], int(r[0] < 1000)) for r in good[::2] + bad[::2]] + [(None, 1), (5, None), (77777, 0)], "doc_id long, quality int")
+    got = site_quality.score(documents(good + bad + [(5000, None, "h1", None), (5001, "", None, None)]), labels).toPandas()
+    assert len(got) == 402 and ((got["quality"] >= 0.5) == (got["doc_id"] < 1000)).all()
+    few = site_quality.score(documents(good), labels.limit(0)).toPandas()
+    assert (few["evidence"] == 1.0).all()
+    assert site_quality.score(documents([]), labels).count() == 0
+
+
+def test_rates_by_hand(spark):
+    rows = [("a", "p", 1.0)] * 30 + [("a", "q", 0.0)] * 30 + [("b", None, 1.0)] * 2
+    sites, prior = site_quality.site_rates(spark.createDataFrame(rows, "host string, path string, value double"))
+    assert prior["rate"] == pytest.approx(32 / 62) and sites.count() == 3
+    assert prior["b"] == site_quality.WEAKEST  # paths explain everything
+
+
+# 9 language
+
+def test_languages(documents):
+    rng = np.random.default_rng(4)
+    letters = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
+    rows = [(i, " ".join("".join(rng.choice(list(letters[lang]), 5)) for _ in range(30)), "s", lang)
+            for i, lang in enumerate(list(letters) * 40)]
+    rows += [(500, None, "s", "aa"), (501, "12 34 !!", "s", "bb"), (None, "abcde abcde", None, None), (502, "x" * 600_000, None, "aa")]
+    got = language.identify(documents(rows)).collect()
+    assert len(got) == len(rows)
+    want = {r[0]: r[3] for r in rows[:120]}
+    for r in got:
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        assert 0 <= r["score"] <= 1
+        if r["doc_id"] in (500, 501):
+            assert r["lang_pred"] == "und"
+        elif r["doc_id"] in want:
+            assert r["lang_pred"] == want[r["doc_id"]]
+    assert {r["lang_pred"] for r in language.identify(documents([(1, "abc")])).collect()} == {"und"}
+    assert language.identify(documents([])).count() == 0
+
+
+def test_filter_returns_all_languages_of_a_gram():
+    rng = np.random.default_rng(0)
+    names = [f"l{i:03}" for i in range(70)]
+    pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    members = {n: rng.choice(pool, 300, replace=False) for n in names}
+    f = language.Filter.build(names, members, positions=1 << 18)
+    masks = f.languages_of(pool)
+    wrong = 0
+    for i, n in enumerate(names):
+        held = np.isin(pool, members[n])
+        seen = (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1) == 1
+        assert seen[held].all()
+        wrong += (seen & ~held).sum()
+    assert wrong < 10
+
+
+# 10 preferences
+
+def test_pairs_are_formatted(spark):
+    turn = "array<struct<role:string,text:string>>"
+    rows = [(1, [("user", "q"), ("assistant", "a")], [("user", "q"), ("assistant", "b"), ("user", None)]),
+            (2, [("user", "q")], [("user", "q")]), (3, None, [("user", "q")]), (4, [], []), (5, [(None, None)], [(None, None), ("assistant", "é")])]
+    got = {r["id"]: r for r in preferences.format_pairs(spark.createDataFrame(rows, f"id int, chosen {turn}, rejected {turn}")).collect()}
+    assert got[1]["prompt"] == "<|user|>\nq<|end|>\n" and got[1]["prompt_turns"] == 1
+    assert got[1]["chosen"] == "<|assistant|>\na<|end|>\n" and got[1]["chosen_mask"] == "14:8"
+    assert got[1]["rejected"] == "<|assistant|>\nb<|end|>\n<|user|>\n<|end|>\n" and got[1]["rejected_mask"] == "14:8"
+    assert (got[2]["chosen"], got[2]["rejected"], got[2]["prompt_turns"]) == ("", "", 1)
+    assert got[3]["chosen"] is None and got[3]["rejected"] == "<|user|>\nq<|end|>\n"
+    assert got[4]["prompt"] == "" and got[4]["chosen"] is None
+    assert got[5]["prompt_turns"] == 1 and got[5]["rejected_mask"] == "14:8"
+
+
+def test_neighbours(spark):
+    rows = [(0, 0, "user", "q0"), (0, 1, "assistant", "a0"), (0, 2, "user", "more"), (1, 0, "user", "q1"), (1, 1, "assistant", "a1"),
+            (2, 0, "user", "alone"), (3, 0, None, None), (None, 0, "user", "x"), (4, None, "user", "x"), (6, 0, "assistant", "z"), (6, 0, "assistant", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = {r["conv_id"]: r for r in preferences.neighbour_pairs(df).collect()}
+    assert set(got) == {0, 1, 2, 3, 6}
+    assert [t["text"] for t in got[0]["chosen"]] == ["q0", "a0"] and [t["text"] for t in got[0]["rejected"]] == ["q0", "a1"]
+    assert got[2]["rejected"] is None and len(got[6]["chosen"]) == 2
+    assert preferences.neighbour_pairs(df.limit(0)).count() == 0
