@@ -128,8 +128,7 @@ def _(s, d):
     return an.suspicious_taxa(_anchored(s, d)).select("taxon", "gtdb_genome_count")
 
 
-@query("j10_verification", """SELECT taxon, bool_or(coalesce(l.phylum IS NOT NULL, false)) AS verified FROM (SELECT taxon, accession_clean FROM (SELECT taxon, accession_clean, row_number() OVER (PARTITION BY taxon ORDER BY accession_clean) AS rn
- FROM (SELECT DISTINCT taxon, accession_clean FROM acc_a)) WHERE rn <= 10) LEFT JOIN (SELECT o_orderkey::VARCHAR AS accession_clean, o_custkey * 5 + 1000 AS taxid FROM orders) o USING (accession_clean) LEFT JOIN lin l USING (taxid) GROUP BY taxon""")
+@query("j10_verification", """SELECT taxon, bool_or(coalesce(l.phylum IS NOT NULL, false)) AS verified FROM (SELECT DISTINCT taxon, accession_clean FROM acc_a) LEFT JOIN (SELECT o_orderkey::VARCHAR AS accession_clean, o_custkey * 5 + 1000 AS taxid FROM orders) o USING (accession_clean) LEFT JOIN lin l USING (taxid) GROUP BY taxon""")
 def _(s, d):
     acc = sh.acc_a(s, d)
     asm = sh.t(s, d, "orders").selectExpr("cast(o_orderkey as string) assembly_accession", "o_custkey * 5 + 1000 taxid")
@@ -175,7 +174,7 @@ def _(s, d):
     from cladetally.operators.census import taxonomic_combinations
     from cladetally.plans.pipelines import top_novel_taxa
     top = top_novel_taxa(sh.merged(s, d), 20).select(F.col("taxon").alias("genus"))
-    return fg.genus_parents(top, taxonomic_combinations(sh.clusters(s, d), examples=False), 20)
+    return fg.genus_parents(top, taxonomic_combinations(sh.clusters(s, d), examples=False))
 
 
 J16 = """SELECT f.family AS listed_family, c.genus, f.novelty_factor, sum(c.size)::BIGINT AS size, how FROM (SELECT taxon AS family, novelty_factor FROM merged_family WHERE match_status = 'matched' ORDER BY novelty_factor DESC, taxon LIMIT 8) f
@@ -189,7 +188,7 @@ J16 = """SELECT f.family AS listed_family, c.genus, f.novelty_factor, sum(c.size
 def _family_genera(s, d):
     from cladetally.plans.pipelines import top_novel_taxa
     top = materialize(top_novel_taxa(sh.merged(s, d, "family"), 8).select(F.col("taxon").alias("family"), "novelty_factor"))
-    return fg.family_genera(sh.clusters_16s(s, d), top, 8)
+    return fg.family_genera(sh.clusters_16s(s, d), top)
 
 
 @query("j16_family_genera", J16)
@@ -202,7 +201,7 @@ def _(s, d):
 def _(s, d):
     from cladetally.plans.pipelines import top_novel_taxa
     top = top_novel_taxa(sh.merged(s, d, "family"), 8).select(F.col("taxon").alias("family"))
-    return fg.lineage_members(sh.catalogue(s, d, "genus"), top, 8).groupBy("taxon", "listed_family").agg(F.count("*").alias("n"))
+    return fg.lineage_members(sh.catalogue(s, d, "genus"), top).groupBy("taxon", "listed_family").agg(F.count("*").alias("n"))
 
 
 def _novel_combos(s, d):

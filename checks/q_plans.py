@@ -137,8 +137,7 @@ def _register_p7():
     from checks import registry
     from checks.q_matching import ANCHOR_SQL
 
-    verified = sh.sql("""SELECT taxon, bool_or(coalesce(l.phylum IS NOT NULL, false)) AS ok FROM (SELECT taxon, accession_clean FROM (SELECT taxon, accession_clean, row_number() OVER (PARTITION BY taxon ORDER BY accession_clean) AS rn
- FROM (SELECT DISTINCT taxon, accession_clean FROM acc_a)) WHERE rn <= 10) LEFT JOIN (SELECT o_orderkey::VARCHAR AS accession_clean, o_custkey * 5 + 1000 AS taxid FROM orders) o USING (accession_clean) LEFT JOIN lin l USING (taxid) GROUP BY taxon""")
+    verified = sh.sql("""SELECT taxon, bool_or(coalesce(l.phylum IS NOT NULL, false)) AS ok FROM (SELECT DISTINCT taxon, accession_clean FROM acc_a) LEFT JOIN (SELECT o_orderkey::VARCHAR AS accession_clean, o_custkey * 5 + 1000 AS taxid FROM orders) o USING (accession_clean) LEFT JOIN lin l USING (taxid) GROUP BY taxon""")
     registry.ORACLES["p7_triple_anchor"] = f"SELECT taxon, database_presence, anchor_type, gtdb_genome_count, ncbi_genome_count FROM ({ANCHOR_SQL}) WHERE database_presence <> 'GTDB_Only' OR taxon IN (SELECT taxon FROM ({verified}) WHERE ok)"
     registry.ORACLES["p7_triple_anchor_compat"] = f"SELECT taxon, database_presence, anchor_type, gtdb_genome_count, ncbi_genome_count FROM ({ANCHOR_SQL}) WHERE database_presence <> 'GTDB_Only'"
     registry.ORACLES["p7_unverified_compat"] = f"SELECT taxon, gtdb_genome_count FROM ({ANCHOR_SQL}) WHERE database_presence = 'GTDB_Only'"

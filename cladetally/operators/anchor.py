@@ -137,22 +137,23 @@ def verified_taxa(suspicious: DataFrame, acc_a: DataFrame, assemblies: DataFrame
                   rank: str = "phylum", per_taxon: int = 10, compat: bool = False) -> DataFrame:
     """`(taxon, verified, sample_accessions)` of suspicious taxa that have accessions.
 
-    Verified = one of the first accessions leads to a lineage whose rank is present and is no
-    placeholder. `compat=True` never finds the rank, as older published tables were made.
+    Verified = one of the accessions leads to a lineage whose rank is present and is no placeholder.
+    `compat=True` looks at the first `per_taxon` accessions only and never finds the rank, as older
+    published tables were made. The five smallest accessions are shown.
     """
-    rows = acc_a.join(suspicious.select("taxon"), "taxon", "left_semi")
-    few = first_accessions(rows, "taxon", "accession_clean", per_taxon)
+    rows = acc_a.join(suspicious.select("taxon"), "taxon", "left_semi").select("taxon", "accession_clean").distinct()
+    looked_at = first_accessions(rows, "taxon", "accession_clean", per_taxon) if compat else rows
     taxids = assemblies.select(F.col("assembly_accession").alias("accession_clean"), "taxid").distinct()
     ok = lineages.select(
         "taxid",
         F.lit(False).alias("ok") if compat
         else is_verifiable_phylum(ln.name_at_rank("lineage", rank, "last")).alias("ok"),
     )
-    checked = few.join(taxids, "accession_clean", "left").join(ok, "taxid", "left")
-    return checked.groupBy("taxon").agg(
-        F.bool_or(F.coalesce("ok", F.lit(False))).alias("verified"),
-        F.array_join(F.slice(F.sort_array(F.collect_set("accession_clean")), 1, 5), ", ").alias("sample_accessions"),
-    )
+    checked = looked_at.join(taxids, "accession_clean", "left").join(ok, "taxid", "left")
+    verified = checked.groupBy("taxon").agg(F.bool_or(F.coalesce("ok", F.lit(False))).alias("verified"))
+    samples = first_accessions(rows, "taxon", "accession_clean", 5).groupBy("taxon").agg(
+        F.array_join(F.sort_array(F.collect_list("accession_clean")), ", ").alias("sample_accessions"))
+    return verified.join(samples, "taxon")
 
 
 def split_verified(summary: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame]:

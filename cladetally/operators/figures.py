@@ -160,18 +160,30 @@ def gtdb_counts_joined(species: DataFrame, genomes: DataFrame) -> DataFrame:
     return species.select("taxon", "species").join(g, "taxon", "left").fillna(0, ["genomes"])
 
 
-def genus_parents(top_genera: DataFrame, combinations: DataFrame, k: int) -> DataFrame:
+def _held_names(rows: DataFrame, texts: list, names: DataFrame, name: str) -> DataFrame:
+    """`rows` joined with the rows of `names` whose `name` one of the array columns' texts holds.
+
+    The substrings of the lengths that names have are joined on equality, so the list may be long."""
+    lengths = names.where(F.char_length(name) > 0).agg(F.collect_set(F.char_length(name))).scalar()
+
+    def pieces(text):
+        fitting = F.filter("_lengths", lambda n: n <= F.char_length(text))
+        return F.flatten(F.transform(fitting, lambda n: F.transform(
+            F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, n))))
+
+    spread = F.array_distinct(F.flatten(F.array(*[F.flatten(F.transform(F.array_compact(t), pieces)) for t in texts])))
+    return (rows.withColumn("_lengths", lengths).withColumn(name, F.explode(spread)).drop("_lengths")
+            .join(names, name))
+
+
+def genus_parents(top_genera: DataFrame, combinations: DataFrame) -> DataFrame:
     """Family and division of each listed genus: exact name, else a name that contains it, else
     `NOT_FOUND`. Ties go to the combination with most clusters, then its name.
-
-    The list (at most k rows) is a scalar array filtered per combination row.
     """
     order = [F.desc("row_count"), "taxonomic_combination"]
     combos = combinations.select("genus", "family", "division", "row_count", "taxonomic_combination")
-    listed = top_genera.select("genus").distinct().limit(k).agg(F.collect_list("genus")).scalar()
-    hits = combos.withColumnRenamed("genus", "_g").withColumn("_listed", listed).withColumn(
-        "genus", F.explode(F.filter("_listed", lambda g: F.col("_g").contains(g)))
-    )
+    listed = top_genera.select("genus").distinct()
+    hits = _held_names(combos.withColumnRenamed("genus", "_g"), [F.array("_g")], listed, "genus")
     best = first_per_key(hits, ["genus"], [(F.col("_g") != F.col("genus")).cast("int"), *order])
     return top_genera.join(best.select("genus", "family", "division", "row_count"), "genus", "left").withColumns({
         "family": F.coalesce("family", F.lit("NOT_FOUND")),
@@ -180,31 +192,19 @@ def genus_parents(top_genera: DataFrame, combinations: DataFrame, k: int) -> Dat
     }).drop("row_count")
 
 
-def family_genera(clusters: DataFrame, families: DataFrame, k: int) -> DataFrame:
+def family_genera(clusters: DataFrame, families: DataFrame) -> DataFrame:
     """Genera of each listed family: families containing the name, else phylum or genus texts
     containing it. Case is ignored. One row per (listed family, genus).
 
-    Sizes are summed per (phylum, family, genus) first; the list of at most k families is a scalar
-    array filtered per combination row.
+    Sizes are summed per (phylum, family, genus) first.
     """
     combos = clusters.where("genus is not null").groupBy("phylum", "family", "genus").agg(
         F.sum("size").alias("size")
     )
-    listed = families.select(F.col("family").alias("f"), "novelty_factor").orderBy("f").limit(k).agg(
-        F.collect_list(F.struct("f", "novelty_factor"))
-    ).scalar()
-
-    def holds(text, w):
-        return F.coalesce(F.lower(text).contains(F.lower(w["f"])), F.lit(False))
-
-    by_family = F.transform(F.filter("_listed", lambda w: holds(F.col("family"), w)),
-                            lambda w: F.struct(F.lit(0).alias("how"), w.alias("w")))
-    other = F.transform(F.filter("_listed", lambda w: holds(F.col("phylum"), w) | holds(F.col("genus"), w)),
-                        lambda w: F.struct(F.lit(1).alias("how"), w.alias("w")))
-    hits = combos.withColumn("_listed", listed).withColumn("h", F.explode(F.concat(by_family, other))).select(
-        F.col("h.w.f").alias("listed_family"), F.col("h.w.novelty_factor").alias("novelty_factor"),
-        F.col("h.how").alias("how"), "phylum", "family", "genus", "size",
-    )
+    listed = families.select(F.col("family").alias("listed_family"), "novelty_factor", F.lower("family").alias("_low"))
+    by_family = _held_names(combos, [F.array(F.lower("family"))], listed, "_low").withColumn("how", F.lit(0))
+    other = _held_names(combos, [F.array(F.lower("phylum"), F.lower("genus"))], listed, "_low").withColumn("how", F.lit(1))
+    hits = by_family.unionByName(other)
     how = hits.groupBy("listed_family").agg(F.min("how").alias("how"))
     return hits.join(how, ["listed_family", "how"]).groupBy("listed_family", "genus").agg(
         F.max("novelty_factor").alias("novelty_factor"), F.sum("size").alias("size"),
@@ -212,13 +212,11 @@ def family_genera(clusters: DataFrame, families: DataFrame, k: int) -> DataFrame
     )
 
 
-def lineage_members(genera: DataFrame, families: DataFrame, k: int, lineage: str = "lineage") -> DataFrame:
+def lineage_members(genera: DataFrame, families: DataFrame, lineage: str = "lineage") -> DataFrame:
     """Genera with a lineage part that contains a listed name, ignoring case."""
-    listed = families.select("family").orderBy("family").limit(k).agg(F.collect_list("family")).scalar()
-    hit = F.filter("_listed", lambda f: F.exists(
-        F.split(F.col(lineage), ";"), lambda p: F.lower(p).contains(F.lower(f))
-    ))
-    return genera.withColumn("_listed", listed).withColumn("listed_family", F.explode(hit)).drop("_listed")
+    listed = families.select(F.col("family").alias("listed_family"), F.lower("family").alias("_low"))
+    parts = F.transform(F.split(F.col(lineage), ";"), lambda p: F.lower(p))
+    return _held_names(genera, [parts], listed, "_low").drop("_low")
 
 
 def genus_contribution(members: DataFrame) -> DataFrame:
@@ -238,7 +236,7 @@ def overrepresented_genera(census: DataFrame, merged: DataFrame, families: DataF
 
     `census`: genus, otu_count, lineage text. `families`: family, factor (at most k rows).
     """
-    members = lineage_members(census.select("genus", "otu_count", "lineage"), families, k)
+    members = lineage_members(census.select("genus", "otu_count", "lineage"), families)
     factor = families.select(F.col("family").alias("listed_family"), "factor")
     grouped = members.join(factor, "listed_family").groupBy("genus").agg(
         F.array_join(F.array_sort(F.collect_set("listed_family")), "; ").alias("associated_families"),

@@ -167,7 +167,7 @@ def test_genus_parents_exact_before_partial(spark):
     combos = spark.createDataFrame([
         ("Abcd", "F1", "D1", 99, "1"), ("Abc", "F2", "D2", 1, "2"), ("Wxyz Xyz", "F3", "D3", 5, "3")],
         "genus string, family string, division string, row_count bigint, taxonomic_combination string")
-    got = {r.genus: (r.family, r.combination_row_count) for r in fg.genus_parents(top, combos, 20).collect()}
+    got = {r.genus: (r.family, r.combination_row_count) for r in fg.genus_parents(top, combos).collect()}
     assert got == {"Abc": ("F2", 1), "Xyz": ("F3", 5), "None": ("NOT_FOUND", 0)}
 
 
