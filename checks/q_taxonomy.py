@@ -207,12 +207,11 @@ def _(s, d):
 
 
 @query("l20_incertae_parent", """SELECT taxid, 'Unclassified_' || lower(split_part(lineage, ';', 3)) AS phylum, 'incertae_sedis_parent' AS mapping_method FROM unmapped
- WHERE split_part(ranks, ';', 3) = 'order'""")
+ WHERE split_part(ranks, ';', 3) = 'order' AND lower(split_part(lineage, ';', 3)) <> 'incertae sedis'""")
 def _(s, d):
     # every lineage gains an incertae sedis leaf, so only the order-ranked parents qualify
     u = sh.unmapped(s, d).where("split(ranks, ';')[2] = 'order'").withColumn("lineage", F.concat("lineage", F.lit(" incertae sedis")))
-    return tx.repair_phylum(u.where("split(lineage, ';')[2] <> 'incertae sedis'")).select("taxid", "phylum", "mapping_method").union(
-        u.where("split(lineage, ';')[2] = 'incertae sedis'").selectExpr("taxid", "'Unclassified_incertae sedis'", "'incertae_sedis_parent'"))
+    return tx.repair_phylum(u).select("taxid", "phylum", "mapping_method")
 
 
 @query("l21_build_hierarchy", """SELECT level, name, phylum FROM (SELECT 'phylum' AS level, a_name AS name, a_name AS phylum FROM tree WHERE rank = 'phylum' AND a_rank = 'phylum'

@@ -220,3 +220,24 @@ def test_dictionary_joins_are_split_by_aqe(spark, small_skew_limits):
     found = tx.name_to_taxid(named, names, "v").groupBy("taxid").agg(F.count("*").alias("n"), F.max("assembly_accession"))
     assert "skew=true" in final_plan(found)
     assert sum(r.n for r in found.collect()) == 200000
+
+
+def test_eleventh_accession_verifies(spark):
+    from cladetally.operators import anchor as an
+
+    acc = spark.createDataFrame([("T", f"a{i:02}") for i in range(12)], "taxon string, accession_clean string")
+    assemblies = spark.createDataFrame([("a11", 7)], "assembly_accession string, taxid int")
+    lineages = spark.createDataFrame([(7, [(7, "P", "phylum")])], "taxid int, lineage array<struct<taxid:int,name:string,rank:string>>")
+    row = an.verified_taxa(acc.select("taxon").distinct(), acc, assemblies, lineages).first()
+    assert row["verified"] and row["sample_accessions"] == "a00, a01, a02, a03, a04"
+    assert not an.verified_taxa(acc.select("taxon").distinct(), acc, assemblies, lineages, compat=True).first()["verified"]
+
+
+def test_every_listed_genus_finds_its_parents(spark):
+    from cladetally.operators import figures as fg
+
+    top = spark.createDataFrame([(f"Genus{i:02}",) for i in range(40)], "genus string")
+    combos = spark.createDataFrame([(f"Genus{i:02} sp", f"F{i}", "D", 1, "x") for i in range(40)],
+                                   "genus string, family string, division string, row_count long, taxonomic_combination string")
+    got = {r["genus"]: r["family"] for r in fg.genus_parents(top, combos).collect()}
+    assert got == {f"Genus{i:02}": f"F{i}" for i in range(40)}
