@@ -57,10 +57,9 @@ def _(s, d):
 
 
 @query("a5_species_subset_counts", """SELECT phylum, domain, count(*) AS phylum_species_count FROM (SELECT *, row_number() OVER (PARTITION BY species_taxid ORDER BY genome_source = 'uncultured', assembly_accession, phylum, domain) AS rn
- FROM assemblies WHERE species_taxid IS NOT NULL) WHERE rn = 1 GROUP BY 1, 2""")
+ FROM assemblies WHERE species_taxid IS NOT NULL) WHERE rn = 1 AND phylum IS NOT NULL GROUP BY 1, 2""")
 def _(s, d):
-    best = ky.best_genome_per_species(sh.assemblies(s, d), tie_break=("assembly_accession", "phylum", "domain"), use_level=False)
-    return best.groupBy("phylum", "domain").agg(F.count("*").alias("phylum_species_count"))
+    return ge.subset_species_counts(sh.assemblies(s, d), "phylum")
 
 
 @query("a5_gtdb_species_counts", """SELECT 'phylum' AS rank, regexp_replace(p[1], '_[A-Z]$', '') AS taxon, p[2] AS domain, count(*) AS n FROM (SELECT species, min([phylum, domain]) AS p FROM gtdb_ranks GROUP BY species) GROUP BY ALL

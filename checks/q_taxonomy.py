@@ -69,7 +69,7 @@ def _(s, d):
 @query("l5_rank_columns", "SELECT taxid, coalesce(superkingdom, '-') AS superkingdom, coalesce(phylum, '-') AS phylum, coalesce(family, '-') AS family, coalesce(species, '-') AS species FROM lin")
 def _(s, d):
     ranks = ["superkingdom", "phylum", "family", "species"]
-    return sh.tree(s, d).select("taxid", *[F.coalesce(ln.name_at_rank("lineage", r), F.lit("-")).alias(r) for r in ranks])
+    return sh.tree(s, d).select("taxid", *ln.rank_columns("lineage", ranks)).fillna("-", ranks)
 
 
 @query("l6_truncate", "SELECT taxid, CASE WHEN phylum IS NOT NULL THEN array_to_string(string_split(lineage, ';')[1:2], ';') ELSE lineage END AS lineage FROM lin")

@@ -83,7 +83,7 @@ def with_shares(counts: DataFrame, rank: str) -> DataFrame:
 
 def subset_species_counts(df: DataFrame, rank: str, species: str = "species_taxid") -> DataFrame:
     """One genome per species (isolates first), then species per rank and domain."""
-    best = best_genome_per_species(df, species, use_level=False)
+    best = best_genome_per_species(df, species, ("assembly_accession", rank, "domain"), use_level=False)
     return best.where(F.col(rank).isNotNull()).groupBy(rank, "domain").agg(
         F.count("*").alias(f"{rank}_species_count")
     )

@@ -282,9 +282,10 @@ def mapping_hit_rate(assemblies: DataFrame, rank_map: DataFrame, rank: str) -> D
     """Assemblies with and without a rank, and distinct unmapped taxids.
 
     Assemblies are first counted per taxid, so one species with most genomes joins as one row.
+    A taxid with several names counts once.
     """
     per_taxid = assemblies.groupBy("taxid").agg(F.count("*").alias("n"))
-    joined = per_taxid.join(rank_map.select("taxid", rank).distinct(), "taxid", "left")
+    joined = per_taxid.join(rank_map.groupBy("taxid").agg(F.max(rank).alias(rank)), "taxid", "left")
     hit = F.col(rank).isNotNull()
     return joined.agg(
         F.sum("n").alias("total_records"),
