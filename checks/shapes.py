@@ -1,7 +1,9 @@
 """The sample tables read as the domain tables, for Spark (functions) and DuckDB (CTE texts).
 
 Both sides state the same mapping independently. Spark functions are lazy projections and joins
-over the whole tables.
+over the whole tables: no row is left out. Taxa, accessions and taxids that only one side has come from
+renaming: some genera end in ` cat` in the catalogue and in ` env` in the census, some accessions and
+mapped taxids are lifted into a range of their own.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,7 +27,7 @@ def _lineitem_part(spark, d):
 
 
 def assemblies(spark, d) -> DataFrame:
-    return _lineitem_part(spark, d).where("l_linestatus = 'F' and p_size > 20").selectExpr(
+    return _lineitem_part(spark, d).selectExpr(
         "concat('GCA_', lpad(cast(l_orderkey as string), 9, '0'), '.', l_linenumber) as assembly_accession",
         "1000 + l_partkey as taxid",
         "case when l_linenumber = 7 then null else 1000 + l_partkey div 2 end as species_taxid",
@@ -41,13 +43,13 @@ def assemblies(spark, d) -> DataFrame:
         "cast(round(l_discount * 100) as double) as gc_percent",
         "cast(l_shipdate as date) as seq_rel_date",
         "p_type as domain", "p_brand as phylum", "substring_index(p_name, ' ', 1) as family",
-        "p_name as genus",
+        "case when p_size % 10 = 3 then concat(p_name, ' cat') else p_name end as genus",
         "case when l_returnflag = 'A' then 'isolate' else 'uncultured' end as genome_source",
     )
 
 
 def clusters(spark, d) -> DataFrame:
-    return _lineitem_part(spark, d).where("l_linestatus = 'O' and p_size <= 35").selectExpr(
+    return _lineitem_part(spark, d).selectExpr(
         "concat(l_orderkey, '-', l_linenumber) as centroid",
         "concat('m', l_suppkey) as members",
         "case when l_linenumber = 7 then null else cast(l_quantity as bigint) end as size",
@@ -55,7 +57,7 @@ def clusters(spark, d) -> DataFrame:
         "case when p_size % 11 = 0 then concat(substring_index(p_name, ' ', 1), '.U.family') "
         "else substring_index(p_name, ' ', 1) end as family",
         "case when p_size % 7 = 0 then concat(substring_index(p_name, ' ', 1), '.U.genus') "
-        "when p_size = 1 then null else p_name end as genus",
+        "when p_size = 1 then null when p_size % 10 = 4 then concat(p_name, ' env') else p_name end as genus",
     )
 
 
@@ -136,8 +138,8 @@ def gtdb_taxonomy(spark, d) -> DataFrame:
 
 
 def acc_a(spark, d) -> DataFrame:
-    return t(spark, d, "orders").where("o_totalprice > 50000").selectExpr(
-        "cast(o_orderkey as string) accession_clean",
+    return t(spark, d, "orders").selectExpr(
+        "cast(case when o_totalprice > 50000 then o_orderkey else 1000000000000 + o_orderkey end as string) accession_clean",
         "case when o_totalprice > 420000 then concat('Lonely', o_orderkey % 3) "
         "when o_orderstatus = 'F' then concat(o_orderpriority, '_A') else o_orderpriority end taxon",
         "case when o_orderstatus = 'P' then 'Eukaryota' when o_orderkey % 2 = 0 then 'Bacteria' else 'Archaea' end domain",
@@ -145,9 +147,8 @@ def acc_a(spark, d) -> DataFrame:
 
 
 def acc_b(spark, d) -> DataFrame:
-    return t(spark, d, "orders").join(t(spark, d, "customer"), F.expr("o_custkey = c_custkey")).where(
-        "o_totalprice < 400000").selectExpr(
-        "cast(o_orderkey as string) accession_clean",
+    return t(spark, d, "orders").join(t(spark, d, "customer"), F.expr("o_custkey = c_custkey")).selectExpr(
+        "cast(case when o_totalprice < 400000 then o_orderkey else 2000000000000 + o_orderkey end as string) accession_clean",
         "case when o_orderpriority like '5%' then lower(o_orderpriority) else c_mktsegment end taxon",
         "case when o_orderkey % 2 = 0 then 'Bacteria' else 'Archaea' end domain",
     )
@@ -250,8 +251,8 @@ def merged(spark, d, rank: str = "genus") -> DataFrame:
 
 def rank_map(spark, d, rank: str) -> DataFrame:
     col = {"phylum": "p_brand", "family": "substring_index(p_name, ' ', 1)", "genus": "p_name"}[rank]
-    return t(spark, d, "part").where("p_size > 5").selectExpr(
-        "1000 + p_partkey as taxid", f"{col} as {rank}", "p_type as domain")
+    return t(spark, d, "part").selectExpr(
+        "case when p_size > 5 then 1000 + p_partkey else 1000000000000 + p_partkey end as taxid", f"{col} as {rank}", "p_type as domain")
 
 
 # --- the same shapes for DuckDB -------------------------------------------------------------------------
@@ -267,16 +268,17 @@ CTE = {
     ELSE CASE WHEN l_linenumber > 4 THEN 'Missing ' ELSE '' END END AS isolate,
   CASE WHEN l_linenumber = 5 THEN 'derived from metagenome' WHEN l_linenumber = 6 THEN 'genus undefined' END AS excluded_from_refseq,
   floor(l_extendedprice)::BIGINT * 1000 AS genome_size, round(l_discount * 100)::DOUBLE AS gc_percent,
-  l_shipdate::DATE AS seq_rel_date, p_type AS domain, p_brand AS phylum,
-  split_part(p_name, ' ', 1) AS family, p_name AS genus,
+  l_shipdate::DATE AS seq_rel_date, p_type AS domain, p_brand AS phylum, split_part(p_name, ' ', 1) AS family,
+  CASE WHEN p_size % 10 = 3 THEN p_name || ' cat' ELSE p_name END AS genus,
   CASE WHEN l_returnflag = 'A' THEN 'isolate' ELSE 'uncultured' END AS genome_source
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'F' AND p_size > 20""",
+  FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "clusters": """SELECT l_orderkey || '-' || l_linenumber AS centroid, 'm' || l_suppkey AS members,
   CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity::BIGINT END AS size,
   CASE WHEN p_size % 13 = 0 THEN p_brand || '.U.division' ELSE p_brand END AS division,
   CASE WHEN p_size % 11 = 0 THEN split_part(p_name, ' ', 1) || '.U.family' ELSE split_part(p_name, ' ', 1) END AS family,
-  CASE WHEN p_size % 7 = 0 THEN split_part(p_name, ' ', 1) || '.U.genus' WHEN p_size = 1 THEN NULL ELSE p_name END AS genus
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'O' AND p_size <= 35""",
+  CASE WHEN p_size % 7 = 0 THEN split_part(p_name, ' ', 1) || '.U.genus' WHEN p_size = 1 THEN NULL
+    WHEN p_size % 10 = 4 THEN p_name || ' env' ELSE p_name END AS genus
+  FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "nodes": """SELECT 1::BIGINT AS taxid, 1::BIGINT AS parent, 'no rank' AS rank
   UNION ALL SELECT 10 + r_regionkey, 1, 'superkingdom' FROM region
   UNION ALL SELECT 100 + n_nationkey, 10 + n_regionkey, 'phylum' FROM nation
@@ -313,14 +315,14 @@ CTE = {
   split_part(split_part(taxonomy, 'c__', 2), ';', 1) AS class, split_part(split_part(taxonomy, 'o__', 2), ';', 1) AS "order",
   nullif(split_part(split_part(taxonomy, 'f__', 2), ';', 1), '') AS family, split_part(split_part(taxonomy, 'g__', 2), ';', 1) AS genus,
   split_part(split_part(taxonomy, 's__', 2), ';', 1) AS species FROM gtdb""",
-    "acc_a": """SELECT o_orderkey::VARCHAR AS accession_clean,
+    "acc_a": """SELECT (CASE WHEN o_totalprice > 50000 THEN o_orderkey ELSE 1000000000000 + o_orderkey END)::VARCHAR AS accession_clean,
   CASE WHEN o_totalprice > 420000 THEN 'Lonely' || (o_orderkey % 3) WHEN o_orderstatus = 'F' THEN o_orderpriority || '_A' ELSE o_orderpriority END AS taxon,
   CASE WHEN o_orderstatus = 'P' THEN 'Eukaryota' WHEN o_orderkey % 2 = 0 THEN 'Bacteria' ELSE 'Archaea' END AS domain
-  FROM orders WHERE o_totalprice > 50000""",
-    "acc_b": """SELECT o_orderkey::VARCHAR AS accession_clean,
+  FROM orders""",
+    "acc_b": """SELECT (CASE WHEN o_totalprice < 400000 THEN o_orderkey ELSE 2000000000000 + o_orderkey END)::VARCHAR AS accession_clean,
   CASE WHEN o_orderpriority LIKE '5%' THEN lower(o_orderpriority) ELSE c_mktsegment END AS taxon,
   CASE WHEN o_orderkey % 2 = 0 THEN 'Bacteria' ELSE 'Archaea' END AS domain
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice < 400000""",
+  FROM orders JOIN customer ON o_custkey = c_custkey""",
     "counts_a": """SELECT taxon, domain, count(*) AS genomes, count(DISTINCT accession_clean::BIGINT // 3) AS species FROM acc_a GROUP BY taxon, domain""",
     "counts_b": """SELECT taxon, domain, count(*) AS genomes, count(DISTINCT accession_clean::BIGINT // 3) AS species FROM acc_b GROUP BY taxon, domain""",
     "eukprot": """SELECT 'EP' || lpad(c_custkey::VARCHAR, 9, '0') AS eukprot_id,
@@ -391,7 +393,8 @@ for _rank, _col, _tax in [("phylum", "division", "p_brand"), ("family", "family"
   FROM cat_{_rank} k CROSS JOIN (SELECT sum(genomes)::DOUBLE AS g, sum(species)::DOUBLE AS s FROM cat_{_rank}) t
   LEFT JOIN iso_{_rank} i ON i.taxon = k.taxon AND i.domain = k.domain
   WHERE k.taxon NOT IN (SELECT cat_taxon FROM pairs_{_rank}) AND (k.genomes > 0 OR k.species > 0)"""
-    CTE[f"map_{_rank}"] = f"""SELECT 1000 + p_partkey AS taxid, {_tax} AS {_rank}, p_type AS domain FROM part WHERE p_size > 5"""
+    CTE[f"map_{_rank}"] = f"""SELECT CASE WHEN p_size > 5 THEN 1000 + p_partkey ELSE 1000000000000 + p_partkey END AS taxid,
+  {_tax} AS {_rank}, p_type AS domain FROM part"""
 
 _NEEDS: dict[str, list[str]] = {}
 
