@@ -17,6 +17,7 @@ take part. Input columns beside doc_id, text and source are ignored here and kep
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladetally.llm.columns import put_back, set_apart
 from cladetally.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -176,7 +177,8 @@ def render(docs: DataFrame, pieces: DataFrame) -> DataFrame:
                    F.sum("n_words").alias("copy_words"))
               # Equal rows share one row of text below.
               .groupBy("row_key").agg(F.collect_list(F.struct("start", "size", "epoch", "ranges", "copy_words")).alias("copies")))
-    keyed = docs.withColumn("row_key", row_key()).dropDuplicates(["row_key"])
+    plain, names = set_apart(docs, {"doc_id", "source", "text", "n_chars"})
+    keyed = plain.withColumn("row_key", row_key()).dropDuplicates(["row_key"])
     copies = keyed.join(ranges, "row_key").withColumn("copy", F.explode("copies"))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     part = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(
@@ -185,4 +187,4 @@ def render(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     out = copies.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return put_back(out, names)

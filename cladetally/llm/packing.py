@@ -12,8 +12,8 @@ memory is bounded by the group, and groups are independent. Each group may leave
 
 Defined cases: null text counts as empty (its one id is the closing id); an empty table gives no rows; equal
 rows are packed one by one; null ids of documents pass through; other input columns are ignored by
-`tokenize_pieces` and passed through by `pack`, which refuses a frame that already has its output columns. A
-piece above a limit on its own, or with a null or negative measure, raises an error.
+`tokenize_pieces` and passed through by `pack`, whose own two replace input columns of their names. The name of a special
+token in a text is ordinary text. A piece above a limit on its own, or with a null or negative measure, raises an error.
 """
 
 import base64
@@ -145,9 +145,7 @@ def pack(pieces: DataFrame, max_tokens: int = 1024, max_segments: int = 512, max
     `segments` and `loss` name the columns of those measures; without them a piece is one segment and all its
     tokens bear loss. Sequence numbers are the packing group's number in the high 32 bits, its own sequence
     number in the low ones."""
-    taken = {"sequence_id", "offset"} & {c.lower() for c in pieces.columns}
-    if taken:
-        raise ValueError(f"the frame already has {sorted(taken)}")
+    pieces = pieces.drop("sequence_id", "offset")
     limits = (max_tokens, max_segments, max_tokens if max_loss is None else max_loss)
     pieces = materialize(pieces)  # counted first, then dealt out
     groups = max(1, math.ceil(pieces.count() / group_rows))

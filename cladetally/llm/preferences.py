@@ -10,13 +10,16 @@ Only built-in expressions are used, and one shuffle brings a pair's turns togeth
 Defined cases: null roles and texts are rendered as empty and compare equal to each other only; a side that is null
 or has no turns gives a null completion and mask, no common prefix, and the other side whole; equal sides give empty
 completions; a pair of two empty sides has an empty prompt; equal turn rows are turns of their own, ordered by
-turn, role and text; turns without a conversation id or turn number belong to no conversation and are left out.
+turn, role and text; other input columns are kept, but those named like an output are replaced; turns without a conversation id or turn number belong to no conversation and are left out.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladetally.llm.columns import put_back, set_apart
+
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>"
+OUTPUTS = ("prompt_turns", "prompt", "chosen", "chosen_mask", "rejected", "rejected_mask")
 
 
 def common_prefix(chosen: Column, rejected: Column) -> Column:
@@ -51,19 +54,21 @@ def loss_mask(turns: Column, role: str = "assistant") -> Column:
 
 def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """Replace the two columns of turns by prompt_turns, prompt, both completions and both masks."""
-    others = [c for c in pairs.columns if c not in (chosen, rejected)]
-    prefixed = pairs.withColumn("__n", common_prefix(F.col(chosen), F.col(rejected)))
+    plain, names = set_apart(pairs, {chosen, rejected})
+    others = {new: old for new, old in names.items() if new not in (chosen, rejected)}
+    prefixed = plain.withColumn("__n", common_prefix(F.col(chosen), F.col(rejected)))
 
     def rest(name):
         turns = F.col(name)
         left = F.slice(turns, F.col("__n") + 1, F.greatest(F.size(turns) - F.col("__n"), F.lit(0)))
         return F.when(F.size(turns) > 0, left)
 
-    return prefixed.select(
+    rows = prefixed.select(
         *others, F.col("__n").alias("prompt_turns"),
         F.coalesce(render(F.slice(F.col(chosen), 1, F.col("__n"))), F.lit("")).alias("prompt"),
         render(rest(chosen)).alias("chosen"), loss_mask(rest(chosen)).alias("chosen_mask"),
         render(rest(rejected)).alias("rejected"), loss_mask(rest(rejected)).alias("rejected_mask"))
+    return put_back(rows, others, OUTPUTS)
 
 
 def neighbour_pairs(turns: DataFrame) -> DataFrame:

@@ -11,12 +11,14 @@ is frequent. Runs are compared by 128 bits of hash. Only one document's own posi
 
 Defined cases: null text stays null and has no sentences; empty texts are kept; rows equal in id and text are one
 document and treated alike; rows without an id come last in the order; all input columns but `text` are passed
-through and the added ones are `n_sentences` and `n_removed`, which the input may not have.
+through; the added ones, `n_sentences` and `n_removed`, replace input columns of these names.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladetally.llm.columns import put_back, set_apart
+
 SENTENCE = r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\r\x0b\x0c"
@@ -70,13 +72,14 @@ def remove_repeated(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORD
             .select("__key", F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["pos"], r["pos"] + r["n"] - 1)))).alias("gone"))
             # Two documents share a key only by a collision of the hash; one row per key keeps rows from multiplying.
             .groupBy("__key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
-    joined = _keyed(docs).join(gone, "__key", "left")
+    plain, names = set_apart(docs, {"doc_id", "text"})
+    joined = _keyed(plain).join(gone, "__key", "left")
     kept = F.transform(F.array(F.struct(sentences(F.col("text")).alias("s"), F.array_sort("gone").alias("g"))), _without)[0]
     total = F.coalesce(F.size(sentences(F.col("text"))), F.lit(0))
-    return (joined.withColumn("n_sentences", F.greatest(total, F.lit(0)).cast("long"))
+    rows = (joined.withColumn("n_sentences", F.greatest(total, F.lit(0)).cast("long"))
             .withColumn("n_removed", F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long"))
-            .withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
-            .select(*docs.columns, "n_sentences", "n_removed"))
+            .withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)))
+    return put_back(rows, names, ("n_sentences", "n_removed"))
 
 
 def _without(bound) -> Column:

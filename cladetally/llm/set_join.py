@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladetally.llm.columns import put_back, set_apart
 from cladetally.llm.order_minhash import let
 from cladetally.session import materialize
 
@@ -259,7 +260,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each component: that with the smallest id, of rows equal in id one."""
     rows = materialize(near_duplicates(docs))
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    plain, names = set_apart(docs, {"doc_id", "text"})
+    keyed = plain.withColumn("__key", F.xxhash64("text"))
     # The rows that go are fewer than those that stay; a null id stays only where no other is in its component.
     gone = materialize(rows.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
                        .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct())
@@ -270,6 +272,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
         # Rows with words that share an id, or have none, and are connected: one of them stays.
         named = rows.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), "component_id", "class_id", "n_shingles").distinct()
         left = left.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")))
-        solo = left.where("n_shingles = 0").select(*docs.columns)
-        left = left.where("n_shingles > 0").dropDuplicates(["component_id", "doc_id"]).select(*docs.columns).unionByName(solo)
-    return left.select(*docs.columns)
+        solo = left.where("n_shingles = 0").select(*names)
+        left = left.where("n_shingles > 0").dropDuplicates(["component_id", "doc_id"]).select(*names).unionByName(solo)
+    return put_back(left, names)

@@ -9,8 +9,8 @@ a host a posterior rate:
 
 a and b are the strengths of the priors, estimated from the data: the variance within groups over the variance of the
 groups' rates that it does not explain. Sparse sites so stay near the global rate, sites without rows on it. A
-document's quality is its own log-odds plus what its path's log-odds add to the global ones, with the document itself
-left out of its site's sums, so its evidence counts once.
+document's quality is its own log-odds plus what its path's log-odds add to the global ones, with what the document
+itself gave to its site's sums left out, be it its evidence or its label, so its evidence counts once and its label never.
 
 Scale: texts pass through one function in place and are never shuffled; only sums per (host, path) are. The fit reads at
 most `TRAIN_ROWS` labelled documents, those with the smallest hash of the id; the sums cover all.
@@ -18,7 +18,8 @@ most `TRAIN_ROWS` labelled documents, those with the smallest hash of the id; th
 Defined cases: null texts and texts without a word have evidence 0 and quality 0; a null host or path is one of its own;
 without labels of both kinds every text has the rate of the labels as evidence (1 without any); of several labels of a document the
 lowest counts; equal rows each count in the sums; labels without a document are ignored. Input columns are kept; the
-added ones are `evidence`, `host_rate`, `path_rate` and `quality`, which the input may not have.
+added ones are `evidence`, `host_rate`, `path_rate` and `quality`, and `score` replaces input columns of these names; `keep`
+returns the input's columns alone, whatever their names.
 """
 
 from dataclasses import dataclass
@@ -30,11 +31,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladetally.llm.columns import put_back, set_apart
 from cladetally.session import materialize
 
 TRAIN_ROWS = 20_000
 FEATURES = ("log_words", "word_length", "distinct", "capitals", "digits", "signs", "stops", "line_words", "repeats", "top_word", "single", "pair_repeats", "exclaims", "bars")
 STRONGEST, WEAKEST = 1e6, 1.0
+ADDED = ("evidence", "host_rate", "path_rate", "quality")
 
 
 def text_features(text: str | None) -> list[float] | None:
@@ -145,25 +148,36 @@ def log_odds(p: Column) -> Column:
     return F.log(bounded / (1 - bounded))
 
 
-def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: Column | str = "lang", label: str = "quality",
-          max_rows: int = TRAIN_ROWS) -> DataFrame:
-    """`docs` with evidence, the posterior rates of host and path without the document, and quality."""
+def _scored(docs: DataFrame, labels: DataFrame, host: str, path: str, label: str, max_rows: int) -> DataFrame:
     known = materialize(unique_labels(labels, label))
     model = train(docs.select("doc_id", "text"), known, max_rows)
-    place = F.col(path) if isinstance(path, str) else path
-    seen = materialize(with_evidence(docs.select("doc_id", F.col(host).alias("host"), place.alias("path"), "text"), model).drop("text"))
+    seen = materialize(with_evidence(docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), "text"), model).drop("text"))
     sites, prior = site_rates(seen.join(known, "doc_id", "left").withColumn("value", F.coalesce("__label", "evidence")))
-    own = F.col("evidence")
     renamed = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"),
                            *[F.col(c).alias(f"__{c}") for c in ("n", "s", "host_n", "host_s")])
-    rows = with_evidence(docs, model).join(
-        renamed, F.col(host).eqNullSafe(F.col("__host")) & place.eqNullSafe(F.col("__path")), "left")
-    left = lambda total, n: (F.greatest(F.col(total) - own, F.lit(0.0)), F.greatest(F.col(n) - 1, F.lit(0)))
+    rows = (with_evidence(docs, model)
+            .join(known.withColumnRenamed("doc_id", "__labelled"), F.col("doc_id") == F.col("__labelled"), "left")
+            .join(renamed, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left"))
+    given = F.coalesce("__label", "evidence")
+    left = lambda total, n: (F.greatest(F.col(total) - given, F.lit(0.0)), F.greatest(F.col(n) - 1, F.lit(0)))
     host_s, host_n = left("__host_s", "__host_n")
     path_s, path_n = left("__s", "__n")
     host_rate = (host_s + prior["a"] * prior["rate"]) / (host_n + prior["a"])
-    quality = 1 / (1 + F.exp(-(log_odds(own) + log_odds(F.col("path_rate")) - log_odds(F.lit(prior["rate"])))))
+    quality = 1 / (1 + F.exp(-(log_odds(F.col("evidence")) + log_odds(F.col("path_rate")) - log_odds(F.lit(prior["rate"])))))
     return (rows.withColumn("host_rate", F.least(host_rate, F.lit(1.0)))
             .withColumn("path_rate", F.least((path_s + prior["b"] * F.col("host_rate")) / (path_n + prior["b"]), F.lit(1.0)))
-            .withColumn("quality", F.when(F.col("evidence") > 0, quality).otherwise(F.lit(0.0)))
-            .select(*docs.columns, "evidence", "host_rate", "path_rate", "quality"))
+            .withColumn("quality", F.when(F.col("evidence") > 0, quality).otherwise(F.lit(0.0))))
+
+
+def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", label: str = "quality",
+          max_rows: int = TRAIN_ROWS) -> DataFrame:
+    """`docs` with evidence, the posterior rates of host and path without the document, and quality."""
+    plain, names = set_apart(docs, {"doc_id", "text", host, path})
+    return put_back(_scored(plain, labels, host, path, label, max_rows), names, ADDED)
+
+
+def keep(docs: DataFrame, labels: DataFrame, least: float = 0.5, host: str = "source", path: str = "lang", label: str = "quality",
+         max_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of `docs` whose quality is at least `least`."""
+    plain, names = set_apart(docs, {"doc_id", "text", host, path})
+    return put_back(_scored(plain, labels, host, path, label, max_rows).where(F.col("quality") >= least), names)

@@ -1,6 +1,7 @@
 import pytest
 
-CLASH = ["row_key", "size", "start", "token", "node", "n", "h", "range", "evidence_", "Text2"]
+CLASH = ["row_key", "size", "start", "token", "node", "n", "h", "range", "Text2", "__key", "__id", "__text", "__n", "gone", "copy",
+         "copies", "ranges", "evidence", "quality", "host_rate", "n_sentences", "n_removed", "prompt", "sequence_id", "offset", "a.b"]
 
 
 @pytest.fixture(scope="session")

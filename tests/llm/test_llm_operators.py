@@ -348,3 +348,48 @@ def test_neighbours(spark):
     assert [t["text"] for t in got[0]["chosen"]] == ["q0", "a0"] and [t["text"] for t in got[0]["rejected"]] == ["q0", "a1"]
     assert got[2]["rejected"] is None and len(got[6]["chosen"]) == 2
     assert preferences.neighbour_pairs(df.limit(0)).count() == 0
+
+
+# columns of the input whose names the operators use themselves
+
+def test_columns_of_the_same_name_keep_their_values(documents, spark):
+    rows = [(i, " ".join(words(i, 60, 5000)), f"s{i % 2}", "en") for i in range(40)]
+    docs = documents(rows)
+    before = {r["doc_id"]: r.asDict() for r in docs.collect()}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    good = site_quality.keep(docs, labels, 0.0)
+    _, _, pieces = mixing.mix(docs, block_words=32)
+    for out, changed in ((good, ()), (set_join.keep_first(docs), ()), (mixing.render(docs, pieces), ("text",)),
+                         (sentence_spans.remove_repeated(docs), ("text", "n_sentences", "n_removed"))):
+        assert sorted(out.columns) == sorted(docs.columns)
+        found = [r.asDict() for r in out.collect()]
+        assert found and all(r[c] == before[r["doc_id"]][c] for r in found for c in docs.columns if c not in changed)
+    scored = site_quality.score(docs, labels)
+    assert sorted(scored.columns) == sorted({*docs.columns, *site_quality.ADDED}) and scored.schema["quality"].dataType.simpleString() == "double"
+    pieces = spark.createDataFrame([(1, 5, "x", "y")], "id long, length long, sequence_id string, offset string")
+    assert packing.pack(pieces).first().asDict() == {"id": 1, "length": 5, "sequence_id": 0, "offset": 0}
+    turns = "array<struct<role:string,text:string>>"
+    pairs = spark.createDataFrame([(1, "p", "n", [("user", "q")], [("user", "q")])], f"id long, prompt string, __n string, chosen {turns}, rejected {turns}")
+    pair = preferences.format_pairs(pairs).first()
+    assert pair["__n"] == "n" and pair["prompt"].startswith("<|user|>")
+
+
+def test_own_label_never_counts(documents, spark):
+    """A document's quality is the same whether its label is 0 or 1, the fit being the same."""
+    rows = [(i, " ".join(words(i, 60, 5000)) + ("!" * 40 if i % 3 == 0 else ""), f"s{i % 4}", "en") for i in range(80)]
+    docs, known = documents(rows), [(i, int(i % 3 != 0)) for i in range(40)]
+
+    def with_label(value):
+        labels = spark.createDataFrame([(i, value if i == 7 else y) for i, y in known], "doc_id long, quality int")
+        return site_quality.score(docs, labels).where("doc_id = 7").first()
+    fitted = site_quality.train
+    model = fitted(docs.select("doc_id", "text"), site_quality.unique_labels(spark.createDataFrame(known, "doc_id long, quality int")))
+    strengths = site_quality._strength
+    try:
+        site_quality.train = lambda *_: model
+        site_quality._strength = lambda *_: 3.0
+        a, b = with_label(0), with_label(1)
+    finally:
+        site_quality.train, site_quality._strength = fitted, strengths
+    # The global rate alone moves, by one label of eighty.
+    assert a["path_rate"] == pytest.approx(b["path_rate"], abs=0.02)
