@@ -18,8 +18,7 @@ QUALITY_LEAST = 0.5
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality, by their own and their site's evidence, is at least one half."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = site_quality.score(docs, labels)
-    return scored.where(F.col("quality") >= QUALITY_LEAST).select(*docs.columns)
+    return site_quality.keep(docs, labels, QUALITY_LEAST)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
