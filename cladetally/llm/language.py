@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladetally.llm.batches import bounded
 from cladetally.session import materialize
 
 GRAMS = (1, 2, 3, 4)
@@ -154,7 +155,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, min_share: floa
 
     sizes = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes, key=lambda lang: (-sizes[lang], lang))
-    counts = sample.select("lang", "text").mapInPandas(grams, "lang string, gram long").groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    counts = bounded(sample).select("lang", "text").mapInPandas(grams, "lang string, gram long").groupBy("lang", "gram").agg(F.count("*").alias("n"))
     if not languages:
         return Filter.build([], {}, positions, hashes)
     trained = F.create_map(*[F.lit(x) for lang in languages for x in (lang, float(sizes[lang]))])
@@ -182,7 +183,7 @@ def predict(docs: DataFrame, model: Filter, keep: list[str]) -> DataFrame:
             yield out
 
     schema = ", ".join([*(f"`{c}` {fields[c]}" for c in keep), "lang_pred string, score double"])
-    return docs.select(*keep, F.col("text").alias("__text")).mapInPandas(rows, schema)
+    return bounded(docs).select(*keep, F.col("text").alias("__text")).mapInPandas(rows, schema)
 
 
 def identify(docs: DataFrame, **fit) -> DataFrame:

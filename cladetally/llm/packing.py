@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cladetally.llm.batches import bounded
 from cladetally.session import materialize
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -101,7 +102,7 @@ def tokenize_pieces(docs: DataFrame, ranks_path: str, max_tokens: int = 1024, cl
 
     # Ids travel as text: pandas would turn a column with nulls into floats.
     plain = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return plain.mapInPandas(rows, PIECE_SCHEMA)
+    return bounded(plain).mapInPandas(rows, PIECE_SCHEMA)
 
 
 def place(tokens, segments, loss, limits: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,4 +166,4 @@ def pack(pieces: DataFrame, max_tokens: int = 1024, max_segments: int = 512, max
         all_rows["offset"] = offset
         yield all_rows
 
-    return pieces.repartition(groups).mapInPandas(rows, schema)
+    return bounded(pieces).repartition(groups).mapInPandas(rows, schema)

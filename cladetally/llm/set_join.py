@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladetally.llm.batches import bounded
 from cladetally.llm.columns import put_back, set_apart
 from cladetally.llm.order_minhash import let
 from cladetally.session import materialize
@@ -115,7 +116,7 @@ def indexed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "text_key", "node", "n")], prefix],
                                              names=["doc_id", "text_key", "node", "n", "prefix"])
 
-    return materialize(sets.mapInArrow(prefixes, "doc_id long, text_key long, node long, n int, prefix array<long>"))
+    return materialize(bounded(sets).mapInArrow(prefixes, "doc_id long, text_key long, node long, n int, prefix array<long>"))
 
 
 def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, extras: bool = False) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladetally.llm.batches import bounded
 from cladetally.llm.columns import put_back, set_apart
 from cladetally.session import materialize
 
@@ -96,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Cla
             found = [(text_features(t), y) for t, y in zip(batch["text"], batch["__label"])]
             yield pd.DataFrame([f for f in found if f[0] is not None], columns=["x", "label"])
 
-    data = materialize(docs.join(chosen, "doc_id").select("text", "__label").mapInPandas(rows, "x array<double>, label double"))
+    data = materialize(bounded(docs).join(chosen, "doc_id").select("text", "__label").mapInPandas(rows, "x array<double>, label double"))
     sides = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sides) < 2:
         return Classifier(np.zeros(len(FEATURES)), np.zeros(len(FEATURES)), 0.0, constant=float(next(iter(sides), 1.0)))
@@ -113,7 +114,7 @@ def with_evidence(docs: DataFrame, model: Classifier) -> DataFrame:
     def evidence(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.score(texts.array))
 
-    return docs.withColumn("evidence", evidence("text"))
+    return bounded(docs).withColumn("evidence", evidence("text"))
 
 
 def _strength(groups: DataFrame, n: str, total: str, squares: Column) -> float:
