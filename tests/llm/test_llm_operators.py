@@ -393,3 +393,23 @@ def test_own_label_never_counts(documents, spark):
         site_quality.train, site_quality._strength = fitted, strengths
     # The global rate alone moves, by one label of eighty.
     assert a["path_rate"] == pytest.approx(b["path_rate"], abs=0.02)
+
+
+def test_keep_is_the_score_above_a_bound(documents, spark, monkeypatch):
+    """Rows decided from the bounds of all labels, and those looked up, together are the rows that the score names."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(words(i, 60, 5000)) + "!" * int(rng.integers(0, 60)), f"s{int(rng.integers(0, 25))}", "en") for i in range(120)]
+    rows += [(7, "w1 w2", "s0", "en"), (None, " ".join(words(1, 60)), None, None), (500, None, "s1", None), (501, "", "s1", "en")]
+    labels = spark.createDataFrame([(i, int(rng.integers(0, 2))) for i in range(80)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    docs = documents(rows)
+    model = site_quality.Classifier(*(lambda c: (c.mean, c.weights / 4, 0.0))(
+        site_quality.train(docs.select("doc_id", "text"), site_quality.unique_labels(labels))))
+    monkeypatch.setattr(site_quality, "train", lambda *_: model)
+    monkeypatch.setattr(site_quality, "_strength", lambda *_: 1.5)
+    for some in (labels, labels.limit(0)):
+        scored = [(r["doc_id"], r["text"], r["quality"]) for r in site_quality.score(docs, some).collect()]
+        order = sorted({round(q, 6) for *_, q in scored})
+        # Bounds lie between qualities: sums of floating numbers depend on their order in the last digits.
+        for least in (0.0, *[(order[k] + order[k + 1]) / 2 for k in (len(order) // 4, len(order) // 2, len(order) * 3 // 4)], 0.999999):
+            got = [(r["doc_id"], r["text"]) for r in site_quality.keep(docs, some, least).select("doc_id", "text").collect()]
+            assert sorted(got, key=repr) == sorted([(d, t) for d, t, q in scored if q >= least], key=repr)
