@@ -82,7 +82,8 @@ class Classifier:
         if self.constant is not None:
             return np.array([0.0 if f is None else self.constant for f in found])
         x = np.array([self.mean if f is None else f for f in found], dtype=float).reshape(len(found), -1)
-        z = (x - self.mean) @ self.weights + self.bias
+        # Summed row by row, so that a text's evidence does not depend on its batch.
+        z = ((x - self.mean) * self.weights).sum(axis=1) + self.bias
         return np.where([f is None for f in found], 0.0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -181,102 +182,6 @@ def _slim(rows: DataFrame, host: str, path: str) -> DataFrame:
     return rows.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), "evidence")
 
 
-def score(self, texts) -> np.ndarray:
-        found = [text_features(t) for t in texts]
-        if self.constant is not None:
-            return np.array([0.0 if f is None else self.constant for f in found])
-        x = np.array([self.mean if f is None else f for f in found], dtype=float).reshape(len(found), -1)
-        z = (x - self.mean) @ self.weights + self.bias
-        return np.where([f is None for f in found], 0.0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-
-def unique_labels(labels: DataFrame, label: str = "quality") -> DataFrame:
-    return (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-            .groupBy("doc_id").agg(F.min(label).cast("double").alias("__label")))
-
-
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Classifier:
-    """Fit on `unique_labels` of documents with text; the sample is `max_rows` at most, by hash of the id."""
-    chosen = materialize(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-
-    def rows(batches):
-        for batch in batches:
-            found = [(text_features(t), y) for t, y in zip(batch["text"], batch["__label"])]
-            yield pd.DataFrame([f for f in found if f[0] is not None], columns=["x", "label"])
-
-    data = materialize(bounded(docs).join(chosen, "doc_id").select("text", "__label").mapInPandas(rows, "x array<double>, label double"))
-    sides = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(sides) < 2:
-        return Classifier(np.zeros(len(FEATURES)), np.zeros(len(FEATURES)), 0.0, constant=float(next(iter(sides), 1.0)))
-    mean = np.array(data.select(*[F.avg(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(len(FEATURES))]).first())
-    centred = data.select(array_to_vector(F.zip_with("x", F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b)).alias("features"), "label")
-    fitted = LogisticRegression(regParam=1e-4, maxIter=60).fit(centred)
-    return Classifier(mean, fitted.coefficients.toArray(), float(fitted.intercept))
-
-
-def with_evidence(docs: DataFrame, model: Classifier) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def evidence(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(texts.array))
-
-    return bounded(docs).withColumn("evidence", evidence("text"))
-
-
-def _strength(groups: DataFrame, n: str, total: str, squares: Column) -> float:
-    """Rows that the prior of a level is worth: one row reaches the driver."""
-    row = groups.agg(F.count("*").alias("g"), F.sum(n).alias("n"), F.sum(total).alias("s"), F.sum(squares).alias("q"),
-                     F.sum(F.col(total) * F.col(total) / F.col(n)).alias("b"), F.sum(F.col(n).cast("double") * F.col(n)).alias("nn")).first()
-    if not row["n"] or row["g"] < 2 or row["n"] <= row["g"]:
-        return STRONGEST
-    within = max((row["q"] - row["b"]) / (row["n"] - row["g"]), 1e-9)
-    spread = row["b"] - row["s"] ** 2 / row["n"] - (row["g"] - 1) * within
-    size = row["n"] - row["nn"] / row["n"]
-    return float(min(max(within / max(spread / size, 1e-12), WEAKEST), STRONGEST)) if size > 0 else STRONGEST
-
-
-def site_rates(evidence: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    """Sums per host and path, each with its host's sums; the global rate and the strengths of the two priors.
-
-    `evidence` has columns host, path and value."""
-    paths = materialize(evidence.groupBy("host", "path").agg(
-        F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")))
-    hosts = materialize(paths.groupBy("host").agg(
-        F.sum("n").alias("host_n"), F.sum("s").alias("host_s"), F.sum("q").alias("host_q")))
-    row = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_s").alias("s")).first()
-    prior = {"rate": float(row["s"] / row["n"]) if row["n"] else 1.0,
-             "a": _strength(hosts, "host_n", "host_s", F.col("host_q")), "b": _strength(paths, "n", "s", F.col("q"))}
-    joined = paths.join(hosts.withColumnRenamed("host", "__host"), F.col("host").eqNullSafe(F.col("__host"))).drop("__host")
-    return materialize(joined.select("host", "path", "n", "s", "host_n", "host_s")), prior
-
-
-def log_odds(p: Column) -> Column:
-    bounded = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
-    return F.log(bounded / (1 - bounded))
-
-
-def _scored(docs: DataFrame, labels: DataFrame, host: str, path: str, label: str, max_rows: int) -> DataFrame:
-    known = materialize(unique_labels(labels, label))
-    model = train(docs.select("doc_id", "text"), known, max_rows)
-    seen = materialize(with_evidence(docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), "text"), model).drop("text"))
-    sites, prior = site_rates(seen.join(known, "doc_id", "left").withColumn("value", F.coalesce("__label", "evidence")))
-    renamed = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"),
-                           *[F.col(c).alias(f"__{c}") for c in ("n", "s", "host_n", "host_s")])
-    rows = (with_evidence(docs, model)
-            .join(known.withColumnRenamed("doc_id", "__labelled"), F.col("doc_id") == F.col("__labelled"), "left")
-            .join(renamed, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left"))
-    given = F.coalesce("__label", "evidence")
-    left = lambda total, n: (F.greatest(F.col(total) - given, F.lit(0.0)), F.greatest(F.col(n) - 1, F.lit(0)))
-    host_s, host_n = left("__host_s", "__host_n")
-    path_s, path_n = left("__s", "__n")
-    host_rate = (host_s + prior["a"] * prior["rate"]) / (host_n + prior["a"])
-    quality = 1 / (1 + F.exp(-(log_odds(F.col("evidence")) + log_odds(F.col("path_rate")) - log_odds(F.lit(prior["rate"])))))
-    return (rows.withColumn("host_rate", F.least(host_rate, F.lit(1.0)))
-            .withColumn("path_rate", F.least((path_s + prior["b"] * F.col("host_rate")) / (path_n + prior["b"]), F.lit(1.0)))
-            .withColumn("quality", F.when(F.col("evidence") > 0, quality).otherwise(F.lit(0.0))))
-
-
 def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", label: str = "quality",
           max_rows: int = TRAIN_ROWS) -> DataFrame:
     """`docs` with evidence, the posterior rates of host and path without the document, and quality."""
@@ -298,9 +203,9 @@ def keep(docs: DataFrame, labels: DataFrame, least: float = 0.5, host: str = "so
     plain, names = set_apart(docs, {"doc_id", "text", host, path})
     known = materialize(unique_labels(labels, label))
     model = train(plain.select("doc_id", "text"), known, max_rows)
-    # Stored with the texts, so that they are judged once.
-    judged = materialize(with_evidence(plain, model))
-    sites, prior = site_rates(_values(_slim(judged, host, path), known))
+    # Judged anew for the sums and for either kind of row: that costs less than storing all texts.
+    judged = with_evidence(plain, model)
+    sites, prior = site_rates(_values(materialize(_slim(judged, host, path)), known))
     low, high = known.agg(F.min("__label"), F.max("__label")).first()
     rows = _with_site(judged, sites, host, path)
     quality = lambda given: _posterior(prior, given)[2]
