@@ -242,7 +242,8 @@ def links(docs: DataFrame, index: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_key (hash of the text), n_shingles, class_id and component_id, the smallest
-    ids among equal sets and among connected documents."""
+    ids among equal sets and among connected documents, and root, which names the component itself: ids may be null
+    or stand on several texts. Without words root is null."""
     docs = docs.select("doc_id", "text")
     index = indexed(docs)
     filled = index.where("n > 0")
@@ -251,10 +252,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links(docs, filled, classes))
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    found = materialize(named.join(smallest, "root").select("node", "class_id", "component_id"))
+    found = materialize(named.join(smallest, "root").select("node", "class_id", "component_id", "root"))
     rows = index.select("doc_id", "text_key", "node", F.col("n").cast("long").alias("n_shingles"))
-    joined = rows.where("n_shingles > 0").join(found, "node").select("doc_id", "text_key", "n_shingles", "class_id", "component_id")
-    alone = rows.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    joined = rows.where("n_shingles > 0").join(found, "node").select("doc_id", "text_key", "n_shingles", "class_id", "component_id", "root")
+    alone = rows.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"),
+                                              F.lit(None).cast("long").alias("root"))
     return joined.unionByName(alone)
 
 
@@ -271,8 +273,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     repeated = rows.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if repeated:
         # Rows with words that share an id, or have none, and are connected: one of them stays.
-        named = rows.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), "component_id", "class_id", "n_shingles").distinct()
+        named = rows.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), "root").distinct()
         left = left.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")))
-        solo = left.where("n_shingles = 0").select(*names)
-        left = left.where("n_shingles > 0").dropDuplicates(["component_id", "doc_id"]).select(*names).unionByName(solo)
+        solo = left.where("root is null").select(*names)
+        left = left.where("root is not null").dropDuplicates(["root"]).select(*names).unionByName(solo)
     return put_back(left, names)

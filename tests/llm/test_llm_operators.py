@@ -172,6 +172,13 @@ def test_join_edge_cases_and_keep(documents):
     assert set_join.near_duplicates(documents([])).count() == 0 and set_join.keep_first(documents([])).count() == 0
 
 
+def test_keep_first_keeps_unrelated_texts_of_one_id_or_none(documents):
+    a, b, c, d, e = (" ".join(words(800 + i, 40, 5000)) for i in range(5))
+    rows = [(None, a), (None, b), (None, b), (None, c + " tail"), (4, c), (7, d), (7, e), (7, e), (8, e)]
+    got = sorted(((r["doc_id"], r["text"]) for r in set_join.keep_first(documents(rows)).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (4, c), (7, d), (7, e)], key=str)
+
+
 # 5 packing
 
 def test_ids_equal_the_named_tokenizer(documents):
