@@ -121,6 +121,21 @@ def test_common_forms_are_found_and_labelled(text, value, name, secret):
     assert (whole[start:end], found, secret_scan.rule_label(whole, start, end, found)) == (value, name, secret)
 
 
+def test_rare_secrets_stay_in_the_fit(documents):
+    """Thirty secrets among thousands of findings, many of them copies of one, with a bound far below their number."""
+    rows = [(i, f"{' '.join(words(i, 20))} card {4000000000000000 + i * 7919} thanks", "shop") for i in range(3000)]
+    rows += [(4000 + i, "the same card 4111111111111111 thanks", "shop") for i in range(1000)]
+    rows += [(9000 + i, f"{' '.join(words(i, 20))} key AKIA{hashlib.sha1(str(i).encode()).hexdigest()[:16].upper()} here", "shop") for i in range(30)]
+    docs = documents(rows).select("doc_id", F.col("source").alias("path"), "text").repartition(4)
+    found = secret_scan.label_by_rule(docs, 200)
+    got = [tuple(r) for r in found.collect()]
+    assert sum(r[4] for r in got) == 30 and len(got) == 130 == len(set(got))
+    model = secret_scan.train(found, docs, 200)
+    assert model.trees
+    flagged = {r["doc_id"] for r in secret_scan.scan(docs, model).where("is_secret").collect()}
+    assert flagged == set(range(9000, 9030))
+
+
 # 3 sentence spans
 
 def test_repeated_runs_go(documents):
