@@ -12,8 +12,8 @@ memory is bounded by the group, and groups are independent. Each group may leave
 
 Defined cases: null text counts as empty (its one id is the closing id); an empty table gives no rows; equal
 rows are packed one by one; null ids of documents pass through; other input columns are ignored by
-`tokenize_pieces` and passed through by `pack`, whose own two replace input columns of their names. The name of a special
-token in a text is ordinary text. A piece above a limit on its own, or with a null or negative measure, raises an error.
+`tokenize_pieces` and passed through by `pack`, whose own two replace input columns of their names. A special
+token written in a text is that token, as `tokenizers` has it. A piece above a limit on its own, or with a null or negative measure, raises an error.
 """
 
 import base64
@@ -33,9 +33,12 @@ from cladetally.session import materialize
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SLICE_CHARS = 1_000_000
-# A slice ends between a non-space character and white space: no token of the vocabulary spans that.
+# A slice ends between a non-space character and white space: no token of the vocabulary spans that, the added one included.
 SLICE_END = re.compile(r"(?<=\S)[ \t\n\r]")
 
+# Fixed value: the added token of the vocabulary, which the ranks leave out.
+SPECIAL = {"<|endoftext|>": 50256}
+
 _ENCODINGS: dict = {}
 
 
@@ -49,7 +52,7 @@ def encoding(ranks_path: str):
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         _ENCODINGS[ranks_path] = tiktoken.Encoding(
-            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
     return _ENCODINGS[ranks_path]
 
 
@@ -87,7 +90,7 @@ def tokenize_pieces(docs: DataFrame, ranks_path: str, max_tokens: int = 1024, cl
     def ids(text: str):
         encode = encoding(ranks_path).encode_to_numpy
         for part in slices(text):
-            yield encode(part, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            yield encode(part, allowed_special="all", disallowed_special=()).astype("<u4", copy=False).tobytes()
         yield close
 
     def rows(batches):

@@ -228,6 +228,25 @@ def test_ids_equal_the_named_tokenizer(documents):
         assert pieces == [(a, len(ids[a:a + 64]), zlib.crc32(ids[a:a + 64].tobytes()), len(ids)) for a in range(0, len(ids), 64)]
 
 
+def test_added_token_in_a_text_has_its_id(documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [end, f"a {end} b", f"a{end}{end}b", f"x  {end}\n\n y", f"<|endof {end[:-1]} |>", f"{end.upper()} é{end}é"]
+    texts += [" " * k + f"w  {end} \n {end}x y " * 30 for k in range(4)]
+    got = packing.tokenize_pieces(documents(list(enumerate(texts))), ranks_path(), 64).collect()
+    for i, text in enumerate(texts):
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        ids = np.array([*want, 0], dtype="<u4")
+        pieces = sorted((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got if r["doc_id"] == i)
+        assert pieces == [(a, len(ids[a:a + 64]), zlib.crc32(ids[a:a + 64].tobytes()), len(ids)) for a in range(0, len(ids), 64)]
+        for size in (5, 17, 18, 19, 20, 31):
+            encode = packing.encoding(ranks_path()).encode
+            assert [x for part in packing.slices(text, size) for x in encode(part, allowed_special="all")] == want
+
+
 def test_slices_keep_ids():
     text = " ".join(words(1, 4000)) + "\n\n  x"
     encode = packing.encoding(ranks_path()).encode_ordinary
