@@ -9,7 +9,8 @@ language with most remaining n-grams wins.
 n-grams are taken from lower-cased letters; any run of other characters, and either end of the text, is one
 space. Lengths are 1 to 4. An n-gram counts once for each place it is found at, so every letter of the whole text takes part.
 
-Memory: the filter has `positions` words of 64 bits for each 64 languages. The n-grams of a language are those
+Memory: the filter has at least `positions` words of 64 bits for each 64 languages, and at least POSITIONS_A_MEMBER
+for each n-gram of the language that keeps most, a power of two. The n-grams of a language are those
 found in at least `min_share` of its training documents and at least RELATIVE_SHARE of the share that any
 language has, which keeps out passages in another language; the texts' length bounds their number, not the count. Training reads at most `per_language` documents of each language, those with the smallest hash of the text;
 prediction reads all.
@@ -34,6 +35,7 @@ PER_LANGUAGE = 2000
 MIN_SHARE = 0.01
 RELATIVE_SHARE = 0.25
 POSITIONS = 1 << 20
+POSITIONS_A_MEMBER = 5
 HASHES = 3
 UNKNOWN = "und"
 SLICE_CHARS = 1 << 18
@@ -90,6 +92,8 @@ class Filter:
     @classmethod
     def build(cls, languages: list[str], members: dict[str, np.ndarray], positions: int = POSITIONS, hashes: int = HASHES):
         words = max(1, -(-len(languages) // 64))
+        most = POSITIONS_A_MEMBER * max((len(members[language]) for language in languages), default=0)
+        positions = max(positions, 1 << max(most - 1, 0).bit_length())
         masks = np.zeros((positions, words), dtype=np.uint64)
         filled = np.zeros(len(languages))
         for i, language in enumerate(languages):

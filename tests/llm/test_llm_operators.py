@@ -383,6 +383,17 @@ def test_filter_returns_all_languages_of_a_gram():
     assert wrong < 10
 
 
+def test_filter_grows_with_the_members():
+    rng = np.random.default_rng(1)
+    held, foreign = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (500_000, 50_000))
+    f = language.Filter.build(["aa", "bb"], {"aa": held, "bb": held[:1000]})
+    assert len(f.masks) == 1 << 22 and (f.languages_of(held) & np.uint64(1)).all()
+    passed = np.count_nonzero(f.languages_of(foreign)[:, 0] & np.uint64(1)) / len(foreign)
+    assert passed < 0.1 and passed == pytest.approx(f.chance[0], rel=0.1)
+    small = language.Filter.build(["aa"], {"aa": held[:1000]})
+    assert len(small.masks) == language.POSITIONS
+
+
 # 10 preferences
 
 def test_pairs_are_formatted(spark):
