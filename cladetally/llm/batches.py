@@ -1,6 +1,10 @@
 """Size of the batches that Python workers get."""
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 BATCH_BYTES = 4 << 20
 SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -16,3 +20,17 @@ def bounded(df: DataFrame) -> DataFrame:
     if not 0 < now <= BATCH_BYTES:
         conf.set(SETTING, str(BATCH_BYTES))
     return df
+
+
+def beside_text(df: DataFrame, make: Callable[[list], list[pa.Array]], added: str) -> DataFrame:
+    """`df` with columns that `make` derives from the values of column `text`, batch by batch; `added` is their DDL.
+
+    A step of its own, as Spark leaves a Python function over lambda expressions unevaluated."""
+    fields = T._parse_datatype_string(added).fields
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch.column("text").to_pylist())],
+                                             names=[*batch.schema.names, *[f.name for f in fields]])
+
+    return bounded(df).mapInArrow(rows, T.StructType([*df.schema.fields, *fields]))

@@ -1,9 +1,12 @@
 """The registered queries of the training-data operators, and SQL where it can state them."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladetally.llm import language, mixing, order_minhash, packing, preferences, secret_scan, sentence_spans, set_join, site_quality, vectors
+from cladetally.llm import (
+    language, license_scan, mixing, order_minhash, packing, periodic_runs, preferences, secret_scan, sentence_spans, set_join, site_quality,
+    token_alignment, vectors,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +31,12 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @query("op1_order_minhash")
 def op1(spark, folder):
     """Fingerprints of all documents and of their edited texts."""
@@ -148,3 +157,64 @@ FROM m
 def op10(spark, folder):
     """Prompt and masked completions of all conversations, the neighbour's answer as the rejected one."""
     return preferences.format_pairs(preferences.neighbour_pairs(table(spark, folder, "conversations")))
+
+
+@query("op11_license_scan")
+def op11(spark, folder):
+    """Places of licence phrases and notices in all documents."""
+    found = license_scan.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", *license_digest(F.col("hits")))
+
+
+def license_digest(hits: Column) -> list[Column]:
+    """What the hits of a text add up to."""
+    base = F.filter(hits, lambda h: h["phrase"])
+    starts = F.transform(base, lambda h: h["start"])
+    names = lambda of: F.array_join(F.array_sort(F.array_distinct(F.transform(of, lambda h: h["label"]))), ",")
+    return [F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+            names(base).alias("base_labels"), names(hits).alias("labels"),
+            F.coalesce(F.array_max(F.transform(hits, lambda h: h["containment"])), F.lit(0.0)).alias("score")]
+
+
+@query("op12_token_alignment")
+def op12(spark, folder):
+    """Token groups of all documents between two tokenizers, and how common their links are."""
+    aligned = token_alignment.align(table(spark, folder, "documents").select("doc_id", "text"), ranks_path(), pieces_path())
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    short = aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "same", "pairs")
+    counted = token_alignment.count_links(short, ranks_path(), pieces_path())
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op13_periodic_runs")
+def op13(spark, folder):
+    """Periodic runs of all documents, of which a tenth are made periodic."""
+    found = periodic_runs.find_runs(made_periodic(table(spark, folder, "documents").select("doc_id", "text")))
+    return found.select("doc_id", *runs_digest(F.col("runs"), F.col("collapsed")))
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """`docs`; the words from a chosen one on repeat a period in those whose crc32 of the id ends in 0."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(set_join.WORD), F.lit(0))
+
+    def repeated(w):
+        g, n = F.floor(h / 10), F.size(w)
+        return F.when(n > 0, order_minhash.let(F.struct(w.alias("w"), (g % n).alias("a"), (1 + F.floor((n - g % n) / (3 + g % 8))).alias("p")), lambda s: F.array_join(
+            F.transform(s["w"], lambda x, i: F.when(i >= s["a"], F.get(s["w"], (s["a"] + (i - s["a"]) % s["p"]).cast("int"))).otherwise(x)), " "))).otherwise("")
+
+    return docs.withColumn("text", F.when(h % 10 == 0, order_minhash.let(words, repeated)).otherwise(F.col("text")))
+
+
+def runs_digest(runs: Column, collapsed: Column) -> list[Column]:
+    """The number of runs, the one with most periods, and digests."""
+    def order(x, y):
+        more, less = x["length"] * y["period"], y["length"] * x["period"]
+        return (F.when(more > less, -1).when(more < less, 1).when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1)
+                .when(x["period"] < y["period"], -1).when(x["period"] > y["period"], 1).otherwise(0))
+
+    best = F.get(F.array_sort(runs, order), F.lit(0))
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return [F.size(runs).cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+            F.floor((1000 * best["length"] - (1000 * best["length"]) % best["period"]) / best["period"]).cast("long").alias("exponent_milli"),
+            F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2(collapsed, 256).alias("collapsed_sha256")]
