@@ -235,13 +235,38 @@ def _(s, d):
 
 
 
+# Ratio of matching blocks of candidate pairs: the longest common stretch (the first of a, then of b), then those on both
+# sides of it. A pair above the threshold differs by few letters, and so by no more single edits; these are counted in
+# bytes here, of which the letters of the sample tables have two at most.
+NEAR = r"""{probes}, {entries},
+ pairs AS (SELECT a, b, CASE WHEN len(a) > 5 THEN 85 ELSE 90 END AS t FROM probes JOIN entries ON len(a) >= 3 AND len(b) >= 3
+  AND levenshtein(a, b) <= (1 + (strlen(a) > len(a) OR strlen(b) > len(b))::INT) * (((100 - CASE WHEN len(a) > 5 THEN 85 ELSE 90 END) * (len(a) + len(b)) - 1) // 100)),
+ segments(a, b, s, t, best) AS (SELECT a, b, a, b, {best} FROM (SELECT a, b, a AS s, b AS t FROM pairs)
+  UNION ALL SELECT a, b, s, t, {best} FROM (SELECT a, b, unnest([s[1:-best.i - 1], s[-best.i + best.k:]]) AS s,
+   unnest([t[1:strpos(t, s[-best.i:-best.i + best.k - 1]) - 1], t[strpos(t, s[-best.i:-best.i + best.k - 1]) + best.k:]]) AS t
+   FROM segments WHERE best.k > 0) WHERE s <> '' AND t <> ''),
+ scored AS (SELECT a, b, 2.0::DOUBLE * sum(coalesce(best.k, 0)) / (len(a) + len(b)) AS score FROM segments GROUP BY a, b),
+ near AS (SELECT a, b, score FROM (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM scored
+  WHERE score > CASE WHEN len(a) > 5 THEN 0.85::DOUBLE ELSE 0.9::DOUBLE END) WHERE rn = 1)""".replace(
+    "{best}", "list_max(flatten([[{'k': k, 'i': -i} for k in range(1, len(s) - i + 2) if contains(t, s[i:i + k - 1])] for i in range(1, len(s) + 1)]))")
+
+
+def _near_sql(probes, entries):
+    return NEAR.replace("{probes}", f"probes AS ({probes})").replace("{entries}", f"entries AS ({entries})")
+
+
 def _words(s, d, table, col):
     """Distinct lower-case words of whole texts."""
     words = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
-    return sh.t(s, d, table).select(words.alias(col)).where(F.length(col) >= 3).distinct()
+    return sh.t(s, d, table).select(words.alias(col)).where(F.length(col) > 0).distinct()
+
 
+def _words_sql(table, col):
+    return f"SELECT DISTINCT w AS {col} FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS w FROM {table}) WHERE w <> ''"
 
-@query("l19_near_names")
+
+@query("l19_near_names", "WITH RECURSIVE " + _near_sql(_words_sql("conversations", "a") + " AND w NOT IN (" + _words_sql("benchmark", "b") + ")", _words_sql("benchmark", "b"))
+       + " SELECT a, b, score FROM near")
 def _(s, d):
     from cladetally.operators.fuzzy import near_names
     entries = _words(s, d, "benchmark", "b")
@@ -249,14 +274,26 @@ def _(s, d):
     return near_names(probes, entries)
 
 
-@query("l19_fuzzy_match", """SELECT name AS taxon, match_type, CASE match_type WHEN 'exact' THEN taxid::VARCHAR ELSE 'NA' END AS taxid FROM (
- SELECT w.name, x.taxid, CASE WHEN x.taxid IS NOT NULL THEN 'exact' ELSE 'unmapped' END AS match_type FROM (SELECT DISTINCT upper('Fam' || c_nationkey || 'x' || (c_custkey % 7)) AS name FROM customer UNION SELECT DISTINCT p_type FROM part) w
- LEFT JOIN (SELECT upper(name) AS name, min(taxid) AS taxid FROM names_all WHERE taxid BETWEEN 200 AND 399 GROUP BY 1) x USING (name))""")
+# Customers' families as they are, with a hyphen, with the ending of a plural, with a letter more, with a letter changed,
+# and with two letters swapped; the parts' types match nothing.
+PLANTED = """concat('Fam', c_nationkey, 'x', c_custkey % 7)"""
+PLANTED_FORMS = """CASE c_custkey % 6 WHEN 0 THEN upper(f) WHEN 1 THEN concat('Fam-', substr(f, 4)) WHEN 2 THEN concat('Fam ', substr(f, 4))
+ WHEN 3 THEN concat(f, 'q') WHEN 4 THEN concat('G', substr(f, 2)) ELSE concat('Fma', substr(f, 4)) END"""
+
+
+@query("l19_fuzzy_match", "WITH RECURSIVE src AS (SELECT DISTINCT " + PLANTED_FORMS + " AS name FROM (SELECT c_custkey, " + PLANTED + """ AS f FROM customer) UNION SELECT DISTINCT p_type FROM part),
+ known AS (SELECT lower(name) AS b, min(taxid) AS taxid FROM names_all WHERE taxid BETWEEN 200 AND 399 GROUP BY 1),
+ spelled AS (SELECT a, arg_min(b, pos) AS b, min(pos) AS pos FROM (SELECT DISTINCT lower(name) AS a, unnest([lower(name), replace(lower(name), '-', ''), replace(lower(name), '_', ''),
+  replace(lower(name), ' ', ''), regexp_replace(lower(name), '[^a-z0-9]', '', 'g')]) AS v, unnest([0, 1, 2, 3, 4]) AS pos FROM src) JOIN known ON v = b GROUP BY a),
+ """ + _near_sql("SELECT DISTINCT lower(name) AS a FROM src WHERE lower(name) NOT IN (SELECT a FROM spelled)", "SELECT b FROM known") + """
+ SELECT s.name AS taxon, CASE WHEN p.pos = 0 THEN 'exact' WHEN p.pos > 0 THEN 'variant' WHEN n.a IS NOT NULL THEN 'fuzzy' ELSE 'unmapped' END AS match_type,
+  coalesce(coalesce(k.taxid, m.taxid)::VARCHAR, 'NA') AS taxid, CASE WHEN p.pos = 0 THEN 1.0 WHEN p.pos > 0 THEN 0.9 ELSE coalesce(n.score, 0.0) END AS match_score
+ FROM src s LEFT JOIN spelled p ON p.a = lower(s.name) LEFT JOIN known k ON k.b = p.b LEFT JOIN near n ON n.a = lower(s.name) LEFT JOIN known m ON m.b = n.b""")
 def _(s, d):
     from cladetally.operators.fuzzy import fuzzy_match
-    src = sh.t(s, d, "customer").selectExpr("upper(concat('Fam', c_nationkey, 'x', c_custkey % 7)) taxon").union(
+    src = sh.t(s, d, "customer").selectExpr("c_custkey", f"{PLANTED} f").selectExpr(f"{PLANTED_FORMS} taxon").union(
         sh.t(s, d, "part").select("p_type")).distinct()
     node = "named_struct('taxid', 2759L, 'rank', 'superkingdom', 'name', 'Eukaryota')"
     euk = materialize(sh.tree(s, d)).withColumn("lineage", F.expr(f"concat(array({node}), lineage)"))
     out = fuzzy_match(src, sh.names(s, d), sh.nodes(s, d), euk, "taxon", "family")
-    return out.select("taxon", "match_type", F.coalesce(F.col("taxid").cast("string"), F.lit("NA")).alias("taxid"))
+    return out.select("taxon", "match_type", F.coalesce(F.col("taxid").cast("string"), F.lit("NA")).alias("taxid"), "match_score")

@@ -424,6 +424,8 @@ def sql(body: str) -> str:
     if not used:
         return body
     ctes = ",\n".join(f"{n} AS ({CTE[n]})" for n in used)
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body.removeprefix('WITH RECURSIVE ')}"
     return f"WITH {ctes}\n{body}"
 
 
