@@ -6,7 +6,9 @@ from cladetally.functions import names as nm
 from cladetally.functions.classify import unclassified_pattern
 from cladetally.functions.common import contains_any, percent, round_even, strip
 from cladetally.functions.predicates import is_named
-from cladetally.operators.keyed import top_per_key, union_all
+from cladetally.operators.keyed import smallest_per_key, top_per_key, union_all
+from cladetally.operators.quantiles import exact_quantiles
+from cladetally.session import materialize
 
 RANKS_16S = ["phylum", "family", "genus"]
 RANKS_18S = ["division", "family", "genus"]
@@ -77,11 +79,8 @@ def with_database_shares(census: DataFrame, totals_from: DataFrame) -> DataFrame
 
 
 def example_values(df: DataFrame, keys: list[str], value: str, k: int = 3, out: str = "examples") -> DataFrame:
-    """Smallest k distinct values per key, joined with `; `. No group is ever collected whole."""
-    few = top_per_key(df.select(*keys, value).distinct(), keys, [value], k)
-    return few.groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_list(value)), "; ").alias(out)
-    )
+    """Smallest k distinct values per key, joined with `; `."""
+    return smallest_per_key(df, keys, value, k, out).withColumn(out, F.array_join(out, "; "))
 
 
 def taxonomic_combinations(clusters: DataFrame, ranks=RANKS_18S, examples: bool = True) -> DataFrame:
@@ -167,27 +166,22 @@ def unclassified_lineages(clusters: DataFrame, rank: str, ranks=RANKS_18S) -> Da
 
 
 def distribution_stats(df: DataFrame, measures: list[str], by: list[str] | None = None) -> DataFrame:
-    """mean, median, std, min, max, q25, q75 of each measure.
-
-    Equal values are pre-counted, so the exact quantiles see (value, count) pairs: for counts that
-    sum to T there are fewer than sqrt(2T) distinct values.
-    """
+    """mean, median, std, min, max, q25, q75 of each measure; the quantiles are exact."""
     by = by or []
     long = df.select(*by, F.inline(F.array(*[
         F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures
     ])))
-    counted = long.where("value is not null").groupBy(*by, "measure", "value").agg(F.count("*").alias("_n"))
+    counted = materialize(long.where("value is not null").groupBy(*by, "measure", "value").agg(F.count("*").alias("_n")))
     v, n = F.col("value"), F.col("_n")
-    mean = F.sum(v * n) / F.sum(n)
-    q = F.percentile("value", [0.25, 0.5, 0.75], F.col("_n"))
-    stats = counted.groupBy(*by, "measure").agg(
-        F.sum(n).alias("n"), mean.alias("mean"), q.alias("_q"),
-        F.min(v).alias("min"), F.max(v).alias("max"),
+    keys = [*by, "measure"]
+    stats = counted.groupBy(*keys).agg(
+        F.sum(n).alias("n"), (F.sum(v * n) / F.sum(n)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
     )
-    spread = counted.join(stats.select(*by, "measure", "mean"), [*by, "measure"]).groupBy(*by, "measure").agg(
+    spread = counted.join(stats.select(*keys, "mean"), keys).groupBy(*keys).agg(
         F.sum(n * F.pow(v - F.col("mean"), F.lit(2.0))).alias("_ss")
     )
-    return stats.join(spread, [*by, "measure"]).select(
+    q = exact_quantiles(counted, "value", [0.25, 0.5, 0.75], keys, "_n", "_q")
+    return stats.join(spread, keys).join(q, keys).select(
         *by, "measure", "n", "mean", F.col("_q")[1].alias("median"),
         F.when(F.col("n") > 1, F.sqrt(F.col("_ss") / (F.col("n") - 1))).alias("std"),
         "min", "max", F.col("_q")[0].alias("q25"), F.col("_q")[2].alias("q75"),
@@ -196,8 +190,7 @@ def distribution_stats(df: DataFrame, measures: list[str], by: list[str] | None
 
 def iqr_outliers(df: DataFrame, measure: str) -> DataFrame:
     """Rows outside q1 - 1.5 IQR .. q3 + 1.5 IQR, with the bounds."""
-    counted = df.groupBy(F.col(measure).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    q = counted.agg(F.percentile("v", [0.25, 0.75], F.col("n"))).scalar()
+    q = exact_quantiles(df, measure, [0.25, 0.75]).scalar()
     iqr = q[1] - q[0]
     return df.withColumns({
         "lower_bound": q[0] - iqr * 1.5, "upper_bound": q[1] + iqr * 1.5

@@ -1,11 +1,15 @@
 """Tables behind the figures: comparisons, roll-ups, scaled sizes, novel genera."""
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from cladetally.functions import fixed_values as fv
 from cladetally.functions.common import exact_mean, literal_map, percent, ratio_or_inf, round_even
 from cladetally.functions.measures import fold_change, genomes_per_isolate, representation_bias
-from cladetally.operators.keyed import first_per_key, top_k, top_list
+from cladetally.operators.keyed import first_per_key, top_k, top_list, union_all
+from cladetally.operators.quantiles import exact_quantiles
+from cladetally.session import materialize
 
 
 def presence_overlap(df: DataFrame, a: str, b: str, names=("ncbi", "eukprot")) -> DataFrame:
@@ -93,11 +97,8 @@ def scaled_sizes(df: DataFrame, genomes: str, isolates: str, scale: str = "sqrt"
 
 
 def ratio_quartiles(df: DataFrame, ratio: str = "ratio") -> DataFrame:
-    counted = df.groupBy(ratio).agg(F.count("*").alias("_n"))
-    q = F.percentile(ratio, [0.25, 0.5, 0.75], F.col("_n"))
-    return counted.agg(q.alias("q")).select(
-        F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75")
-    )
+    q = F.col("quantiles")
+    return exact_quantiles(df, ratio, [0.25, 0.5, 0.75]).select(q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"))
 
 
 def supergroup_rollup(df: DataFrame, lineage: str, count_col: str, min_pct: float = 5.0) -> DataFrame:
@@ -160,20 +161,49 @@ def gtdb_counts_joined(species: DataFrame, genomes: DataFrame) -> DataFrame:
     return species.select("taxon", "species").join(g, "taxon", "left").fillna(0, ["genomes"])
 
 
-def _held_names(rows: DataFrame, texts: list, names: DataFrame, name: str) -> DataFrame:
-    """`rows` joined with the rows of `names` whose `name` one of the array columns' texts holds.
+LISTED_CHARS = 4_000_000
+
+
+def _hits(rows: DataFrame, texts: str, words: list[str], out: str) -> DataFrame:
+    """`rows`, once for each of `words` that one of the texts in array column `texts` holds, named in `out`."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
+
+    def found(batches):
+        import ahocorasick
 
-    The substrings of the lengths that names have are joined on equality, so the list may be long."""
-    lengths = names.where(F.char_length(name) > 0).agg(F.collect_set(F.char_length(name))).scalar()
+        automaton = ahocorasick.Automaton()
+        for word in words:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        for batch in batches:
+            held = [sorted({w for t in line or () if t is not None for _, w in automaton.iter(t)})
+                    for line in batch.column(texts).to_pylist()]
+            at = np.repeat(np.arange(len(held)), [len(h) for h in held])
+            hit = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*hit.columns, pa.array([w for h in held for w in h], pa.string())], names=schema.names)
 
-    def pieces(text):
-        fitting = F.filter("_lengths", lambda n: n <= F.char_length(text))
-        return F.flatten(F.transform(fitting, lambda n: F.transform(
-            F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, n))))
+    return rows.mapInArrow(found, schema)
 
-    spread = F.array_distinct(F.flatten(F.array(*[F.flatten(F.transform(F.array_compact(t), pieces)) for t in texts])))
-    return (rows.withColumn("_lengths", lengths).withColumn(name, F.explode(spread)).drop("_lengths")
-            .join(names, name))
+
+def held_names(rows: DataFrame, texts: list, names: DataFrame, name: str) -> DataFrame:
+    """`rows` joined with the rows of `names` whose `name` one of the array columns' texts holds.
+
+    An automaton of the listed names reads each text once and yields its hits only. A list goes to the tasks in
+    portions of about LISTED_CHARS characters; the texts are read once for each portion.
+    """
+    names = materialize(names)
+    size = names.agg(F.sum(F.char_length(name))).first()[0] or 0
+    portions = 1 + size // LISTED_CHARS
+    marked = rows.withColumn("_texts", F.flatten(F.array(*texts)))
+    found = []
+    for portion in range(portions):
+        some = names.where((F.char_length(name) > 0) & (F.pmod(F.xxhash64(name), F.lit(portions)) == portion))
+        words = [r[0] for r in some.select(name).distinct().collect()]
+        if words:
+            found.append(_hits(marked, "_texts", words, name))
+    if not found:
+        found = [marked.where("false").withColumn(name, F.lit(None).cast("string"))]
+    return union_all(*found).drop("_texts").join(names, name)
 
 
 def genus_parents(top_genera: DataFrame, combinations: DataFrame) -> DataFrame:
@@ -183,7 +213,7 @@ def genus_parents(top_genera: DataFrame, combinations: DataFrame) -> DataFrame:
     order = [F.desc("row_count"), "taxonomic_combination"]
     combos = combinations.select("genus", "family", "division", "row_count", "taxonomic_combination")
     listed = top_genera.select("genus").distinct()
-    hits = _held_names(combos.withColumnRenamed("genus", "_g"), [F.array("_g")], listed, "genus")
+    hits = held_names(combos.withColumnRenamed("genus", "_g"), [F.array("_g")], listed, "genus")
     best = first_per_key(hits, ["genus"], [(F.col("_g") != F.col("genus")).cast("int"), *order])
     return top_genera.join(best.select("genus", "family", "division", "row_count"), "genus", "left").withColumns({
         "family": F.coalesce("family", F.lit("NOT_FOUND")),
@@ -202,8 +232,8 @@ def family_genera(clusters: DataFrame, families: DataFrame) -> DataFrame:
         F.sum("size").alias("size")
     )
     listed = families.select(F.col("family").alias("listed_family"), "novelty_factor", F.lower("family").alias("_low"))
-    by_family = _held_names(combos, [F.array(F.lower("family"))], listed, "_low").withColumn("how", F.lit(0))
-    other = _held_names(combos, [F.array(F.lower("phylum"), F.lower("genus"))], listed, "_low").withColumn("how", F.lit(1))
+    by_family = held_names(combos, [F.array(F.lower("family"))], listed, "_low").withColumn("how", F.lit(0))
+    other = held_names(combos, [F.array(F.lower("phylum"), F.lower("genus"))], listed, "_low").withColumn("how", F.lit(1))
     hits = by_family.unionByName(other)
     how = hits.groupBy("listed_family").agg(F.min("how").alias("how"))
     return hits.join(how, ["listed_family", "how"]).groupBy("listed_family", "genus").agg(
@@ -216,7 +246,7 @@ def lineage_members(genera: DataFrame, families: DataFrame, lineage: str = "line
     """Genera with a lineage part that contains a listed name, ignoring case."""
     listed = families.select(F.col("family").alias("listed_family"), F.lower("family").alias("_low"))
     parts = F.transform(F.split(F.col(lineage), ";"), lambda p: F.lower(p))
-    return _held_names(genera, [parts], listed, "_low").drop("_low")
+    return held_names(genera, [parts], listed, "_low").drop("_low")
 
 
 def genus_contribution(members: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ owns a large share of the rows never gathers in one task.
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cladetally.functions.classify import assembly_level_rank
@@ -37,9 +39,55 @@ def best_genome_per_species(df: DataFrame, species: str = "species_taxid",
     return first_per_key(df.where(F.col(species).isNotNull()), [species], [*order, *tie_break])
 
 
+HELD_ROWS = 1 << 17
+
+
+def _smallest(table: pa.Table, keys: list[str], value: str, k: int) -> pa.Table:
+    """Smallest k distinct values of each key, in order."""
+    table = table.group_by([*keys, value], use_threads=False).aggregate([]).sort_by([(c, "ascending") for c in [*keys, value]])
+    at = np.arange(len(table))
+    begins = at == 0
+    for key in keys:
+        codes = table[key].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        begins[1:] |= codes[1:] != codes[:-1]
+    return table.filter(pa.array(at - np.maximum.accumulate(np.where(begins, at, 0)) < k))
+
+
+def smallest_per_key(df: DataFrame, keys, value: str, k: int, out: str) -> DataFrame:
+    """Array `out` of the smallest k distinct values of each key, in order; nulls are left out.
+
+    A merge that keeps k values combines on the map side: a key's rows leave a task as k rows, however many they
+    are and however often a value repeats. A task holds `HELD_ROWS` rows and a batch; with more keys it passes
+    them on and starts anew.
+    """
+    plain = df.select(*keys, value).where(F.col(value).isNotNull())
+    names = [f"_k{i}" for i in range(len(keys))]
+    coded = plain.toDF(*names, "_value")
+
+    def merged(batches):
+        held, waiting, rows = [], 0, 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            waiting += batch.num_rows
+            if waiting < HELD_ROWS:
+                continue
+            held = [_smallest(pa.concat_tables(held), names, "_value", k)]
+            waiting, rows = 0, held[0].num_rows
+            if rows > HELD_ROWS:
+                yield from held[0].to_batches()
+                held = []
+        if held:
+            yield from _smallest(pa.concat_tables(held), names, "_value", k).to_batches()
+
+    partial = coded.mapInArrow(merged, coded.schema)
+    few = partial.groupBy(*names).agg(F.slice(F.array_sort(F.collect_set("_value")), 1, k).alias("_few"))
+    return few.select(*[F.col(n).alias(key) for n, key in zip(names, keys)], F.col("_few").alias(out))
+
+
 def first_accessions(df: DataFrame, taxon: str, accession: str = "accession_clean", k: int = 10) -> DataFrame:
-    """Smallest k distinct accessions of each taxon."""
-    return top_per_key(df.select(taxon, accession).distinct(), [taxon], [accession], k, "accession_no")
+    """Smallest k distinct accessions of each taxon, numbered from 1."""
+    few = smallest_per_key(df, [taxon], accession, k, "_few").select(taxon, F.posexplode("_few").alias("_at", accession))
+    return few.select(taxon, accession, (F.col("_at") + 1).alias("accession_no"))
 
 
 def top_k(df: DataFrame, measure, k: int, tie_break, ascending: bool = False) -> DataFrame:

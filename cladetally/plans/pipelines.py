@@ -4,6 +4,7 @@ Taxon-level tables that a pipeline reads several times are written once to the s
 folder, so the large inputs are scanned once. Everything else stays lazy.
 """
 
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -16,9 +17,28 @@ from cladetally.functions import predicates as pr
 from cladetally.functions.common import exact_mean
 from cladetally.operators import anchor, census as ce, figures as fg, genomes as ge
 from cladetally.operators import keyed as ky, matching as mt, quality as qu, taxonomy as tx
+from cladetally.operators.quantiles import exact_quantiles
 from cladetally.session import materialize
 
 
+class Outputs(Mapping):
+    """Named tables of a pipeline; each is built when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 # --- census by rank ----------------------------------------------------------------------------
 def census(clusters: DataFrame, names: DataFrame, lineages: DataFrame, gene: str) -> dict[str, DataFrame]:
     """Census table of each rank with taxid, shares and lineage, keyed by rank; `unmapped` holds
@@ -132,9 +152,13 @@ def eukprot_lineages(meta: DataFrame, names: DataFrame, nodes: DataFrame, lineag
 @dataclass
 class Merged:
     table: DataFrame
-    summary: DataFrame
+    summarise: Callable[[], DataFrame]
     match_log: DataFrame
 
+    @property
+    def summary(self) -> DataFrame:
+        return self.summarise()
+
 
 def merge_census(census_rows: DataFrame, catalogue: DataFrame, gene: str, db: str, level: str) -> Merged:
     """Merge of one rank. `catalogue` has the columns `operators.matching` names.
@@ -160,7 +184,7 @@ def merge_census(census_rows: DataFrame, catalogue: DataFrame, gene: str, db: st
     merged = materialize(mt.merge_with_catalogue(rows, cat, db, by_taxid, isolate_rule, with_data_only))
     return Merged(
         table=ky.sort_matched_first(merged, f"{db}_genome_count", "taxon"),
-        summary=mt.merge_summary(merged, level, db),
+        summarise=lambda: mt.merge_summary(merged, level, db),
         match_log=mt.match_pairs(rows, cat, by_taxid),
     )
 
@@ -175,22 +199,23 @@ def merge_census_with_members(census_rows: DataFrame, members: DataFrame, level:
         rows.select("taxon"), "taxon", "left_semi").distinct()
     return Merged(
         table=ky.sort_matched_first(merged, f"{db}_species_count", "taxon"),
-        summary=coverage_summary(merged, level, f"{db}_species_count"),
+        summarise=lambda: coverage_summary(merged, level, f"{db}_species_count"),
         match_log=pairs,
     )
 
 
 def coverage_summary(merged: DataFrame, level: str, species: str) -> DataFrame:
     """Taxa with species, their share, mean and median coverage."""
-    counted = merged.groupBy("coverage_percentage", (F.col(species) > 0).alias("hit")).agg(
+    counted = materialize(merged.groupBy("coverage_percentage", (F.col(species) > 0).alias("hit")).agg(
         F.count("*").alias("n")
-    )
+    ))
+    median = exact_quantiles(counted, "coverage_percentage", [0.5], n="n").scalar()
     return counted.agg(
         F.lit(level).alias("level"), F.sum("n").alias("total_taxa"),
         F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("taxa_with_species"),
         exact_mean("coverage_percentage", 2, "n").alias("mean_coverage"),
-        F.percentile("coverage_percentage", 0.5, F.col("n")).alias("median_coverage"),
-    ).withColumn("coverage_pct", F.col("taxa_with_species") / F.col("total_taxa") * 100)
+    ).withColumn("median_coverage", median[0]).withColumn(
+        "coverage_pct", F.col("taxa_with_species") / F.col("total_taxa") * 100)
 
 
 # --- two catalogues --------------------------------------------------------------------------------------
@@ -225,37 +250,37 @@ def export_anchored(table: DataFrame, rank: str) -> DataFrame:
 
 
 # --- census quality ----------------------------------------------------------------------------------------
-def census_quality(clusters: DataFrame) -> dict[str, DataFrame]:
+def census_quality(clusters: DataFrame) -> Outputs:
     combos = materialize(ce.taxonomic_combinations(clusters))
     plain = combos.drop("example_centroids")
-    return {
-        "combinations": ky.order_by_group_block(combos, "division", "row_count", ["taxonomic_combination"]),
-        "patterns": ce.unclassified_patterns(plain),
-        "classification_rates": ce.classification_rates(plain),
-        "unclassified_by_rank": ce.unclassified_by_rank(clusters),
-        "unclassified_lineages": ky.union_all(*[
+    return Outputs({
+        "combinations": lambda: ky.order_by_group_block(combos, "division", "row_count", ["taxonomic_combination"]),
+        "patterns": lambda: ce.unclassified_patterns(plain),
+        "classification_rates": lambda: ce.classification_rates(plain),
+        "unclassified_by_rank": lambda: ce.unclassified_by_rank(clusters),
+        "unclassified_lineages": lambda: ky.union_all(*[
             ce.unclassified_lineages(clusters, r).withColumn("level", F.lit(r)) for r in ce.RANKS_18S
         ]),
-        "distribution": ce.distribution_stats(plain, ["row_count", "total_size", "avg_size_per_cluster"]),
-        "outliers": ce.iqr_outliers(plain, "row_count"),
-        "division_sizes": ce.division_size_stats(plain),
-    }
+        "distribution": lambda: ce.distribution_stats(plain, ["row_count", "total_size", "avg_size_per_cluster"]),
+        "outliers": lambda: ce.iqr_outliers(plain, "row_count"),
+        "division_sizes": lambda: ce.division_size_stats(plain),
+    })
 
 
 # --- species report ---------------------------------------------------------------------------------------------
-def species_report(assemblies: DataFrame, rank_maps: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def species_report(assemblies: DataFrame, rank_maps: dict[str, DataFrame]) -> Outputs:
     ranks = ["domain", *rank_maps]
     profile = materialize(ge.species_profile(assemblies))
     stats = materialize(ge.attach_rank_maps(profile, rank_maps))
-    return {
-        "species": stats,
-        "bins": qu.genomes_per_species_bins(profile),
-        "coverage": qu.rank_coverage(stats, ranks),
-        "top_taxa": qu.rank_top_taxa(stats, ranks),
-        "anomalies": qu.species_anomalies(stats, ranks),
-        "source_mix": qu.species_source_mix(profile),
-        "distribution": ce.distribution_stats(profile, ["total_genomes", "mean_genome_size", "mean_gc_percent"]),
-    }
+    return Outputs({
+        "species": lambda: stats,
+        "bins": lambda: qu.genomes_per_species_bins(profile),
+        "coverage": lambda: qu.rank_coverage(stats, ranks),
+        "top_taxa": lambda: qu.rank_top_taxa(stats, ranks),
+        "anomalies": lambda: qu.species_anomalies(stats, ranks),
+        "source_mix": lambda: qu.species_source_mix(profile),
+        "distribution": lambda: ce.distribution_stats(profile, ["total_genomes", "mean_genome_size", "mean_gc_percent"]),
+    })
 
 
 # --- figure tables ------------------------------------------------------------------------------------------------
