@@ -22,15 +22,30 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
-def beside_text(df: DataFrame, make: Callable[[list], list[pa.Array]], added: str) -> DataFrame:
-    """`df` with columns that `make` derives from the values of column `text`, batch by batch; `added` is their DDL.
+def portions(texts: list, most: int):
+    """Bounds of runs of texts that hold `most` characters together at most, or are one text."""
+    at, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size > most and i > at:
+            yield at, i
+            at, size = i, len(text or "")
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def beside_text(df: DataFrame, make: Callable[[list], list[pa.Array]], added: str, most: int = BATCH_BYTES) -> DataFrame:
+    """`df` with columns that `make` derives from the values of column `text`, for about `most` characters at once; `added` is
+    their DDL. What `make` holds and returns is bounded by `most` but for longer texts.
 
     A step of its own, as Spark leaves a Python function over lambda expressions unevaluated."""
     fields = T._parse_datatype_string(added).fields
 
     def rows(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch.column("text").to_pylist())],
-                                             names=[*batch.schema.names, *[f.name for f in fields]])
+            texts = batch.column("text").to_pylist()
+            for low, high in portions(texts, most):
+                yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns, *make(texts[low:high])],
+                                                 names=[*batch.schema.names, *[f.name for f in fields]])
 
     return bounded(df).mapInArrow(rows, T.StructType([*df.schema.fields, *fields]))

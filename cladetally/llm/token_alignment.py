@@ -33,7 +33,7 @@ from cladetally.llm.columns import put_back, set_apart
 from cladetally.llm.packing import encoding, slices
 from cladetally.session import materialize
 
-SLICE_BYTES = 1 << 20
+SLICE_CHARS = 1 << 18
 FREQUENT = 1 << 16
 SPACE = "▁"
 SAME = "array<struct<a: int, n: int>>"
@@ -157,33 +157,16 @@ def _lists(rows: tuple[np.ndarray, ...], names: list[str], texts: int) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, names))
 
 
-def _portions(texts: list[str | None]):
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size > SLICE_BYTES and i > at:
-            yield texts[at:i]
-            at, size = i, len(t or "")
-    if at < len(texts):
-        yield texts[at:]
-
-
 def align(docs: DataFrame, ranks_path: str, model_path: str) -> DataFrame:
     """`docs` with n_a, n_b, n_groups, n_links, `groups` (`a1,a2|b1;a3|b2,b3`: ids of A and B, in order), and the distinct
     linked ids with the number of links: `same` those of the identity map, `pairs` the others."""
     def aligned(texts: list[str | None]) -> list[pa.Array]:
-        known = vocabularies(ranks_path, model_path)
-        parts = [[] for _ in ADDED]
-        for portion in _portions(texts):
-            done = align_texts(portion, known)
-            columns = [*[pa.array(done.counts[:, c]) for c in range(4)], pa.array(done.groups, pa.binary()).cast(pa.string()),
-                       _lists(done.same, ["a", "n"], len(portion)), _lists(done.pairs, ["a", "b", "n"], len(portion))]
-            for part, column in zip(parts, columns):
-                part.append(column)
-        return [pa.concat_arrays(part) for part in parts]
+        done = align_texts(texts, vocabularies(ranks_path, model_path))
+        return [*[pa.array(done.counts[:, c]) for c in range(4)], pa.array(done.groups, pa.binary()).cast(pa.string()),
+                _lists(done.same, ["a", "n"], len(texts)), _lists(done.pairs, ["a", "b", "n"], len(texts))]
 
     plain, names = set_apart(docs, {"text"})
-    found = beside_text(plain, aligned, f"n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, same {SAME}, pairs {PAIRS}")
+    found = beside_text(plain, aligned, f"n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, same {SAME}, pairs {PAIRS}", SLICE_CHARS)
     return put_back(found, names, ADDED)
 
 
