@@ -34,22 +34,45 @@ def _(s, d):
         F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
 
 
-@query("s2_read_assembly_summary", """SELECT assembly_accession, taxid, species_taxid IS NULL AS no_species, genome_size, strftime(seq_rel_date, '%Y-%m-%d') AS day, count(*) AS n
- FROM assemblies WHERE assembly_level <> 'Chromosome' GROUP BY ALL""")
-def _(s, d):
-    cols = {c: F.lit("na") for c in st.ASSEMBLY_COLUMNS}
-    cols |= {c: F.col(c).cast("string") for c in st.USED_ASSEMBLY_COLUMNS}
+def _with_header(lines, head):
+    """Write-out with the header lines first in every file."""
+    def rows(batches):
+        import pyarrow as pa
+        yield pa.RecordBatch.from_arrays([pa.array(head)], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+    return lines.mapInArrow(rows, "value string")
+
+
+def _assembly_lines(s, d, where, columns):
+    """Assemblies as lines of a summary with the given columns."""
+    cols = {c: F.lit("na") for c in columns}
+    cols |= {c: F.col(c).cast("string") for c in st.USED_ASSEMBLY_COLUMNS if c in columns}
     cols["taxid"] = F.when(F.col("assembly_level") == "Chromosome", "bad").otherwise(F.col("taxid").cast("string"))
     cols["seq_rel_date"] = F.date_format("seq_rel_date", "yyyy/MM/dd")
     cols["species_taxid"] = F.coalesce(F.col("species_taxid").cast("string"), F.lit("na"))
-    a = sh.assemblies(s, d).select(*[c.alias(n) for n, c in cols.items()])
-    lines = a.select(F.concat_ws("\t", *[F.coalesce(c, F.lit("")) for c in a.columns]).alias("value"))
-    head = sh.t(s, d, "region").where("r_regionkey = 0").select(
-        F.explode(F.array(F.lit("##  generated"), F.lit("#" + "\t".join(st.ASSEMBLY_COLUMNS)))).alias("value"))
+    a = sh.assemblies(s, d).where(where).select(*[c.alias(n) for n, c in cols.items()])
+    return a.select(F.concat_ws("\t", *[F.coalesce(c, F.lit("")) for c in a.columns]).alias("value"))
+
+
+# Three layouts in one folder: 22 columns, 23 in another order, and all 28. The older ones have no genome size.
+LAYOUTS = {
+    "assembly_level = 'Scaffold'": st.ASSEMBLY_COLUMNS[:22],
+    "assembly_level = 'Contig'": [*st.ASSEMBLY_COLUMNS[22:10:-1], *st.ASSEMBLY_COLUMNS[:11]],
+    "assembly_level not in ('Scaffold', 'Contig')": st.ASSEMBLY_COLUMNS,
+}
+
+
+@query("s2_read_assembly_summary", """SELECT assembly_accession, taxid, species_taxid IS NULL AS no_species, assembly_level, organism_name, coalesce(isolate, '-') AS isolate,
+ CASE WHEN assembly_level IN ('Scaffold', 'Contig') THEN -1 ELSE genome_size END AS genome_size, strftime(seq_rel_date, '%Y-%m-%d') AS day, count(*) AS n
+ FROM assemblies WHERE assembly_level <> 'Chromosome' GROUP BY ALL""")
+def _(s, d):
     path = _place(s, "assembly_summary")
-    head.union(lines).write.text(path)
-    back = st.read_assembly_summary(s, path)
-    return back.groupBy("assembly_accession", "taxid", F.col("species_taxid").isNull().alias("no_species"), "genome_size",
+    for i, (where, columns) in enumerate(LAYOUTS.items()):
+        _with_header(_assembly_lines(s, d, where, columns), ["##  generated", "#" + "\t".join(columns)]).write.text(f"{path}/{i}")
+    back = st.read_assembly_summary(s, f"{path}/*")
+    return back.groupBy("assembly_accession", "taxid", F.col("species_taxid").isNull().alias("no_species"), "assembly_level", "organism_name",
+                        F.coalesce("isolate", F.lit("-")).alias("isolate"), F.coalesce("genome_size", F.lit(-1)).alias("genome_size"),
                         F.date_format("seq_rel_date", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 
 
@@ -69,14 +92,17 @@ def _(s, d):
     return back.select("accession_clean", "domain", "phylum", F.coalesce("genus", F.lit("-")).alias("genus"))
 
 
-@query("s5_read_taxid_map", "SELECT accession[4:] AS accession_clean, '7' AS taxid FROM gtdb")
+@query("s5_read_taxid_map", """SELECT accession[4:] AS accession_clean, CASE n % 3 WHEN 0 THEN '12' WHEN 1 THEN '7' ELSE '40' END AS taxid
+ FROM (SELECT accession, regexp_extract(accession, '([0-9]+)\\.', 1)::BIGINT AS n FROM gtdb)""")
 def _(s, d):
-    acc = sh.gtdb_taxonomy(s, d).select("accession")
-    lines = acc.select(F.explode(F.array(
-        F.concat("accession", F.lit("\t5")), F.concat("accession", F.lit("\t7")), F.concat("accession", F.lit("\tx\ty")), F.lit("lonely"))).alias("value"))
+    # The last line wins, whatever the taxid and its spelling: 5, 12; or 12, 7; or 7, 12 and 40 in a later file.
+    acc = sh.gtdb_taxonomy(s, d).select("accession", F.regexp_extract("accession", r"([0-9]+)\.", 1).cast("bigint").alias("n"))
+    tab = lambda x: F.concat("accession", F.lit(f"\t{x}"))
+    first = F.when(F.col("n") % 3 == 0, F.array(tab(5), tab(12))).when(F.col("n") % 3 == 1, F.array(tab(12), tab(7))).otherwise(F.array(tab(7), tab(12)))
     path = _place(s, "taxid.map")
-    lines.write.text(path)
-    return st.read_taxid_map(s, path)
+    acc.select(F.explode(F.concat(first, F.array(tab("x\ty"), F.lit("lonely")))).alias("value")).write.text(f"{path}/a")
+    acc.where("n % 3 = 2").select(tab(40).alias("value")).write.text(f"{path}/b")
+    return st.read_taxid_map(s, f"{path}/*")
 
 
 @query("s6_read_taxdump", """SELECT n.taxid, n.parent, n.rank, m.name FROM nodes n LEFT JOIN sci m USING (taxid)""".replace("m.name", "coalesce(m.name, '-') AS name"))
@@ -104,18 +130,28 @@ def _(s, d):
     return st.read_rank_table(s, path, "taxon string, domain string, genomes bigint, species bigint").where("genomes is not null")
 
 
-@query("s9_read_assembly_reports", """SELECT assembly_accession AS accession, assembly_level, count(*) AS n FROM assemblies WHERE species_taxid IS NOT NULL GROUP BY 1, 2""")
+@query("s9_read_assembly_reports", """SELECT assembly_accession AS accession, assembly_level, genome_source AS source, organism_name AS name, count(*) AS n FROM assemblies
+ WHERE species_taxid IS NOT NULL GROUP BY ALL""")
 def _(s, d):
     path = _place(s, "reports.json")
-    a = sh.assemblies(s, d)
     report = F.struct(
         F.when(F.col("species_taxid").isNotNull(), F.col("assembly_accession")).alias("accession"),
         F.struct(F.lit("haploid").alias("assembly_type"), F.col("assembly_level")).alias("assembly_info"),
-        F.struct(F.array(F.struct(F.lit("sample_type").alias("name"), F.col("genome_source").alias("value"))).alias("attributes")).alias("biosample"))
-    # one document per line and per 100 rows of a partition's taxid: no group is large
-    a.select(F.to_json(F.struct(F.array(report).alias("reports"))).alias("value")).write.text(path)
-    docs = s.read.schema(st.REPORT_SCHEMA).json(path)
-    return st.shape_reports(docs).groupBy("accession", "assembly_level").agg(F.count("*").alias("n"))
+        F.struct(F.array(F.struct(F.lit("sample } [type").alias("name"), F.col("genome_source").alias("value")),
+                         F.struct(F.lit('a "quoted" {').alias("name"), F.col("organism_name").alias("value"))).alias("attributes")).alias("biosample"))
+    lines = sh.assemblies(s, d).select(F.concat(F.lit(","), F.to_json(report)).alias("value"))
+
+    # Every file is one object with one array, its reports dealt over lines; an empty report comes first.
+    def document(batches):
+        import pyarrow as pa
+        yield pa.RecordBatch.from_arrays([pa.array(['{"total_count": 1, "reports": [', "{}"])], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["], ", '"rest": {"x": []}}'])], ["value"])
+
+    lines.mapInArrow(document, "value string").write.text(path)
+    rows = st.read_assembly_reports(s, path)
+    return rows.groupBy("accession", "assembly_level", F.col("attributes")[0]["value"].alias("source"), F.col("attributes")[1]["value"].alias("name")).agg(F.count("*").alias("n"))
 
 
 @query("s10_write_table", """SELECT doc_id, length(trim(regexp_replace(text, '[\\x00-\\x1f\\x7f\\s]+', ' ', 'g'), ' ')) AS n_chars FROM documents""")
@@ -126,10 +162,16 @@ def _(s, d):
     return back.select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
 
 
-@query("s11_systematic_sample", """SELECT assembly_accession, taxid, count(*) AS n FROM assemblies
- WHERE ('0x' || md5(assembly_accession)[1:8])::BIGINT % greatest(1, (SELECT count(*) FROM assemblies) // 500) = 0 GROUP BY 1, 2""")
+@query("s11_systematic_sample", """SELECT r AS record, assembly_accession, taxid FROM (SELECT assembly_accession, taxid, row_number() OVER (ORDER BY assembly_accession, taxid) - 1 AS r, count(*) OVER () AS n FROM assemblies)
+ WHERE r % greatest(1, n // 500) = 0 AND r < 500 * greatest(1, n // 500)""")
 def _(s, d):
-    return ky.systematic_sample(sh.assemblies(s, d), 500, "assembly_accession").groupBy("assembly_accession", "taxid").agg(F.count("*").alias("n"))
+    # A summary in the order of its accessions, read back in splits.
+    path = _place(s, "sorted_summary")
+    a = sh.assemblies(s, d).orderBy("assembly_accession", "taxid").select(F.concat_ws("\t", "assembly_accession", F.col("taxid").cast("string")).alias("value"))
+    _with_header(a, ["##  generated", "#assembly_accession\ttaxid"]).write.text(path)
+    parts = F.split("value", "\t")
+    return ky.systematic_sample(st.read_numbered(s, path), 500).select(
+        "record", parts[0].alias("assembly_accession"), parts[1].cast("bigint").alias("taxid"))
 
 
 # --- windows ---------------------------------------------------------------------------------------------------

@@ -203,11 +203,10 @@ def sort_by_species(df: DataFrame, species: str, otus: str, name_col: str) -> Da
     return df.orderBy(F.desc(species), F.desc(otus), F.col(name_col))
 
 
-def systematic_sample(df: DataFrame, n: int, key: str) -> DataFrame:
-    """About n records: every step-th by a hash of the key, the same ones on every run."""
-    step = df.agg(F.greatest(F.lit(1), F.floor(F.count("*") / n)).cast("bigint")).scalar()
-    slot = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint")
-    return df.where(F.pmod(slot, step) == 0)
+def systematic_sample(numbered: DataFrame, n: int, record: str = "record") -> DataFrame:
+    """Each step-th of the numbered records, n at most; the step is the number of records over n."""
+    step = numbered.agg(F.greatest(F.lit(1), F.floor(F.count("*") / n)).cast("bigint")).scalar()
+    return numbered.where((F.pmod(F.col(record), step) == 0) & (F.col(record) < step * n))
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

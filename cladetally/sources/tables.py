@@ -1,10 +1,11 @@
 """Readers and writers. Every reader takes a fixed schema; nothing is inferred from the data."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from cladetally.functions import names as nm
 from cladetally.functions.common import as_col, strip
-from cladetally.operators.keyed import first_per_key
+from cladetally.session import materialize
+from cladetally.sources.reports import array_elements
 
 CLUSTER_COLUMNS = {
     "16s": ["centroid", "members", "size", "phylum", "familiy", "genus"],
@@ -18,6 +19,7 @@ ASSEMBLY_COLUMNS = [
     "relation_to_type_material", "asm_not_live_date", "assembly_type", "group", "genome_size",
     "genome_size_ungapped", "gc_percent",
 ]
+LATER_ASSEMBLY_COLUMNS = ["asm_not_live_date", "assembly_type", "group", "genome_size", "genome_size_ungapped", "gc_percent"]
 USED_ASSEMBLY_COLUMNS = [
     "assembly_accession", "taxid", "species_taxid", "organism_name", "assembly_level", "isolate",
     "excluded_from_refseq", "genome_size", "gc_percent", "seq_rel_date",
@@ -49,24 +51,50 @@ def read_clusters(spark: SparkSession, path: str, gene: str) -> DataFrame:
     return out.withColumnRenamed("familiy", "family")
 
 
-def read_assembly_summary(spark: SparkSession, path: str, columns=ASSEMBLY_COLUMNS,
-                          keep=USED_ASSEMBLY_COLUMNS) -> DataFrame:
-    """Assembly summary. `#` lines (comments and header) are skipped; rows without a numeric
-    taxid are dropped; `na` in numeric columns becomes null."""
-    raw = (
-        spark.read.schema(_text_schema(columns))
-        .option("sep", "\t").option("comment", "#").option("quote", "")
-        .csv(path)
-    )
-    out = raw.select(
-        "assembly_accession",
-        F.col("taxid").try_cast("bigint").alias("taxid"),
-        F.col("species_taxid").try_cast("bigint").alias("species_taxid"),
-        "organism_name", "assembly_level", "isolate", "excluded_from_refseq",
-        F.col("genome_size").try_cast("bigint").alias("genome_size"),
-        F.col("gc_percent").try_cast("double").alias("gc_percent"),
-        F.expr("try_to_date(replace(seq_rel_date, '/', '-'))").alias("seq_rel_date"),
-    )
+def _file_lines(spark: SparkSession, path) -> DataFrame:
+    """`(file, block, value)`: lines with their file and the place of their split in it."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def _column_places(lines: DataFrame, required) -> DataFrame:
+    """Stored `(file, names)`: the column names of each file, one row per file."""
+    comments = lines.where((F.col("block") == 0) & F.col("value").startswith("#") & F.col("value").contains(ASSEMBLY_COLUMNS[0]))
+    names = F.transform(F.split(F.ltrim(F.col("value"), F.lit("# ")), "\t"), lambda name: strip(name))
+    heads = materialize(comments.select("file", names.alias("names")).where(F.array_contains("names", ASSEMBLY_COLUMNS[0]))
+                        .groupBy("file").agg(F.min("names").alias("names")))
+    absent = F.array_except(F.array(*[F.lit(c) for c in required]), "names")
+    faulty = heads.select("file", absent.alias("absent")).where(F.size("absent") > 0).orderBy("file").first()
+    if faulty is not None:
+        raise ValueError(f"missing columns: {faulty['absent']} in {faulty['file']}")
+    return heads
+
+
+def read_assembly_summary(spark: SparkSession, path, keep=USED_ASSEMBLY_COLUMNS, optional=LATER_ASSEMBLY_COLUMNS) -> DataFrame:
+    """Assembly summaries. Every file's columns are found by the names in its own header, so that files of several
+    layouts can be read together; columns of `keep` that are not `optional` must be there.
+
+    `#` lines are skipped; rows without a numeric taxid are dropped; `na` in numeric columns becomes null. Files
+    without a header hold no rows: an error names the first one that has any.
+    """
+    lines = _file_lines(spark, path)
+    required = [c for c in dict.fromkeys([*keep, "taxid"]) if c not in optional]
+    heads = _column_places(lines, required)
+    rows = lines.where(~F.col("value").startswith("#") & (strip("value") != "")).join(heads, "file", "left")
+    rows = rows.withColumn("parts", F.split("value", "\t"))
+    unheaded = F.raise_error(F.concat(F.lit("no header in "), F.col("file"))).cast("string")
+
+    def text(name):
+        place = F.array_position("names", name)
+        found = F.when(place > 0, F.nullif(F.get("parts", place.cast("int") - 1), F.lit("")))
+        return F.when(F.col("names").isNull(), unheaded).otherwise(found)
+
+    shaped = {
+        "taxid": strip(text("taxid")).try_cast("bigint"), "species_taxid": text("species_taxid").try_cast("bigint"),
+        "genome_size": text("genome_size").try_cast("bigint"), "gc_percent": text("gc_percent").try_cast("double"),
+        "seq_rel_date": F.try_to_date(F.replace(text("seq_rel_date"), F.lit("/"), F.lit("-"))),
+    }
+    out = rows.select(*[shaped.get(c, text(c)).alias(c) for c in dict.fromkeys([*keep, "taxid"])])
     return out.where(F.col("taxid").isNotNull()).select(*keep)
 
 
@@ -98,15 +126,35 @@ def read_gtdb_metadata(spark: SparkSession, *paths: str) -> DataFrame:
     )
 
 
-def read_taxid_map(spark: SparkSession, path: str) -> DataFrame:
-    """Two-column TSV; lines of another width are skipped; one taxid per clean accession."""
-    lines = spark.read.text(path)
+def read_taxid_map(spark: SparkSession, path) -> DataFrame:
+    """Two-column TSV; lines of another width are skipped; of the lines of a clean accession the last one stays.
+
+    Lines are ordered by file name, split and place in the split; an accession's lines combine before the
+    shuffle."""
+    lines = _file_lines(spark, path).withColumn("at", F.monotonically_increasing_id())
     parts = F.split(strip("value"), "\t")
     pairs = lines.where(F.size(parts) == 2).select(
-        nm.clean_accession(parts.getItem(0)).alias("accession_clean"),
-        strip(parts.getItem(1)).alias("taxid"),
+        nm.clean_accession(parts.getItem(0)).alias("accession_clean"), strip(parts.getItem(1)).alias("taxid"),
+        F.struct("file", "block", "at").alias("place"),
     )
-    return first_per_key(pairs, ["accession_clean"], [F.desc("taxid")])
+    return pairs.groupBy("accession_clean").agg(F.max_by("taxid", "place").alias("taxid"))
+
+
+def read_numbered(spark: SparkSession, path, comment: str = "#") -> DataFrame:
+    """`(record, value)`: the lines that are neither empty nor comments, numbered from 0 through all files in the order of
+    their names.
+
+    Counts per split and their running sums give each split its first number, so no line is sorted or sent.
+    The lines are stored once, as splits may be dealt out anew for a second read.
+    """
+    lines = _file_lines(spark, path).where(~F.col("value").startswith(comment) & (strip("value") != ""))
+    stored = materialize(lines.withColumn("at", F.monotonically_increasing_id()))
+    splits = stored.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
+    # One row per split.
+    before = F.sum("lines").over(W.partitionBy(F.lit(1)).orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1))
+    starts = materialize(splits.withColumn("before", F.coalesce(before, F.lit(0))).select("file", "block", "first", "before"))
+    return stored.join(starts, ["file", "block"]).select(
+        (F.col("before") + F.col("at") - F.col("first")).alias("record"), "value")
 
 
 def _read_dmp(spark: SparkSession, path: str, fields: dict) -> DataFrame:
@@ -163,20 +211,18 @@ def read_rank_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 REPORT_SCHEMA = (
-    "reports array<struct<accession:string,"
-    "assembly_info:struct<assembly_type:string,assembly_level:string>,"
-    "biosample:struct<attributes:array<struct<name:string,value:string>>>>>"
+    "accession string, assembly_info struct<assembly_type:string,assembly_level:string>, "
+    "biosample struct<attributes:array<struct<name:string,value:string>>>"
 )
 
 
-def read_assembly_reports(spark: SparkSession, path: str) -> DataFrame:
-    """JSON report files, one row per report."""
-    docs = spark.read.schema(REPORT_SCHEMA).option("multiLine", True).json(path)
-    return shape_reports(docs)
+def read_assembly_reports(spark: SparkSession, path) -> DataFrame:
+    """JSON report files, one row per report; a file of any size is read by many tasks."""
+    return shape_reports(array_elements(spark, path).select(F.from_json("json", REPORT_SCHEMA).alias("r")))
 
 
-def shape_reports(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode("reports").alias("r")).where("r.accession is not null").select(
+def shape_reports(reports: DataFrame) -> DataFrame:
+    return reports.where("r.accession is not null").select(
         F.col("r.accession").alias("accession"),
         F.col("r.assembly_info.assembly_type").alias("assembly_type"),
         F.col("r.assembly_info.assembly_level").alias("assembly_level"),

@@ -149,10 +149,72 @@ def test_hierarchy_conflicts(spark):
     assert got == {("G", "F1"), ("G", "F2")}
 
 
-def test_systematic_sample_repeats(spark):
-    df = spark.range(1000).select(F.col("id").cast("string").alias("k"))
-    a = {r.k for r in ky.systematic_sample(df, 100, "k").collect()}
-    assert a == {r.k for r in ky.systematic_sample(df.repartition(7), 100, "k").collect()} and 50 < len(a) < 200
+def test_records_are_numbered_across_splits(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("# head\n" + "".join(f"a{i}\n" for i in range(700)))
+    (tmp_path / "b.txt").write_text("".join(f"b{i}\n\n" if i % 50 else f"# {i}\n" for i in range(300)))
+    want = [f"a{i}" for i in range(700)] + [f"b{i}" for i in range(300) if i % 50]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "257")
+    try:
+        got = st.read_numbered(spark, str(tmp_path)).collect()
+        assert [r.value for r in sorted(got)] == want and sorted(r.record for r in got) == list(range(len(want)))
+        picked = ky.systematic_sample(st.read_numbered(spark, str(tmp_path)), 60).collect()
+        assert [r.value for r in sorted(picked)] == want[::len(want) // 60][:60] and len(picked) == 60
+        assert ky.systematic_sample(st.read_numbered(spark, str(tmp_path)), 5000).count() == len(want)
+        # The last line of an accession wins, over splits and files.
+        (tmp_path / "m").mkdir()
+        (tmp_path / "m" / "1").write_text("".join(f"RS_GCF_{i % 40}.1\t{900 - i}\n" for i in range(800)))
+        (tmp_path / "m" / "2").write_text("GB_GCF_3.1\t1\nRS_GCF_3.1\t100000\nRS_GCF_4.1\t9\n")
+        last = {r.accession_clean: r.taxid for r in st.read_taxid_map(spark, str(tmp_path / "m")).collect()}
+        assert last == {f"GCF_{i}.1": str(900 - (760 + i)) for i in range(40)} | {"GCF_3.1": "100000", "GCF_4.1": "9"}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_summaries_of_three_layouts(spark, tmp_path):
+    row = {c: f"{c} x" for c in st.ASSEMBLY_COLUMNS} | {"species_taxid": "6", "genome_size": "100", "gc_percent": "41.5", "seq_rel_date": "2020/01/31"}
+    layouts = {"a": st.ASSEMBLY_COLUMNS[:22], "b": st.ASSEMBLY_COLUMNS[:23][::-1], "c": st.ASSEMBLY_COLUMNS}
+    for i, (name, columns) in enumerate(layouts.items()):
+        lines = ["##  See README", "#" + "\t".join(columns), *("\t".join((row | {"taxid": str(10 * i + k)})[c] for c in columns) for k in range(3))]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = {r.taxid: r for r in st.read_assembly_summary(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got) == [0, 1, 2, 10, 11, 12, 20, 21, 22]
+    for taxid, r in got.items():
+        assert (r.assembly_accession, r.organism_name, r.assembly_level, r.species_taxid) == ("assembly_accession x", "organism_name x", "assembly_level x", 6)
+        assert (r.genome_size, r.gc_percent) == ((100, 41.5) if taxid >= 20 else (None, None)) and str(r.seq_rel_date) == "2020-01-31"
+    (tmp_path / "d").write_text("#assembly_accession\ttaxid\nGCA_1\t5\n")
+    with pytest.raises(ValueError, match="missing columns.*organism_name.*/d"):
+        st.read_assembly_summary(spark, str(tmp_path))
+    (tmp_path / "d").write_text("GCA_1\t5\n")
+    with pytest.raises(Exception, match="no header in"):
+        st.read_assembly_summary(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("known", [100_000, 0])
+def test_reports_are_cut_at_any_byte(spark, tmp_path, monkeypatch, known):
+    from cladetally.sources import reports
+
+    monkeypatch.setattr(reports, "KNOWN_SPLITS", known)
+    element = {"accession": "A", "assembly_info": {"assembly_level": 'braces }{][ and "quotes\\" \\'}, "n": [[1], {"x": {"y": "}"}}]}
+    long = element | {"accession": "long", "note": "} { \\\" " * 300}
+    docs = [{"meta": {"inner": {"k": 1}}, "reports": [element | {"accession": f"A{i}"} for i in range(40)] + [long], "total_count": 41},
+            {"reports": []}, {"reports": [element | {"accession": "été }"}]}]
+    (tmp_path / "a.json").write_text(json.dumps(docs[0], indent=1))
+    (tmp_path / "b.json").write_text(json.dumps(docs[1]) + "\n" + json.dumps(docs[2], ensure_ascii=False))
+    want = sorted(json.dumps(r, sort_keys=True) for doc in docs for r in doc["reports"])
+    try:
+        for size in (61, 200, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = reports.array_elements(spark, str(tmp_path)).collect()
+            assert sorted(json.dumps(json.loads(r.json), sort_keys=True) for r in got) == want
+        assert {r.accession for r in st.read_assembly_reports(spark, str(tmp_path)).collect()} >= {"A0", "long", "été }"}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_orders(spark):
