@@ -31,9 +31,10 @@ def _(s, d):
     return mt.match_pairs(c, k).select("census_taxon", "catalogue_taxon", "genomes", "species", "match_type")
 
 
-@query("j4_catalogue_only", """SELECT k.taxon, k.domain, k.genomes FROM (SELECT CASE WHEN domain = 'ECONOMY' THEN 'New ' || taxon ELSE taxon END AS taxon, CASE WHEN domain = 'ECONOMY' THEN NULL ELSE taxid END AS taxid,
- CASE WHEN domain = 'ECONOMY' THEN 'New ' || taxon ELSE lineage END AS lineage, domain, genomes FROM cat_genus) k
- WHERE NOT EXISTS (SELECT 1 FROM census_genus c WHERE contains(';' || k.lineage || ';', ';' || c.taxon || ';') OR c.taxid = k.taxid)""")
+# A name is reached when one of its rows is; homonyms in other domains go with it.
+@query("j4_catalogue_only", """WITH RECURSIVE k AS (SELECT CASE WHEN domain = 'ECONOMY' THEN 'New ' || taxon ELSE taxon END AS taxon, CASE WHEN domain = 'ECONOMY' THEN NULL ELSE taxid END AS taxid,
+ CASE WHEN domain = 'ECONOMY' THEN 'New ' || taxon ELSE lineage END AS lineage, domain, genomes FROM cat_genus)
+ SELECT taxon, domain, genomes FROM k WHERE taxon NOT IN (SELECT k.taxon FROM k JOIN census_genus c ON contains(';' || k.lineage || ';', ';' || c.taxon || ';') OR c.taxid = k.taxid)""")
 def _(s, d):
     # one domain's genera are renamed, so that the census cannot reach them
     new = F.col("domain") == "ECONOMY"

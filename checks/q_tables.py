@@ -63,7 +63,7 @@ LAYOUTS = {
 }
 
 
-@query("s2_read_assembly_summary", """SELECT assembly_accession, taxid, species_taxid IS NULL AS no_species, assembly_level, organism_name, coalesce(isolate, '-') AS isolate,
+@query("s2_read_assembly_summary", """SELECT assembly_accession, taxid, species_taxid IS NULL AS no_species, assembly_level, organism_name, coalesce(nullif(isolate, ''), '-') AS isolate,
  CASE WHEN assembly_level IN ('Scaffold', 'Contig') THEN -1 ELSE genome_size END AS genome_size, strftime(seq_rel_date, '%Y-%m-%d') AS day, count(*) AS n
  FROM assemblies WHERE assembly_level <> 'Chromosome' GROUP BY ALL""")
 def _(s, d):

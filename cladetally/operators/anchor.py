@@ -11,7 +11,7 @@ from cladetally.functions.predicates import (
     is_virus_name, starts_candidate,
 )
 from cladetally.functions import lineages as ln
-from cladetally.operators.keyed import first_accessions, first_per_key, union_all
+from cladetally.operators.keyed import first_per_key, smallest_per_key, union_all
 from cladetally.session import materialize
 
 
@@ -63,25 +63,51 @@ def direct_matches(a: DataFrame, b: DataFrame) -> DataFrame:
     return _pair_rows(joined, "Direct_Name", 0)
 
 
-def mapped_matches(a: DataFrame, b: DataFrame, pairs: DataFrame, direct: DataFrame) -> DataFrame:
-    """Names matched through shared accessions: a to b first, then b to a for names still open."""
-    done = direct.select(F.col("a_key").alias("key"))
-    open_a = a.join(done, "key", "left_anti")
-    open_b = b.join(done, "key", "left_anti")
-    to_b = modal_partner(pairs, "a", "b").select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-    forward = _pair_rows(
-        open_a.alias("a").join(to_b, F.col("a.key") == F.col("_a"))
-        .join(b.alias("b"), F.col("_b") == F.col("b.key")),
-        "Accession_Mapped_GTDB_to_NCBI", 1,
-    )
-    to_a = modal_partner(pairs, "b", "a").select(F.col("b").alias("_b"), F.col("a").alias("_a"))
-    still_a = open_a.join(forward.select(F.col("a_key").alias("key")), "key", "left_anti")
-    backward = _pair_rows(
-        open_b.alias("b").join(to_a, F.col("b.key") == F.col("_b"))
-        .join(still_a.alias("a"), F.col("_a") == F.col("a.key")),
-        "Accession_Mapped_NCBI_to_GTDB", 2,
-    )
-    return forward.unionByName(backward)
+def tagged_keys(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Stored `(key, a, b, asks_b, asks_a)`: one row per name of either index, with its row in each and the
+    partner that shared accessions name on the other side. A key with both rows is a direct match."""
+    def side(index, tag, other):
+        row = F.struct("taxon", "domain", "genomes", "species")
+        return index.select("key", row.alias(tag)).withColumn(other, F.lit(None).cast(index.select(row.alias("r")).schema["r"].dataType))
+
+    keys = union_all(side(a, "a", "b"), side(b, "b", "a")).groupBy("key").agg(
+        F.first("a", ignorenulls=True).alias("a"), F.first("b", ignorenulls=True).alias("b"))
+    partners = union_all(
+        modal_partner(pairs, "a", "b").select(F.col("a").alias("key"), F.col("b").alias("asks_b")),
+        modal_partner(pairs, "b", "a").select(F.col("b").alias("key"), F.col("a").alias("asks_a")),
+    ).groupBy("key").agg(F.max("asks_b").alias("asks_b"), F.max("asks_a").alias("asks_a"))
+    only_a, only_b = F.col("b").isNull(), F.col("a").isNull()
+    # Names that match directly ask for nothing.
+    return materialize(keys.join(partners, "key", "left").select(
+        "key", "a", "b", F.when(only_a, F.col("asks_b")).alias("asks_b"), F.when(only_b, F.col("asks_a")).alias("asks_a")))
+
+
+def reconcile(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Stored rows of both indexes: direct matches, a to b through accessions, b to a for names of a that are still
+    open, and names that stand on one side only (`order` 0 to 3).
+
+    One table of tagged keys is read; the two kinds of mapped matches are look-ups in it.
+    """
+    keys = tagged_keys(a, b, pairs)
+    target = keys.where("b is not null").select(F.col("key").alias("asks_b"), F.col("key").alias("found"), F.col("b").alias("found_b"))
+    forward = materialize(keys.where("a is not null").join(target, "asks_b", "left").select("key", "a", "b", "found", "found_b"))
+    still = forward.where("b is null and found is null").select(F.col("key").alias("asks_a"), F.col("key").alias("a_key"), F.col("a").alias("found_a"))
+    backward = materialize(keys.where("asks_a is not null").join(still, "asks_a").select("key", "b", "a_key", "found_a"))
+
+    def rows(frame, x, y, x_key, y_key, order):
+        return frame.select(x.alias("a"), y.alias("b"), x_key.alias("a_key"), y_key.alias("b_key"), F.lit(order).alias("order"))
+
+    nothing = F.lit(None).cast(keys.schema["a"].dataType)
+    key, no_key = F.col("key"), F.lit(None).cast("string")
+    used_b = forward.where("b is null").select(F.col("found").alias("key")).union(backward.select("key")).where("key is not null")
+    used_a = backward.select(F.col("a_key").alias("key"))
+    return materialize(union_all(
+        rows(forward.where("b is not null"), F.col("a"), F.col("b"), key, key, 0),
+        rows(forward.where("b is null and found is not null"), F.col("a"), F.col("found_b"), key, F.col("found"), 1),
+        rows(backward, F.col("found_a"), F.col("b"), F.col("a_key"), key, 2),
+        rows(forward.where("b is null and found is null").join(used_a, "key", "left_anti"), F.col("a"), nothing, key, no_key, 3),
+        rows(keys.where("a is null").join(used_b, "key", "left_anti"), nothing, F.col("b"), no_key, key, 3),
+    ))
 
 
 def consolidate(matches: DataFrame) -> DataFrame:
@@ -103,56 +129,59 @@ def consolidate(matches: DataFrame) -> DataFrame:
     )
 
 
-def unmatched(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFrame:
-    """Names of either index that no anchor reached."""
-    zero = F.lit(0).cast("bigint")
-    only_a = a.join(matches.select(F.col("a_key").alias("key")), "key", "left_anti").select(
-        "taxon", F.col("domain").alias("gtdb_domain"), F.lit("").alias("ncbi_domain"),
-        F.lit("GTDB_Only").alias("database_presence"),
-        F.col("genomes").alias("gtdb_genome_count"), F.col("species").alias("gtdb_species_count"),
-        zero.alias("ncbi_genome_count"), zero.alias("ncbi_species_count"),
+ANCHORS = ["Direct_Name", "Accession_Mapped_GTDB_to_NCBI", "Accession_Mapped_NCBI_to_GTDB"]
+
+
+def matched_rows(reconciled: DataFrame) -> DataFrame:
+    """Matches as rows of `consolidate`."""
+    anchor = F.get(F.array(*[F.lit(x) for x in ANCHORS]), F.col("order"))
+    return reconciled.where("order < 3").select(
+        F.col("b.taxon").alias("taxon"), F.col("a.domain").alias("gtdb_domain"), F.col("b.domain").alias("ncbi_domain"),
+        anchor.alias("anchor_type"), F.col("order").alias("_order"),
+        F.col("a.genomes").alias("gtdb_genome_count"), F.col("a.species").alias("gtdb_species_count"),
+        F.col("b.genomes").alias("ncbi_genome_count"), F.col("b.species").alias("ncbi_species_count"),
+        F.col("a.taxon").alias("gtdb_name"),
     )
-    only_b = b.join(matches.select(F.col("b_key").alias("key")), "key", "left_anti").select(
-        "taxon", F.lit("").alias("gtdb_domain"), F.col("domain").alias("ncbi_domain"),
-        F.lit("NCBI_Only").alias("database_presence"),
-        zero.alias("gtdb_genome_count"), zero.alias("gtdb_species_count"),
-        F.col("genomes").alias("ncbi_genome_count"), F.col("species").alias("ncbi_species_count"),
+
+
+def single_rows(reconciled: DataFrame) -> DataFrame:
+    """Names of either index that no anchor reached."""
+    zero, only_a = F.lit(0).cast("bigint"), F.col("a").isNotNull()
+    return reconciled.where("order = 3").select(
+        F.coalesce("a.taxon", "b.taxon").alias("taxon"),
+        F.coalesce("a.domain", F.lit("")).alias("gtdb_domain"), F.coalesce("b.domain", F.lit("")).alias("ncbi_domain"),
+        F.when(only_a, "GTDB_Only").otherwise("NCBI_Only").alias("database_presence"),
+        F.coalesce("a.genomes", zero).alias("gtdb_genome_count"), F.coalesce("a.species", zero).alias("gtdb_species_count"),
+        F.coalesce("b.genomes", zero).alias("ncbi_genome_count"), F.coalesce("b.species", zero).alias("ncbi_species_count"),
+        F.lit("No_Match").alias("match_status"), F.lit("None").alias("anchor_type"), zero.alias("mapping_count"),
     )
-    return only_a.unionByName(only_b).withColumns({
-        "match_status": F.lit("No_Match"), "anchor_type": F.lit("None"),
-        "mapping_count": F.lit(0).cast("bigint"),
-    })
 
 
 def apply_anchors(counts_a: DataFrame, counts_b: DataFrame, acc_a: DataFrame, acc_b: DataFrame) -> DataFrame:
     """Direct names, accession-mapped names, then the rest, consolidated by NCBI name."""
-    a, b = materialize(name_index(counts_a)), materialize(name_index(counts_b, drop_viruses=True))
-    direct = direct_matches(a, b)
-    pairs = materialize(accession_name_pairs(acc_a, acc_b))
-    matches = direct.unionByName(mapped_matches(a, b, pairs, direct))
-    return union_all(consolidate(matches), unmatched(a, b, matches))
+    found = reconcile(name_index(counts_a), name_index(counts_b, drop_viruses=True), materialize(accession_name_pairs(acc_a, acc_b)))
+    return union_all(consolidate(matched_rows(found)), single_rows(found))
 
 
 def verified_taxa(suspicious: DataFrame, acc_a: DataFrame, assemblies: DataFrame, lineages: DataFrame,
-                  rank: str = "phylum", per_taxon: int = 10, compat: bool = False) -> DataFrame:
+                  rank: str = "phylum", compat: bool = False) -> DataFrame:
     """`(taxon, verified, sample_accessions)` of suspicious taxa that have accessions.
 
     Verified = one of the accessions leads to a lineage whose rank is present and is no placeholder.
-    `compat=True` looks at the first `per_taxon` accessions only and never finds the rank, as older
-    published tables were made. The five smallest accessions are shown.
+    `compat=True` never finds the rank, as older published tables were made. The five smallest accessions
+    are shown.
     """
     rows = acc_a.join(suspicious.select("taxon"), "taxon", "left_semi").select("taxon", "accession_clean").distinct()
-    looked_at = first_accessions(rows, "taxon", "accession_clean", per_taxon) if compat else rows
     taxids = assemblies.select(F.col("assembly_accession").alias("accession_clean"), "taxid").distinct()
     ok = lineages.select(
         "taxid",
         F.lit(False).alias("ok") if compat
         else is_verifiable_phylum(ln.name_at_rank("lineage", rank, "last")).alias("ok"),
     )
-    checked = looked_at.join(taxids, "accession_clean", "left").join(ok, "taxid", "left")
+    checked = rows.join(taxids, "accession_clean", "left").join(ok, "taxid", "left")
     verified = checked.groupBy("taxon").agg(F.bool_or(F.coalesce("ok", F.lit(False))).alias("verified"))
-    samples = first_accessions(rows, "taxon", "accession_clean", 5).groupBy("taxon").agg(
-        F.array_join(F.sort_array(F.collect_list("accession_clean")), ", ").alias("sample_accessions"))
+    samples = smallest_per_key(rows, ["taxon"], "accession_clean", 5, "few").select(
+        "taxon", F.array_join("few", ", ").alias("sample_accessions"))
     return verified.join(samples, "taxon")
 
 

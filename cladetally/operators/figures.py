@@ -130,8 +130,7 @@ def total_representation(df: DataFrame, measures: list[str], k: int) -> DataFram
 
 def division_override(df: DataFrame, taxon: str = "taxon") -> DataFrame:
     """Division of listed families and genera, `Other` for the rest."""
-    table = {t: d for d, members in fv.DIVISION_MEMBERS.items() for t in members}
-    found = F.try_element_at(literal_map(table), F.col(taxon))
+    found = F.try_element_at(literal_map(fv.DIVISION_OF_TAXON), F.col(taxon))
     return df.withColumn("division", F.coalesce(found, F.lit("Other")))
 
 

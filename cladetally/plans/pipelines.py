@@ -240,12 +240,8 @@ def triple_anchor(counts_a: DataFrame, counts_b: DataFrame, acc_a: DataFrame, ac
 
 def export_anchored(table: DataFrame, rank: str) -> DataFrame:
     """Column layout of a reconciliation file."""
-    counts = ["gtdb_genome_count", "gtdb_species_count", "ncbi_genome_count", "ncbi_species_count"]
     return table.select(
-        F.col("taxon").alias(rank.capitalize()), F.col("gtdb_domain").alias("GTDB_Domain"),
-        F.col("ncbi_domain").alias("NCBI_Domain"), F.col("database_presence").alias("Database_Presence"),
-        F.col("match_status").alias("Match_Status"), F.col("anchor_type").alias("Anchor_Type"),
-        *[F.col(c).alias("_".join([c[:4].upper(), *[w.capitalize() for w in c[5:].split("_")]])) for c in counts],
+        F.col("taxon").alias(rank.capitalize()), *[F.col(c).alias(label) for c, label in fv.RECONCILIATION_LABELS.items()]
     )
 
 

@@ -1,4 +1,5 @@
 import os
+import sys
 from pathlib import Path
 
 import pytest
@@ -9,7 +10,7 @@ from tools.check_oracles import TABLES, compare
 SF = "/root/testdata/sf0.001"
 QUICK = [
     "a1_census_by_rank_18s", "a4_species_counts", "a14_unclassified_patterns", "a18_distribution", "a30_hierarchy_conflicts",
-    "g1_pattern_source", "j3_ancestor_match_log", "j7_accession_mapping", "l1_build_lineages", "l3_resolve_18s",
+    "g1_pattern_source", "j4_catalogue_only", "j9_consolidate", "j3_ancestor_match_log", "j7_accession_mapping", "l1_build_lineages", "l3_resolve_18s", "l19_fuzzy_match",
     "merge_ncbi_genus", "n4_clean_organelle_name", "p3_ncbi_counts",
     "p5_eukprot_lineages", "p6_merge_18s_ncbi", "p7_triple_anchor", "p10_scatter_table", "s2_read_assembly_summary", "top_novel_families", "w1_best_genome_per_species",
 ]
@@ -20,7 +21,12 @@ def test_registry_is_consistent():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 200
     own = entry._load()
-    assert set(own.QUERIES) - set(own.ORACLES) == {"l19_near_names"}
+    assert set(own.QUERIES) == set(own.ORACLES)
+
+
+def test_entry_works_where_training_data_cannot_be_imported(monkeypatch):
+    monkeypatch.setitem(sys.modules, "cladetally.llm.queries", None)
+    assert set(entry.queries()) == set(entry._load().QUERIES)
 
 
 @needs_data
