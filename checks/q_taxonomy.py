@@ -297,3 +297,29 @@ def _(s, d):
     euk = materialize(sh.tree(s, d)).withColumn("lineage", F.expr(f"concat(array({node}), lineage)"))
     out = fuzzy_match(src, sh.names(s, d), sh.nodes(s, d), euk, "taxon", "family")
     return out.select("taxon", "match_type", F.coalesce(F.col("taxid").cast("string"), F.lit("NA")).alias("taxid"), "match_score")
+
+
+# Node t of the sample tree with all its ancestors, itself included, and the path from the root.
+ABOVE = """above(taxid, anc, path) AS (SELECT taxid, taxid, [taxid] FROM nodes UNION ALL SELECT a.taxid, p.taxid, [p.taxid] || a.path
+ FROM above a JOIN nodes n ON n.taxid = a.anc JOIN nodes p ON p.taxid = n.parent AND p.taxid <> n.taxid)"""
+
+
+@query("l1_tree_intervals", "WITH RECURSIVE " + ABOVE + """, paths AS (SELECT taxid, arg_max(path, len(path)) AS path FROM above GROUP BY taxid),
+ numbered AS (SELECT taxid, row_number() OVER (ORDER BY path) - 1 AS pre FROM paths)
+ SELECT taxid, pre, pre + (SELECT count(*) FROM above a WHERE a.anc = n.taxid) AS "end" FROM numbered n""")
+def _(s, d):
+    from cladetally.operators.subtrees import tree_intervals
+    return tree_intervals(sh.nodes(s, d))
+
+
+@query("a8_subtree_totals", "WITH RECURSIVE " + ABOVE + """ SELECT c.taxon, c.taxid, coalesce(sum(k.genomes), 0)::BIGINT AS genomes, coalesce(sum(k.species), 0)::BIGINT AS species, count(k.taxid) AS matched_rows
+ FROM (SELECT DISTINCT m.name AS taxon, n.taxid FROM nodes n JOIN sci m USING (taxid)) c LEFT JOIN above a ON a.anc = c.taxid LEFT JOIN
+ (SELECT CASE WHEN taxid % 3 = 0 THEN 200 + taxid % 200 ELSE taxid END AS taxid, genomes, species FROM cat_genus WHERE taxid IS NOT NULL) k ON k.taxid = a.taxid GROUP BY 1, 2""")
+def _(s, d):
+    # catalogue rows below every taxid; a third of them is moved up to families
+    from cladetally.operators import subtrees as sb, taxonomy as tx
+    moved = F.when(F.col("taxid") % 3 == 0, 200 + F.col("taxid") % 200).otherwise(F.col("taxid"))
+    cat = sh.catalogue(s, d, "genus").where("taxid is not null").select(moved.alias("taxid"), "genomes", "species", F.lit(1).alias("matched_rows"))
+    totals = sb.subtree_totals(sb.tree_intervals(sh.nodes(s, d)), cat, ["genomes", "species", "matched_rows"])
+    names = sh.sci_names(s, d).select(F.col("name").alias("taxon"), "taxid").distinct()
+    return names.join(totals, "taxid").select("taxon", "taxid", "genomes", "species", "matched_rows")

@@ -75,3 +75,34 @@ def test_names_held_by_texts(spark, monkeypatch, chars):
     none = fg.held_names(spark.createDataFrame(texts, "id int, t array<string>"), [F.col("t")],
                          spark.createDataFrame([], "name string, no int"), "name")
     assert none.count() == 0 and none.columns == ["name", "id", "t", "no"]
+
+
+def test_tree_intervals_and_subtree_totals(spark):
+    from cladetally.operators import subtrees as sb
+
+    rng = random.Random(6)
+    # A wide root, a deep chain, small trees, an orphan, a self-parent, a cycle with a tail.
+    parent = {1: 1} | {i: 1 for i in range(2, 400)} | {i: i - 1 for i in range(400, 700)}
+    parent |= {i: rng.choice([x for x in parent if x < i]) for i in range(700, 900)} | {950: 9999, 951: 950}
+    parent |= {970: 971, 971: 972, 972: 970, 973: 970}
+    nodes = spark.createDataFrame(list(parent.items()), "taxid bigint, parent bigint")
+    got = {r.taxid: (r.pre, r.end) for r in sb.tree_intervals(nodes).collect()}
+
+    children, roots = {}, []
+    for t, p in sorted(parent.items()):
+        (roots if p == t or p not in parent else children.setdefault(p, [])).append(t)
+    want, stack, number = {}, [(t, False) for t in reversed(roots)], 0
+    while stack:
+        t, left = stack.pop()
+        if left:
+            want[t] = (want[t], number)
+            continue
+        want[t], number = number, number + 1
+        stack += [(t, True), *((c, False) for c in reversed(children.get(t, [])))]
+    assert got == want and 970 not in got and 973 not in got
+
+    rows = [(rng.choice(list(want)), rng.randint(0, 9)) for _ in range(2000)] + [(123456, 5), (970, 5), (None, 5)]
+    totals = {r.taxid: r.n for r in sb.subtree_totals(sb.tree_intervals(nodes), spark.createDataFrame(rows, "taxid bigint, n bigint"), ["n"]).collect()}
+    for t, (pre, end) in want.items():
+        assert totals[t] == sum(n for x, n in rows if x in want and pre <= want[x][0] < end)
+    assert sb.tree_intervals(nodes.limit(0)).count() == 0
