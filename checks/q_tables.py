@@ -239,11 +239,12 @@ def _(s, d):
     return ky.label_positions(_axes(s, d)).select("axis", "taxon", round_even("percentage", 3).alias("percentage"), round_even("label_y", 3).alias("label_y"))
 
 
-@query("w5_group_block_order", "SELECT taxonomic_combination, row_count, max(row_count) OVER (PARTITION BY division) AS group_max FROM combos")
+@query("w5_group_block_order", """SELECT *, row_number() OVER (ORDER BY group_max DESC, division NULLS FIRST, row_count DESC, taxonomic_combination) AS position FROM (
+ SELECT taxonomic_combination, division, row_count, max(row_count) OVER (PARTITION BY division) AS group_max FROM combos)""")
 def _(s, d):
     from cladetally.operators.census import taxonomic_combinations
-    ordered = ky.order_by_group_block(taxonomic_combinations(sh.clusters(s, d), examples=False), "division", "row_count", ["taxonomic_combination"])
-    return ordered.select("taxonomic_combination", "row_count", "group_max")
+    ordered = ky.order_by_group_block(taxonomic_combinations(sh.clusters(s, d), examples=False), "division", "row_count", ["taxonomic_combination"], "position")
+    return ordered.select("taxonomic_combination", "division", "row_count", "group_max", "position")
 
 
 @query("w6_first_accessions", """SELECT taxon, accession_clean, accession_no FROM (SELECT taxon, accession_clean, row_number() OVER (PARTITION BY taxon ORDER BY accession_clean) AS accession_no
@@ -268,9 +269,9 @@ def _(s, d):
         ky.bottom_k(c, "row_count", 15, ["taxonomic_combination"]).select(F.lit("bottom").alias("part"), "*"))
 
 
-@query("t2_matched_first", "SELECT taxon, match_status, ncbi_genome_count FROM merged_genus")
+@query("t2_matched_first", """SELECT taxon, match_status, ncbi_genome_count, row_number() OVER (ORDER BY match_status <> 'matched', ncbi_genome_count DESC, taxon) AS position FROM merged_genus""")
 def _(s, d):
-    return ky.sort_matched_first(sh.merged(s, d), "ncbi_genome_count", "taxon").select("taxon", "match_status", "ncbi_genome_count")
+    return ky.sort_matched_first(sh.merged(s, d), "ncbi_genome_count", "taxon", "position").select("taxon", "match_status", "ncbi_genome_count", "position")
 
 
 @raw_query("t3_top_with_other", _with(f"{G},\n{TOPN}", f"SELECT taxon, position, axis, c::DOUBLE AS absolute_count FROM ({AXES})"))
@@ -283,16 +284,18 @@ def _(s, d):
     return ky.axis_links(_axes(s, d), "taxon").select("taxon", "source", "target", "value")
 
 
-@query("t4_novelty_order", "SELECT taxon, novelty_factor = 'inf'::DOUBLE AS infinite, census_otu_count FROM merged_genus WHERE census_otu_count > 0")
+@query("t4_novelty_order", """SELECT taxon, novelty_factor = 'inf'::DOUBLE AS infinite, census_otu_count,
+ row_number() OVER (ORDER BY novelty_factor = 'inf'::DOUBLE DESC, novelty_factor DESC, census_otu_count DESC, taxon) AS position FROM merged_genus WHERE census_otu_count > 0""")
 def _(s, d):
-    rows = ky.sort_by_novelty(sh.merged(s, d).where("census_otu_count > 0"), "novelty_factor", "census_otu_count", "taxon")
-    return rows.select("taxon", (F.col("novelty_factor") == float("inf")).alias("infinite"), "census_otu_count")
+    rows = ky.sort_by_novelty(sh.merged(s, d).where("census_otu_count > 0"), "novelty_factor", "census_otu_count", "taxon", "position")
+    return rows.select("taxon", (F.col("novelty_factor") == float("inf")).alias("infinite"), "census_otu_count", "position")
 
 
-@query("t4_species_order", "SELECT taxon, ncbi_species_count, census_otu_count FROM merged_genus WHERE match_status = 'matched'")
+@query("t4_species_order", """SELECT taxon, ncbi_species_count, census_otu_count, row_number() OVER (ORDER BY ncbi_species_count DESC, census_otu_count DESC, taxon) AS position
+ FROM merged_genus WHERE match_status = 'matched'""")
 def _(s, d):
-    rows = ky.sort_by_species(sh.merged(s, d).where("match_status = 'matched'"), "ncbi_species_count", "census_otu_count", "taxon")
-    return rows.select("taxon", "ncbi_species_count", "census_otu_count")
+    rows = ky.sort_by_species(sh.merged(s, d).where("match_status = 'matched'"), "ncbi_species_count", "census_otu_count", "taxon", "position")
+    return rows.select("taxon", "ncbi_species_count", "census_otu_count", "position")
 
 
 @query("w3_genus_family", """SELECT genus, family FROM (SELECT genus, family, row_number() OVER (PARTITION BY genus ORDER BY row_count DESC, family) AS rn FROM combos) WHERE rn = 1""")

@@ -175,32 +175,51 @@ def label_positions(axes: DataFrame, min_share: float = 2.0) -> DataFrame:
     return placed.withColumn("label_y", before + F.col("percentage") / 2).drop("_total")
 
 
-def order_by_group_block(df: DataFrame, group: str, measure: str, tie_break) -> DataFrame:
-    """Rows sorted by their group's largest measure, then group, then their own measure.
+def with_position(df: DataFrame, order, position: str) -> DataFrame:
+    """Each row's place from 1 in the order of the whole table.
+
+    Rows are dealt out by ranges of the order; a row's place is its place in its range plus the rows of the ranges
+    before it, one number per range. Rows that tie take their places in any order.
+    """
+    order = _keys(*order)
+    ranges = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = F.sum("_rows").over(W.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    starts = ranges.groupBy("_range").agg(F.count("*").alias("_rows")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    numbered = ranges.withColumn("_no", inside).join(starts, "_range")
+    return numbered.withColumn(position, F.col("_start") + F.col("_no")).drop("_range", "_start", "_no")
+
+
+def _sorted(df: DataFrame, order, position: str | None) -> DataFrame:
+    return df.orderBy(*order) if position is None else with_position(df, order, position)
+
+
+def order_by_group_block(df: DataFrame, group: str, measure: str, tie_break, position: str | None = None) -> DataFrame:
+    """Rows sorted by their group's largest measure, then group, then their own measure; or, unsorted, with
+    their place in this order in column `position`, as in the other orders here.
 
     The group maximum is a join with a stored, pre-aggregated table, not a window, so a dominant
     group stays spread.
     """
     peak = materialize(df.groupBy(group).agg(F.max(measure).alias("group_max")))
-    return df.join(peak, group).orderBy(
-        F.desc("group_max"), F.col(group), F.desc(measure), *_keys(*tie_break)
-    )
+    order = [F.desc("group_max"), F.col(group), F.desc(measure), *_keys(*tie_break)]
+    return _sorted(df.join(peak, group), order, position)
 
 
-def sort_matched_first(df: DataFrame, count_col: str, name_col: str) -> DataFrame:
+def sort_matched_first(df: DataFrame, count_col: str, name_col: str, position: str | None = None) -> DataFrame:
     """Matched block first, each block by count descending, then name."""
-    return df.orderBy(F.col("match_status") != "matched", F.desc(count_col), F.col(name_col))
+    return _sorted(df, [F.col("match_status") != "matched", F.desc(count_col), F.col(name_col)], position)
 
 
-def sort_by_novelty(df: DataFrame, novelty: str, otus: str, name_col: str) -> DataFrame:
+def sort_by_novelty(df: DataFrame, novelty: str, otus: str, name_col: str, position: str | None = None) -> DataFrame:
     """Infinite novelty first, then novelty, then OTUs."""
     inf = F.col(novelty) == float("inf")
-    return df.orderBy(F.desc(inf), F.desc(novelty), F.desc(otus), F.col(name_col))
+    return _sorted(df, [inf.desc(), F.desc(novelty), F.desc(otus), F.col(name_col)], position)
 
 
-def sort_by_species(df: DataFrame, species: str, otus: str, name_col: str) -> DataFrame:
+def sort_by_species(df: DataFrame, species: str, otus: str, name_col: str, position: str | None = None) -> DataFrame:
     """Most species first, then most OTUs."""
-    return df.orderBy(F.desc(species), F.desc(otus), F.col(name_col))
+    return _sorted(df, [F.desc(species), F.desc(otus), F.col(name_col)], position)
 
 
 def systematic_sample(numbered: DataFrame, n: int, record: str = "record") -> DataFrame:

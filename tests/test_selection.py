@@ -106,3 +106,15 @@ def test_tree_intervals_and_subtree_totals(spark):
     for t, (pre, end) in want.items():
         assert totals[t] == sum(n for x, n in rows if x in want and pre <= want[x][0] < end)
     assert sb.tree_intervals(nodes.limit(0)).count() == 0
+
+
+def test_positions_equal_sorting(spark):
+    rng = random.Random(3)
+    rows = [(f"k{i}", rng.choice(["x", "y", "z"]), rng.randint(0, 30), rng.choice([1.0, 2.5, float("inf")]), rng.choice(["matched", "census_only"]))
+            for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, g string, n bigint, f double, match_status string").repartition(7)
+    for sort in (lambda **p: ky.sort_matched_first(df, "n", "k", **p), lambda **p: ky.sort_by_novelty(df, "f", "n", "k", **p),
+                 lambda **p: ky.sort_by_species(df, "n", "f", "k", **p), lambda **p: ky.order_by_group_block(df, "g", "n", ["k"], **p)):
+        placed = sorted((r["place"], r["k"]) for r in sort(position="place").collect())
+        assert [p for p, _ in placed] == list(range(1, 501)) and [k for _, k in placed] == [r["k"] for r in sort().collect()]
+    assert ky.with_position(df.limit(0), ["k"], "place").count() == 0
