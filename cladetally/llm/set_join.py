@@ -12,13 +12,14 @@ result names each document's connected component.
    the fewest rare tokens, so in a group of near copies it is the text the others were made from, or close to it. The
    sets that share l tokens of its lists with it are compared with it, which takes no more comparisons than the lists have entries.
    Their exact overlaps are kept, and of those that hold half of it the tokens that the pivot lacks, their extras.
-4. Answers derived from them. Lists whose sets are all connected by now are skipped whole. In the others, sets of
-   different components meet block by block: a list is cut into blocks by size, blocks that cannot hold partners
-   are never joined, and entries whose positions leave too few tokens are skipped. Two sets x and y with the same pivot c
-   and no common extra overlap in at most min(o_x, o_y) tokens and in at least o_x + o_y - n_c, so they are refused or
-   accepted from the pivot's answers alone. Sets with a common extra meet by an equality join on pivot and extra. What is
-   left is compared.
-5. Components by alternating large-star and small-star steps over the links.
+4. Homes. Lists whose sets are all connected by now are skipped whole. Every set of the others gets a home: of the pivots
+   that hold half of it, that of most sets; a set that the strongest home of its lists has not been compared with is compared with it.
+5. Answers derived from them. Two sets x and y of the same home c overlap in at least o_x + o_y - n_c tokens, and without common extras in
+   at most min(o_x, o_y); so they are accepted, refused, or share as many extras as the difference asks for. Those meet by an equality join
+   on home and extra, over the rarest extras that one of so many must be among, where the positions leave room for the rest. Sets of
+   different homes meet block by block: a list is cut into blocks by size, blocks that cannot hold partners
+   are never joined, and entries whose positions leave too few tokens are skipped. What is left is compared.
+6. Components by alternating large-star and small-star steps over the links.
 
 Copies never meet in pairs; near copies meet their pivots, not each other. Sets are recomputed from the text where a
 comparison needs them, so that no table of all sets is stored or moved.
@@ -33,7 +34,7 @@ take part, and a component of none but them has the id null; an empty table give
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladetally.llm.batches import bounded
@@ -48,6 +49,7 @@ SAMPLE_LEAST = 4
 RANKED_TOKENS = 1 << 19
 BROADCAST_KEYS = 1_000_000
 SLICE_ROWS = 512
+SALT_ROWS = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -126,9 +128,13 @@ def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, extras: bool
     The texts of both sides are found in place by their keys and turned into sets there; only the sets travel, once
     for each pair of b and once for a."""
     names = classes.select("node", F.col("rep.doc_id").alias("__id"), F.col("rep.text_key").alias("__text"))
-    partners = materialize(pairs.groupBy("b").agg(F.collect_list("a").alias("partners"))
+    # A pivot's set is there once for each `SALT_ROWS` of its partners, so these meet it in many tasks.
+    salts = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts")))
+    salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
+    partners = materialize(salted.groupBy("b").agg(F.collect_list(F.struct("a", "salt")).alias("partners"))
                            .join(names, F.col("b") == F.col("node")).drop("node"))
-    pivots = materialize(pairs.select("a").distinct().join(names, F.col("a") == F.col("node")).drop("node"))
+    pivots = materialize(salts.join(names, F.col("a") == F.col("node")).drop("node")
+                         .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).drop("salts"))
     # Broadcast up to a counted bound; beyond it a shuffled join finds the texts.
     few = pairs.count() <= BROADCAST_KEYS
     texts = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
@@ -138,9 +144,9 @@ def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, extras: bool
                            F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__text")))
         return found.select(*columns, shingles(F.col("text")).alias("h"))
 
-    members = sets(partners, "b", "partners").select("b", F.col("h").alias("h_b"), F.explode("partners").alias("a"))
-    heads = sets(pivots, "a").withColumnRenamed("h", "h_a")
-    found = members.join(heads, "a").select(
+    members = sets(partners, "b", "partners").select("b", F.col("h").alias("h_b"), F.inline("partners"))
+    heads = sets(pivots, "a", "salt").withColumnRenamed("h", "h_a")
+    found = members.join(heads, ["a", "salt"]).select(
         "a", "b", F.size("h_a").alias("n_a"), F.size("h_b").alias("n_b"), F.size(F.array_intersect("h_a", "h_b")).alias("overlap"),
         *([F.array_except("h_b", "h_a").alias("extra")] if extras else []))
     if extras:
@@ -170,18 +176,68 @@ def components(links: DataFrame) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _extra_pairs(close: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of different components that have a pivot and one of their extras in common."""
-    extras = (close.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("n_b").alias("n"), F.explode("extra").alias("token"))
-              .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    open_ = extras.groupBy("pivot", "token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("pivot", "token")
-    entries = materialize(extras.join(open_, ["pivot", "token"]))
-    x, y = (entries.select("pivot", "token", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "root")]) for side in "xy")
+def _need(n: Column, m: Column, o: Column, r: Column) -> Column:
+    """Common extras that linked sets of sizes n and m hold at least, by their overlaps o and r with one pivot."""
+    return F.ceil(4 * (n + m) / 9).cast("int") - F.least(o, r)
+
+
+def _extra_pairs(homes: DataFrame, close: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of different components that have their home pivot and enough of their extras in common.
+
+    A set's own need is what a partner of the smallest size asks of it; so it shares one of its rarest e - need + 1
+    extras with every partner. Extras are ordered by how many sets of the pivot hold them."""
+    own = homes.join(close.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "extra"), ["pivot", "node"])
+    own = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("e", F.size("extra"))
+    own = own.withColumn("least", F.greatest(F.lit(1), F.ceil(4 * F.col("n") / 5).cast("int") - F.col("overlap"))).where("e >= least")
+    spread = materialize(own.select("pivot", "node", "n", "overlap", "root", "e", "least", F.explode("extra").alias("token")))
+    # Tokens of one component connect nothing.
+    lists = materialize(spread.groupBy("pivot", "token").agg(F.count("*").alias("held"), F.min("root").alias("r0"), F.max("root").alias("r1")))
+    ranked = spread.join(lists.select("pivot", "token", "held"), ["pivot", "token"]).withColumn(
+        "pos", F.row_number().over(Window.partitionBy("pivot", "node").orderBy("held", "token")) - 1).where("pos <= e - least")
+    entries = materialize(ranked.join(lists.where("r0 <> r1").select("pivot", "token"), ["pivot", "token"], "left_semi"))
+    fields = ("node", "n", "root", "overlap", "e", "pos")
+    x, y = (entries.select("pivot", "token", *[F.col(c).alias(f"{side}_{c}") for c in fields]) for side in "xy")
+    need = _need(F.col("x_n"), F.col("y_n"), F.col("x_overlap"), F.col("y_overlap"))
     return (x.join(y, ["pivot", "token"])
-            .where((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & _near_size(F.col("x_n"), F.col("y_n")))
+            .where((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & _near_size(F.col("x_n"), F.col("y_n"))
+                   & (F.least(F.col("x_e") - F.col("x_pos"), F.col("y_e") - F.col("y_pos")) >= need))
             .select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), F.lit(False).alias("sure")).distinct())
 
 
+def _open_entries(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries of the lists that hold several components."""
+    rooted = materialize(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    open_ = rooted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
+    return materialize(rooted.join(open_, "token").dropDuplicates(["token", "node"]))
+
+
+def _homes(entries: DataFrame, close: DataFrame) -> DataFrame:
+    """Home pivot of each set of the entries: of the pivots it holds half of, that with most such sets. A pivot may be
+    its own home. node, n, pivot, overlap, n_pivot, members."""
+    members = close.groupBy(F.col("a").alias("pivot")).agg(F.count("*").alias("members"), F.max("n_a").alias("n_pivot"))
+    known = close.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("n_b").alias("n"), "overlap").join(members, "pivot")
+    own = members.select("pivot", F.col("pivot").alias("node"), F.col("n_pivot").alias("n"), F.col("n_pivot").alias("overlap"), "members", "n_pivot")
+    best = F.max_by(F.struct("pivot", "n", "overlap", "n_pivot", "members"), F.struct("members", "pivot")).alias("h")
+    found = known.unionByName(own).join(entries.select("node").distinct(), "node", "left_semi").groupBy("node").agg(best)
+    return found.select("node", "h.*")
+
+
+def _wanted_homes(entries: DataFrame, homes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) to compare so that sets of one group get the same home: each set with the pivot of most members
+    that is the home of a set in one of its lists, where its own has fewer members or none. At most one for each set."""
+    homed = entries.select("token", "node", "n").join(homes.select("node", "pivot", "members"), "node", "left")
+    strongest = homed.groupBy("token").agg(F.max(F.struct("members", "pivot")).alias("s")).where("s.pivot is not null")
+    wish = (homed.join(strongest, "token").groupBy("node").agg(F.max("n").alias("n_b"), F.max("members").alias("members"), F.max("s").alias("s"))
+            .where("node <> s.pivot and (members is null or members < s.members)"))
+    # Half of either can only be shared by sets of which one is at most twice the other.
+    return wish.select(F.col("s.pivot").alias("a"), F.col("node").alias("b"), "n_b").join(sizes, "a").where(
+        2 * F.least("n_a", "n_b") >= F.greatest("n_a", "n_b")).select("a", "b")
+
+
+def _both_ways(answers: DataFrame) -> DataFrame:
+    return answers.select("a", "b").union(answers.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 def links(docs: DataFrame, index: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes: enough to connect every two classes that qualifying pairs connect."""
     postings = index.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -195,26 +251,29 @@ def links(docs: DataFrame, index: DataFrame, classes: DataFrame) -> DataFrame:
     sizes = classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
     stars = stars.join(sizes, "a").where(_near_size(F.col("n_a"), F.col("n_b")) & (F.col("shared") >= shared_least(F.least("n_a", "n_b"))))
     answers = compare(materialize(stars.select("a", "b")), docs, classes, extras=True)
-    first = answers.where(linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
-    # Lists that still hold several components.
-    roots = components(first)
-    rooted = materialize(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    open_ = rooted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-    entries = rooted.join(open_, "token").dropDuplicates(["token", "node"])
+    def linking(found):
+        return found.where(linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+    # Sets that share lists get the same pivot where they can: one more comparison for a set at most.
+    entries = _open_entries(lists.drop("pivot"), components(linking(answers)))
+    wanted = _wanted_homes(entries, _homes(entries, answers.where(F.col("extra").isNotNull())), sizes)
+    more = materialize(wanted.join(answers.select("a", "b"), ["a", "b"], "left_anti"))
+    answers = materialize(answers.unionByName(compare(more, docs, classes, extras=True)))
+    sure = linking(answers)
+    roots = components(sure)
+    entries = _open_entries(entries.drop("root"), roots)
     close = answers.where(F.col("extra").isNotNull())
-    known = close.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "overlap", F.col("n_a").alias("n_pivot"))
-    entries = (entries.join(known, ["pivot", "node"], "left")
-               .withColumn("overlap", F.when(F.col("node") == F.col("pivot"), F.col("n")).otherwise(F.col("overlap")))
-               .withColumn("n_pivot", F.when(F.col("node") == F.col("pivot"), F.col("n")).otherwise(F.col("n_pivot")))
-               # Sizes that link differ by a factor of 1.25 at most: partners are in the same block or the next.
-               .withColumn("block", F.floor(F.log(F.col("n")) / F.log(F.lit(1.25)) + 1e-9)))
-    entries = materialize(entries)
-    fields = ["token", "pos", "node", "n", "root", "overlap"]
-    x = entries.select("block", "n_pivot", *[F.col(c).alias(c if c == "token" else f"x_{c}") for c in fields])
-    y = entries.select(F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(c).alias(c if c == "token" else f"y_{c}") for c in fields], F.col("block").alias("own"))
+    homes = materialize(_homes(entries, close))
+
+    entries = materialize(entries.join(homes.select("node", "pivot", "overlap", "n_pivot"), "node", "left")
+                          # Sizes that link differ by a factor of 1.25 at most: partners are in the same block or the next.
+                          .withColumn("block", F.floor(F.log(F.col("n")) / F.log(F.lit(1.25)) + 1e-9)))
+    fields = ["pos", "node", "n", "root", "pivot", "overlap"]
+    x = entries.select("token", "block", "n_pivot", *[F.col(c).alias(f"x_{c}") for c in fields])
+    y = entries.select("token", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(c).alias(f"y_{c}") for c in fields], F.col("block").alias("own"))
     n, m = F.col("x_n"), F.col("y_n")
-    most = F.least("x_overlap", "y_overlap")
+    same_home = F.coalesce(F.col("x_pivot") == F.col("y_pivot"), F.lit(False))
     # Each of the first l common tokens leaves room for the rest of the overlap behind it.
     least_shared = shared_least(F.least(n, m))
     room = F.least(n - F.col("x_pos"), m - F.col("y_pos")) + least_shared - 1
@@ -223,21 +282,21 @@ def links(docs: DataFrame, index: DataFrame, classes: DataFrame) -> DataFrame:
         # Within a block each pair once; across blocks the smaller block is y's.
         & ((F.col("own") < F.col("block")) | (F.col("x_node") < F.col("y_node")))
         & _near_size(n, m) & linked(room, n, m)
-        & (F.col("x_overlap").isNull() | F.col("y_overlap").isNull() | linked(most, n, m)))
-    least = F.col("x_overlap") + F.col("y_overlap") - F.col("n_pivot")
+        # Sets of one home that need common extras meet by these.
+        & (~same_home | (_need(n, m, F.col("x_overlap"), F.col("y_overlap")) <= 0)))
+    least = F.when(same_home, F.col("x_overlap") + F.col("y_overlap") - F.col("n_pivot"))
     swap = F.col("x_node") < F.col("y_node")
     a = F.when(swap, F.col("x_node")).otherwise(F.col("y_node"))
     b = F.when(swap, F.col("y_node")).otherwise(F.col("x_node"))
     pairs = (met.select(a.alias("a"), b.alias("b"), least_shared.alias("l"), F.coalesce(linked(least, n, m), F.lit(False)).alias("sure"))
              .groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("l").alias("l"), F.max("sure").alias("sure"))
              .where("shared >= l").select("a", "b", "sure"))
-    pairs = (pairs.union(_extra_pairs(close, roots)).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    pairs = (pairs.union(_extra_pairs(homes, close, roots)).groupBy("a", "b").agg(F.max("sure").alias("sure"))
              # Pivots may be on either side of a pair.
-             .join(answers.select("a", "b").union(answers.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), ["a", "b"], "left_anti"))
+             .join(_both_ways(answers).distinct(), ["a", "b"], "left_anti"))
     pairs = materialize(pairs)
     rest = compare(pairs.where(~F.col("sure")).select("a", "b"), docs, classes)
-    return (first.union(pairs.where("sure").select("a", "b"))
-            .union(rest.where(linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")))
+    return sure.union(pairs.where("sure").select("a", "b")).union(linking(rest))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
