@@ -1,5 +1,6 @@
 """Size of the batches that Python workers get."""
 
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -10,14 +11,25 @@ BATCH_BYTES = 4 << 20
 SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+UNITS = {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}
+
+
+def in_bytes(size: str) -> int:
+    """A size as Spark's settings state it: `4194304`, `16m`, `1GB`."""
+    parts = re.fullmatch(r"(-?[0-9]+)([kmgtp]?)b?", size.strip().lower())
+    if parts is None:
+        raise ValueError(f"not a size: {size}")
+    return int(parts[1]) << UNITS[parts[2]]
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """`df`, with Arrow batches of its session bounded to `BATCH_BYTES`; a smaller bound that the session has stays.
 
     An executor holds a batch several times (as rows, as Arrow on both sides, as objects), once for each task. The
-    default of 64 MB is a sizeable part of an executor; a row larger than the bound is a batch of its own."""
+    default of 64 MB is a sizeable part of an executor; a row larger than the bound is a batch of its own. The setting
+    stays with the session, as frames are run after their operator has returned."""
     conf = df.sparkSession.conf
-    now = int(conf.get(SETTING, str(64 << 20)).lower().rstrip("b"))
-    if not 0 < now <= BATCH_BYTES:
+    if not 0 < in_bytes(conf.get(SETTING, "64m")) <= BATCH_BYTES:
         conf.set(SETTING, str(BATCH_BYTES))
     return df
 

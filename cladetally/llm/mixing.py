@@ -3,7 +3,7 @@
 Each source's documents are laid end to end into one stream of words, cut into blocks of `block_words`.
 A source's share of the mix becomes a number of slots. Slots are dealt to output shards by a hash, so the
 counts of the sources in a shard are a multinomial draw, given the totals. Slot j of a source takes block
-`perm(j mod blocks)`, with a permutation of its own for each source; the last slot takes only the head of its
+`perm(j mod blocks)`, with a keyed permutation of its own for each source; the last slot takes only the head of its
 block, so that a source's words meet its target. Blocks are joined to documents by block index.
 
 Only built-in expressions are used. No step gathers a source: offsets are running sums over hash buckets of
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladetally.llm.columns import put_back, set_apart
+from cladetally.llm.order_minhash import let
 from cladetally.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,8 +27,8 @@ SLOTS_PER_SHARD = 1024
 MAX_EPOCHS = 3
 BUCKET_ROWS = 4096
 SLOT_CHUNK = 65_536
-# Primes below 2^31, steps of the permutations.
-STEPS = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
+ROUNDS = 4
+WALK = 96
 
 
 def word_count(text) -> Column:
@@ -91,9 +92,8 @@ def positions(sizes: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _plan(sources: DataFrame, block_words: int, seed: int, max_epochs: int) -> DataFrame:
-    """Per source: words to take, whole epochs, full blocks, slots, and the step and shift of its permutation."""
+    """Per source: words to take, whole epochs, full blocks, slots, and the key of its permutation."""
     size = F.col("source_size")
-    steps = F.array(*[F.lit(p).cast("long") for p in STEPS])
     return (sources.where("source_size > 0")
             .withColumn("to_take", F.least(F.round("target").cast("long"), max_epochs * size))
             .withColumn("epochs", F.expr("to_take div source_size"))
@@ -101,15 +101,48 @@ def _plan(sources: DataFrame, block_words: int, seed: int, max_epochs: int) -> D
             .withColumn("full", F.expr(f"source_size div {block_words}"))
             .withColumn("blocks", F.ceil(size / block_words))
             .withColumn("slots", F.col("epochs") * F.col("blocks") + F.ceil(F.col("rest") / block_words))
-            .withColumn("step", F.get(steps, F.pmod(F.xxhash64(F.lit(seed), F.lit("step"), "source_key"), F.lit(len(STEPS))).cast("int")))
-            .withColumn("shift", F.xxhash64(F.lit(seed), F.lit("shift"), "source_key")))
+            .withColumn("key", F.xxhash64(F.lit(seed), F.lit("permutation"), "source_key")))
+
+
+def permuted(i: Column, n: Column, key: Column) -> Column:
+    """Place of i in a permutation of 0 .. n - 1 that `key` chooses.
+
+    A Feistel network of `ROUNDS` rounds permutes the numbers below the next power of two; a number that lands at n or
+    above is sent through again until it lands below, which keeps every number below n met once. It lands there
+    with a chance of a half or more each time; after `WALK` times, which no run will see, an error ends the job."""
+    bits = F.greatest(F.length(F.bin(F.greatest(n - 1, F.lit(1)))), F.lit(2))
+    low_bits = F.floor(bits / 2).cast("int")
+    one = F.lit(1).cast("long")
+    shape = F.struct(low_bits.alias("b"), (F.call_function("shiftleft", one, low_bits) - 1).alias("low"),
+                     (F.call_function("shiftleft", one, bits - low_bits) - 1).alias("high"), n.cast("long").alias("n"), key.alias("key"))
+
+    def network(x, s):
+        halves = F.struct(F.call_function("shiftright", x, s["b"]).alias("h"), x.bitwiseAND(s["low"]).alias("l"))
+        for round_ in range(ROUNDS):
+            halves = let(halves, (_high_round if round_ % 2 == 0 else _low_round)(s, round_))
+        return let(halves, lambda v: F.call_function("shiftleft", v["h"], s["b"]).bitwiseOR(v["l"]))
+
+    def walk(s):
+        start = network(i.cast("long"), s)
+        landed = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, lambda x, _: F.when(x < s["n"], x).otherwise(network(x, s)))
+        return let(landed, lambda x: F.when(x < s["n"], x).otherwise(F.raise_error(F.lit("a permutation did not land")).cast("long")))
+
+    return let(shape, walk)
+
+
+def _high_round(s: Column, number: int):
+    return lambda v: F.struct(v["h"].bitwiseXOR(F.xxhash64(s["key"], F.lit(number), v["l"]).bitwiseAND(s["high"])).alias("h"), v["l"].alias("l"))
+
+
+def _low_round(s: Column, number: int):
+    return lambda v: F.struct(v["h"].alias("h"), v["l"].bitwiseXOR(F.xxhash64(s["key"], F.lit(number), v["h"]).bitwiseAND(s["low"])).alias("l"))
 
 
 def draw(sources: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 1, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """One row per slot of the mix: output shard, source, slot, epoch, block, the words taken from its start.
 
-    In an epoch the full blocks come in the order (step * turn + shift) mod full, with a prime step above any
-    block count, so every block comes once; a short last block comes after them."""
+    In an epoch every full block comes once, in the order of the source's permutation; a short last block comes
+    after them."""
     plan = _plan(sources, block_words, seed, max_epochs)
     shards = plan.select(F.greatest(F.ceil(F.sum("slots") / SLOTS_PER_SHARD), F.lit(1)).alias("n")).scalar()
     chunks = plan.where("slots > 0").withColumn(
@@ -119,7 +152,7 @@ def draw(sources: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 1, max_
                                                       F.least((F.col("chunk") + 1) * SLOT_CHUNK, F.col("slots")) - 1)))
              .withColumn("epoch", F.expr("slot div blocks"))
              .withColumn("turn", F.col("slot") % F.col("blocks")))
-    walked = (F.pmod(F.col("shift"), F.col("full")) + (F.col("step") % F.col("full")) * F.col("turn")) % F.col("full")
+    walked = permuted(F.col("turn"), F.col("full"), F.col("key"))
     short = F.col("turn") == F.col("full")
     length = F.when(short, F.col("source_size") - F.col("full") * block_words).otherwise(F.lit(block_words).cast("long"))
     left = F.col("rest") - F.col("turn") * block_words

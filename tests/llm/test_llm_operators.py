@@ -138,12 +138,62 @@ def test_rare_secrets_stay_in_the_fit(documents):
 
 # 3 sentence spans
 
+def covered_by_hand(rows, span=3, least=12):
+    """Sentences that stay, by comparing all runs as texts."""
+    first, gone = {}, {}
+    cut = {i: sentence_spans.sentences(t) for i, t in rows if t is not None}
+    for i in sorted(cut):
+        bare = [s.strip(sentence_spans.SPACE) for s in cut[i]]
+        count = [sentence_spans.word_count(s) for s in bare]
+        enough = lambda a, e: e - a >= span and sum(count[a:e]) >= least
+        for a in range(len(bare)):
+            for e in range(a + 1, len(bare) + 1):
+                if enough(a, e) and (not enough(a, e - 1) or not enough(a + 1, e)):
+                    if first.setdefault("\n".join(bare[a:e]), (i, a)) != (i, a):
+                        gone.setdefault(i, set()).update(range(a, e))
+    return {i: "".join(s for k, s in enumerate(parts) if k not in gone.get(i, ())) for i, parts in cut.items()}
+
+
 def test_repeated_runs_go(documents):
-    run = "One two three four five six seven. Eight nine ten eleven twelve thirteen. "
+    run = "One two three four five six seven. Eight nine ten eleven twelve thirteen. So on. "
     rows = [(1, "Start here. " + run + "End."), (2, "Other start. " + run + "Fin."), (3, run + run), (4, "Eight. Nine. "), (5, "Eight. Nine. ")]
     got = {r["doc_id"]: r for r in sentence_spans.remove_repeated(documents(rows).select("doc_id", "text", "token")).collect()}
     assert got[1]["text"] == rows[0][1] and got[2]["text"] == "Other start. Fin." and got[3]["text"] == ""
-    assert got[5]["text"] == "Eight. Nine. " and got[2]["n_removed"] == 2 and got[3]["n_removed"] == 4
+    # Three words are no passage, however often they come.
+    assert got[5]["text"] == "Eight. Nine. " and got[2]["n_removed"] == 3 and got[3]["n_removed"] == 6
+
+
+def test_passages_of_short_sentences_and_other_scripts_go(documents):
+    short = " ".join(f"Here stand five words {i}." for i in range(10))
+    lines = "\n".join(f"line{i}" for i in range(60))
+    chinese = "今天天气很好。我们去公园散步吧！你想一起来吗？路上买点水果。"
+    thai = "วันนี้อากาศดีมาก\nเราไปเดินเล่นกัน\nคุณอยากไปด้วยไหม\n"
+    rows = [(10 * k + i, f"Own text {k}{i} opens. {p} Own text {i}{k} ends.") for k, p in enumerate([short, lines, chinese, thai]) for i in range(3)]
+    got = {r["doc_id"]: r["text"] for r in sentence_spans.remove_repeated(documents(rows)).collect()}
+    for k, p in enumerate([short, lines, chinese, thai]):
+        assert got[10 * k] == rows[3 * k][1]
+        for i in (1, 2):
+            left = got[10 * k + i]
+            assert left.startswith(f"Own text {k}{i} opens.") and left.endswith(f"Own text {i}{k} ends.") and len(left) < 60, left
+
+
+def test_sentence_ends():
+    assert sentence_spans.sentences('It cost 3.5 e.g. here. "Go!" she said... Now? 好。的！x\n\n y') == [
+        "It cost 3.5 e.g. here. ", '"Go!" ', "she said... ", "Now? ", "好。", "的！", "x\n\n ", "y"]
+    for text in ("", "...", "a", "。。", "1.1." * 50_000, "\n \n", "x." + "y" * 100_000, "a.b.c.d. e"):
+        assert "".join(sentence_spans.sentences(text)) == text
+
+
+def test_removed_sentences_equal_brute_force(documents):
+    rng = np.random.default_rng(3)
+    pool = [" ".join(words(i, 1 + i % 9, 50)).capitalize() + "." for i in range(40)]
+    rows = []
+    for i in range(60):
+        text = [pool[j] for j in rng.integers(0, 40, rng.integers(0, 12))]
+        at = rng.integers(0, 30)
+        rows.append((i, " ".join(text + pool[at:at + rng.integers(0, 9)] + [pool[j] for j in rng.integers(0, 40, 3)])))
+    got = {r["doc_id"]: r["text"] for r in sentence_spans.remove_repeated(documents(rows)).collect()}
+    assert got == covered_by_hand(rows) and any(got[i] != t for i, t in rows)
 
 
 def test_sentence_edge_cases(documents):
@@ -198,6 +248,35 @@ def test_join_equals_brute_force(documents):
     assert got == brute_components(rows)
 
 
+def heavy_copies(n):
+    """Near copies of one text, most of them too far from each other to link."""
+    rng = np.random.default_rng(7)
+    base, rows = words(77, 100, 3000), []
+    for i in range(n):
+        w = list(base)
+        for k in rng.choice(len(w), rng.choice([1, 5, 5, 5, 8, 12]), replace=False):
+            w[k] = f"z{rng.integers(0, 3)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_compared_pairs_grow_with_a_group_not_its_square(documents, monkeypatch):
+    counted = []
+    compare = set_join.compare
+
+    def counting(pairs, *args, **more):
+        counted[-1] += pairs.count()
+        return compare(pairs, *args, **more)
+
+    monkeypatch.setattr(set_join, "compare", counting)
+    for n in (200, 400):
+        counted.append(0)
+        rows = heavy_copies(n)
+        got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in set_join.near_duplicates(documents(rows)).collect()), key=str)
+        assert got == brute_components(rows)
+    assert counted[1] < 2.6 * counted[0] and counted[1] < 400 * 12
+
+
 def test_join_edge_cases_and_keep(documents):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in set_join.near_duplicates(documents(EDGE)).collect()), key=str)
     assert got == brute_components(EDGE)
@@ -484,3 +563,40 @@ def test_keep_is_the_score_above_a_bound(documents, spark, monkeypatch):
         for least in (0.0, *[(order[k] + order[k + 1]) / 2 for k in (len(order) // 4, len(order) // 2, len(order) * 3 // 4)], 0.999999):
             got = [(r["doc_id"], r["text"]) for r in site_quality.keep(docs, some, least).select("doc_id", "text").collect()]
             assert sorted(got, key=repr) == sorted([(d, t) for d, t, q in scored if q >= least], key=repr)
+
+
+# 7 permutation
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 64, 65, 1000, 4099])
+def test_permutation_meets_every_number_once(spark, n):
+    rows = spark.range(n).select(*[mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(k).cast("long")).alias(f"p{k}") for k in (1, 2)]).collect()
+    first, second = [r["p1"] for r in rows], [r["p2"] for r in rows]
+    assert sorted(first) == sorted(second) == list(range(n))
+    if n >= 1000:
+        assert first != second and len({(b - a) % n for a, b in zip(first, first[1:])}) > n / 3  # no stride
+
+
+def test_draw_over_ten_trillion_words(spark):
+    size = 10 ** 13 + 12_345
+    sources = spark.createDataFrame([("=a", size, 10, 5.0, float(3 * size))], "source_key string, source_size long, source_rows long, weight double, target double")
+    plan = mixing._plan(sources, 512, 1, 3).first()
+    assert plan["slots"] == 3 * -(-size // 512) and plan["full"] == size // 512
+    turns = spark.range(0, plan["full"], plan["full"] // 1000)
+    blocks = [r[0] for r in turns.select(mixing.permuted(F.col("id"), F.lit(plan["full"]), F.lit(plan["key"]))).collect()]
+    assert len(set(blocks)) == len(blocks) > 1000 and min(blocks) >= 0 and plan["full"] * 0.9 < max(blocks) < plan["full"]
+
+
+# Batches
+
+def test_batch_bound_reads_sizes_as_spark_states_them(spark):
+    from cladetally.llm import batches
+
+    assert [batches.in_bytes(x) for x in ("4194304", "16m", "1GB", "2k", "7b", "-1")] == [4 << 20, 16 << 20, 1 << 30, 2048, 7, -1]
+    before = spark.conf.get(batches.SETTING, None)
+    try:
+        for stated, kept in (("16m", 4 << 20), ("1m", 1 << 20), ("64MB", 4 << 20)):
+            spark.conf.set(batches.SETTING, stated)
+            batches.bounded(spark.range(1))
+            assert batches.in_bytes(spark.conf.get(batches.SETTING)) == kept
+    finally:
+        spark.conf.unset(batches.SETTING) if before is None else spark.conf.set(batches.SETTING, before)
