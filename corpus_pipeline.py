@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladetally.llm import mixing, packing, queries, secret_scan, set_join, site_quality
-from cladetally.session import shared_dir
+from cladetally.session import remove, shared_dir, stored_tables
 
 QUALITY_LEAST = 0.5
 
@@ -58,11 +58,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
+    """All stages over `documents`. What a stage stores goes when its output is written, and that when the next one's
+    is; the last output stays, as the result reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
-    for number, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    try:
+        for number, (_, stage) in enumerate(STAGES):
+            path = f"{folder}/{number}"
+            with stored_tables(spark):
+                stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if number:
+                remove(spark, f"{folder}/{number - 1}")
+    except Exception:
+        remove(spark, folder)
+        raise
     return docs
