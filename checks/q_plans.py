@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cladetally.functions import lineages as ln
+from cladetally.functions.common import round_even
 from cladetally.plans import pipelines as pl
 from cladetally.sources.tables import shape_eukprot
 from checks import shapes as sh
@@ -64,12 +65,67 @@ def _(s, d):
                          F.coalesce(F.col("taxid").cast("string"), F.lit("NA")).alias("taxid"), ln.lineage_text("lineage").alias("lineage"))
 
 
-@query("p4_gtdb_counts", """SELECT regexp_replace(family, '_[A-Z]$', '') AS family, domain, count(*) AS family_counts FROM gtdb_ranks WHERE family IS NOT NULL GROUP BY 1, 2""")
+def _p3_rank(rank):
+    sql = f"""SELECT c.{rank}, domain, {rank}_genome_count, round_even({rank}_genome_count::DOUBLE / sum({rank}_genome_count) OVER () * 100 * 100, 0) / 100 AS {rank}_genome_percentage, {rank}_species_count,
+ coalesce(x.taxid::VARCHAR, 'NA') AS taxid, coalesce(l.lineage, '') AS lineage FROM ({P3.replace('phylum', rank)}) c LEFT JOIN lookup x ON x.name = c.{rank} LEFT JOIN lin l ON l.taxid = x.taxid"""
+
+    @query(f"p3_ncbi_counts_{rank}", sql)
+    def _(s, d):
+        counts, _ = pl.ncbi_counts(sh.assemblies(s, d), sh.rank_map(s, d, rank), sh.names_stored(s, d), sh.tree_stored(s, d), rank)
+        return counts.select(rank, "domain", f"{rank}_genome_count", f"{rank}_genome_percentage", f"{rank}_species_count",
+                             F.coalesce(F.col("taxid").cast("string"), F.lit("NA")).alias("taxid"), ln.lineage_text("lineage").alias("lineage"))
+
+
+for _rank in ("family", "genus"):
+    _p3_rank(_rank)
+
+
+@query("p3_accessions", """SELECT a.assembly_accession AS accession_clean, m.family, m.domain, a.assembly_level, a.genome_source, a.taxid, count(*) AS n FROM (
+ SELECT assembly_accession, assembly_level, taxid, CASE WHEN contains(lower(organism_name), 'uncultured') OR contains(lower(coalesce(excluded_from_refseq, '')), 'metagenome') THEN 'uncultured' ELSE 'isolate' END AS genome_source FROM assemblies) a
+ JOIN map_family m USING (taxid) GROUP BY ALL""")
 def _(s, d):
+    _, rows = pl.ncbi_counts(sh.assemblies(s, d), sh.rank_map(s, d, "family"), sh.names_stored(s, d), sh.tree_stored(s, d), "family")
+    return rows.groupBy("accession_clean", "family", "domain", "assembly_level", "genome_source", "taxid").agg(F.count("*").alias("n"))
+
+
+@query("p2_taxid_rank_map_phylum", """SELECT DISTINCT a.taxid, l.phylum, l.superkingdom AS domain FROM assemblies a JOIN lin l USING (taxid) WHERE l.phylum IS NOT NULL""")
+def _(s, d):
+    return pl.taxid_rank_map(sh.assemblies(s, d), sh.nodes(s, d), sh.sci_names(s, d), "phylum")[0]
+
+
+def _gtdb(s, d, rank):
+    """The chain of a rank. The first catalogue knows some nations as families and all market segments as phyla."""
     tree = sh.tree_stored(s, d)
-    other = sh.t(s, d, "nation").where("n_regionkey < 2").selectExpr("cast(100 + n_nationkey as bigint) taxid", "concat('F', n_nationkey) name")
-    out = pl.gtdb_counts(sh.gtdb_taxonomy(s, d), "family", [("gtdb", other), ("ncbi", sh.names_stored(s, d))], {"gtdb": tree, "ncbi": tree})
-    return out.select("family", "domain", "family_counts")
+    known = sh.t(s, d, "nation").where("n_regionkey < 2").selectExpr("cast(100 + n_nationkey as bigint) taxid", "concat('F', n_nationkey) name").union(
+        sh.t(s, d, "customer").selectExpr("cast(10 + length(c_mktsegment) % 5 as bigint) taxid", "c_mktsegment name").distinct())
+    return pl.gtdb_catalogue(sh.gtdb_taxonomy(s, d), rank, [("gtdb", known), ("ncbi", sh.names_stored(s, d))], {"gtdb": tree, "ncbi": tree})
+
+
+def _with_texts(df):
+    return df.withColumns({"taxid": F.coalesce(F.col("taxid").cast("string"), F.lit("NA")), "lineage": F.coalesce(ln.lineage_text("lineage"), F.lit(""))})
+
+
+@query("p4_gtdb_counts", """SELECT c.family, c.domain, c.family_counts, coalesce(n.taxid::VARCHAR, 'NA') AS taxid, coalesce(l.lineage, '') AS lineage FROM (
+ SELECT regexp_replace(family, '_[A-Z]$', '') AS family, domain, count(*) AS family_counts FROM gtdb_ranks WHERE family IS NOT NULL GROUP BY 1, 2) c
+ LEFT JOIN (SELECT 'F' || n_nationkey AS family, 100 + n_nationkey AS taxid FROM nation WHERE n_regionkey < 2) n USING (family) LEFT JOIN lin l ON l.taxid = n.taxid""")
+def _(s, d):
+    return _with_texts(_gtdb(s, d, "family")["counts"]).select("family", "domain", "family_counts", "taxid", "lineage")
+
+
+@query("p4_gtdb_counts_phylum", """SELECT c.phylum, c.domain, c.phylum_counts, (10 + length(c.phylum) % 5)::VARCHAR AS taxid, 'gtdb' AS taxid_source, coalesce(l.lineage, '') AS lineage FROM (
+ SELECT regexp_replace(phylum, '_[A-Z]$', '') AS phylum, domain, count(*) AS phylum_counts FROM gtdb_ranks GROUP BY 1, 2) c LEFT JOIN lin l ON l.taxid = 10 + length(c.phylum) % 5""")
+def _(s, d):
+    return _with_texts(_gtdb(s, d, "phylum")["counts"]).select("phylum", "domain", "phylum_counts", "taxid", "taxid_source", "lineage")
+
+
+@query("p4_conflicts")
+def _(s, d):
+    return _gtdb(s, d, "family")["conflicts"].drop("parents")
+
+
+@query("p4_chain_species", "SELECT regexp_replace(genus, '_[A-Z]$', '') AS genus, domain, count(DISTINCT species) AS genus_species_count FROM gtdb_ranks WHERE genus IS NOT NULL GROUP BY 1, 2")
+def _(s, d):
+    return _gtdb(s, d, "genus")["species"]
 
 
 @query("p4_gtdb_species_counts", "SELECT regexp_replace(family, '_[A-Z]$', '') AS family, domain, count(DISTINCT species) AS family_species_count FROM gtdb_ranks WHERE family IS NOT NULL GROUP BY 1, 2")
@@ -128,9 +184,9 @@ def _(s, d):
     return out.match_log.groupBy("match_type").agg(F.count("*").alias("n"), F.sum("genomes").alias("genomes"))
 
 
-def _anchored(s, d, compat):
+def _anchored(s, d, compat, rank="phylum"):
     asm = sh.t(s, d, "orders").selectExpr("cast(o_orderkey as string) assembly_accession", "o_custkey * 5 + 1000 taxid")
-    return pl.triple_anchor(sh.counts_a(s, d), sh.counts_b(s, d), sh.acc_a(s, d), sh.acc_b(s, d), asm, sh.tree_stored(s, d), compat=compat)
+    return pl.triple_anchor(sh.counts_a(s, d), sh.counts_b(s, d), sh.acc_a(s, d), sh.acc_b(s, d), asm, sh.tree_stored(s, d), rank, compat=compat)
 
 
 def _register_p7():
@@ -139,6 +195,7 @@ def _register_p7():
 
     verified = sh.sql("""SELECT taxon, bool_or(coalesce(l.phylum IS NOT NULL, false)) AS ok FROM (SELECT DISTINCT taxon, accession_clean FROM acc_a) LEFT JOIN (SELECT o_orderkey::VARCHAR AS accession_clean, o_custkey * 5 + 1000 AS taxid FROM orders) o USING (accession_clean) LEFT JOIN lin l USING (taxid) GROUP BY taxon""")
     registry.ORACLES["p7_triple_anchor"] = f"SELECT taxon, database_presence, anchor_type, gtdb_genome_count, ncbi_genome_count FROM ({ANCHOR_SQL}) WHERE database_presence <> 'GTDB_Only' OR taxon IN (SELECT taxon FROM ({verified}) WHERE ok)"
+    registry.ORACLES["p7_triple_anchor_family"] = registry.ORACLES["p7_triple_anchor"].replace("l.phylum IS NOT NULL", "l.family IS NOT NULL")
     registry.ORACLES["p7_triple_anchor_compat"] = f"SELECT taxon, database_presence, anchor_type, gtdb_genome_count, ncbi_genome_count FROM ({ANCHOR_SQL}) WHERE database_presence <> 'GTDB_Only'"
     registry.ORACLES["p7_unverified_compat"] = f"SELECT taxon, gtdb_genome_count FROM ({ANCHOR_SQL}) WHERE database_presence = 'GTDB_Only'"
 
@@ -148,6 +205,11 @@ def _(s, d):
     return _anchored(s, d, False).table.select("taxon", "database_presence", "anchor_type", "gtdb_genome_count", "ncbi_genome_count")
 
 
+@query("p7_triple_anchor_family")
+def _(s, d):
+    return _anchored(s, d, False, "family").table.select("taxon", "database_presence", "anchor_type", "gtdb_genome_count", "ncbi_genome_count")
+
+
 @query("p7_triple_anchor_compat")
 def _(s, d):
     return _anchored(s, d, True).table.select("taxon", "database_presence", "anchor_type", "gtdb_genome_count", "ncbi_genome_count")
@@ -196,3 +258,64 @@ def _(s, d):
     return out.groupBy("axis").agg(F.sum("absolute_count").alias("total"), F.count("*").alias("blocks"))
 
 
+# --- every output of the two quality pipelines, compared with the SQL of its operator ----------------------------------
+def _rounded(df, **places):
+    return df.withColumns({c: round_even(c, p) for c, p in places.items()})
+
+
+CENSUS_OUTPUTS = {
+    "patterns": ("a14_unclassified_patterns", lambda df: df),
+    "classification_rates": ("a15_classification_rates", lambda df: df),
+    "unclassified_by_rank": ("a16_unclassified_by_rank", lambda df: df),
+    "unclassified_lineages": ("a17_unclassified_lineages", lambda df: df.where("level = 'genus'").drop("level")),
+    "distribution": ("a18_distribution", lambda df: _rounded(df.where("measure <> 'avg_size_per_cluster'"), mean=4, std=4)),
+    "outliers": ("a19_iqr_outliers", lambda df: df.select("taxonomic_combination", "row_count", "lower_bound", "upper_bound")),
+    "division_sizes": ("a20_division_sizes", lambda df: _rounded(df, avg_clusters_per_combination=4).drop("avg_sequences_per_combination", "avg_size_per_cluster")),
+    "combinations": ("a13_combinations", lambda df: df.select("taxonomic_combination", "row_count", "total_size", "avg_size_per_cluster", "example_centroids")),
+}
+REPORT_OUTPUTS = {
+    "bins": ("a23_genome_bins", lambda df: df),
+    "coverage": ("a24_rank_coverage", lambda df: df.where("rank <> 'domain'")),
+    "top_taxa": ("a24_rank_top_taxa", lambda df: df.where("rank = 'phylum'").withColumn("position", F.col("position").cast("bigint"))),
+    "species": ("a21_species_profile", lambda df: _rounded(df, mean_genome_size=2, mean_gc_percent=4).select(
+        "species_taxid", "representative_organism_name", "isolate_count", "uncultured_count", "total_genomes", "mean_genome_size",
+        F.coalesce(F.rint(F.col("std_genome_size") / 1000), F.lit(-1.0)).alias("std_genome_size"), "min_genome_size", "max_genome_size", "mean_gc_percent",
+        F.date_format("earliest_date", "yyyy-MM-dd").alias("earliest"), F.date_format("latest_date", "yyyy-MM-dd").alias("latest"))),
+}
+
+
+def _register_outputs():
+    from checks import q_counts, q_quality, registry  # noqa: F401 - their SQL is used
+
+    registry.ORACLES["p4_conflicts"] = registry.ORACLES["a30_hierarchy_conflicts"]
+
+    def add(name, oracle, build, shape):
+        query(name)(lambda s, d: shape(build(s, d)))
+        registry.ORACLES[name] = oracle
+
+    for output, (like, shape) in CENSUS_OUTPUTS.items():
+        oracle = registry.ORACLES[like]
+        if output == "distribution":
+            oracle = f"SELECT * FROM ({oracle}) WHERE measure <> 'avg_size_cents'"
+        add(f"p8_{output}", oracle, lambda s, d, o=output: pl.census_quality(sh.clusters(s, d))[o], shape)
+    for output, (like, shape) in REPORT_OUTPUTS.items():
+        add(f"p9_{output}", registry.ORACLES[like],
+            lambda s, d, o=output: pl.species_report(sh.assemblies(s, d), {r: sh.rank_map(s, d, r) for r in ("phylum", "family")})[o], shape)
+
+
+_register_outputs()
+
+
+@query("p9_distribution", """SELECT measure, count(*) AS n, min(v) AS min, max(v) AS max, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75 FROM (
+ SELECT 'total_genomes' AS measure, count(*)::DOUBLE AS v FROM assemblies WHERE species_taxid IS NOT NULL GROUP BY species_taxid) GROUP BY measure""")
+def _(s, d):
+    out = pl.species_report(sh.assemblies(s, d), {"phylum": sh.rank_map(s, d, "phylum")})["distribution"]
+    return out.where("measure = 'total_genomes'").drop("mean", "std")
+
+
+@query("p9_anomalies", """SELECT rule, count(*) AS species FROM (SELECT unnest(list_filter([CASE WHEN s.n > 1000 THEN 'many_genomes' END, CASE WHEN s.i = 0 AND s.n > 100 THEN 'uncultured_only' END,
+ CASE WHEN s.g < 100000 THEN 'very_small_genome' END, CASE WHEN s.g > 50000000 THEN 'very_large_genome' END, CASE WHEN p.phylum IS NULL THEN 'missing_phylum' END, CASE WHEN p.domain IS NULL THEN 'missing_domain' END], lambda x: x IS NOT NULL)) AS rule
+ FROM (SELECT species_taxid, count(*) AS n, count(*) FILTER (coalesce(isolate, '') <> '') AS i, avg(genome_size) AS g FROM assemblies WHERE species_taxid IS NOT NULL GROUP BY 1) s LEFT JOIN map_phylum p ON p.taxid = s.species_taxid) GROUP BY rule""")
+def _(s, d):
+    out = pl.species_report(sh.assemblies(s, d), {"phylum": sh.rank_map(s, d, "phylum")})["anomalies"]
+    return out.groupBy("rule").agg(F.count("*").alias("species"))

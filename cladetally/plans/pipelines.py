@@ -109,13 +109,11 @@ def ncbi_counts(assemblies: DataFrame, rank_map: DataFrame, names: DataFrame, li
     return named.orderBy(F.desc(f"{rank}_genome_count"), rank, "domain"), accessions
 
 
-def gtdb_counts(taxonomy: DataFrame, rank: str, catalogues: list[tuple[str, DataFrame]],
-                lineages: dict[str, DataFrame]) -> DataFrame:
-    """Genome counts per rank with taxid and lineage cut to the rank, merged by last taxid.
+def _gtdb_ranks(taxonomy: DataFrame, rank: str) -> DataFrame:
+    return ge.gtdb_ranks(taxonomy, "Unclassified" if rank == "phylum" else None)
 
-    `catalogues` are tried in order for a taxid; the lineage comes from the one that had it.
-    """
-    ranks = ge.gtdb_ranks(taxonomy, "Unclassified" if rank == "phylum" else None)
+
+def _gtdb_counts(ranks: DataFrame, rank: str, catalogues, lineages) -> DataFrame:
     counts = ge.gtdb_genome_counts(ranks, rank)
     found = tx.resolve_with_fallback(counts, rank, catalogues)
     parts = [
@@ -131,8 +129,29 @@ def gtdb_counts(taxonomy: DataFrame, rank: str, catalogues: list[tuple[str, Data
     return tx.merge_by_last_taxid(full, rank, f"{rank}_counts")
 
 
+def gtdb_counts(taxonomy: DataFrame, rank: str, catalogues: list[tuple[str, DataFrame]],
+                lineages: dict[str, DataFrame]) -> DataFrame:
+    """Genome counts per rank with taxid and lineage cut to the rank, merged by last taxid.
+
+    `catalogues` are tried in order for a taxid; the lineage comes from the one that had it.
+    """
+    return _gtdb_counts(_gtdb_ranks(taxonomy, rank), rank, catalogues, lineages)
+
+
 def gtdb_species(taxonomy: DataFrame, rank: str) -> DataFrame:
-    return ge.gtdb_species_counts(ge.gtdb_ranks(taxonomy, "Unclassified" if rank == "phylum" else None), rank)
+    return ge.gtdb_species_counts(_gtdb_ranks(taxonomy, rank), rank)
+
+
+def gtdb_catalogue(taxonomy: DataFrame, rank: str, catalogues: list[tuple[str, DataFrame]],
+                   lineages: dict[str, DataFrame]) -> Outputs:
+    """The whole chain of a rank over one stored table of ranks: names whose higher ranks disagree, genome
+    counts with taxid and lineage, species counts."""
+    ranks = materialize(_gtdb_ranks(taxonomy, rank))
+    return Outputs({
+        "conflicts": lambda: qu.hierarchy_conflicts(ranks),
+        "counts": lambda: _gtdb_counts(ranks, rank, catalogues, lineages),
+        "species": lambda: ge.gtdb_species_counts(ranks, rank),
+    })
 
 
 # --- EukProt lineages --------------------------------------------------------------------------------
