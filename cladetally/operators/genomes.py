@@ -1,5 +1,7 @@
 """Counting jobs on assembly and catalogue tables."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
 from cladetally.functions import fixed_values as fv
@@ -9,12 +11,26 @@ from cladetally.operators.keyed import best_genome_per_species, first_per_key, s
 from cladetally.session import materialize
 
 
-def attach_rank(assemblies: DataFrame, rank_map: DataFrame) -> DataFrame:
-    """Assemblies with a known rank. The map is first made unique on taxid, so genome counts
-    cannot multiply. It is stored, so both sides of the join are plain shuffles and AQE can split
-    a taxid that holds a large share of the assemblies."""
+@dataclass(frozen=True)
+class RankMap:
+    """Stored map with one row per taxid. Build it once with `unique_ranks`."""
+
+    table: DataFrame
+
+
+def unique_ranks(rank_map: "DataFrame | RankMap") -> RankMap:
+    """A taxid on several rows keeps the first by its other columns."""
+    if isinstance(rank_map, RankMap):
+        return rank_map
     others = [c for c in rank_map.columns if c != "taxid"]
-    return assemblies.join(materialize(first_per_key(rank_map, ["taxid"], others)), "taxid")
+    return RankMap(materialize(first_per_key(rank_map, ["taxid"], others)))
+
+
+def attach_rank(assemblies: DataFrame, rank_map: "DataFrame | RankMap") -> DataFrame:
+    """Assemblies with a known rank. The map is unique on taxid, so genome counts cannot multiply; it is
+    stored, so both sides of the join are plain shuffles and AQE can split a taxid that holds a large
+    share of the assemblies."""
+    return assemblies.join(unique_ranks(rank_map).table, "taxid")
 
 
 def attach_source(assemblies: DataFrame, classified: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from cladetally.functions import lineages as ln
 from cladetally.functions import names as nm
 from cladetally.functions.common import percent, round_even
 from cladetally.operators.keyed import top_per_key, union_all
+from cladetally.session import materialize
 
 
 def assignment_summary(df: DataFrame, by=None) -> DataFrame:
@@ -174,11 +175,11 @@ def hierarchy_conflicts(ranks: DataFrame, pairs=fv.ADJACENT_RANKS) -> DataFrame:
 
     A rank column that holds only `Unclassified` is skipped, its pair with it.
     """
-    links = ranks.select(F.explode(F.array(*[
+    links = materialize(ranks.select(F.explode(F.array(*[
         F.struct(F.lit(low).alias("lower_rank"), F.col(low).alias("lower_value"),
                  F.lit(high).alias("higher_rank"), F.col(high).alias("higher_value"))
         for low, high in pairs
-    ])).alias("l")).select("l.*").where("lower_value is not null and higher_value is not null").distinct()
+    ])).alias("l")).select("l.*").where("lower_value is not null and higher_value is not null").distinct())
     per_name = links.groupBy("lower_rank", "lower_value").agg(
         F.count("*").alias("parents")
     ).where("parents > 1")

@@ -168,7 +168,7 @@ def map_taxids_to_rank(assemblies: DataFrame, lineages: DataFrame, rank: str,
     name = ln.name_at_rank("lineage", rank)
     if subfamily_fallback and rank == "family":
         name = F.coalesce(name, ln.name_at_rank("lineage", "subfamily"))
-    placed = found.withColumn(rank, F.nullif(strip(name), F.lit("")))
+    placed = materialize(found.select("taxid", "lineage", F.nullif(strip(name), F.lit("")).alias(rank)))
     mapped = placed.where(F.col(rank).isNotNull()).select(
         "taxid", rank, ln.detect_domain("lineage").alias("domain")
     )

@@ -94,6 +94,7 @@ def taxid_rank_map(assemblies: DataFrame, nodes: DataFrame, names: DataFrame, ra
 def ncbi_counts(assemblies: DataFrame, rank_map: DataFrame, names: DataFrame, lineages: DataFrame,
                 rank: str) -> tuple[DataFrame, DataFrame]:
     """`(counts, accessions)` of a rank."""
+    rank_map = ge.unique_ranks(rank_map)
     per_taxid = ge.attach_rank(ge.genomes_per_taxid(assemblies), rank_map)
     full = tx.with_species_taxid(per_taxid, lineages)
     counted = materialize(ge.genome_and_species_counts(full, rank, "genomes"))
