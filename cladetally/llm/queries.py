@@ -51,26 +51,31 @@ def op2(spark, folder):
     return secret_scan.scan(docs, model)
 
 
+# Sentences, and words: of scripts without blanks each character.
+ENDS, CLOSING, GAP, UNSPACED = "。！？｡।॥؟۔", r"""\"''”’»)\]」』""", r" \t\n\r\x0B\x0C", r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+SENTENCE_SQL = (rf"(?:\.\p{{L}}\.|[.!?]+[^.!?{ENDS}{CLOSING}{GAP}]|[^.!?\n{ENDS}]+)+(?:(?:[.!?]+|[{ENDS}]+)[{CLOSING}]*[{GAP}]*|\n[{GAP}]*)?"
+                rf"|(?:[.!?]+|[{ENDS}]+)[{CLOSING}]*[{GAP}]*|\n[{GAP}]*")
+
+
 @query("op3_sentence_spans", r"""
 WITH d AS (SELECT doc_id, text FROM documents),
 u AS (SELECT DISTINCT doc_id, text FROM d WHERE text IS NOT NULL),
-s AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+')) s,
-             generate_subscripts(regexp_extract_all(text, '[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+'), 1) - 1 pos FROM u),
-b AS (SELECT *, trim(s, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) k,
-             len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) w FROM s),
-n AS (SELECT *, lead(k) OVER p k2, lead(w) OVER p w2 FROM b WINDOW p AS (PARTITION BY doc_id, text ORDER BY pos)),
-r AS (SELECT doc_id, text, pos, 2 n, k || chr(10) || k2 k FROM n WHERE k2 IS NOT NULL AND w + w2 >= 12
-      UNION ALL SELECT doc_id, text, pos, 1, k FROM n WHERE w >= 24),
-f AS (SELECT k, min((doc_id, text, pos)) first, max((doc_id, text, pos)) last FROM r GROUP BY k),
-g AS (SELECT DISTINCT r.doc_id, r.text, unnest(range(r.pos, r.pos + r.n)) pos
-      FROM r JOIN f USING (k) WHERE (r.doc_id, r.text, r.pos) <> f.first),
-c AS (SELECT s.doc_id, s.text, count(*) n_sentences, count(g.pos) n_removed,
-             coalesce(string_agg(s.s, '' ORDER BY s.pos) FILTER (WHERE g.pos IS NULL), '') kept
-      FROM s LEFT JOIN g ON s.doc_id = g.doc_id AND s.text = g.text AND s.pos = g.pos GROUP BY 1, 2)
-SELECT d.doc_id, CASE WHEN c.kept IS NULL THEN d.text ELSE c.kept END AS text,
-       coalesce(c.n_sentences, 0) AS n_sentences, coalesce(c.n_removed, 0) AS n_removed
-FROM d LEFT JOIN c ON d.doc_id = c.doc_id AND d.text = c.text
-""")
+l AS (SELECT doc_id, text, regexp_extract_all(text, '@SENTENCE@') s FROM u),
+b AS (SELECT *, list_transform(s, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))) k FROM l),
+w AS (SELECT *, list_transform(k, lambda x: len(regexp_extract_all(x, '[@UNSPACED@]|[^\x20\x09-\x0D@UNSPACED@]+'))) w FROM b),
+c AS (SELECT *, list_transform(range(0, len(w) + 1), lambda i: coalesce(list_sum(w[1:i]), 0)) c FROM w),
+e AS (SELECT doc_id, text, k, unnest(list_distinct(list_filter(
+   list_transform(range(1, len(k) + 1), lambda i: {'i': i, 'e': list_filter(range(i + 2, len(k) + 1), lambda e: c[e + 1] - c[i] >= 12)[1]})
+   || list_transform(range(1, len(k) + 1), lambda e: {'i': list_filter(range(1, e - 1), lambda i: c[e + 1] - c[i] >= 12)[-1], 'e': e}),
+   lambda r: r.i IS NOT NULL AND r.e IS NOT NULL))) r FROM c),
+r AS (SELECT doc_id, text, r.i pos, r.e e, array_to_string(k[r.i:r.e], chr(10)) k FROM e),
+f AS (SELECT k, min((doc_id, text, pos)) first FROM r GROUP BY k HAVING count(*) > 1),
+g AS (SELECT DISTINCT r.doc_id, r.text, unnest(range(r.pos, r.e + 1)) pos FROM r JOIN f USING (k) WHERE (r.doc_id, r.text, r.pos) <> f.first),
+o AS (SELECT doc_id, text, list(pos) gone FROM g GROUP BY 1, 2)
+SELECT d.doc_id, CASE WHEN o.gone IS NULL THEN d.text ELSE array_to_string(list_transform(list_filter(range(1, len(l.s) + 1), lambda i: NOT list_contains(o.gone, i)), lambda i: l.s[i]), '') END AS text,
+       coalesce(len(l.s), 0) AS n_sentences, coalesce(len(o.gone), 0) AS n_removed
+FROM d LEFT JOIN l ON d.doc_id = l.doc_id AND d.text = l.text LEFT JOIN o ON d.doc_id = o.doc_id AND d.text = o.text
+""".replace("@SENTENCE@", SENTENCE_SQL).replace("@UNSPACED@", UNSPACED))
 def op3(spark, folder):
     """All documents without the sentences of repeated runs."""
     return sentence_spans.remove_repeated(table(spark, folder, "documents").select("doc_id", "text"))

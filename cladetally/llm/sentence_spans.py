@@ -1,9 +1,13 @@
 """Remove sentences that a repeated run of consecutive sentences covers.
 
-A sentence ends with a run of `.`, `!`, `?` and line ends and the white space after it. Every run of `span`
-consecutive sentences with at least `min_words` words is hashed, and so is a sentence of `2 * min_words` words on
-its own. Over all documents the first occurrence of a run, in the order of document id and position, stays;
-the sentences of every other occurrence go, in the same document or another.
+A sentence ends with a run of `.`, `!`, `?` that no letter or digit follows directly (`3.5`, `e.g.` go on), with a sentence mark of
+another script, or at a line end; closing quotes and the white space after it belong to it. From every sentence a run
+goes on, and up to every sentence a run comes from before, until it holds `span` sentences and `min_words` words; each is hashed.
+So a repeated passage of that size is covered from its first sentence to its last, however short its sentences are, and
+what a few common words make up by chance ("Yes." "No." "Ok.") is no passage. Scripts written without blanks count each character as a word.
+
+Over all documents the first occurrence of a run, in the order of document id and position, stays; the sentences of
+every other occurrence go, in the same document or another.
 
 Scale: runs are reduced to first occurrences by an aggregate that combines on the map side, so a run that a third of
 all documents hold is one row per task; the occurrences then join these on the hash, which AQE splits when a run
@@ -14,21 +18,63 @@ document and treated alike; rows without an id come last in the order; all input
 through; the added ones, `n_sentences` and `n_removed`, replace input columns of these names.
 """
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cladetally.llm.batches import bounded
 from cladetally.llm.columns import put_back, set_apart
 
-SENTENCE = r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+"
-WORD = r"[^\x20\x09-\x0D]+"
+# White space; sentence marks of other scripts; closing quotes and brackets; scripts written without blanks.
 SPACE = " \t\n\r\x0b\x0c"
-SPAN = 2
+ENDS = "。！？｡।॥؟۔"
+CLOSING = "\"'”’»)\\]」』"
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+SENTENCE = regex.compile(
+    rf"(?:\.\p{{L}}\.|[.!?]++[^.!?{ENDS}{CLOSING}{SPACE}]|[^.!?\n{ENDS}]++)++(?:(?:[.!?]++|[{ENDS}]++)[{CLOSING}]*+[{SPACE}]*+|\n[{SPACE}]*+)?+"
+    rf"|(?:[.!?]++|[{ENDS}]++)[{CLOSING}]*+[{SPACE}]*+|\n[{SPACE}]*+")
+WORD = regex.compile(rf"[{UNSPACED}]|[^{SPACE}{UNSPACED}]+")
+SPAN = 3
 MIN_WORDS = 12
+RUN_SCHEMA = "doc_id string, key bigint, pos int, n int, h1 bigint, h2 bigint"
 
 
-def sentences(text) -> Column:
+def sentences(text: str) -> list[str]:
     """Sentences with what separates them, so that joining them gives the text."""
-    return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+    return SENTENCE.findall(text)
+
+
+def word_count(sentence: str) -> int:
+    # Words of ASCII text are what blanks separate; bytes split at these alone.
+    return len(sentence.encode().split()) if sentence.isascii() else len(WORD.findall(sentence))
+
+
+def run_bounds(words: list[int], span: int = SPAN, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """First and behind the last sentence of every run: the shortest from each sentence on and up to each sentence."""
+    upto = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    n, at = len(words), np.arange(len(words) + 1)
+    # Sums grow, so a sorted search finds where enough words are reached.
+    ends = np.maximum(np.searchsorted(upto, upto[:-1] + min_words, side="left"), at[:-1] + span)
+    starts = np.minimum(np.searchsorted(upto, upto[1:] - min_words, side="right") - 1, at[1:] - span)
+    runs = {(int(i), int(e)) for i, e in zip(at[:-1], ends) if e <= n}
+    runs |= {(int(i), int(e)) for i, e in zip(starts, at[1:]) if i >= 0}
+    return sorted(runs)
+
+
+def hashed_runs(text: str, span: int = SPAN, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
+    """Position, number of sentences and 128 bits of hash of every run."""
+    parts = sentences(text)
+    bare = [s.strip(SPACE) for s in parts]
+    out = []
+    for i, e in run_bounds([word_count(s) for s in bare], span, min_words):
+        digest = hashlib.blake2b("\n".join(bare[i:e]).encode(), digest_size=16).digest()
+        out.append((i, e - i, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
+    return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -37,23 +83,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def runs(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per hashed run: document, first sentence, number of sentences, hash."""
-    bare = F.transform(sentences(F.col("text")), lambda s: F.btrim(s, F.lit(SPACE)))
-    counted = F.transform(bare, lambda s: F.struct(s.alias("s"), F.regexp_count(s, F.lit(WORD)).alias("w")))
-
-    def of(bound):
-        def run(i, n):
-            parts = F.slice(bound, i + 1, n)
-            words = F.aggregate(F.transform(parts, lambda p: p["w"]), F.lit(0), lambda a, w: a + w)
-            text = F.array_join(F.transform(parts, lambda p: p["s"]), "\n")
-            return F.when((F.size(parts) == n) & (words >= (min_words if n > 1 else 2 * min_words)), F.struct(
-                i.alias("pos"), F.lit(n).alias("n"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2")))
-        return F.flatten(F.transform(bound, lambda _, i: F.array_compact(F.array(run(i, span), run(i, 1)) if span > 1 else F.array(run(i, 1)))))
-
-    # The one-element array binds the sentences once; named inside, they would be split anew for each run.
-    found = F.transform(F.array(counted), of)[0]
-    return (_keyed(docs.select("doc_id", "text").where(F.col("text").isNotNull()))
-            .select(F.col("doc_id").cast("long").alias("doc_id"), "__key", F.explode(found).alias("r"))
-            .select("doc_id", "__key", "r.*"))
+    def rows(batches):
+        for batch in batches:
+            columns = [[] for _ in range(6)]
+            for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for run in hashed_runs(text, span, min_words):
+                    for column, value in zip(columns, (doc_id, key, *run)):
+                        column.append(value)
+            types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "key", "pos", "n", "h1", "h2"])
+
+    keyed = _keyed(docs.select("doc_id", "text").where(F.col("text").isNotNull()))
+    plain = keyed.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("__key").alias("key"), "text")
+    return bounded(plain).mapInArrow(rows, RUN_SCHEMA).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("key").alias("__key"), F.struct("pos", "n", "h1", "h2").alias("r")).select("doc_id", "__key", "r.*")
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -65,27 +108,34 @@ def repeated(found: DataFrame) -> DataFrame:
     return placed.join(first, ["h1", "h2"]).where(F.col("place") != F.col("first")).select("doc_id", "__key", "pos", "n")
 
 
+def without(text: str | None, gone: list[dict]) -> tuple[str | None, int, int]:
+    """The text without the sentences of the runs, its number of sentences and of those removed."""
+    if text is None:
+        return None, 0, 0
+    parts = sentences(text)
+    if not gone:
+        return text, len(parts), 0
+    covered = np.zeros(len(parts) + 1, dtype=np.int64)
+    np.add.at(covered, [r["pos"] for r in gone], 1)
+    np.add.at(covered, [r["pos"] + r["n"] for r in gone], -1)
+    kept = [s for s, c in zip(parts, np.cumsum(covered).tolist()) if not c]
+    return "".join(kept), len(parts), len(parts) - len(kept)
+
+
 def remove_repeated(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` with the text that stays, the number of sentences and of those removed."""
-    gone = (repeated(runs(docs, span, min_words))
-            .groupBy("__key", "doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("runs"))
-            .select("__key", F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["pos"], r["pos"] + r["n"] - 1)))).alias("gone"))
-            # Two documents share a key only by a collision of the hash; one row per key keeps rows from multiplying.
-            .groupBy("__key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
+    # Two documents share a key only by a collision of the hash; one row per key keeps rows from multiplying.
+    gone = repeated(runs(docs, span, min_words)).groupBy("__key").agg(F.collect_set(F.struct("pos", "n")).alias("__gone"))
     plain, names = set_apart(docs, {"doc_id", "text"})
-    joined = _keyed(plain).join(gone, "__key", "left")
-    kept = F.transform(F.array(F.struct(sentences(F.col("text")).alias("s"), F.array_sort("gone").alias("g"))), _without)[0]
-    total = F.coalesce(F.size(sentences(F.col("text"))), F.lit(0))
-    rows = (joined.withColumn("n_sentences", F.greatest(total, F.lit(0)).cast("long"))
-            .withColumn("n_removed", F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long"))
-            .withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)))
-    return put_back(rows, names, ("n_sentences", "n_removed"))
-
-
-def _without(bound) -> Column:
-    """Text without the sentences at the sorted positions: the stretches between them are sliced out."""
-    g, s = bound["g"], bound["s"]
-    edges = F.concat(F.array(F.lit(-1)), g, F.array(F.size(s)))
-    return F.array_join(F.flatten(F.transform(
-        F.slice(edges, 1, F.size(edges) - 1),
-        lambda e, i: F.slice(s, e + 2, F.get(F.concat(g, F.array(F.size(s))), i) - e - 1))), "")
+    joined = _keyed(plain).join(gone, "__key", "left").drop("__key")
+    schema = T.StructType([*[f for f in joined.schema.fields if f.name not in ("text", "__gone")],
+                           T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
+
+    def rows(batches):
+        for batch in batches:
+            done = [without(t, g) for t, g in zip(batch.column("text").to_pylist(), batch.column("__gone").to_pylist())]
+            kept = [batch.column(f.name) for f in schema.fields[:-3]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()),
+                                              pa.array([d[2] for d in done], pa.int64())], names=schema.names)
+
+    return put_back(bounded(joined).mapInArrow(rows, schema), names, ("n_sentences", "n_removed"))
