@@ -6,13 +6,13 @@ n-gram and so returns all languages that contain it at once. A text's n-grams ar
 popcount over these masks; the chance hits that a language's filling lets through are taken off, and the
 language with most remaining n-grams wins.
 
-n-grams are taken from lower-cased letters; any run of other characters, and either end of the text, is one
+n-grams are taken from lower-cased letters and the marks that combine with them; any run of other characters, and either end of the text, is one
 space. Lengths are 1 to 4. An n-gram counts once for each place it is found at, so every letter of the whole text takes part.
 
 Memory: the filter has at least `positions` words of 64 bits for each 64 languages, and at least POSITIONS_A_MEMBER
 for each n-gram of the language that keeps most, a power of two. The n-grams of a language are those
 found in at least `min_share` of its training documents and at least RELATIVE_SHARE of the share that any
-language has, which keeps out passages in another language; the texts' length bounds their number, not the count. Training reads at most `per_language` documents of each language, those with the smallest hash of the text;
+language has, which keeps out passages in another language, `most` with the largest shares; the driver gets no more. Training reads at most `per_language` documents of each language, those with the smallest hash of the text;
 prediction reads all.
 
 Defined cases: null, empty and letterless texts get `und` with score 0; without any training rows all texts do;
@@ -20,6 +20,7 @@ ties go to the language with more training documents, then to the smaller name;
 their own; a null id is never held out (see `held_out`).
 """
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,26 +37,29 @@ MIN_SHARE = 0.01
 RELATIVE_SHARE = 0.25
 POSITIONS = 1 << 20
 POSITIONS_A_MEMBER = 5
+MOST_GRAMS = 400_000
 HASHES = 3
 UNKNOWN = "und"
 SLICE_CHARS = 1 << 18
 
-_LETTERS = None
+_KINDS = None
 
 
-def _letters() -> np.ndarray:
-    """Which code points are letters."""
-    global _LETTERS
-    if _LETTERS is None:
-        _LETTERS = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
-    return _LETTERS
+def _kinds() -> np.ndarray:
+    """2 for code points that are letters, 1 for marks that combine with them, 0 for all others."""
+    global _KINDS
+    if _KINDS is None:
+        kind = {"L": 2, "M": 1}
+        _KINDS = np.fromiter((kind.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), dtype=np.int8, count=0x110000)
+    return _KINDS
 
 
 def letter_codes(text: str) -> np.ndarray:
-    """Code points of the lower-cased text, any run of non-letters as one space, a space at both ends."""
+    """Code points of the lower-cased text, any run of others than letters and their marks as one space, a space at both
+    ends; nothing but that of a text without letters."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    letters = _letters()[codes]
-    codes = np.where(letters, codes, np.uint32(32))
+    kinds = _kinds()[codes]
+    codes = np.where((kinds > 0) & (kinds.max(initial=0) == 2), codes, np.uint32(32))
     codes = np.concatenate([[np.uint32(32)], codes, [np.uint32(32)]])
     space = codes == 32
     return codes[~(space & np.concatenate([[False], space[:-1]]))]
@@ -140,8 +144,8 @@ def held_out(doc_id) -> Column:
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, min_share: float = MIN_SHARE,
-          positions: int = POSITIONS, hashes: int = HASHES) -> Filter:
-    """Fit on columns text and lang. The driver gets the frequent n-grams' hashes and one row per language."""
+          positions: int = POSITIONS, hashes: int = HASHES, most: int = MOST_GRAMS) -> Filter:
+    """Fit on columns text and lang. The driver gets the frequent n-grams' hashes, `most` for a language, and one row per language."""
     plain = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     # Hashes first, so that choosing the documents moves no text.
     key = F.xxhash64("text")
@@ -166,7 +170,9 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, min_share: floa
     shares = counts.withColumn("share", F.col("n") / F.element_at(trained, F.col("lang")))
     # One row per language and n-gram, so a window holds as many rows as there are languages.
     shares = shares.withColumn("most", F.max("share").over(Window.partitionBy("gram")))
-    frequent = shares.where(F.col("share") >= F.greatest(F.lit(min_share), RELATIVE_SHARE * F.col("most"))).select("lang", "gram").toPandas()
+    frequent = shares.where(F.col("share") >= F.greatest(F.lit(min_share), RELATIVE_SHARE * F.col("most")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "gram"))
+    frequent = frequent.withColumn("place", place).where(F.col("place") <= most).select("lang", "gram").toPandas()
     members = {lang: frequent.loc[frequent["lang"] == lang, "gram"].to_numpy(dtype=np.int64).view(np.uint64) for lang in languages}
     return Filter.build(languages, members, positions, hashes)
 

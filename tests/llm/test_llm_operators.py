@@ -600,3 +600,50 @@ def test_batch_bound_reads_sizes_as_spark_states_them(spark):
             assert batches.in_bytes(spark.conf.get(batches.SETTING)) == kept
     finally:
         spark.conf.unset(batches.SETTING) if before is None else spark.conf.set(batches.SETTING, before)
+
+
+# 9 predictions
+
+def language_rows():
+    """Texts of three languages that share words, and their passages in another one."""
+    rng = np.random.default_rng(12)
+    shared = [f"the{i}x" for i in range(5)]
+    spoken = {"aa": [f"ka{chr(97 + i % 26)}o{chr(97 + i % 7)}" for i in range(40)], "bb": [f"zu{chr(97 + i % 26)}i{chr(97 + i % 5)}" for i in range(40)],
+              "hi": [f"कि{chr(0x0915 + i % 30)}ी{chr(0x0915 + i % 11)}" for i in range(40)]}
+    rows = []
+    for i in range(180):
+        lang = ["aa", "bb", "hi"][i % 3]
+        other = ["bb", "hi", "aa"][i % 3]
+        text = [*rng.choice(spoken[lang], 30), *rng.choice(shared, 5), *rng.choice(spoken[other], 6)]
+        rows.append((i, " ".join(text) + " 12 .", "s", lang))
+    return rows
+
+
+def test_predictions_equal_exact_counts(documents):
+    rows = language_rows() + [(500, "\u093e \u0301 12", "s", None), (501, None, "s", "aa"), (502, "", "s", "bb")]
+    docs = documents(rows)
+    got = {r["doc_id"]: r for r in language.identify(docs).collect()}
+    training = [(t, lang) for i, t, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2 and t and lang]
+    sizes = {lang: len({t for t, x in training if x == lang}) for lang in ("aa", "bb", "hi")}
+    shares = {}
+    for text, lang in set(training):
+        for gram in set(language.all_hashes(text).tolist()):
+            shares.setdefault(gram, dict.fromkeys(sizes, 0))[lang] += 1
+    shares = {gram: {lang: n / sizes[lang] for lang, n in held.items()} for gram, held in shares.items()}
+    members = {lang: {g for g, s in shares.items() if s[lang] >= max(language.MIN_SHARE, language.RELATIVE_SHARE * max(s.values()))} for lang in sizes}
+    for i, text, _, lang in rows:
+        if not text or i == 500:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        grams = language.all_hashes(text).tolist()
+        counts = {x: sum(g in members[x] for g in grams) for x in sizes}
+        assert got[i]["lang_pred"] == max(counts, key=counts.get) == lang
+        assert got[i]["score"] == pytest.approx(max(counts.values()) / len(grams), abs=0.01)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+def test_marks_belong_to_words_and_the_fit_is_bounded(documents):
+    assert [chr(c) for c in language.letter_codes("कि, ก็!")] == [" ", "क", "ि", " ", "ก", "็", " "]
+    assert language.letter_codes("\u0301 12").tolist() == [32]
+    small = language.train(documents(language_rows()).select("text", "lang"), most=20, positions=1024)
+    assert len(small.masks) == 1024 and 0 < np.count_nonzero(small.masks) <= 3 * 20 * language.HASHES
