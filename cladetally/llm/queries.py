@@ -164,7 +164,36 @@ def op10(spark, folder):
     return preferences.format_pairs(preferences.neighbour_pairs(table(spark, folder, "conversations")))
 
 
-@query("op11_license_scan")
+def _template_rows() -> str:
+    """The phrases and notices as rows of a table: number, label, whether a phrase, words."""
+    quoted = lambda words: "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+    return ", ".join(f"({i}, '{t.label}', {t.phrase}, {t.threshold}::DOUBLE, {quoted(t.words)})"
+                     for i, t in enumerate((*license_scan.PHRASES, *license_scan.NOTICES)))
+
+
+@query("op11_license_scan", r"""
+WITH d AS (SELECT row_number() OVER () id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') words FROM documents),
+w AS (SELECT id, unnest(words) word, unnest(range(0, len(words))) pos FROM d),
+t(t, label, phrase, share, words) AS (VALUES @TEMPLATES@),
+s AS (SELECT *, len(words) n, len(list_distinct(words)) size, greatest(1, ceil(share * len(list_distinct(words)) - 1e-9)) need FROM t),
+o AS (SELECT DISTINCT w.id, s.t, s.n, w.word, w.pos FROM s JOIN w ON list_contains(s.words, w.word) WHERE NOT s.phrase),
+b AS (SELECT o.id, o.t, g.start, count(DISTINCT o.word) held FROM o, LATERAL (SELECT unnest(range(o.pos - o.n + 1, o.pos + 1)) start) g GROUP BY 1, 2, 3),
+f AS (SELECT b.*, b.start - row_number() OVER (PARTITION BY b.id, b.t ORDER BY b.start) stretch FROM b JOIN s USING (t) WHERE b.held >= s.need),
+m AS (SELECT f.id, f.t, max(f.held) held, arg_min(f.start, (-f.held, f.start)) start FROM f GROUP BY f.id, f.t, f.stretch),
+h AS (SELECT m.id, s.label, greatest(m.start, 0) start, least(s.n, len(d.words) - greatest(m.start, 0)) len, m.held::DOUBLE / s.size held
+      FROM m JOIN s USING (t) JOIN d USING (id)),
+p AS (SELECT w.id, s.label, w.pos start FROM s JOIN w ON w.word = s.words[1] JOIN d ON d.id = w.id
+      WHERE s.phrase AND d.words[w.pos + 1:w.pos + s.n] = s.words),
+k AS (SELECT id, label, held FROM h WHERE NOT EXISTS (SELECT 1 FROM h x WHERE x.id = h.id AND x.label <> h.label AND x.held > h.held
+        AND x.start < h.start + h.len AND h.start < x.start + x.len)
+      UNION ALL SELECT id, label, 1.0 FROM p),
+l AS (SELECT id, string_agg(DISTINCT label, ',' ORDER BY label) labels, max(held) score FROM k GROUP BY id),
+q AS (SELECT id, count(*) n_base, min(start) first_word, max(start) last_word, string_agg(DISTINCT label, ',' ORDER BY label) base_labels FROM p GROUP BY id)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(q.n_base, 0) AS n_base, q.first_word, q.last_word, coalesce(q.base_labels, '') AS base_labels,
+       coalesce(l.labels, '') AS labels, coalesce(l.score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN q USING (id) LEFT JOIN l USING (id)
+""".replace("@TEMPLATES@", _template_rows()))
 def op11(spark, folder):
     """Places of licence phrases and notices in all documents."""
     found = license_scan.scan(table(spark, folder, "documents").select("doc_id", "text"))

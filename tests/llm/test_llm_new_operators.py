@@ -297,3 +297,15 @@ def test_find_runs_defined_cases(documents):
     assert pr.find_runs(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         pr.find_runs(docs, least=10)
+
+
+def test_license_sql_equals_query_on_planted_notices(spark, tmp_path):
+    import duckdb
+
+    from tools.check_oracles import compare
+
+    folder = save(spark, tmp_path, [(i if i else None, t) for i, t in enumerate(noisy_notices(random.Random(21), 200))])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    problem, rows = compare(queries.QUERIES["op11_license_scan"](spark, folder), con, queries.ORACLES["op11_license_scan"])
+    assert problem is None and rows == 206, problem
