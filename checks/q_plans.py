@@ -141,6 +141,14 @@ def _(s, d):
     return out.groupBy("match_type").agg(F.count("*").alias("n"), F.sum(F.size(F.split(ln.lineage_text("lineage"), ";"))).alias("parts"))
 
 
+@query("p5_lineage_rows", """SELECT name_to_use, match_type, lineage, count(*) AS n FROM (SELECT name_to_use, CASE kind WHEN 0 THEN 'full' WHEN 1 THEN 'genus' WHEN 2 THEN 'previous_name' WHEN 3 THEN 'previous_name_genus' WHEN 4 THEN 'hierarchical_phylum' ELSE 'none' END AS match_type,
+ coalesce(l.lineage, '') || CASE WHEN kind IN (1, 3) THEN ';' || name_to_use WHEN kind = 4 THEN ';Nothing;Deeper;' || name_to_use ELSE '' END AS lineage
+ FROM eukprot e LEFT JOIN lin l ON l.taxid = CASE kind WHEN 0 THEN own_taxid WHEN 1 THEN nation_taxid WHEN 2 THEN own_taxid WHEN 3 THEN nation_taxid WHEN 4 THEN nation_taxid END) GROUP BY ALL""")
+def _(s, d):
+    out = pl.eukprot_lineages(shape_eukprot(sh.eukprot_raw(s, d)), sh.names_stored(s, d), sh.nodes(s, d), sh.tree_stored(s, d))
+    return out.groupBy("name_to_use", "match_type", ln.lineage_text("lineage").alias("lineage")).agg(F.count("*").alias("n"))
+
+
 # the sample domains are the part types; two of them read as Bacteria and Archaea, two as Eukaryota
 DOMAIN = "CASE domain WHEN 'ECONOMY' THEN 'Bacteria' WHEN 'SMALL' THEN 'Archaea' ELSE 'Eukaryota' END"
 

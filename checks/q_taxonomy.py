@@ -206,11 +206,16 @@ def _(s, d):
     return tx.repair_phylum(sh.unmapped(s, d)).select("taxid", "phylum", "domain", "mapping_method")
 
 
-@query("l20_incertae_parent", """SELECT taxid, 'Unclassified_' || lower(split_part(lineage, ';', 3)) AS phylum, 'incertae_sedis_parent' AS mapping_method FROM unmapped
- WHERE split_part(ranks, ';', 3) = 'order' AND lower(split_part(lineage, ';', 3)) <> 'incertae sedis'""")
+@query("l20_incertae_parent", """SELECT taxid, phylum, method AS mapping_method FROM (SELECT taxid,
+ CASE WHEN r = 'clade' AND p = 'sar' THEN 'SAR' WHEN r = 'clade' AND p = 'fungi' THEN 'Fungi' WHEN r = 'clade' AND p = 'metazoa' THEN 'Metazoa' WHEN r = 'clade' AND p = 'stramenopiles' THEN 'Stramenopiles'
+  WHEN b AND r IN ('class', 'clade') AND p = 'alphaproteobacteria' THEN 'Pseudomonadota' WHEN b AND r IN ('class', 'clade') AND p = 'actinobacteria' THEN 'Actinobacteriota'
+  WHEN r IN ('class', 'order') AND p <> 'incertae sedis' THEN 'Unclassified_' || p END AS phylum,
+ CASE WHEN r = 'clade' AND p IN ('sar', 'fungi', 'metazoa', 'stramenopiles') THEN 'clade_mapping_' || p
+  WHEN b AND r IN ('class', 'clade') AND p IN ('alphaproteobacteria', 'actinobacteria') THEN 'bacterial_mapping_' || p ELSE 'incertae_sedis_parent' END AS method
+ FROM (SELECT taxid, split_part(ranks, ';', 3) AS r, lower(split_part(lineage, ';', 3)) AS p, contains(lower(lineage), 'bacteria') AS b FROM unmapped)) WHERE phylum IS NOT NULL""")
 def _(s, d):
-    # every lineage gains an incertae sedis leaf, so only the order-ranked parents qualify
-    u = sh.unmapped(s, d).where("split(ranks, ';')[2] = 'order'").withColumn("lineage", F.concat("lineage", F.lit(" incertae sedis")))
+    # every lineage gains an incertae sedis leaf, so the parent rule takes what the rules before it leave
+    u = sh.unmapped(s, d).withColumn("lineage", F.concat("lineage", F.lit(" incertae sedis")))
     return tx.repair_phylum(u).select("taxid", "phylum", "mapping_method")
 
 
