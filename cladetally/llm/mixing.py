@@ -26,9 +26,10 @@ BLOCK_WORDS = 512
 SLOTS_PER_SHARD = 1024
 MAX_EPOCHS = 3
 BUCKET_ROWS = 4096
-SLOT_CHUNK = 65_536
+SLOT_CHUNK = 32_768
 ROUNDS = 4
-WALK = 96
+FIRST_WALK = 6
+WALK = 90
 
 
 def word_count(text) -> Column:
@@ -109,7 +110,7 @@ def permuted(i: Column, n: Column, key: Column) -> Column:
 
     A Feistel network of `ROUNDS` rounds permutes the numbers below the next power of two; a number that lands at n or
     above is sent through again until it lands below, which keeps every number below n met once. It lands there
-    with a chance of a half or more each time; after `WALK` times, which no run will see, an error ends the job."""
+    with a chance of a half or more each time; after some hundred times, which no run will see, an error ends the job."""
     bits = F.greatest(F.length(F.bin(F.greatest(n - 1, F.lit(1)))), F.lit(2))
     low_bits = F.floor(bits / 2).cast("int")
     one = F.lit(1).cast("long")
@@ -123,9 +124,16 @@ def permuted(i: Column, n: Column, key: Column) -> Column:
         return let(halves, lambda v: F.call_function("shiftleft", v["h"], s["b"]).bitwiseOR(v["l"]))
 
     def walk(s):
-        start = network(i.cast("long"), s)
-        landed = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, lambda x, _: F.when(x < s["n"], x).otherwise(network(x, s)))
-        return let(landed, lambda x: F.when(x < s["n"], x).otherwise(F.raise_error(F.lit("a permutation did not land")).cast("long")))
+        def sent_on(x, times):
+            return F.aggregate(F.sequence(F.lit(1), F.lit(times)), x, lambda y, _: F.when(y < s["n"], y).otherwise(network(y, s)))
+
+        def landed(x, otherwise):
+            return let(x, lambda y: F.when(y < s["n"], y).otherwise(otherwise(y)))
+
+        # Hardly any number is still on its way after the first few times.
+        soon = sent_on(network(i.cast("long"), s), FIRST_WALK)
+        lost = lambda _: F.raise_error(F.lit("a permutation did not land")).cast("long")
+        return landed(soon, lambda x: landed(sent_on(x, WALK), lost))
 
     return let(shape, walk)
 
@@ -147,7 +155,10 @@ def draw(sources: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 1, max_
     shards = plan.select(F.greatest(F.ceil(F.sum("slots") / SLOTS_PER_SHARD), F.lit(1)).alias("n")).scalar()
     chunks = plan.where("slots > 0").withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {SLOT_CHUNK}"))))
-    slots = (chunks.repartition("source_key", "chunk")
+    # The rows are few and small until they are exploded: stated in number, the tasks are not merged by their size.
+    number = plan.agg(F.sum(F.expr(f"(slots + {SLOT_CHUNK} - 1) div {SLOT_CHUNK}"))).first()[0] or 1
+    tasks = min(number, int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slots = (chunks.repartition(tasks, "source_key", "chunk")
              .withColumn("slot", F.explode(F.sequence(F.col("chunk") * SLOT_CHUNK,
                                                       F.least((F.col("chunk") + 1) * SLOT_CHUNK, F.col("slots")) - 1)))
              .withColumn("epoch", F.expr("slot div blocks"))
