@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from cladetally.llm.batches import bounded
 from cladetally.llm.columns import put_back, set_apart
+from cladetally.session import materialize
 
 # White space; sentence marks of other scripts; closing quotes and brackets; scripts written without blanks.
 SPACE = " \t\n\r\x0b\x0c"
@@ -103,8 +104,9 @@ def repeated(found: DataFrame) -> DataFrame:
     """Runs that are not the first with their hash."""
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("__key"), F.col("pos"))
     placed = found.withColumn("place", place)
-    first = (placed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("final"))
-             .where(F.col("first") != F.col("final")).select("h1", "h2", "first"))
+    # Stored, so that both sides of the join are plain shuffles and Spark can split a run that many documents hold.
+    first = materialize(placed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("final"))
+                        .where(F.col("first") != F.col("final")).select("h1", "h2", "first"))
     return placed.join(first, ["h1", "h2"]).where(F.col("place") != F.col("first")).select("doc_id", "__key", "pos", "n")
 
 
