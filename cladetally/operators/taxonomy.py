@@ -74,9 +74,12 @@ def index_names(names: "DataFrame | NameIndex") -> NameIndex:
 
 
 def name_to_taxid(df: DataFrame, names: "DataFrame | NameIndex", col: str, out: str = "taxid") -> DataFrame:
-    """Exact name lookup; names without a taxid keep a null."""
+    """Exact name lookup; names without a taxid keep a null.
+
+    Merged, never broadcast: files of names are many times smaller than the names, so neither side's size is known from them.
+    """
     lookup = index_names(names).table.select(F.col("name").alias(col), F.col("taxid").alias(out))
-    return df.join(lookup, col, "left")
+    return df.join(lookup.hint("merge"), col, "left")
 
 
 def with_lineage(df: DataFrame, lineages: DataFrame) -> DataFrame:
@@ -132,9 +135,11 @@ def variants_of(ladder) -> Column:
 def resolve_names(df: DataFrame, names: DataFrame, col: str, variants: Column) -> DataFrame:
     """First variant with a taxid wins; `(col, taxid, method)` for each distinct name.
 
-    Variants are exploded and joined on equality. The minimum per name is pre-aggregated before
-    the shuffle.
+    Equal names are tried once. Variants are exploded and joined on equality. The minimum per name is
+    pre-aggregated before the shuffle.
     """
+    if df.columns == [col]:
+        df = df.distinct()
     tried = df.select(F.col(col), F.posexplode(variants).alias("pos", "v")).select(
         col, "pos", F.col("v.method").alias("method"), F.col("v.variant").alias("variant")
     ).where(
