@@ -23,7 +23,8 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _lineitem_part(spark, d):
-    return t(spark, d, "lineitem").join(t(spark, d, "part"), F.expr("l_partkey = p_partkey"))
+    # Shuffled, never broadcast: the file of parts is many times smaller than its rows, which would pass through the driver at each use.
+    return t(spark, d, "lineitem").join(t(spark, d, "part").hint("shuffle_hash"), F.expr("l_partkey = p_partkey"))
 
 
 def assemblies(spark, d) -> DataFrame:

@@ -18,3 +18,16 @@ def test_names_are_looked_up_without_a_broadcast(spark):
     assert {r.name: (r.taxid, r.method) for r in tried.collect()} == {
         "Alpha": (3, "whole"), "x-Beta": (9, "tail"), "Gamma": (None, "none"), None: (None, "none")}
     assert tried.count() == 4
+
+
+def test_parts_of_the_sample_tables_do_not_pass_the_driver(spark, tmp_path):
+    from checks import shapes as sh
+
+    spark.range(40).selectExpr(
+        "id as l_orderkey", "id % 7 as l_partkey", "id as l_suppkey", "cast(1 + id % 7 as int) as l_linenumber", "1.0D as l_quantity",
+        "1.0D as l_extendedprice", "0.1D as l_discount", "'A' as l_returnflag", "timestamp'2020-01-01' as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(5).selectExpr("id as p_partkey", "concat('red part', id) as p_name", "'B1' as p_brand", "'T' as p_type", "cast(id as int) as p_size").write.parquet(
+        f"{tmp_path}/part.parquet")
+    rows = sh.assemblies(spark, str(tmp_path))
+    assert "Broadcast" not in plan(rows)
+    assert rows.count() == sum(i % 7 < 5 for i in range(40))
