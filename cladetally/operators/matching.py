@@ -259,9 +259,13 @@ def evidence_pairs(census: DataFrame, members: DataFrame, level: str) -> DataFra
 
     `census`: taxon, lineage array. `members`: name, lineage array. Each kind of evidence is one
     equality join; a pair is high with a name or taxid at the rank, else medium.
+
+    Pairs are grouped in as many tasks as there are shuffle partitions, and not before the shuffle: their rows shrink so much when
+    written that adaptive coalescing would gather most pairs in a few tasks. No side of a join is broadcast for the same reason.
     """
+    partitions = int(census.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = F.coalesce(*[ln.node_at_rank("lineage", r, "last")["taxid"] for r in fv.EVIDENCE_RANKS])
-    names = census.select("taxon", ids.alias("taxid"))
+    names = census.select("taxon", ids.alias("taxid")).hint("merge")
     m = members.select(
         "name", "lineage",
         ln.rank_or_fallback("lineage", level).alias("rank_name"),
@@ -278,7 +282,7 @@ def evidence_pairs(census: DataFrame, members: DataFrame, level: str) -> DataFra
         nodes.join(names, F.col("n.taxid") == names["taxid"]).select("taxon", "name", *flags("ancestor")),
         nodes.join(names, F.col("n.name") == names["taxon"]).select("taxon", "name", *flags("cross_name")),
     )
-    pair = found.groupBy("taxon", "name").agg(
+    pair = found.repartition(partitions, "taxon", "name").groupBy("taxon", "name").agg(
         *[F.bool_or(k).alias(k) for k in ("direct_name", "taxid_match", "ancestor", "cross_name")]
     )
     return pair.withColumn(

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from cladetally.functions import lineages as ln
+from cladetally.operators import matching as mt
 from cladetally.operators import taxonomy as tx
 
 
@@ -31,3 +33,17 @@ def test_parts_of_the_sample_tables_do_not_pass_the_driver(spark, tmp_path):
     rows = sh.assemblies(spark, str(tmp_path))
     assert "Broadcast" not in plan(rows)
     assert rows.count() == sum(i % 7 < 5 for i in range(40))
+
+
+def test_evidence_is_grouped_in_all_shuffle_partitions(spark):
+    def lineage(*nodes):
+        return [(t, r, n) for t, r, n in nodes]
+
+    family, kind = (5, "family", "Fam"), (50, "species", "Fam sp")
+    census = spark.createDataFrame([("Fam", lineage((1, "phylum", "Phy"), family)), ("Fam", lineage((1, "phylum", "Phy"), family))],
+                                   f"taxon string, lineage {ln.LINEAGE_TYPE}")
+    members = spark.createDataFrame([("m1", lineage((1, "phylum", "Phy"), family, kind)), ("m2", lineage((2, "phylum", "Other")))],
+                                    f"name string, lineage {ln.LINEAGE_TYPE}")
+    pairs = mt.evidence_pairs(census, members, "family")
+    assert [tuple(r) for r in pairs.collect()] == [("Fam", "m1", True, False, True, True, "high")]
+    assert "REPARTITION_BY_NUM" in plan(pairs) and "Broadcast" not in plan(pairs)
