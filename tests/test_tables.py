@@ -231,3 +231,20 @@ def test_orders(spark):
     assert keys(ky.sort_by_species(df, "n", "f", "k")) == "dbcae"
     assert keys(ky.order_by_group_block(df, "g", "n", ["k"])) == "dceba"
     assert keys(ky.bottom_k(df, "n", 2, ["k"])) == "ea"
+
+
+def test_elements_are_cut_out_of_whole_batches(spark, tmp_path, monkeypatch):
+    """A batch of pieces is scanned at once: marks in strings, escapes, deeper objects, other arrays and bare values."""
+    from cladetally.sources import reports
+
+    scanned = []
+    monkeypatch.setattr(reports, "Marks", type("Marks", (reports.Marks,), {"__init__": lambda self, data: (scanned.append(len(data)), super(type(self), self).__init__(data))[1]}))
+    docs = [{"m": {"k": ["}", {"x": "\\"}]}, "r": [{"a": 'q"}{', "b": [{"c": 1}, []]}, {"a": "]\\\""}], "n": [1, [{"z": 1}], {"a": "é"}]}, [{"not": "under the root"}]]
+    pieces = [("f", b, p) for b, d in enumerate(docs) for p in json.dumps(d, ensure_ascii=False).split("}")]
+    batch = reports.pa.RecordBatch.from_arrays(
+        [reports.pa.array([b for _, b, _ in pieces], reports.pa.int64()), reports.pa.array([0] * len(pieces), reports.pa.int64()),
+         reports.pa.array([p for _, _, p in pieces])], names=["file", "block", "value"])
+    found = [r for b in reports._cut_out([batch], {(0, 0): (False, ""), (1, 0): (False, "")}) for r in b.to_pylist()]
+    want = [*docs[0]["r"], docs[0]["n"][2]]
+    assert [json.loads(r["json"]) for r in found] == want and {r["part"] for r in found} == {None}
+    assert len(scanned) == len(docs)
