@@ -15,8 +15,8 @@ characters that keys are made of, with a digit. A random forest scores each cand
 The forest is trained by Spark on labelled findings and handed to the tasks that scan as arrays. Of all different
 findings of either label, those with the smallest hash are taken, at most `TRAIN_ROWS` / 2, and both labels weigh the
 same in the fit: a score of 1/2 means the same however rare secrets are and however large the corpus is. Words and
-letter pairs come from at most `WORD_DOCS` documents. Both bounds concern the fit alone; all texts are labelled and
-scanned whole, in a pass each and without a shuffle of texts.
+letter pairs are counted in all texts; the `DICTIONARY_WORDS` most frequent words are the known ones. All texts are
+labelled, counted and scanned whole, in a pass each and without a shuffle of texts.
 
 Labelled findings are a table of (path, text, start, length, is_secret). `label_by_rule` makes one where no reviewed
 findings exist: published key formats, passwords in URLs and values with a digit assigned to the names of credentials
@@ -45,7 +45,6 @@ from cladetally.session import materialize
 
 MIN_LENGTH = 16
 TRAIN_ROWS = 20_000
-WORD_DOCS = 2_000
 DICTIONARY_WORDS = 20_000
 TREES, DEPTH = 20, 6
 
@@ -248,16 +247,9 @@ def _smallest(found: DataFrame, key: str, rows: int) -> DataFrame:
     return found.orderBy(key, *COLUMNS).limit(rows).select(*COLUMNS)
 
 
-def _some(docs: DataFrame, rows: int) -> DataFrame:
-    """About `rows` documents, all if there are fewer: those whose hash of the text is below a threshold."""
-    total = docs.count()
-    if total <= rows:
-        return docs
-    return docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int((1 << 30) * rows / total)))
-
-
-def _word_counts(docs: DataFrame, rows: int, words: int) -> dict[str, int]:
-    found = _some(docs, rows).select(F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}{3,20}', 0)")).alias("w"))
+def _word_counts(docs: DataFrame, words: int) -> dict[str, int]:
+    """The most frequent words of all texts and how often they stand there; words that stand once are none."""
+    found = docs.select(F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}{3,20}', 0)")).alias("w"))
     top = found.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(words)
     return {r["w"]: r["n"] for r in top.collect()}
 
@@ -273,7 +265,7 @@ def train(labelled: DataFrame, docs: DataFrame, max_rows: int = TRAIN_ROWS, seed
     """Fit on labelled findings, up to `max_rows` / 2 different ones of each label; `docs` (path, text) gives the ordinary
     words. The driver holds `max_rows` findings."""
     spark = docs.sparkSession
-    words = Words.of(_word_counts(docs, WORD_DOCS, DICTIONARY_WORDS))
+    words = Words.of(_word_counts(docs, DICTIONARY_WORDS))
     plain = labelled.where("text is not null and length > 0 and is_secret is not null").select(*COLUMNS)
     found = _of_both_labels(plain.withColumn("__key", F.xxhash64(*COLUMNS)), "__key", max_rows).toPandas()
     labels = found["is_secret"].to_numpy(dtype=bool)

@@ -309,3 +309,11 @@ def test_license_sql_equals_query_on_planted_notices(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
     problem, rows = compare(queries.QUERIES["op11_license_scan"](spark, folder), con, queries.ORACLES["op11_license_scan"])
     assert problem is None and rows == 206, problem
+
+
+def test_ordinary_words_are_counted_in_all_texts(spark):
+    from cladetally.llm import secret_scan
+
+    docs = spark.range(5000).selectExpr("'p' as path", "concat('common word', if(id % 50 = 0, ' seldom', ''), ' n', id) as text")
+    assert secret_scan._word_counts(docs, 10) == {"common": 5000, "word": 5000, "seldom": 100}
+    assert secret_scan._word_counts(docs, 2) == {"common": 5000, "word": 5000}
