@@ -53,10 +53,14 @@ SALT_ROWS = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _lowered(text: Column) -> Column:
+    """A-Z in lower case. Of texts of ASCII alone, whose bytes are as many as their characters, `lower` changes nothing else and is quicker."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def shingles(text: Column, width: int = SHINGLE) -> Column:
     """Sorted array of the hashes of the distinct shingles."""
-    words = F.transform(F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0)),
-                        lambda w: F.xxhash64(w))
+    words = F.transform(F.regexp_extract_all(_lowered(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
     runs = let(words, lambda h: F.when(F.size(h) >= width, F.transform(
         F.slice(h, 1, F.greatest(F.size(h) - width + 1, F.lit(0))),
         lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, width)])))
