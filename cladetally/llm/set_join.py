@@ -130,7 +130,11 @@ def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, extras: bool
     a where they share half of either.
 
     The texts of both sides are found in place by their keys and turned into sets there; only the sets travel, once
-    for each pair of b and once for a."""
+    for each pair of b and once for a. Without pairs no text is read."""
+    number = pairs.count()
+    if not number:
+        kinds = {"n_a": "int", "n_b": "int", "overlap": "int"} | ({"extra": "array<long>"} if extras else {})
+        return pairs.where(F.lit(False)).select("a", "b", *[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()])
     names = classes.select("node", F.col("rep.doc_id").alias("__id"), F.col("rep.text_key").alias("__text"))
     # A pivot's set is there once for each `SALT_ROWS` of its partners, so these meet it in many tasks.
     salts = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts")))
@@ -140,7 +144,7 @@ def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, extras: bool
     pivots = materialize(salts.join(names, F.col("a") == F.col("node")).drop("node")
                          .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).drop("salts"))
     # Broadcast up to a counted bound; beyond it a shuffled join finds the texts.
-    few = pairs.count() <= BROADCAST_KEYS
+    few = number <= BROADCAST_KEYS
     texts = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
 
     def sets(keys, *columns):
@@ -159,25 +163,30 @@ def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, extras: bool
     return materialize(found.dropDuplicates(["a", "b"]))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether edges (u, v) are stars already: every u has one v, and no v is a u. One aggregate, no join."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                                         F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").count() == 0
+
+
 def components(links: DataFrame) -> DataFrame:
-    """`node`, `root` for every node of links (a, b): root is the smallest node it is connected with."""
+    """`node`, `root` for every node of links (a, b): root is the smallest node it is connected with.
+
+    The driver plans two joins a round, and none where the links are stars from a smallest node already."""
+    def pairs(one, other):
+        return F.inline(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in (one, other)]))
+
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = None
-    while True:
+    while not _stars(edges):
         # Large star: every larger neighbour of u moves to the smallest node next to u.
-        both = edges.union(edges.select("v", "u"))
+        both = edges.select(pairs(("u", "v"), ("v", "u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: u and its smaller neighbours move to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        edges = materialize(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", "m")).where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+        edges = materialize(large.join(least, "u").select(pairs(("v", "m"), ("u", "m"))).where("u <> v").distinct())
+    return edges.select(F.inline(F.array(*[F.struct(F.col(u).alias("node"), F.col("v").alias("root")) for u in "uv"]))).distinct()
 
 
 def _need(n: Column, m: Column, o: Column, r: Column) -> Column:
@@ -243,7 +252,8 @@ def _both_ways(answers: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, index: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between classes: enough to connect every two classes that qualifying pairs connect."""
+    """Pairs (a, b) of classes that connect the same classes as all qualifying pairs do: a class and the root of its
+    component where the pivots' answers settle that, and the links found after."""
     postings = index.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     first = F.shiftleft(F.col("pos").cast("long"), 32) + F.pmod("node", F.lit(1 << 32))
     ends = (postings.groupBy("token").agg(F.min_by("node", first).alias("pivot"), F.min("node").alias("low"), F.max("node").alias("high"))
@@ -260,12 +270,15 @@ def links(docs: DataFrame, index: DataFrame, classes: DataFrame) -> DataFrame:
         return found.where(linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
     # Sets that share lists get the same pivot where they can: one more comparison for a set at most.
-    entries = _open_entries(lists.drop("pivot"), components(linking(answers)))
-    wanted = _wanted_homes(entries, _homes(entries, answers.where(F.col("extra").isNotNull())), sizes)
+    roots = components(linking(answers))
+    entries = _open_entries(lists.drop("pivot"), roots)
+    # Stored, as it is read twice: the driver plans its joins once.
+    wanted = _wanted_homes(entries, materialize(_homes(entries, answers.where(F.col("extra").isNotNull()))), sizes)
     more = materialize(wanted.join(answers.select("a", "b"), ["a", "b"], "left_anti"))
-    answers = materialize(answers.unionByName(compare(more, docs, classes, extras=True)))
-    sure = linking(answers)
-    roots = components(sure)
+    added = compare(more, docs, classes, extras=True)
+    answers = answers.unionByName(added)
+    # Components so far and the new links: those found before are not walked again.
+    roots = materialize(components(linking(added).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
     entries = _open_entries(entries.drop("root"), roots)
     close = answers.where(F.col("extra").isNotNull())
     homes = materialize(_homes(entries, close))
@@ -300,7 +313,7 @@ def links(docs: DataFrame, index: DataFrame, classes: DataFrame) -> DataFrame:
              .join(_both_ways(answers).distinct(), ["a", "b"], "left_anti"))
     pairs = materialize(pairs)
     rest = compare(pairs.where(~F.col("sure")).select("a", "b"), docs, classes)
-    return sure.union(pairs.where("sure").select("a", "b")).union(linking(rest))
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(pairs.where("sure").select("a", "b")).union(linking(rest))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

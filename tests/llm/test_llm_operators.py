@@ -279,6 +279,31 @@ def test_few_pairs_of_a_group_are_compared(documents, monkeypatch):
     assert counted[0] < 4 * 200 and counted[1] < 4 * 400
 
 
+def test_components_walk_no_more_than_needed(spark, monkeypatch):
+    """Stars are not walked and no text is read for no pairs: every step that is planned for nothing takes the driver's memory."""
+    stored, store = [], set_join.materialize
+    monkeypatch.setattr(set_join, "materialize", lambda df: stored.append(df) or store(df))
+
+    def found(links):
+        stored.clear()
+        return sorted(tuple(r) for r in set_join.components(spark.createDataFrame(links, "a long, b long")).collect())
+
+    assert found([(1, 2), (3, 1), (1, 1), (2, 1), (-8, 9)]) == [(-8, -8), (1, 1), (2, 1), (3, 1), (9, -8)] and len(stored) == 1
+    assert found([]) == []
+    assert found([(i, i + 1) for i in range(40)]) == [(i, 0) for i in range(41)] and len(stored) < 9
+    rng = np.random.default_rng(11)
+    links = [(int(a), int(b)) for a, b in rng.integers(-150, 150, (160, 2))]
+    root = {n: n for link in links for n in link if link[0] != link[1]}
+    for _ in root:
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert found(links) == sorted(root.items())
+    stored.clear()
+    nothing = set_join.compare(spark.createDataFrame([], "a long, b long"), None, None, extras=True)
+    assert nothing.columns == ["a", "b", "n_a", "n_b", "overlap", "extra"] and nothing.count() == 0 and not stored
+
+
 def test_join_edge_cases_and_keep(documents):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in set_join.near_duplicates(documents(EDGE)).collect()), key=str)
     assert got == brute_components(EDGE)
