@@ -220,8 +220,11 @@ def _cut_out(batches, known: dict | None):
 KNOWN_SPLITS = 100_000  # some 15 MB
 
 
-def array_elements(spark: SparkSession, path) -> DataFrame:
-    """`json`: one row per object in an array directly under the root object of the files. The files are read twice."""
+def array_elements(spark: SparkSession, path, schema: str | None = None) -> DataFrame:
+    """`json`: one row per object in an array directly under the root object of the files; or `r`: what `schema` reads of it.
+
+    The files are read twice. Elements are stored once as they come out, so a schema keeps what it does not name off the disk.
+    """
     # A file goes by the hash of its path, as every short row carries it.
     text = spark.read.option("lineSep", "}").text(path).select(
         F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
@@ -234,9 +237,13 @@ def array_elements(spark: SparkSession, path) -> DataFrame:
         known = None
         ordered = (text.withColumn("at", F.monotonically_increasing_id()).join(begins, SPLIT, "left")
                    .repartition(*SPLIT).sortWithinPartitions(*SPLIT, "at"))
-    found = materialize(ordered.mapInArrow(lambda batches: _cut_out(batches, known), "file bigint, block bigint, part int, json string"))
+
+    cut = ordered.mapInArrow(lambda batches: _cut_out(batches, known), "file bigint, block bigint, part int, json string")
+    name, element = ("json", F.col("json")) if schema is None else ("r", F.from_json("json", schema))
+    found = materialize(cut.select(*SPLIT, "part", F.when(F.col("part").isNotNull(), F.col("json")).alias("piece"),
+                                   F.when(F.col("part").isNull(), element).alias(name)), compression="zstd")
     pieces = found.where("part is not null").withColumn("element", F.sum((F.col("part") == 2).cast("int")).over(
         W.partitionBy("file").orderBy("block", "part")))
     crossing = pieces.groupBy("file", "element").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "part", "json"))), lambda p: p["json"]), "").alias("json"))
-    return found.where("part is null").select("json").unionByName(crossing.select("json"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "part", "piece"))), lambda p: p["piece"]), "").alias("json"))
+    return found.where("part is null").select(name).unionByName(crossing.select(element.alias(name)))

@@ -218,7 +218,7 @@ REPORT_SCHEMA = (
 
 def read_assembly_reports(spark: SparkSession, path) -> DataFrame:
     """JSON report files, one row per report; a file of any size is read by many tasks."""
-    return shape_reports(array_elements(spark, path).select(F.from_json("json", REPORT_SCHEMA).alias("r")))
+    return shape_reports(array_elements(spark, path, REPORT_SCHEMA))
 
 
 def shape_reports(reports: DataFrame) -> DataFrame:

@@ -1,4 +1,9 @@
+import gzip
 import json
+import random
+from collections import Counter
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -248,3 +253,74 @@ def test_elements_are_cut_out_of_whole_batches(spark, tmp_path, monkeypatch):
     want = [*docs[0]["r"], docs[0]["n"][2]]
     assert [json.loads(r["json"]) for r in found] == want and {r["part"] for r in found} == {None}
     assert len(scanned) == len(docs)
+
+
+def _bytes_of(files):
+    return sum(Path(unquote(urlparse(str(f)).path)).stat().st_size for f in files)
+
+
+@pytest.mark.parametrize("known", [100_000, 0])
+def test_reports_store_what_the_schema_reads(spark, tmp_path, monkeypatch, known):
+    """Fields no schema names are not stored, whether an element lies in one split or crosses its ends."""
+    from cladetally.sources import reports
+
+    monkeypatch.setattr(reports, "KNOWN_SPLITS", known)
+    rest = random.Random(7)
+    docs = [[{"accession": f"{d}-{i}" if i % 5 else None, "note": '} \\" ' + rest.randbytes(1000).hex(), "assembly_info": {"assembly_level": f"l{i % 3}"}}
+             for i in range(600)] for d in range(2)]
+    for d, doc in enumerate(docs):
+        (tmp_path / f"{d}.json").write_text(json.dumps({"reports": doc}))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = st.read_assembly_reports(spark, str(tmp_path))
+        assert sorted((r.accession, r.assembly_level) for r in rows.collect()) == sorted(
+            (r["accession"], r["assembly_info"]["assembly_level"]) for doc in docs for r in doc if r["accession"])
+        assert _bytes_of(rows.inputFiles()) * 8 < _bytes_of(tmp_path.glob("*.json"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_compressed_reports_beside_plain_ones(spark, tmp_path):
+    """A compressed file is one split, plain ones beside it are cut at any byte."""
+    from cladetally.sources import reports
+
+    docs = [{"reports": [{"accession": f"{d}-{i}", "x": '}{ \\"' * (i % 4)} for i in range(50)] + [{}], "n": 1} for d in range(4)]
+    for d, doc in enumerate(docs):
+        text = json.dumps(doc, indent=d % 2 or None).encode()
+        (tmp_path / f"{d}.json{'.gz' * (d < 2)}").write_bytes(gzip.compress(text) if d < 2 else text)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = [json.loads(r.json) for r in reports.array_elements(spark, str(tmp_path)).collect()]
+        read = [r.accession for r in st.read_assembly_reports(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(map(str, got)) == sorted(str(r) for doc in docs for r in doc["reports"])
+    assert sorted(read) == sorted(r["accession"] for doc in docs for r in doc["reports"][:-1])
+
+
+def test_report_query_takes_little_disk(spark, tmp_path, monkeypatch):
+    """All reports are written and read back; on disk they and what the reader stores take a fifth of their text at most."""
+    from checks import q_tables
+    from checks.registry import QUERIES
+
+    monkeypatch.setattr(q_tables, "_place", lambda s, name: str(tmp_path / name))
+    spark.range(12000).selectExpr(
+        "id % 2000 as l_orderkey", "id % 50 as l_partkey", "id % 9 as l_suppkey", "cast(id % 8 + 1 as int) as l_linenumber", "1D as l_quantity", "9D as l_extendedprice",
+        "0.1D as l_discount", "case id % 3 when 0 then 'A' when 1 then 'N' end as l_returnflag", "timestamp'2020-01-01' as l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(49).selectExpr("id as p_partkey", "concat('name \"', id, '} ') as p_name", "'t' as p_type", "'b' as p_brand", "cast(id % 50 as int) as p_size").write.parquet(
+        str(tmp_path / "part.parquet"))
+    rows = QUERIES["s9_read_assembly_reports"](spark, str(tmp_path))
+    want = Counter()
+    for i in range(12000):
+        name, line = f'name "{i % 50}}} ', i % 8 + 1
+        if i % 50 < 49 and line != 7:
+            want[f"GCA_{i % 2000:09d}.{line}", {1: "Complete Genome", 2: "Chromosome", 3: "Scaffold", 4: "Contig"}.get(line, "Other"), "isolate" if i % 3 == 0 else "uncultured",
+                 (name, f"uncultured {name}", f"{name} strain {i % 9}")[i % 3]] += 1
+    assert {tuple(r)[:4]: r.n for r in rows.collect()} == want
+    text = spark.read.option("lineSep", "\n").text(str(tmp_path / "reports.json"))
+    written = text.selectExpr("sum(octet_length(value) + 1)").first()[0]
+    assert written > 1_000_000 and 5 * (_bytes_of((tmp_path / "reports.json").glob("part-*")) + _bytes_of(rows.inputFiles())) < written
